@@ -22,3 +22,25 @@ select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(k.n_removed,
        sha256(coalesce(k.t, '')) as kept_sha256
 from words w left join kept k on k.doc_id = w.doc_id
 """
+
+SQL["op8_jaccard_join"] = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from words
+), sizes as (
+  select doc_id, count(*) as n from shingles group by doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from shingles a join shingles b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id
+), links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b where 100 * c >= 80 * (x.n + y.n - c)
+), both_ways as (
+  select a, b from links union all select b, a from links
+), reach as (
+  select doc_id as node, doc_id as other from documents
+  union
+  select r.node, l.b from reach r join both_ways l on l.a = r.other
+)
+select d.doc_id, coalesce(s.n, 0) as n_shingles, r.component_id
+from documents d left join sizes s using (doc_id) join (select node, min(other) as component_id from reach group by node) r on r.node = d.doc_id
+"""

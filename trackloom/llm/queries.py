@@ -37,6 +37,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), _tokenizer(BYTE_BPE), size=2048, end_id=1)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(documents(spark, sf_dir), n=5, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
