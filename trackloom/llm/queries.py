@@ -18,6 +18,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.quality_rules import assess
+
+    return assess(documents(spark, sf_dir)).drop("kept_text")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.llm.token_counts import count_tokens
 
@@ -37,6 +43,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), _tokenizer(BYTE_BPE), size=2048, end_id=1)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.license_scan import scan
+
+    return scan(documents(spark, sf_dir)).drop("spans")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.llm.jaccard_join import jaccard_components
 
