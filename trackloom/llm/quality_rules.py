@@ -1,6 +1,6 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Each line is held against the rules on its own: it must end like a sentence (punctuation), must
+Each line is held against the rules on its own: it must hold a sentence's end (punctuation), must
 not be a menu or link list (navigation), a notice (boilerplate), or mostly signs and shouting
 (noise). Failing lines go; a document that loses more than ``MOST_LOST`` percent of its
 characters, or fails the base rules on repetition and length, is rejected.
@@ -25,8 +25,8 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 MOST_LOST = 50
 
-ENDS = r"""[.!?…]["'”’»)\]]*[\x20\x09-\x0D]*$"""
-NAVIGATION = r"\|[^|]*\||[›»][^›»]*[›»]|(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|sign ?(in|up)|search|contact( us)?|about( us)?|next|previous|back to top|skip to content)[\x20\x09-\x0D.!?]*$"
+ENDS = r"""[.!?…]["'”’»)\]]*([\x20\x09-\x0D]|\z)"""
+NAVIGATION = r"\|[^|]*\||[›»][^›»]*[›»]|(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|sign ?(in|up)|search|contact( us)?|about( us)?|next|previous|back to top|skip to content)[\x20\x09-\x0D.!?]*\z"
 BOILERPLATE = r"(?i)all rights reserved|lorem ipsum|enable javascript|uses? cookies|cookie policy|privacy policy|terms (of (use|service)|and conditions)|subscribe to our|click here to"
 SIGNS = r"[#*$%&<>]"
 SHOUT = "!!"

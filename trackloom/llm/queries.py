@@ -43,6 +43,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), _tokenizer(BYTE_BPE), size=2048, end_id=1)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.language_id import fold, identify
+
+    out = identify(documents(spark, sf_dir), train=fold() != 1)
+    return out.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.llm.license_scan import scan
 
