@@ -116,3 +116,17 @@ with recursive words as (
 select d.doc_id, coalesce(s.n, 0) as n_shingles, r.component_id
 from documents d left join sizes s using (doc_id) join (select node, min(other) as component_id from reach group by node) r on r.node = d.doc_id
 """
+
+SQL["op10_warc"] = """
+with p as (
+  select page_id, coalesce(html, '') as html from pages
+), m as (
+  select page_id, octet_length(encode(html)) as n, sha1(html) as d from p
+), f as (
+  select *, max(page_id) over (partition by d, n) as first from m
+)
+select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
+       case when n >= 1000 and page_id < first then 'revisit' else 'response' end as record_type,
+       case when n >= 1000 and page_id < first then first end as refers_to
+from f
+"""

@@ -62,6 +62,20 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), n=5, percent=80)
 
 
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.vector_search import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.warc import write_and_read
+
+    out = write_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"), least=1000).where("kind <> 'gap'")
+    page = lambda c: F.expr(f"cast(substring_index({c}, ':', -1) as bigint)")
+    return out.select(page("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
