@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trackloom.llm._shared import documents
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def _tokenizer(name: str) -> str:
@@ -43,6 +44,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), _tokenizer(BYTE_BPE), size=2048, end_id=1)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.sentencepiece_codec import round_trips
+
+    return round_trips(documents(spark, sf_dir), _tokenizer(PIECE_BPE))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.llm.language_id import fold, identify
 
