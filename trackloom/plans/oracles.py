@@ -1,3 +1,5 @@
-"""DuckDB SQL for the registered queries."""
+"""DuckDB SQL of the registered queries."""
 
-SQL: dict[str, str] = {}
+from trackloom.plans.queries import SQL
+
+__all__ = ["SQL"]

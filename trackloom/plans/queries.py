@@ -1,11 +1,812 @@
-"""Registered queries of the library's own operators."""
+"""Registered queries of the library's own operators, each with its DuckDB text where SQL has one."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from trackloom.functions import arrays, geo, scoring, text, values
+from trackloom.operators import audit, catalog, corridor, graph, ingest, matching, routing, spatial_join
+from trackloom.plans.fixtures import load, with_views
+from trackloom.sources import readers, sinks
+from trackloom.streaming import events as streams
+
+_ALL: dict[str, Callable[[SimpleNamespace], DataFrame]] = {}
+SQL: dict[str, str] = {}
+PARAMS = corridor.CorridorParams(corridor_km=25.0, station_access_km=15.0, min_population=1000, max_results=200, min_score=5.0)
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        key = name or f.__name__
+        _ALL[key] = f
+        if sql is not None:
+            SQL[key] = with_views(sql)
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: (lambda spark, sf_dir, f=f: f(load(spark, sf_dir))) for k, f in _ALL.items()}
+
+
+# SQL pieces
+
+
+def km(a: str, b: str, c: str, d: str) -> str:
+    h = f"(power(sin(radians(({d}) - ({b})) / 2), 2) + cos(radians({b})) * cos(radians({d})) * power(sin(radians(({c}) - ({a})) / 2), 2))"
+    return f"(2 * 6371.0088 * atan2(sqrt({h}), sqrt(greatest(1e-12, 1 - {h}))))"
+
+
+def seg_km(x: str, y: str, ax: str, ay: str, bx: str, by: str) -> str:
+    k = f"cos(radians({y}))"
+    n = f"((({bx}) - ({ax})) * {k} * (({bx}) - ({ax})) * {k} + (({by}) - ({ay})) * (({by}) - ({ay})))"
+    t = f"(case when {n} = 0 then 0 else greatest(0, least(1, ((({x}) - ({ax})) * {k} * (({bx}) - ({ax})) * {k} + (({y}) - ({ay})) * (({by}) - ({ay}))) / nullif({n}, 0))) end)"
+    return km(x, y, f"{ax} + {t} * (({bx}) - ({ax}))", f"{ay} + {t} * (({by}) - ({ay}))")
+
+
+HITS = f"""hits as (
+  select * from (select t.route_id, s.id, s.canonical_name, s.population, s.lon, s.lat, min({seg_km("s.lon", "s.lat", "t.ax", "t.ay", "t.bx", "t.by_")}) as d
+  from settlements s join trunk_segments t on s.lat between least(t.ay, t.by_) - 0.3 and greatest(t.ay, t.by_) + 0.3 and s.lon between least(t.ax, t.bx) - 1.5 and greatest(t.ax, t.bx) + 1.5
+  where s.population >= 1000 group by all) x where d <= 25)"""
+SCORED = f"""{HITS}, top as (
+  select * from (select *, row_number() over (partition by route_id order by population desc, id) as n from hits) x where n <= 200
+), near as (
+  select route_id, id, m / 1000 as sd from (select h.route_id, h.id, {km("h.lon", "h.lat", "t.lon", "t.lat")} * 1000 as m,
+    row_number() over (partition by h.route_id, h.id order by power(h.lon - t.lon, 2) + power(h.lat - t.lat, 2), t.station_id) as rn
+    from top h join trunk t on t.route_id = h.route_id) x where rn = 1
+), scored as (
+  select t.*, n.sd, d * 50000000.0 + 100000000.0 as cost, max(population) over (partition by t.route_id) as most from top t join near n on n.route_id = t.route_id and n.id = t.id
+), final as (
+  select *, round(greatest(0, least(100, 35 * greatest(0, least(1, log10(population + 1) / log10(most + 1))) + 25 * greatest(0, least(1, sd / 15.0 / 2))
+    + 20 * greatest(0, least(1, 1 - d / 25.0)) + 10 - least(20, cost / 1e9 * 5))), 2) as score from scored
+), good as (select *, sd <= 15.0 as served from final where score >= 5)"""
+
+
+def _also(parts: str, select: str, name: str | None = None):
+    """A query whose SQL has further common tables after the views."""
+    return query(f", {parts} {select}", name)
+
+
+# Corridor (JON1, JON2, NUM1-4, TOP1, FLT8, FLT9, FLT21, AGG1, AGG2)
+
+
+@_also(
+    SCORED,
+    """select route_id, id, canonical_name, population, round(d, 3) as distance_to_route_km, round(sd, 3) as distance_to_station_km, round(cost, 2) as cost,
+  round(cost / (population / 1000), 2) as cost_per_1000, served, score, case when score >= 70 then 'high' when score >= 40 then 'medium' else 'low' end as level,
+  cast(row_number() over (partition by route_id order by score desc, population desc, id) as integer) as rank from good""",
+    name="corridor",
+)
+def _corridor(t):
+    return corridor.analyse(t.settlements, t.trunk_lines, t.trunk, PARAMS)
+
+
+@_also(
+    SCORED,
+    """select route_id, count(*) as settlements_count, count(*) filter (where not served) as not_served_count, cast(sum(population) as bigint) as total_population,
+  cast(coalesce(sum(population) filter (where not served), 0) as bigint) as not_served_population, max(score) as max_score, round(avg(score), 2) as avg_score from good group by route_id""",
+)
+def corridor_summary(t):
+    return corridor.summary(corridor.analyse(t.settlements, t.trunk_lines, t.trunk, PARAMS))
+
+
+LENGTHS = f"lengths as (select route_id, round(sum({km('ax', 'ay', 'bx', 'by_')}), 2) as length_km from trunk_segments group by route_id)"
+
+
+@_also(
+    f"{HITS}, {LENGTHS}",
+    """select l.route_id, l.length_km, coalesce(n, 0) as settlements_count, cast(coalesce(p, 0) as bigint) as total_population, round(coalesce(p / l.length_km, 0), 2) as density_per_km
+  from lengths l left join (select route_id, count(*) as n, sum(population) as p from hits group by route_id) h on h.route_id = l.route_id""",
+)
+def population_summary(t):
+    return corridor.population_summary(t.settlements, t.trunk_lines, PARAMS)
+
+
+@_also(
+    HITS,
+    """select route_id, id, population, round(d, 3) as km, round(greatest(0.05, least(1, cast(population as double) / max(population) over (partition by route_id))), 4) as weight from
+  (select * from hits order by population desc, d, canonical_name nulls last, id limit 200) x""",
+)
+def heatmap_top(t):
+    out = corridor.heatmap(t.settlements, t.trunk_lines, PARAMS)
+    return out.select("route_id", "id", "population", F.round("distance_to_route_km", 3).alias("km"), F.round("weight", 4).alias("weight"))
+
+
+@query("select id, round(greatest(0.05, least(1, greatest((population % 101) / 100, log10(greatest(10, population)) / 7))), 6) as weight from settlements")
+def client_weights(t):
+    return t.settlements.select("id", F.round(scoring.client_weight(F.col("population") % 101, F.col("population")), 6).alias("weight"))
+
+
+@query(
+    """select group_id, rank, km, km / 60 as hours, round(coalesce(total_population / nullif(km, 0), 0), 2) as density, round((km / first_value(km) over (partition by group_id order by rank) - 1) * 100, 1) as deviation from
+  (select route_id as group_id, cast(row_number() over (partition by route_id order by stop_sequence) as integer) as rank, leg_km + 1 as km, cast(leg_km * 100 as bigint) as total_population from route_stops) x"""
+)
+def chart_items(t):
+    rank = F.row_number().over(W.partitionBy("route_id").orderBy("stop_sequence"))
+    r = t.route_stops.select(F.col("route_id").alias("group_id"), rank.alias("rank"), F.lit(0.0).alias("length_km"), (F.col("leg_km") + 1).alias("last_stop_km"), F.lit(1.0).alias("geometry_km"), (F.col("leg_km") * 100).cast("bigint").alias("total_population"))
+    return corridor.chart_items(r)
+
+
+# Lists, search, summaries (FLT1-7, FLT16, FLT25, AGG3, AGG4, JON8-11, JON13, JON19, JON20, TOP3, TOP4, TOP15)
+
+
+@query("select id, name, region_code from stations where is_visible_default and lon between 35 and 60 and lat between 52 and 60 and region_code in ('ASIA', 'EUROPE') order by name nulls last, id limit 20000")
+def station_list(t):
+    return catalog.stations(t.stations, regions="ASIA, EUROPE", box="35,52,60,60").select("id", "name", "region_code")
+
+
+@query("select id, name from lines where (is_visible_default or is_service_line) and region_code = 'AFRICA' order by name nulls last, id limit 100000")
+def line_list(t):
+    return catalog.lines(t.lines, region="AFRICA", service=True).select("id", "name")
+
+
+@query("select id, name, is_main_rail_station from stations where is_visible_default and name ilike '%0%1%' order by is_main_rail_station desc, name nulls last, id limit 20")
+def station_search(t):
+    return catalog.search(t.stations, "0%1").select("id", "name", "is_main_rail_station")
+
+
+@query("select id, name from stations where id = 3 and is_visible_default")
+def station_by_id(t):
+    return catalog.by_id(t.stations, 3).select("id", "name")
+
+
+@query(
+    """select r.r_name as region_code, coalesce(s.n, 0) as stations, coalesce(l.n, 0) as lines from region r
+  left join (select region_code, count(*) as n from stations where is_visible_default group by 1) s on s.region_code = r.r_name
+  left join (select region_code, count(*) as n from lines where is_visible_default group by 1) l on l.region_code = r.r_name"""
+)
+def region_summary(t):
+    registry = t.boxes.select("region_code", F.col("west").alias("position"))
+    return catalog.region_summary(registry, t.stations, t.lines).select("region_code", "stations", "lines")
+
+
+@query(
+    """select r.id, coalesce(n, 0) as stops_count, coalesce(m, 0) as matched_count, greatest(0, coalesce(n, 0) - coalesce(m, 0)) as unmatched_count from routes r
+  left join (select route_id, count(*) as n, count(station_id) as m from route_stops group by 1) s on s.route_id = r.id where is_active and route_name ilike '%urg%' order by r.id limit 200"""
+)
+def route_list(t):
+    return catalog.routes(t.routes, t.route_stops, q="urg").select("id", "stops_count", "matched_count", "unmatched_count")
+
+
+@query("select id, region_code, status from runs where region_code = 'ASIA' and status = 'success' order by id desc limit 100")
+def dataset_runs(t):
+    return catalog.dataset_runs(t.runs, "ASIA", "success").select("id", "region_code", "status")
+
+
+@query(
+    """select region_code, source_md5 from (select *, row_number() over (partition by region_code order by finished_at desc nulls last, id desc) as n from runs
+  where status = 'success' and source_md5 is not null) x where n = 1"""
+)
+def latest_success(t):
+    return catalog.latest_success(t.runs).select("region_code", "source_md5")
+
+
+@query(
+    """select count(*) as total, count(*) filter (where h is null and n is not null) as new, count(*) filter (where h = n) as up_to_date, count(*) filter (where h <> n) as update_available, count(*) filter (where n is null) as unknown
+  from (select r.r_name, k.source_md5 as h, case when r.r_regionkey = 0 then null when r.r_regionkey = 1 then k.source_md5 else 'x' end as n from region r
+  left join (select region_code, max(source_md5) as source_md5 from runs where region_code <> 'EUROPE' group by 1) k on k.region_code = r.r_name) x"""
+)
+def update_counts(t):
+    known = t.runs.where("region_code <> 'EUROPE'").groupBy("region_code").agg(F.max("source_md5").alias("source_md5"))
+    registry = t.boxes.select("region_code", F.round((F.col("west") - 30) / 8).cast("int").alias("k"))
+    remote = registry.join(known, "region_code", "left").where("k > 0").select("region_code", F.when(F.col("k") == 1, F.col("source_md5")).otherwise("x").alias("md5"))
+    return catalog.status_counts(catalog.update_checks(registry, known, remote))
+
+
+PROFILE = """(case when is_main_rail_station then 100 else 0 end + case when nullif(trim(esr_user), '') is not null then 50 else 0 end + case when nullif(trim(uic_ref), '') is not null then 35 else 0 end
+  + case when id in (select station_id from links) then 25 else 0 end + case when is_visible_default then 10 else 0 end)"""
+
+
+@query(f"select id, cast({PROFILE} as integer) as search_score, is_visible_default and is_main_rail_station and (esr_user is not null or uic_ref is not null) as recommended from stations")
+def station_profile(t):
+    return catalog.profile(t.stations, t.links).select("id", "search_score", "recommended")
+
+
+@query(
+    f"""select id, round(priority, 3) as priority from (select *, {PROFILE} - least(d / 1000, 50) as priority from (select *, {km("lon", "lat", "45.0", "57.0")} * 1000 as d from stations) s where d <= 400000) x
+  order by x.priority desc, is_main_rail_station desc, d, name nulls last, id limit 10"""
+)
+def nearby_stations(t):
+    return catalog.nearby(t.stations, t.links, 45.0, 57.0, 400_000).select("id", F.round("priority", 3).alias("priority"))
+
+
+ZONE = f"""zone as (select s.*, {km("s.lon", "s.lat", "h.lon", "h.lat")} as km from stations s join stations h on h.id = 5), near as (select * from zone where km <= 500)"""
+
+
+@_also(
+    ZONE,
+    """select z.id, coalesce(n, 0) as routes_count, round(km, 3) as km from near z left join (select station_id, count(distinct route_id) as n from route_stops group by 1) r on r.station_id = z.id
+  order by z.id <> 5, is_main_rail_station desc, coalesce(n, 0) desc, z.km, name nulls last, z.id limit 12""",
+)
+def zone_candidates(t):
+    return catalog.zone_candidates(t.stations, t.route_stops, 5, 500.0).select("id", "routes_count", F.round("distance_km", 3).alias("km"))
+
+
+@_also(
+    ZONE,
+    """select route_id, station_id, route_hits, round(km, 3) as km from (select r.route_id, r.station_id, count(*) over (partition by r.route_id) as route_hits, z.km,
+  row_number() over (partition by r.route_id order by z.km, r.stop_sequence) as n from route_stops r join near z on z.id = r.station_id) x where n = 1 order by x.km, route_id limit 200""",
+)
+def zone_routes(t):
+    near = spatial_join.range_join(t.stations, t.stations.where("id = 5").select("id", "lon", "lat"), 500.0)
+    return catalog.zone_routes(near, t.route_stops).select("route_id", "station_id", "route_hits", F.round("zone_km", 3).alias("km"))
+
+
+@query("select distinct route_id, cast(stop_sequence as integer) as stop_sequence from route_stops where station_id = 7 or station_code = '100011'")
+def routes_of_station(t):
+    return catalog.routes_of_station(t.route_stops, 7, ["100011"]).select("route_id", "stop_sequence")
+
+
+@query("select route_id, cast(stop_sequence as integer) as stop_sequence, lag(station_id) over (partition by route_id order by stop_sequence) as previous_station from route_stops")
+def stop_pairs(t):
+    return catalog.stop_pairs(t.route_stops).select("route_id", "stop_sequence", "previous_station")
+
+
+@query("select route_id, arg_min(station_id, stop_sequence) as first_station, arg_max(station_id, stop_sequence) as last_station from route_stops where station_id is not null group by route_id")
+def route_endpoints(t):
+    return catalog.endpoints(t.route_stops)
+
+
+@query("select route_id, cast(stop_sequence as integer) as old, cast(row_number() over (partition by route_id order by stop_sequence) as integer) as stop_sequence from route_stops where station_id is not null")
+def resequenced(t):
+    return catalog.resequenced(t.route_stops.where("station_id is not null").withColumn("old", F.col("stop_sequence"))).select("route_id", "old", "stop_sequence")
+
+
+@query(
+    f"""select route_id, cast(count(*) as integer) + 1 as points, round(sum({km("ax", "ay", "lon", "lat")}), 3) as km from (select r.route_id, s.lon, s.lat, lag(s.lon) over w as ax, lag(s.lat) over w as ay
+  from route_stops r join stations s on s.id = r.station_id window w as (partition by r.route_id order by r.stop_sequence)) x where ax is not null group by route_id"""
+)
+def route_lines(t):
+    return catalog.route_lines(t.route_stops, t.stations).select("route_id", F.size("coords").alias("points"), F.round(geo.length_km(F.col("coords")), 3).alias("km"))
+
+
+@query("select r.route_id, cast(r.stop_sequence as integer) as stop_sequence, s.name as station_name, s.region_code as station_region from route_stops r left join stations s on s.id = r.station_id")
+def stop_matches(t):
+    return catalog.stop_matches(t.route_stops, t.stations).select("route_id", "stop_sequence", "station_name", "station_region")
+
+
+@query("select count(*) as stops, count(station_id) as matched, count(*) - count(station_id) as unresolved, round(count(station_id) * 100 / count(*), 2) as matched_percent from route_stops")
+def match_evaluation(t):
+    return audit.match_evaluation(t.route_stops)
+
+
+@query("select cast(day as date) as day from (select unnest(range(date '2026-01-05', date '2026-01-20', interval 1 day)) as day) x")
+def calendar_days(t):
+    return catalog.calendar("2026-01-05", "2026-01-19", t.spark)
+
+
+@query(
+    """select a.code as from_code, b.code as to_code, cast(min(a.priority + b.priority) as integer) as priority from
+  (select esr_user as code, 1 as priority from stations where id = 8 union all select uic_ref, 2 from stations where id = 8) a,
+  (select esr_user as code, 1 as priority from stations where id = 4 union all select uic_ref, 2 from stations where id = 4) b where a.code <> b.code group by 1, 2 order by 3, 1, 2 limit 100"""
+)
+def code_pairs(t):
+    codes = lambda k: t.stations.where(F.col("id") == k).select(F.explode(scoring.code_candidates(F.col("esr_user"), F.col("uic_ref"))).alias("c")).select("c.code", "c.priority")
+    return catalog.code_pairs(codes(8), codes(4))
+
+
+@query(
+    """select x.scope_key, nodes, edges, links, nodes >= 100 and edges >= 100 and links >= 20 as ready from (select scope_key, count(distinct node) as nodes, count(*) as links from links group by 1) x
+  left join (select scope_key, count(*) as edges from chain group by 1) e on e.scope_key = x.scope_key"""
+)
+def scope_status(t):
+    return catalog.scope_status(t.links.select("scope_key", "node").distinct(), t.chain, t.links)
+
+
+@query("select user_id % 50 as job_id, arg_max(event_type, ts_id) as status from (select *, (epoch_us(ts), event_id) as ts_id from events) e group by 1")
+def job_states(t):
+    e = t.spark.table("events").select((F.col("user_id") % 50).alias("job_id"), F.col("event_type").alias("status"), F.col("event_id").alias("progress"), F.lit("s").alias("stage"), "ts")
+    return catalog.job_states(e).select("job_id", "status")
+
+
+# Ingest (FLT10-15, FLT20, AGG9, AGG10, WIN5, JON16, SNK2-7, SET8, AGG14, AGG15, AGG27, NUM19-22, DAT1, DAT2)
+
+SUBWAY = "(lower(json_extract_string(tags_json, '$.operator')) like '%metro%' or lower(coalesce(name, '')) like 'метро %')"
+SIGNS = "(lower(json_extract_string(tags_json, '$.operator')) like '%ржд%' or json_extract_string(tags_json, '$.uic_ref') <> '')"
+
+
+@query(
+    f"""select load_seq, name, not {SUBWAY} and {SIGNS} as is_visible_default, case when {SUBWAY} then 'subway_or_metro' when not {SIGNS} then 'missing_main_rail_signs' end as exclude_reason
+  from stage where railway in ('station', 'halt')"""
+)
+def classify_stations(t):
+    out = ingest.classify_stations(t.stage.withColumn("osm_id", F.col("load_seq").cast("string")))
+    return out.select(F.col("osm_id").cast("bigint").alias("load_seq"), "name", "is_visible_default", "exclude_reason")
+
+
+SERVICE, USAGE, PASSENGER = ("json_extract_string(tags_json, '$.service') <> ''", "json_extract_string(tags_json, '$.usage')", "json_extract_string(tags_json, '$.passenger')")
+
+
+@query(
+    f"""select load_seq, {SERVICE} or {USAGE} = 'industrial' as is_service_line, not ({SERVICE}) and {USAGE} in ('main', 'branch') and {PASSENGER} <> 'no' as is_visible_default,
+  case when {SERVICE} then 'service_line' when {USAGE} = 'industrial' then 'industrial_line' when {PASSENGER} = 'no' then 'non_passenger_line' when {USAGE} not in ('main', 'branch') then 'non_main_or_branch' end as exclude_reason from stage"""
+)
+def classify_lines(t):
+    out = ingest.classify_lines(t.stage.withColumn("osm_id", F.col("load_seq").cast("string")).withColumn("railway", F.lit("rail")))
+    return out.select(F.col("osm_id").cast("bigint").alias("load_seq"), "is_service_line", "is_visible_default", "exclude_reason")
+
+
+@query("select region_code, osm_element_type, osm_id, max(load_seq) as load_seq from stage group by 1, 2, 3")
+def deduplicate_stage(t):
+    return ingest.deduplicate_stage(t.stage).select("region_code", "osm_element_type", "osm_id", "load_seq")
+
+
+@query("select region_code, osm_element_type, osm_id, count(*) as n from stage group by 1, 2, 3 having count(*) > 1")
+def duplicate_groups(t):
+    return ingest.duplicate_groups(t.stage, ["region_code", "osm_element_type", "osm_id"])
+
+
+@query(
+    """select region_code, n as n_stations, bad as n_stations_invalid, (select count(*) from (select 1 from stage s where s.region_code = x.region_code group by osm_element_type, osm_id having count(*) > 1) y) as n_stations_duplicates, false as ok
+  from (select region_code, count(*) as n, count(*) filter (where lat > 90) as bad from stage group by 1) x"""
+)
+def validate_stage(t):
+    lines = t.stage.select("region_code", "osm_element_type", "osm_id", F.array(geo.point("lon", "lat"), geo.point(F.col("lon") + 1, "lat")).alias("coords"))
+    old = t.stage.groupBy("region_code").agg((F.count("*") * 3).alias("stations"), F.count("*").alias("lines"))
+    return ingest.validate_stage(t.stage, lines, old).select("region_code", "n_stations", "n_stations_invalid", "n_stations_duplicates", "ok")
+
+
+@query("select region_code, count(*) as stations, count(*) filter (where is_visible_default) as visible_stations, (select count(*) from lines l where l.region_code = s.region_code) as lines, (select count(*) from lines l where l.region_code = s.region_code and is_visible_default) as visible_lines from stations s group by 1")
+def run_counts(t):
+    return ingest.run_counts(t.stations, t.lines)
+
+
+@query("select id, case when id % 4 = 0 then 'new' else 'old' end as v from stations union all select id + 1000000, 'new' from stations where id % 4 = 0")
+def upserted(t):
+    old = t.stations.select("id", F.lit("old").alias("v"), F.lit(1).alias("at"))
+    new = t.stations.where("id % 4 = 0").select(F.explode(F.array(F.col("id"), F.col("id") + 1_000_000)).alias("id"), F.lit("new").alias("v"), F.lit(0).alias("at"))
+    return ingest.upsert(old, new, "id", "at").select("id", "v")
+
+
+@query("select id, region_code, false as fresh from stations where region_code <> 'ASIA' union all select id, region_code, true from stations where region_code = 'ASIA'")
+def replaced(t):
+    s = t.stations.select("id", "region_code")
+    return ingest.replace_by_key(s.withColumn("fresh", F.lit(False)), s.where("region_code = 'ASIA'").withColumn("fresh", F.lit(True)), ["id", "region_code"])
+
+
+@query("select id, case when id % 6 = 0 or id % 9 = 0 then false else is_visible_default end as is_visible_default, case when id % 6 = 0 then 'service_only' when id % 9 = 0 then 'other' end as exclude_reason from stations")
+def hidden_stations(t):
+    plan = ingest.cleanup_plan(t.stations.where("id % 6 = 0").select(F.col("id").alias("station_id")), t.stations.where("id % 9 = 0").select(F.col("id").alias("station_id"), F.lit("other").alias("reason")))
+    return ingest.hide(t.stations.withColumn("exclude_reason", F.lit(None).cast("string")), plan).select("id", "is_visible_default", "exclude_reason")
+
+
+RAW = """raw as (select cast(id as varchar(20)) as id, canonical_name as name, settlement_type as type, region, cast(population as varchar(20)) as population, case when id % 10 = 0 then null else lat end as lat, lon from settlements)"""
+
+
+@_also(
+    RAW,
+    """select case when lat is null then 'coords' when cast(population as bigint) < 50000 then 'population' else 'kept' end as reason, count(*) as n from (select case when cast(population as bigint) < 50000 then 0 else lat end as lat, population from raw) x group by 1""",
+)
+def settlement_skips(t):
+    raw = t.settlements.select(F.col("id").cast("string").alias("id"), F.col("canonical_name").alias("name"), F.col("settlement_type").alias("type"), "region", F.concat(F.col("population").cast("string"), F.lit(" чел")).alias("Население 2021"), F.concat_ws(", ", F.when(F.col("id") % 10 != 0, F.col("lat")), "lon").alias("coords"))
+    out = ingest.normalise_settlements(raw, {"population": "Население 2021"}, ingest.SettlementFilter(min_population=50_000))
+    return out.groupBy(F.coalesce("skip_reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """select region, settlement_type as canonical_name, count(*) as rows_count, cast(sum(population) as bigint) as population, round(avg(lat), 6) as lat from settlements group by 1, 2"""
+)
+def aggregated_settlements(t):
+    rows = t.settlements.select(F.col("id").cast("string").alias("source_row_id"), F.col("settlement_type").alias("canonical_name"), F.lit("село").alias("settlement_type"), "region", F.lit("1").alias("oktmo"), F.lit(None).cast("string").alias("fias_code"), "population", "lat", "lon")
+    return ingest.aggregate_settlements(rows).select("region", "canonical_name", "rows_count", F.col("population").cast("bigint").alias("population"), F.round("lat", 6).alias("lat"))
+
+
+@query("select id, population as n, round(lon, 2) as x, (population % 24) * 60 + population % 60 as minutes, cast(date '2026-01-01' + cast(population % 300 as integer) as date) as day from settlements")
+def parsed_values(t):
+    s = t.settlements
+    clock = F.concat((F.col("population") % 24).cast("string"), F.lit(":"), F.lpad((F.col("population") % 60).cast("string"), 2, "0"))
+    words = F.concat((F.col("population") % 24).cast("string"), F.lit(" ч "), (F.col("population") % 60).cast("string"), F.lit(" мин"))
+    day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("population") % 300).cast("int")), "dd.MM.yyyy")
+    pair = values.parse_coords(F.concat(F.col("lat").cast("string"), F.lit(", "), F.format_number("lon", 2)))
+    return s.select(
+        "id", values.parse_int(F.concat(F.col("population").cast("string"), F.lit(",0 чел."))).alias("n"), F.round(pair["lon"], 2).alias("x"),
+        F.when(F.col("id") % 2 == 0, values.parse_minutes(clock)).otherwise(values.parse_minutes(words)).cast("bigint").alias("minutes"), values.iso_date(day).alias("day"),
+    )
+
+
+# Text (STR1, STR2, STR7-13, STR19, STR20, NUM11, FLT22)
+
+
+@query("select id, regexp_replace(upper(a), '[^A-ZА-Я0-9]', '', 'g') as import_name, regexp_replace(regexp_replace(replace(lower(b), '-', '_'), '[^0-9a-zа-я_]+', '_', 'g'), '_+', '_', 'g') as key, md5(b) as ident from names")
+def normalised_names(t):
+    return t.names.select("id", text.import_name(F.col("a")).alias("import_name"), text.slug(F.col("b")).alias("key"), F.md5("b").alias("ident"))
+
+
+SCORE = """scores as (
+  select *, case when x = y then 1.0 else least(1.0, len(list_intersect(p, q)) / len(list_distinct(p || q)) + case when contains(x, y) or contains(y, x) then 0.25 else 0 end) end as s from
+  (select *, list_distinct(string_split(x, ' ')) as p, list_distinct(string_split(y, ' ')) as q from (select *, """ + f"trim(regexp_replace(regexp_replace(upper(replace(a, 'станция', ' ')), '[^A-Z0-9_]+', ' ', 'g'), ' +', ' ', 'g')) as x, trim(regexp_replace(regexp_replace(upper(b), '[^A-Z0-9_]+', ' ', 'g'), ' +', ' ', 'g')) as y from names) n) m)"
+
+
+@_also(SCORE, "select id, round(s, 4) as name_score from scores")
+def name_scores(t):
+    return t.names.select("id", F.round(text.simple_name_score(F.col("a"), F.col("b")), 4).alias("name_score"))
+
+
+@_also(
+    SCORE,
+    """select id, round(s, 4) as name_score, code = uic as uic_match, round(v, 3) as score, round(greatest(0, least(1, v / 120)), 4) as confidence from (select *, s * 70 + case when code = uic then 30 else 0 end
+  + case when km <= 1 then 20 when km <= 5 then 15 when km <= 15 then 8 when km <= 50 then 2 when km <= 150 then -25 else -60 end
+  + case source when 'suggester' then 8 when 'osm_uic_ref' then 5 when 'nearby_main_station' then 3 else 0 end - case when s < 0.35 then 35 when s < 0.55 then 12 else 0 end as v from scores) x""",
+)
+def code_scores(t):
+    c = scoring.code_score(F.col("a"), F.col("b"), F.col("uic"), F.col("code"), F.col("km"), F.col("source"))
+    return t.names.select("id", c.alias("c")).select("id", "c.*")
+
+
+@query()
+def similar_names(t):
+    return t.names.select("id", F.round(text.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
+
+
+# Geometry (GEO1-7, GEO10, GEO13-16, STR21)
+
+
+@query(f"select id, round({km('lon', 'lat', '37.6', '55.75')}, 3) as km, round({km('lon', 'lat', '37.6', '55.75')} * 1000, 0) as m from settlements")
+def distances_to_point(t):
+    return t.settlements.select("id", F.round(geo.haversine_km("lon", "lat", 37.6, 55.75), 3).alias("km"), F.round(geo.haversine_m("lon", "lat", 37.6, 55.75), 0).alias("m"))
+
+
+@query("select id, md5(concat(printf('%.6f', lon), ',', printf('%.6f', lat))) as hash from settlements")
+def node_hashes(t):
+    return t.settlements.select("id", geo.node_hash("lon", "lat").alias("hash"))
+
+
+@query(f"select id, round({km('ax', 'ay', 'bx', 'by_')}, 3) as km, round(sqrt(power(radians(bx - ax) * 6378137, 2) + power((ln(tan(pi() / 4 + radians(by_) / 2)) - ln(tan(pi() / 4 + radians(ay) / 2))) * 6378137, 2)), 0) as mercator_m, ax <> bx or ay <> by_ as valid from lines")
+def line_lengths(t):
+    c = F.col("coords")
+    return t.lines.select("id", F.round(geo.length_km(c), 3).alias("km"), F.round(geo.mercator_length_m(c), 0).alias("mercator_m"), geo.valid_line(c).alias("valid"))
+
+
+PT = "(case when n = 0 then 0 else greatest(0, least(1, ((45 - ax) * (bx - ax) + (57 - ay) * (by_ - ay)) / nullif(n, 0))) end)"
+
+
+@query(f"select id, round(ax + {PT} * (bx - ax), 6) as lon, round(ay + {PT} * (by_ - ay), 6) as lat from (select *, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) as n from lines) l")
+def closest_points(t):
+    p = geo.closest_point(45.0, 57.0, F.col("coords"))
+    return t.lines.select("id", F.round(p["lon"], 6).alias("lon"), F.round(p["lat"], 6).alias("lat"))
+
+
+# Audits (JON4-6, JON15, JON25, JON26, AGG5-7, AGG18, AGG19, AGG25, AGG26, WIN2, NUM7-10)
+
+POINT_HITS = "hits as (select s.id, s.region_code, b.region_code as hit from stations s left join boxes b on s.lon between b.west and b.east and s.lat between b.south and b.north)"
+CLASSIFIED = POINT_HITS + """, classified as (select *, case when n = 0 then 'outside_all' when n = 1 and own then 'own_region_only' when n = 1 then 'other_region_only' when own then 'own_and_others' else 'several_others' end as category from
+  (select id, region_code, count(hit) as n, coalesce(bool_or(hit = region_code), false) as own, coalesce(string_agg(distinct hit, ', ' order by hit), '') as regions from hits group by 1, 2) x)"""
+
+
+@_also(CLASSIFIED, "select id, region_code, n as regions_count, own as in_own, regions, category from classified")
+def region_audit(t):
+    return audit.classify_hits(audit.point_hits(t.stations, t.polygons))
+
+
+@_also(CLASSIFIED, "select category, count(*) as n from classified group by 1")
+def region_categories(t):
+    return audit.category_counts(audit.classify_hits(audit.point_hits(t.stations, t.polygons)))
+
+
+@_also(CLASSIFIED, "select id, category, cast(rn as integer) as rn from (select *, row_number() over (partition by category order by region_code, id) as rn from classified) x where rn <= 5")
+def region_samples(t):
+    return audit.samples(audit.classify_hits(audit.point_hits(t.stations, t.polygons)), 5).select("id", "category", "rn")
+
+
+@_also(CLASSIFIED, "select region_code, count(*) as outside from classified where not own group by 1")
+def outside_own(t):
+    return audit.outside_own(audit.classify_hits(audit.point_hits(t.stations, t.polygons)))
+
+
+@query("select distinct region_code from stations where region_code not in (select region_code from boxes where west < 50)")
+def missing_boundaries(t):
+    return audit.without_boundary(t.stations, t.polygons.where(F.element_at("rings", 1)[0]["lon"] < 50))
+
+
+CLIP = "greatest(0, least(1, least(case when bx = ax then 1 else greatest((west - ax) / (bx - ax), (east - ax) / (bx - ax)) end, case when by_ = ay then 1 else greatest((south - ay) / (by_ - ay), (north - ay) / (by_ - ay)) end)) - greatest(0, case when bx = ax then 0 else least((west - ax) / (bx - ax), (east - ax) / (bx - ax)) end, case when by_ = ay then 0 else least((south - ay) / (by_ - ay), (north - ay) / (by_ - ay)) end))"
+
+
+@query(f"select id, region_code, s as own_share from (select l.id, l.region_code, round(case when by_ = ay and (ay < south or ay > north) then 0 else {CLIP} end, 4) as s from lines l join boxes b on b.region_code = l.region_code where ax <> bx or ay <> by_) x where s < 0.5")
+def low_own_share(t):
+    return audit.low_own_share(t.lines, t.boxes)
+
+
+NEAR = lambda m: f"""near as (select s.id, count(distinct l.id) as nearby_lines, count(distinct case when is_service_line then l.id end) as service_lines, count(distinct case when not is_service_line then l.id end) as open_lines,
+  count(distinct case when is_main_passenger_line then l.id end) as passenger_lines from stations s left join lines l on l.ay between s.lat - 1.2 and s.lat + 1.2 and l.ax between s.lon - 1.2 and s.lon + 1.2 and {seg_km("s.lon", "s.lat", "l.ax", "l.ay", "l.bx", "l.by_")} <= {m / 1000} group by 1)"""
+
+
+@_also(NEAR(20_000), "select * from near")
+def nearby_lines(t):
+    return audit.nearby_line_counts(t.stations, t.lines, 20_000).select("id", "nearby_lines", "service_lines", "open_lines", "passenger_lines")
+
+
+DECIDED = NEAR(20_000) + """, rated as (select s.*, n.nearby_lines, n.service_lines, n.open_lines, round(case when open_lines > 0 then 100 else 0 end + case when passenger_lines > 0 then 60 else 0 end + case when is_main_rail_station then 35 else 0 end
+  + case when uic_ref <> '' then 20 else 0 end + case when esr_user <> '' then 12 else 0 end + 5 + least(length(trim(name)) * 0.2, 8) + least(open_lines * 6.0, 18) + least(passenger_lines * 10.0, 20)
+  - case when service_lines > 0 and open_lines = 0 then 40 else 0 end - case when nearby_lines = 0 then 70 else 0 end, 3) as quality from stations s join near n on n.id = s.id
+), grouped as (select *, coalesce(uic_ref, 'x' || id) as k from rated), ranked as (
+  select *, row_number() over w as rn, count(*) over (partition by k) as c, first_value(quality) over w as q1, first_value(open_lines) over w as o1 from grouped window w as (partition by k order by quality desc, is_visible_default desc, id)
+), two as (select *, max(case when rn = 2 then quality end) over (partition by k) as q2 from ranked), done as (
+  select *, c > 1 and q1 >= 90 and q1 - q2 >= 25 and o1 > 0 as clear, case when nearby_lines = 0 or (open_lines = 0 and service_lines > 0) then 'hide_default' when uic_ref is null and open_lines = 0 then 'review' else 'keep' end as a,
+  case when nearby_lines = 0 then 'station_without_nearby_lines' when open_lines = 0 and service_lines > 0 then 'station_connected_only_to_service_lines' end as r from two
+), decided as (select id, quality, case when clear and rn > 1 then 'hide_default' when c > 1 and not clear and a = 'keep' then 'review' else a end as action, case when clear and rn > 1 then 'duplicate_uic_ref_noncanonical' else r end as reason from done)"""
+
+
+@_also(DECIDED, "select id, cast(quality as double) as quality, action, reason from decided")
+def station_decisions(t):
+    return audit.station_decisions(audit.nearby_line_counts(t.stations, t.lines, 20_000)).select("id", "quality", "action", "reason")
+
+
+@_also(DECIDED, "select action, reason, count(*) as n from decided group by 1, 2")
+def decision_counts(t):
+    return audit.action_counts(audit.station_decisions(audit.nearby_line_counts(t.stations, t.lines, 20_000)))
+
+
+CLASS = "case when nearby_lines = 0 then 'without_nearby_lines' when open_lines = 0 and service_lines > 0 then 'service_only' when passenger_lines > 0 then 'main_passenger_connected' when open_lines > 0 then 'non_service_connected' else 'other' end"
+
+
+@_also(
+    f"{NEAR(5_000).replace('near as', 'n1 as')}, {NEAR(20_000).replace('near as', 'n2 as')}",
+    f"select concat_ws(' | ', a.k, b.k) as path, count(*) as n from (select id, {CLASS} as k from n1) a join (select id, {CLASS} as k from n2) b on b.id = a.id group by 1",
+)
+def radius_transitions(t):
+    return audit.transitions(audit.radius_classes(t.stations, t.lines, [5_000, 20_000]), [5_000, 20_000])
+
+
+@query("select 'population' as rule, count(*) filter (where not population >= 0) as violations from settlements union all select 'lat', count(*) filter (where not lat <= 64) from settlements")
+def domain_violations(t):
+    return audit.domain_violations(t.settlements, {"population": F.col("population") >= 0, "lat": F.col("lat") <= 64})
+
+
+# Graph (GRF1-10, GRF13, GRF17, GRF22, AGG8, AGG11-13, AGG20, SET1-7, JON3, JON7, JON12, JON14, JON18, WIN1, WIN9, TOP7-14)
+
+
+@query("select node, count(*) as degree from (select src as node from edges union all select dst from edges) x group by 1")
+def degrees(t):
+    return graph.degrees(t.edges)
+
+
+@query("select scope_key, node, cast(1 as bigint) as degree from (select scope_key, src as node from chain union all select scope_key, dst from chain) x group by 1, 2 having count(*) = 1")
+def dangling_nodes(t):
+    return graph.dangling(t.chain, ["scope_key"])
+
+
+REACH = """both_ways as (select src, dst from chain union select dst, src from chain), reach as (
+  select src as node, src as other from both_ways union select r.node, b.dst from reach r join both_ways b on b.src = r.other), labels as (select node, min(other) as component from reach group by 1)"""
+
+
+@_also(REACH, "select node, component from labels")
+def graph_components(t):
+    return graph.components(t.chain)
+
+
+@_also(
+    REACH,
+    """select x.component, nodes_count, edges_count, round(km, 3) as total_length_km, row_number() over (order by nodes_count desc, x.component) = 1 as is_largest from (select component, count(*) as nodes_count from labels group by 1) x
+  join (select component, count(*) as edges_count, sum(length_km) as km from chain join labels on node = src group by 1) e on e.component = x.component""",
+)
+def component_stats(t):
+    return graph.component_stats(t.chain, graph.components(t.chain))
+
+
+for _k in ("graph_components", "component_stats"):
+    SQL[_k] = SQL[_k].replace("with ", "with recursive ", 1)
+
+GAPS = f"""nodes as (select id as node, id % 7 as component, region_code as scope_key, lon, lat from stations), pairs as (
+  select a.scope_key, a.node as a, b.node as b, {km("a.lon", "a.lat", "b.lon", "b.lat")} * 1000 as m from nodes a join nodes b on b.scope_key = a.scope_key and a.node < b.node and a.component <> b.component
+), close as (select * from pairs where m <= 300000), ends as (select *, a as e from close union all select *, b as e from close),
+kept as (select distinct scope_key, a, b, m from (select *, row_number() over (partition by scope_key, e order by m, a, b) as rn from ends) x where rn <= 3)"""
+
+
+def _gaps(t):
+    nodes = t.stations.select(F.col("region_code").alias("scope_key"), F.col("id").alias("node"), (F.col("id") % 7).alias("component"), "lon", "lat")
+    return graph.gap_candidates(nodes, 300_000)
+
+
+@_also(GAPS, "select scope_key, a, b, round(m, 2) as distance_m, round(greatest(0, least(1, 1 - m / 300000)), 6) as confidence from kept")
+def gap_candidates(t):
+    return _gaps(t).select("scope_key", "a", "b", F.round("distance_m", 2).alias("distance_m"), F.round("confidence", 6).alias("confidence"))
+
+
+@_also(GAPS, "select scope_key, a as src, b as dst, round(m / 1000, 3) as length_km from kept where m <= 200000 and 1 - m / 300000 >= 0.35 and (a + b) % 3 <> 0")
+def gap_connectors(t):
+    g = _gaps(t)
+    have = g.where("(a + b) % 3 = 0").select("scope_key", F.col("b").alias("a"), F.col("a").alias("b"))
+    return graph.connectors(g, have, max_m=200_000, min_confidence=0.35, limit=None).select("scope_key", "src", "dst", F.round("length_km", 3).alias("length_km"))
+
+
+@_also(GAPS, "select scope_key, a, b, case when (a + b) % 2 = 0 then 'created' when m <= 150000 then 'accepted' else 'candidate' end as status from kept")
+def gap_status(t):
+    g = _gaps(t).withColumn("status", F.lit("candidate"))
+    return graph.promoted(g, g.where("distance_m <= 150000"), g.where("(a + b) % 2 = 0")).select("scope_key", "a", "b", "status")
+
+
+@query("select scope_key, count(*) as n, round(min(length_km * 1000), 2) as min_m, round(avg(length_km * 1000), 2) as avg_m, round(max(length_km * 1000), 2) as max_m from chain group by 1")
+def connector_summary(t):
+    return graph.connector_summary(t.chain)
+
+
+@query("select scope_key, links from (select scope_key, count(distinct station_id) as ends, count(*) as links from links where station_id in (3, 8) group by 1) x where ends = 2 order by links desc, scope_key limit 1")
+def common_scope(t):
+    return graph.common_scope(t.links, 3, 8)
+
+
+NEARL = "ranked as (select *, row_number() over (partition by scope_key, station_id order by link_distance_m, node) as rn from links where link_distance_m <= 300), eight as (select * from ranked where rn <= 8)"
+
+
+@_also(
+    NEARL,
+    """select a.scope_key, a.station_id, a.node as src, b.node as dst, round((a.link_distance_m + b.link_distance_m) / 1000, 6) as length_km from eight a join eight b on b.scope_key = a.scope_key and b.station_id = a.station_id and a.rn < b.rn
+  where a.link_distance_m + b.link_distance_m > 0 and a.link_distance_m + b.link_distance_m <= 400""",
+)
+def transfer_edges(t):
+    return graph.transfer_edges(t.links, 0.3, 8, 0.4).select("scope_key", "station_id", "src", "dst", F.round("length_km", 6).alias("length_km"))
+
+
+@query("select station_id, node, link_distance_m from (select *, row_number() over (partition by station_id order by link_distance_m nulls last, node) as n from (select station_id, node, min(link_distance_m) as link_distance_m from links group by 1, 2) l) x where n = 1")
+def primary_nodes(t):
+    return routing.primary_node(t.links.groupBy("station_id", "node").agg(F.min("link_distance_m").alias("link_distance_m")))
+
+
+@query(
+    """select station_id, node, cast(rank as integer) as rank from (select *, row_number() over (partition by station_id order by source, not is_primary, km, node) as rank from (
+  select *, row_number() over (partition by station_id, node order by source, not is_primary, km) as n from (select station_id, node, case when scope_key = 'even' then 0 else 1 end as source, is_primary, link_distance_m / 1000 as km from links) l) x where n = 1) y where rank <= 18"""
+)
+def matcher_links(t):
+    side = lambda k: t.links.where(F.col("scope_key") == k).select("station_id", "node", (F.col("link_distance_m") / 1000).alias("link_distance_km"), "is_primary")
+    return routing.matcher_links(side("even"), side("odd")).select("station_id", "node", "rank")
+
+
+@query(
+    """select station_id, node, cast(rank as integer) as rank from (select *, row_number() over (partition by station_id order by air, km, degree desc, node) as rank from (
+  select *, row_number() over (partition by station_id, node order by air, km, degree desc, source desc) as n from (select station_id, node, case when scope_key = 'even' then 0 else 1 end as source, (node % 5) / 10.0 as air, link_distance_m / 1000 as km, node % 3 as degree from links) l) x where n = 1) y where rank <= 32"""
+)
+def merged_links(t):
+    side = lambda k: t.links.where(F.col("scope_key") == k).select("station_id", "node", ((F.col("node") % 5) / 10).alias("air_km"), (F.col("link_distance_m") / 1000).alias("link_distance_km"), (F.col("node") % 3).alias("degree"))
+    return routing.merged_links(side("even"), side("odd")).select("station_id", "node", "rank")
+
+
+@_also(
+    f"found as (select s.id, t.id as node, round({km('s.lon', 's.lat', 't.lon', 't.lat')} * 1000, 3) as m from settlements s, stations t)",
+    "select station_id, node, is_primary from (select id as station_id, node, rn = 1 as is_primary, m, rn from (select *, row_number() over (partition by id order by m, node) as rn from found) x) y where (rn = 1 or m <= 60000) and rn <= 6",
+)
+def station_links(t):
+    nodes = t.stations.select(F.col("id").alias("node"), "lon", "lat")
+    out = graph.station_links(t.settlements.select(F.col("id").alias("station_id"), "lon", "lat"), nodes, 6, 60_000.0, 100.0)
+    return out.select("station_id", "node", "is_primary")
+
+
+@query()
+def shortest_paths(t):
+    pairs = t.chain.groupBy("scope_key").agg(F.min("src").alias("source")).join(t.chain.select("scope_key", F.col("dst").alias("target")).distinct(), "scope_key")
+    return graph.paths(t.chain, pairs).select("scope_key", "source", "target", F.round("length_km", 6).alias("length_km"), F.size("edge_ids").alias("edges"))
+
+
+@query()
+def path_distances(t):
+    return graph.distances(t.chain, t.chain.groupBy("scope_key").agg(F.min("src").alias("source")).select("source"))
+
+
+@query()
+def path_alternatives(t):
+    far = t.edges.groupBy("scope_key").agg(F.min("src").alias("source"), F.max("dst").alias("target"))
+    return graph.alternative_metrics(graph.paths(t.edges, far, most=3)).drop("nodes", "edge_ids")
+
+
+@query("select a.route_id as a, b.route_id as b, round(len(list_intersect(a.s, b.s)) / least(len(a.s), len(b.s)), 6) as overlap from (select route_id, list(distinct station_id) as s from route_stops where station_id is not null group by 1) a join (select route_id, list(distinct station_id) as s from route_stops where station_id is not null group by 1) b on b.route_id = a.route_id + 1")
+def overlap_ratios(t):
+    s = t.route_stops.where("station_id is not null").groupBy("route_id").agg(F.collect_set("station_id").alias("s"))
+    b = s.select((F.col("route_id") - 1).alias("route_id"), F.col("route_id").alias("b"), F.col("s").alias("u"))
+    return s.join(b, "route_id").select(F.col("route_id").alias("a"), "b", F.round(arrays.overlap_ratio(F.col("s"), F.col("u")), 6).alias("overlap"))
+
+
+@_also(
+    f"nodes as (select id as node, id % 3 as component, region_code as scope_key, lon, lat from stations), pairs as (select a.scope_key, a.component, b.component as r_component, a.node, b.node as r_node, {km('a.lon', 'a.lat', 'b.lon', 'b.lat')} as d from nodes a join nodes b on b.scope_key = a.scope_key and a.component < b.component)",
+    "select scope_key, component, r_component, node, r_node from (select *, row_number() over (partition by scope_key, component, r_component order by d, node, r_node) as n from pairs where d <= 400) x where n <= 8",
+)
+def bridge_candidates(t):
+    nodes = t.stations.select(F.col("region_code").alias("scope_key"), F.col("id").alias("node"), (F.col("id") % 3).alias("component"), "lon", "lat")
+    return graph.bridge_candidates(nodes, 400.0, 8, 1_000_000).select("scope_key", "component", "r_component", "node", "r_node")
+
+
+@query()
+def noded_network(t):
+    return graph.split_edges(graph.node_lines(t.lines.select(F.lit("all").alias("scope_key"), "id", "coords")))[1].select("src", "dst", F.round("length_km", 6).alias("length_km"))
+
+
+@query()
+def edge_snaps(t):
+    edges = t.lines.select(F.col("id").alias("edge_id"), F.lit("a").alias("src"), F.lit("b").alias("dst"), "coords")
+    return routing.edge_snaps(t.stations.select("id", "lon", "lat"), edges, 15_000.0).drop("coords")
+
+
+# Costs (NUM12-17, GRF13, GRF16)
+
+D, G, P, H = "(case when id % 10 = 0 then null else leg end)", "(leg * (id % 7) / 3.0)", "(leg * (id % 9) / 4.0)", "(id % 12)"
+
+
+@query(
+    f"""select id, round(case when {P} is null then null when {D} is null then {P} * 0.03 + {H} * 0.02 when {D} <= 1 then case when {P} <= 2 then {P} * 0.05 + {H} * 0.05 end
+  when ({D} >= 50 and {P} < {D} * 0.2) or ({D} >= 5 and {P} > greatest({D} * 2, {D} + 40)) then null else abs({P} - {D}) * 0.45 + abs({P} - {D}) / greatest({D}, 10) * 22 + greatest(0, {H} - 1) * 0.04 end, 6) as transition,
+  round(case when {D} >= 1 then abs({P} - {D}) * 0.65 + abs({P} - {D}) / greatest({D}, 1) * 28 + case when {P} > greatest({D} * 2.5, {D} + 55) then 80 else 0 end
+  when {G} >= 5 then greatest(0, {P} - {G}) * 0.25 + greatest(0, {P} - {G}) / greatest({G}, 1) * 12 + case when {P} > greatest({G} * 4, {G} + 120) then 60 else 0 end else 0 end, 6) as outlier,
+  round(case when {D} is null then {G} * 0.02 + 0.5 when {D} <= 1 then case when {G} <= 5 then {G} * 0.1 end when {G} > {D} * 1.35 + 35 or ({G} > 150 and {D} < {G} * 0.35) then null
+  else case when {G} / greatest({D}, 1) > 1 then ({G} / greatest({D}, 1) - 1) * 18 when {G} / greatest({D}, 1) < 0.15 then (0.15 - {G} / greatest({D}, 1)) * 35 when {G} / greatest({D}, 1) < 0.3 then (0.3 - {G} / greatest({D}, 1)) * 10 else 0 end + 0.4 end, 6) as lock
+  from (select l_orderkey * 100 + l_linenumber * 7 + l_partkey % 100 as id, l_quantity as leg from lineitem) x"""
+)
+def transition_costs(t):
+    x = t.spark.table("lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber") * 7 + F.col("l_partkey") % 100).alias("id"), F.col("l_quantity").alias("leg"))
+    d, g, p, h = F.when(F.col("id") % 10 != 0, F.col("leg")), F.col("leg") * (F.col("id") % 7) / 3, F.col("leg") * (F.col("id") % 9) / 4, F.col("id") % 12
+    return x.select("id", F.round(scoring.path_transition(d, p, h), 6).alias("transition"), F.round(scoring.path_outlier(d, g, p), 6).alias("outlier"), F.round(scoring.lock_transition(d, g, F.lit(False)), 6).alias("lock"))
+
+
+# Matching (GRF14, GRF18, GRF21, AGG16, AGG17, SET9, TOP6, JON22)
+
+STOPS = "stops as (select route_id, stop_sequence, case when stop_sequence % 5 = 0 then station_id end as station_id, station_code from route_stops)"
+
+
+@_also(
+    STOPS,
+    """select route_id, cast(stop_sequence as integer) as stop_sequence, coalesce(e.id, x.id) as matched_id, case when e.id is not null then 'explicit_station_id' when x.id is not null then 'exact_esr_code' end as match_method
+  from stops s left join stations e on e.id = s.station_id left join stations x on x.esr_user = s.station_code""",
+)
+def exact_matches(t):
+    s = t.route_stops.select("route_id", "stop_sequence", F.when(F.col("stop_sequence") % 5 == 0, F.col("station_id")).alias("station_id"), "station_code", F.lit("x").alias("station_name_raw"))
+    return matching.exact_matches(s, t.stations, names=True).select("route_id", "stop_sequence", "matched_id", "match_method")
+
+
+def _trunk_stops(t):
+    s = t.stations.select(F.col("id").alias("station_id"), F.col("name").alias("station_name_raw"), F.col("esr_user").alias("station_code"))
+    return t.trunk.join(s, "station_id").select(
+        F.col("route_id").cast("long").alias("route_id"), F.col("stop_sequence").cast("int").alias("stop_sequence"), "station_name_raw", "station_code",
+        F.when(F.col("station_id") % 3 == 0, F.col("station_id")).alias("stored_station_id"), F.lit(True).alias("stored_visible"), F.lit(None).cast("double").alias("distance_km"),
+    )
+
+
+@query()
+def stop_candidates(t):
+    return matching.candidates(_trunk_stops(t), t.stations)
+
+
+@query()
+def locked_routes(t):
+    s = _trunk_stops(t)
+    return matching.lock_routes(s, matching.candidates(s, t.stations))
+
+
+@query()
+def route_regions(t):
+    return matching.route_regions(matching.candidates(_trunk_stops(t), t.stations))
+
+
+@query("select id, case id % 4 when 0 then ['central_fd', 'ural_fd', 'volga_fd'] when 1 then ['central_fd', 'far_eastern_fd', 'volga_fd', 'ural_fd', 'siberian_fd'] when 2 then ['volga_fd', 'far_eastern_fd', 'ural_fd', 'siberian_fd'] else ['south_fd'] end as codes from stations")
+def expanded_regions(t):
+    given = F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in (["central_fd", "ural_fd", ""], ["central_fd", "far_eastern_fd", "central_fd"], ["volga_fd", "far_eastern_fd", ""], ["south_fd", " ", "south_fd"])]), (F.col("id") % 4 + 1).cast("int"))
+    return t.stations.select("id", matching.expand_regions(given).alias("codes"))
+
+
+# Documents and digests (SNK8, SNK10, SRC6, JSN1)
+
+
+@query("select region_code, md5(concat('{', string_agg(concat('\"', source, '\":\"', m, '\"'), ',' order by source), '}')) as md5 from (select region_code, name as source, md5(cast(id as varchar(20))) as m from stations) x group by 1")
+def source_digests(t):
+    return readers.aggregate_md5(t.stations.select("region_code", F.col("name").alias("source"), F.md5(F.col("id").cast("string")).alias("md5")))
+
+
+@query()
+def line_collections(t):
+    return sinks.line_collection(t.lines, "region_code", ["id", "name"]).select("region_code", F.length("geojson").alias("chars"))
+
+
+@query()
+def payload_trains(t):
+    p = t.spark.table("events").select(F.col("event_id").alias("payload_id"), F.concat(F.lit('{"tp":[{"list":[{"number":"'), F.col("user_id").cast("string"), F.lit('","date0":"1","inner":{"trainNumber":7}},{"number":"'), F.col("user_id").cast("string"), F.lit('","date0":"1"}]}]}')).alias("payload"))
+    return readers.trains(p)
+
+
+# Streams (STM0)
+
+
+@query("select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
+def event_windows(t):
+    return streams.tumbling(t.spark.table("events"))
