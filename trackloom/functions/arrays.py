@@ -36,7 +36,7 @@ def oriented(coords: Column, lon: Column, lat: Column) -> Column:
 
 def unique_non_empty(values: Column) -> Column:
     """First places of distinct, trimmed, non-empty strings (AGG17)."""
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x.isNotNull() & (x != "")))
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
 
 
 def ordered_union(*arrays: Column, most: int = 6) -> Column:

@@ -156,8 +156,7 @@ def similarity(a: str, b: str) -> float:
     return max(0.0, min(1.0, score + (0.10 if fits(x[0], y[0]) else 0.0)))
 
 
-@F.pandas_udf("double")
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     seen: dict[tuple[str, str], float] = {}
     out = []
     for pair in zip(a.fillna(""), b.fillna(""), strict=True):
@@ -168,4 +167,4 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    return _similarity(canonical_name(a), canonical_name(b))
+    return F.pandas_udf(_similarities, "double")(canonical_name(a), canonical_name(b))

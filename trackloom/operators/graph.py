@@ -30,7 +30,8 @@ def usable_edges(edges: DataFrame) -> DataFrame:
 def adjacency(edges: DataFrame) -> DataFrame:
     """Both directions of every usable edge (GRF2)."""
     e = usable_edges(edges)
-    return e.unionByName(e.withColumnsRenamed({"src": "dst", "dst": "src"}))
+    swap = {"src": "dst", "dst": "src"}
+    return e.unionByName(e.select(*[F.col(swap.get(c, c)).alias(c) for c in e.columns]))
 
 
 def with_connectors(edges: DataFrame, connectors: DataFrame) -> DataFrame:
@@ -222,7 +223,9 @@ def paths(edges: DataFrame, pairs: DataFrame, most: int = 0, **options) -> DataF
             rows += [(key[0], s, t, k, km, ids, nodes) for k, (ids, nodes, km) in enumerate(found)]
         return pd.DataFrame(rows, columns=["scope_key", "source", "target", "rank", "length_km", "edge_ids", "nodes"])
 
-    return edges.select("scope_key", "edge_id", "src", "dst", "length_km").groupBy("scope_key").cogroup(pairs.select("scope_key", "source", "target").groupBy("scope_key")).applyInPandas(solve, PATHS)
+    # Fresh names on both sides: pairs are often made from the edges themselves.
+    own = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names]).groupBy("scope_key")
+    return own(edges, "scope_key", "edge_id", "src", "dst", "length_km").cogroup(own(pairs, "scope_key", "source", "target")).applyInPandas(solve, PATHS)
 
 
 def alternative_metrics(found: DataFrame) -> DataFrame:

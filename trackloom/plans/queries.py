@@ -276,9 +276,9 @@ def match_evaluation(t):
     return audit.match_evaluation(t.route_stops)
 
 
-@query("select cast(day as date) as day from (select unnest(range(date '2026-01-05', date '2026-01-20', interval 1 day)) as day) x")
+@query("select strftime(day, '%Y-%m-%d') as day from (select unnest(range(date '2026-01-05', date '2026-01-20', interval 1 day)) as day) x")
 def calendar_days(t):
-    return catalog.calendar("2026-01-05", "2026-01-19", t.spark)
+    return catalog.calendar("2026-01-05", "2026-01-19", t.spark).select(F.col("day").cast("string").alias("day"))
 
 
 @query(
@@ -397,7 +397,7 @@ def aggregated_settlements(t):
     return ingest.aggregate_settlements(rows).select("region", "canonical_name", "rows_count", F.col("population").cast("bigint").alias("population"), F.round("lat", 6).alias("lat"))
 
 
-@query("select id, population as n, round(lon, 2) as x, (population % 24) * 60 + population % 60 as minutes, cast(date '2026-01-01' + cast(population % 300 as integer) as date) as day from settlements")
+@query("select id, population as n, round(lon, 2) as x, (population % 24) * 60 + population % 60 as minutes, strftime(date '2026-01-01' + cast(population % 300 as integer), '%Y-%m-%d') as day from settlements")
 def parsed_values(t):
     s = t.settlements
     clock = F.concat((F.col("population") % 24).cast("string"), F.lit(":"), F.lpad((F.col("population") % 60).cast("string"), 2, "0"))
@@ -405,8 +405,8 @@ def parsed_values(t):
     day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("population") % 300).cast("int")), "dd.MM.yyyy")
     pair = values.parse_coords(F.concat(F.col("lat").cast("string"), F.lit(", "), F.format_number("lon", 2)))
     return s.select(
-        "id", values.parse_int(F.concat(F.col("population").cast("string"), F.lit(",0 чел."))).alias("n"), F.round(pair["lon"], 2).alias("x"),
-        F.when(F.col("id") % 2 == 0, values.parse_minutes(clock)).otherwise(values.parse_minutes(words)).cast("bigint").alias("minutes"), values.iso_date(day).alias("day"),
+        "id", values.parse_int(F.concat(F.col("population").cast("string"), F.lit(",0 чел"))).alias("n"), F.round(pair["lon"], 2).alias("x"),
+        F.when(F.col("id") % 2 == 0, values.parse_minutes(clock)).otherwise(values.parse_minutes(words)).cast("bigint").alias("minutes"), values.iso_date(day).cast("string").alias("day"),
     )
 
 
