@@ -50,7 +50,7 @@ def duck():
 @pytest.fixture(scope="session")
 def same_rows():
     def cell(v):
-        if v is None or v != v or str(v) in ("NaT", "<NA>"):
+        if v is None or str(v) in ("NaT", "<NA>", "nan", "NaN"):
             return "null"
         if isinstance(v, bool) or type(v).__name__ == "bool":
             return str(bool(v))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import geo
 from trackloom.functions.arrays import overlap_ratio
 from trackloom.functions.scoring import gap_confidence
+from trackloom.operators.lineage import cut
 from trackloom.operators.spatial_join import range_join
 
 
@@ -57,14 +58,14 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     Every round each node takes the least label among itself and its neighbours, then its
     label's label, so long chains shorten by powers of two.
     """
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().checkpoint()
+    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
     before = None
     for _ in range(most_rounds):
         near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
         step = labels.join(near, "node", "left").select("node", F.least("component", "m").alias("component"))
         up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        labels = step.join(up, "component", "left").select("node", F.least("component", "up").alias("component")).checkpoint()
+        labels = cut(step.join(up, "component", "left").select("node", F.least("component", "up").alias("component")))
         now = labels.agg(F.bit_xor(F.xxhash64("node", "component")).alias("x"), F.count("*").alias("n")).first()
         if now == before:
             return labels
@@ -244,16 +245,16 @@ def distances(edges: DataFrame, sources: DataFrame, most_rounds: int = 200) -> D
 
     For tables larger than a task: every round is one join and one aggregation.
     """
-    near = adjacency(edges).select("src", "dst", "length_km").groupBy("src", "dst").agg(F.min("length_km").alias("length_km")).checkpoint()
+    near = cut(adjacency(edges).select("src", "dst", "length_km").groupBy("src", "dst").agg(F.min("length_km").alias("length_km")))
     best = sources.select(F.col("source"), F.col("source").alias("node"), F.lit(0.0).alias("km")).distinct()
     front = best
     for _ in range(most_rounds):
         step = front.join(near, front.node == near.src).select("source", F.col("dst").alias("node"), (F.col("km") + F.col("length_km")).alias("km")).groupBy("source", "node").agg(F.min("km").alias("km"))
         old = best.withColumnRenamed("km", "old")
-        front = step.join(old, ["source", "node"], "left").where(F.col("old").isNull() | (F.col("km") < F.col("old"))).drop("old").checkpoint()
+        front = cut(step.join(old, ["source", "node"], "left").where(F.col("old").isNull() | (F.col("km") < F.col("old"))).drop("old"))
         if front.isEmpty():
             return best
-        best = best.unionByName(front).groupBy("source", "node").agg(F.min("km").alias("km")).checkpoint()
+        best = cut(best.unionByName(front).groupBy("source", "node").agg(F.min("km").alias("km")))
     raise RuntimeError(f"distances did not settle in {most_rounds} rounds")
 
 
@@ -296,7 +297,7 @@ def node_lines(lines: DataFrame, cell: float = 0.05) -> DataFrame:
     and at other segments' ends that lie on it.
     """
     seg = lines.select("scope_key", F.posexplode(geo.segments(F.col("coords"))).alias("k", "s"), "id")
-    seg = seg.select("scope_key", F.concat_ws(":", "id", "k").alias("seg"), *[F.col(f"s.{p}.{c}").alias(n) for p, c, n in (("a", "lon", "ax"), ("a", "lat", "ay"), ("b", "lon", "bx"), ("b", "lat", "by"))]).checkpoint()
+    seg = cut(seg.select("scope_key", F.concat_ws(":", "id", "k").alias("seg"), *[F.col(f"s.{p}.{c}").alias(n) for p, c, n in (("a", "lon", "ax"), ("a", "lat", "ay"), ("b", "lon", "bx"), ("b", "lat", "by"))]))
     box = lambda lo, hi: F.sequence(F.floor(F.least(lo, hi) / cell).cast("int"), F.floor(F.greatest(lo, hi) / cell).cast("int"))
     spread = seg.withColumn("cx", F.explode(box(F.col("ax"), F.col("bx")))).withColumn("cy", F.explode(box(F.col("ay"), F.col("by"))))
     other = spread.select(*[F.col(c).alias(f"o_{c}") for c in spread.columns])

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo
+from trackloom.operators.lineage import cut
 
 KM_PER_DEGREE = 111.0
 HIGHEST_LATITUDE = 80.0
@@ -113,7 +114,7 @@ def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k:
         part = ranked if last else ranked.join(enough, left_id, "left_semi")
         done = part if done is None else done.unionByName(part)
         if not last:
-            rest = rest.join(enough, left_id, "left_anti").checkpoint(eager=True)
+            rest = cut(rest.join(enough, left_id, "left_anti"))
             if rest.isEmpty():
                 break
         r *= 2
