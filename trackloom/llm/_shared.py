@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,16 +30,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write a frame to the shared folder and read it again: lineage ends there, and a lost
     executor costs no recomputation of what came before."""
-    path = fresh_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
+    tidy(spark)
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner see that finished queries' shuffle files are no longer referred to."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Remove a settled table that no result reads any more."""
     path = getattr(df, "_settled_at", None)

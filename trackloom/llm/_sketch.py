@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,29 +16,34 @@ def blocks(cells: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """A task's cells as numbered blocks, those with counts only."""
     parts = cells.astype("<u4").reshape(-1, BLOCK_CELLS)
     some = np.flatnonzero(parts.any(axis=1))
-    return pa.array(some.astype(np.int64)), pa.array([parts[k].tobytes() for k in some], pa.binary())
+    return pa.array(some.astype(np.int64)), pa.array([zlib.compress(parts[k].tobytes(), 1) for k in some], pa.binary())
 
 
 def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of equal blocks; rows come sorted by block."""
+
+    def out() -> pa.RecordBatch:
+        raw = np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([at]), pa.array([zlib.compress(raw, 1)], pa.binary())], names=["block", "cells"])
+
     at, total = None, None
     for batch in batches:
         for k, raw in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), strict=True):
-            part = np.frombuffer(raw, dtype="<u4").astype(np.uint64)
+            part = np.frombuffer(zlib.decompress(raw), dtype="<u4").astype(np.uint64)
             if k == at:
                 total += part
                 continue
             if at is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], names=["block", "cells"])
+                yield out()
             at, total = k, part
     if at is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([total.tobytes()], pa.binary())], names=["block", "cells"])
+        yield out()
 
 
 def total(parts: DataFrame, n_cells: int) -> np.ndarray:
     """The sum of all tasks' blocks (block, cells): n_cells numbers on the driver, no more."""
     summed = parts.repartition("block").sortWithinPartitions("block").mapInArrow(_add, "block long, cells binary")
-    out = np.zeros((n_cells // BLOCK_CELLS, BLOCK_CELLS), dtype=np.uint64)
+    out = np.zeros((n_cells // BLOCK_CELLS, BLOCK_CELLS), dtype=np.uint32)
     for row in summed.toLocalIterator():
-        out[row.block] = np.frombuffer(row.cells, dtype=np.uint64)
+        out[row.block] = np.frombuffer(zlib.decompress(row.cells), dtype="<u4")
     return out.reshape(-1)

@@ -39,7 +39,7 @@ from trackloom.llm import _sketch, _words
 from trackloom.llm._shared import only, settle
 from trackloom.llm.components import components
 
-SKETCH_CELLS = 1 << 20
+SKETCH_CELLS = 1 << 22
 BLOOM_CELLS = 1 << 22
 SEEN_SETS = 1 << 16
 U64 = np.uint64
@@ -80,11 +80,12 @@ class Sets:
 
 def _measure(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(SKETCH_CELLS, dtype=np.int64)
+        cells = np.zeros(SKETCH_CELLS, dtype=np.uint32)
         for batch in batches:
             for w in _words.slices(batch.column("text"), lower=True):
                 s = Sets(w, n)
-                cells += np.bincount((s.hash & U64(SKETCH_CELLS - 1)).astype(np.int64), minlength=SKETCH_CELLS)
+                at, n_here = np.unique((s.hash & U64(SKETCH_CELLS - 1)).astype(np.int32), return_counts=True)
+                cells[at] += n_here.astype(np.uint32)
                 one, two = s.fingerprints()
                 docs = w.hi - w.lo
                 none = pa.nulls(docs, pa.binary())
@@ -92,7 +93,7 @@ def _measure(n: int):
                     [pa.array(np.zeros(docs, np.int32)), batch.column("doc_id").slice(w.lo, docs), pa.array(s.size.astype(np.int64)), pa.array(one), pa.array(two), pa.nulls(docs, pa.int64()), none],
                     names=["kind", "doc_id", "n_shingles", "one", "two", "block", "cells"],
                 )
-        block, raw = _sketch.blocks(np.minimum(cells, (1 << 32) - 1))
+        block, raw = _sketch.blocks(cells)
         gap = [pa.nulls(len(block), pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(block), np.int32)), *gap, block, raw], names=["kind", "doc_id", "n_shingles", "one", "two", "block", "cells"])
 
@@ -100,9 +101,11 @@ def _measure(n: int):
 
 
 def frequency_classes(cells: np.ndarray) -> np.ndarray:
-    """The sketch's counts as powers of two over twice their mean: what only chance adds is class 0."""
-    mean = max(1.0, float(cells.mean()))
-    return np.clip(np.floor(np.log2(np.maximum(cells, 1) / mean)), 0, 63).astype(np.uint8)
+    """Half powers of two of what a cell holds over its chance load: what chance explains is class 0."""
+    usual = float(np.median(cells))
+    spread = max(1.0, 1.4826 * float(np.median(np.abs(cells - usual))))
+    over = (cells - usual) / (4 * spread)
+    return np.clip(np.floor(2 * np.log2(np.maximum(over, 0.5))) + 1, 0, 63).astype(np.uint8)
 
 
 def _prefixes(n: int, percent: int, table):
