@@ -37,7 +37,7 @@ from trackloom.llm import _words
 from trackloom.llm._shared import only
 
 WINDOW = 13
-ANCHOR = 5
+ANCHOR = 4
 REMEMBERED = 1 << 20
 U64 = np.uint64
 
@@ -72,12 +72,34 @@ def _least(keys: np.ndarray, also: np.ndarray, docs: np.ndarray) -> tuple[np.nda
     return out, many
 
 
-def _binary(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+HEADER = 3  # of a packed row, in 32-bit words: the document's id and the first word, then windows or a span's length
 
 
-STRETCH = "anchor long, doc_id long, start int, n int, windows binary"
-_NAMES = ["anchor", "doc_id", "start", "n", "windows"]
+def _packed(docs: np.ndarray, starts: np.ndarray, values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """One binary a row: its id, its start, and its 64-bit values. A row of few bytes is most of what is shuffled."""
+    sizes = HEADER + 2 * counts
+    ends = np.cumsum(sizes)
+    at = ends - sizes
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype="<u4")
+    head = np.ones(len(out), dtype=bool)
+    pair = docs.astype("<i8").view("<u4").reshape(-1, 2)
+    for k, part in enumerate((pair[:, 0], pair[:, 1], starts.astype("<i4").view("<u4"))):
+        out[at + k] = part
+        head[at + k] = False
+    out[head] = values.view("<u4")
+    offsets = np.concatenate([[0], ends]) * 4
+    return pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    offs = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
+    data = np.frombuffer(np.frombuffer(column.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]].tobytes(), dtype="<u4")
+    at = (offs[:-1] - offs[0]) // 4
+    docs = np.stack([data[at], data[at + 1]], axis=1).copy().view("<i8").reshape(-1)
+    rest = np.ones(len(data), dtype=bool)
+    for k in range(HEADER):
+        rest[at + k] = False
+    return docs, data[at + 2].view("<i4"), np.frombuffer(data[rest].tobytes(), dtype=U64), (np.diff(offs) // 4 - HEADER) // 2
 
 
 class _Remembered:
@@ -125,18 +147,20 @@ def _stretches(window: int, anchor: int):
                 new = np.ones(len(open_), dtype=bool)
                 new[1:] = (open_[1:] != open_[:-1] + 1) | (least[open_[1:]] != least[open_[:-1]]) | (doc[open_[1:]] != doc[open_[:-1]])
                 runs = np.flatnonzero(new)
-                offsets = np.append(runs, len(open_)).astype(np.int64)
                 o = open_[runs]
-                spread = _words.mix(ids[w.lo + span_doc].astype(U64) * U64(31) + begin[at].astype(U64))
+                found = ids[w.lo + span_doc]
+                spread = _words.mix(found.astype(U64) * U64(31) + begin[at].astype(U64))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate([least[o], spread]).view(np.int64)),
-                        pa.array(np.concatenate([d[o], ids[w.lo + span_doc]])),
-                        pa.array(np.concatenate([begin[o], begin[at]]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(len(o), np.int32), words.astype(np.int32)])),
-                        _binary(win[open_], np.concatenate([offsets, np.full(len(at), len(open_))])),
+                        _packed(
+                            np.concatenate([d[o], found]),
+                            np.concatenate([begin[o], -1 - begin[at]]),  # a start below 0 marks a span
+                            np.concatenate([win[open_], words.astype(U64)]),
+                            np.concatenate([np.diff(np.append(runs, len(open_))), np.ones(len(at), dtype=np.int64)]),
+                        ),
                     ],
-                    names=_NAMES,
+                    names=["anchor", "stretch"],
                 )
 
     return run
@@ -151,17 +175,12 @@ def _factors(window: int):
             if not batch.num_rows:
                 continue
             anchor = batch.column("anchor").to_numpy()
-            d, start, n = (batch.column(c).to_numpy() for c in ("doc_id", "start", "n"))
-            col = batch.column("windows")
-            offs = np.frombuffer(col.buffers()[1], dtype=np.int32, count=len(col) + 1 + col.offset)[col.offset :].astype(np.int64)
-            size = np.diff(offs) // 8
-            data = np.frombuffer(col.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]].tobytes() if offs[-1] > offs[0] else b""
-            win = np.frombuffer(data, dtype=U64)
-            done = np.flatnonzero(n > 0)
-            out = [(d[done], start[done], n[done])]
+            d, start, values, size = _unpacked(batch.column("stretch"))
             row = np.repeat(np.arange(len(d)), size)
-            inside = np.arange(len(win)) - np.repeat(np.cumsum(size) - size, size)
-            flat = (anchor[row], d[row], (start[row] + inside).astype(np.int64), win)
+            settled = start < 0
+            out = [(d[settled], -1 - start[settled], values[settled[row]].astype(np.int64))]
+            inside = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
+            flat = tuple(x[~settled[row]] for x in (anchor[row], d[row], start[row] + inside, values))
             if held is not None:
                 flat = tuple(np.concatenate([a, b]) for a, b in zip(held, flat, strict=True))
             if len(flat[0]):
@@ -186,7 +205,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col:
         raise ValueError("an anchor has 1 word to a window's")
     named = only(docs, doc_id=id_col, text=text_col).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     return (
-        named.mapInArrow(_stretches(window, anchor), STRETCH)
+        named.mapInArrow(_stretches(window, anchor), "anchor long, stretch binary")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
         .mapInArrow(_factors(window), "doc_id long, start int, n int")
