@@ -37,6 +37,7 @@ BITS = 13
 DIMENSIONS = 1 << BITS
 ROWS_AT_ONCE = 128
 EPOCHS = 12
+LEAST_STEPS = 600
 REGULAR = 1e-4
 UNDETERMINED = "und"
 
@@ -89,16 +90,17 @@ def fit_pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     w, total, steps = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0
     x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
     weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())) * len(y) / 2
-    t = 0
-    for _ in range(EPOCHS):
-        for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // 32)):
+    t, parts = 0, max(1, len(x) // 32)
+    rounds = max(EPOCHS, -(-LEAST_STEPS // parts))
+    for _ in range(rounds):
+        for part in np.array_split(rng.permutation(len(x)), parts):
             t += 1
             rate = 1 / (REGULAR * (t + 1000))
             active = part[y[part] * (x[part] @ w) < 1]
             w *= 1 - rate * REGULAR
             if len(active):
                 w += rate / len(part) * ((weight[active] * y[active]) @ x[active])
-            if t > 20:
+            if 4 * t > rounds * parts:
                 total += w
                 steps += 1
     return total / max(1, steps)
