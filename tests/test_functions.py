@@ -256,3 +256,22 @@ def test_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert spark.table("windows").agg(F.sum("n")).first()[0] == src.count()
+
+
+def test_merged_lines(spark):
+    p = lambda *xy: [(float(x), float(y)) for x, y in xy]
+    rows = [("s", 1, p((0, 0), (1, 0))), ("s", 2, p((2, 0), (1, 0))), ("s", 3, p((2, 0), (3, 0))), ("s", 4, p((2, 0), (2, 1))), ("s", 5, p((9, 9), (8, 8)))]
+    got = graph.merge_lines(spark.createDataFrame(rows, "scope_key string, id int, coords array<struct<lon:double,lat:double>>")).collect()
+    assert sorted(len(r.coords) for r in got) == [2, 2, 2, 3]
+    ring = [("s", k, p((k, 0), ((k + 1) % 3, 0))) for k in range(3)]
+    assert [len(r.coords) for r in graph.merge_lines(spark.createDataFrame(ring, "scope_key string, id int, coords array<struct<lon:double,lat:double>>")).collect()] == [4]
+
+
+def test_network_cache(spark):
+    built = []
+    cache = graph.NetworkCache(most=1)
+    make = lambda codes: built.append(tuple(codes)) or spark.range(1)
+    assert cache.get(["a", "b"], make) is cache.get(["b", "a"], make) and len(built) == 1
+    cache.get(["c"], make)
+    cache.get(["a", "b"], make)
+    assert len(built) == 3

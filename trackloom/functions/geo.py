@@ -58,6 +58,7 @@ def planar2(lon1, lat1, lon2, lat2) -> Column:
 
 
 def metres_to_degrees(m, per_degree: float = 111_320.0) -> Column:
+    """Metres as degrees of latitude (NUM23)."""
     return _c(m) / per_degree
 
 
@@ -71,6 +72,11 @@ def valid_point(lon, lat) -> Column:
     return F.coalesce(lon.between(-180, 180) & lat.between(-90, 90) & ~F.isnan(lon) & ~F.isnan(lat), F.lit(False))
 
 
+def on_surface(lon, lat) -> Column:
+    """GEO17: a point stands for itself."""
+    return point(lon, lat)
+
+
 def valid_line(coords: Column | str) -> Column:
     """At least two points of which two differ (GEO16)."""
     return F.coalesce(F.size(F.array_distinct(_c(coords))) >= 2, F.lit(False))

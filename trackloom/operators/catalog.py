@@ -148,6 +148,17 @@ def nearby(stations: DataFrame, links: DataFrame, lon: float, lat: float, radius
     return out.orderBy(F.desc("priority"), F.desc("is_main_rail_station"), "distance_m", F.col("name").asc_nulls_last(), "id").limit(limit)
 
 
+def nearby_main(stations: DataFrame, lon: float, lat: float, radius_km: float, besides: int | None = None, limit: int = 4) -> DataFrame:
+    """TOP5, JON17: visible main or coded stations around a point, but one; the point is literals, no join."""
+    pad = radius_km / 111.0 * 1.02
+    width = pad / max(0.05, abs(math.cos(math.radians(lat))))
+    out = stations.where(geo.in_box("lon", "lat", (lon - width, lat - pad, lon + width, lat + pad))).where("is_visible_default and (is_main_rail_station or uic_ref is not null)")
+    if besides is not None:
+        out = out.where(F.col("id") != besides)
+    out = out.withColumn("distance_km", geo.haversine_km("lon", "lat", lon, lat)).where(F.col("distance_km") <= radius_km)
+    return out.orderBy(F.desc("is_main_rail_station"), ~scoring.present(F.col("uic_ref")), "distance_km", F.col("name").asc_nulls_last(), "id").limit(limit)
+
+
 def zone_candidates(stations: DataFrame, stops: DataFrame, station_id: int, radius_km: float, limit: int = 12) -> DataFrame:
     """JON20, AGG24, TOP4: stations around one, with the number of routes that stop there."""
     from trackloom.operators.spatial_join import range_join
@@ -230,6 +241,11 @@ def missing_scopes(wanted: DataFrame, scopes: DataFrame) -> DataFrame:
     return wanted.join(scopes.select("scope_key").distinct(), "scope_key", "left_anti")
 
 
+def touched(table: DataFrame, started: str = "started_at", now: str = "updated_at") -> DataFrame:
+    """DAT4: a start time where none is set yet, and the time of the change."""
+    return table.withColumn(started, F.coalesce(started, F.current_timestamp())).withColumn(now, F.current_timestamp())
+
+
 def job_states(events: DataFrame) -> DataFrame:
     """The last state of each job of an append-only log."""
     return events.groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "stage"), F.struct("ts", "progress")).alias("s")).select("job_id", "s.*")

@@ -118,6 +118,12 @@ def summary(candidates: DataFrame) -> DataFrame:
     )
 
 
+def by_population(candidates: DataFrame, least: int = 0, most: int | None = None) -> DataFrame:
+    """FE6: shown candidates within a range, without a new analysis."""
+    out = candidates.where(F.col("population") >= least)
+    return out if most is None else out.where(F.col("population") <= most)
+
+
 def heatmap(settlements: DataFrame, route: DataFrame, p: CorridorParams) -> DataFrame:
     """TOP2, NUM18: the most populous places of a corridor with a weight."""
     hits = in_corridor(eligible(settlements, p), route.select("route_id", "coords"), p.corridor_km)

@@ -9,6 +9,7 @@ in rounds instead.
 from __future__ import annotations
 
 import heapq
+import time
 from collections import defaultdict
 
 import pandas as pd
@@ -323,6 +324,54 @@ def node_lines(lines: DataFrame, cell: float = 0.05) -> DataFrame:
     return out.select("scope_key", F.explode(parts).alias("coords"))
 
 
+def merge_lines(lines: DataFrame) -> DataFrame:
+    """GEO11: lines that meet end to end where just two do, as one line: (scope_key, id, coords).
+
+    Chains of one scope are walked in one task; junctions and open ends stay as they are.
+    """
+
+    def walk(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        parts = [[(p["lon"], p["lat"]) for p in c] for c in df.sort_values("id")["coords"] if len(c) >= 2]
+        at = defaultdict(list)
+        for k, c in enumerate(parts):
+            at[c[0]].append(k)
+            at[c[-1]].append(k)
+        used, out = set(), []
+
+        def grow(c: list) -> list:
+            while len(at[c[-1]]) == 2 and (k := next((k for k in at[c[-1]] if k not in used), None)) is not None:
+                used.add(k)
+                c = c + (parts[k][1:] if parts[k][0] == c[-1] else parts[k][-2::-1])
+            return c
+
+        for k, c in enumerate(parts):
+            if k not in used:
+                used.add(k)
+                out.append(grow(grow(c)[::-1])[::-1])
+        return pd.DataFrame([(key[0], k, [{"lon": x, "lat": y} for x, y in c]) for k, c in enumerate(out)], columns=["scope_key", "id", "coords"])
+
+    return lines.select("scope_key", "id", "coords").groupBy("scope_key").applyInPandas(walk, "scope_key string, id long, coords array<struct<lon:double,lat:double>>")
+
+
+class NetworkCache:
+    """CAC0: networks kept by their set of regions for a time; the oldest is let go first."""
+
+    def __init__(self, seconds: float = 600.0, most: int = 8):
+        self.seconds, self.most, self.held = seconds, most, {}
+
+    def get(self, regions: list[str], build) -> DataFrame:
+        key, now = "|".join(sorted(set(regions))), time.monotonic()
+        for k, (at, df) in list(self.held.items()):
+            if now - at > self.seconds:
+                df.unpersist()
+                del self.held[k]
+        if key not in self.held:
+            if len(self.held) >= self.most:
+                self.held.pop(min(self.held, key=lambda k: self.held[k][0]))[1].unpersist()
+            self.held[key] = (now, build(regions).persist())
+        return self.held[key][1]
+
+
 def station_links(stations: DataFrame, nodes: DataFrame, k: int = 6, near_m: float = 450.0, radius_km: float = 5.0) -> DataFrame:
     """Each station's links to graph nodes: the nearest, and others within ``near_m`` (WIN1, JON3)."""
     from trackloom.operators.spatial_join import knn_join

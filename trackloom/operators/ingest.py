@@ -200,6 +200,10 @@ COLUMN_NAMES = {
     "lat": ["lat", "latitude", "широта"],
     "lon": ["lon", "lng", "longitude", "долгота"],
     "coords": ["coords", "coordinates", "координаты"],
+    "type_full": ["settlement_type_full"],
+    "city_type_full": ["city_type_full"],
+    "city_type": ["city_type"],
+    "municipality": ["municipality", "муниципалитет"],
     "municipality_up_name": ["municipality_up_name"],
     "municipality_down_name": ["municipality_down_name"],
 }
@@ -252,7 +256,7 @@ def matches(c: Column, wanted: tuple[str, ...]) -> Column:
 
 
 def normalise_settlements(raw: DataFrame, given: dict[str, str] | None = None, keep: SettlementFilter | None = None) -> DataFrame:
-    """FLT17: one row for each raw row, with ``skip_reason`` of the first filter that it fails."""
+    """FLT17, STR18: one row for each raw row, with ``skip_reason`` of the first filter that it fails."""
     keep = keep or SettlementFilter()
     cols = detect_columns(raw.columns, given)
     get = lambda k: F.col(f"`{cols[k]}`").cast("string") if k in cols else F.lit(None).cast("string")
@@ -262,8 +266,8 @@ def normalise_settlements(raw: DataFrame, given: dict[str, str] | None = None, k
     out = raw.select(
         get("id").alias("source_row_id"), text.optional(get("object_level")).alias("object_level"),
         text.canonical_place(get("name"), get("municipality_down_name"), get("municipality_up_name")).alias("canonical_name"),
-        text.optional(get("type")).alias("settlement_type"), text.optional(get("federal_district")).alias("federal_district"), text.optional(get("region")).alias("region"),
-        F.coalesce(text.optional(get("municipality_down_name")), text.optional(get("municipality_up_name"))).alias("municipality"),
+        F.coalesce(*[text.optional(get(k)) for k in ("type", "type_full", "city_type_full", "city_type")]).alias("settlement_type"), text.optional(get("federal_district")).alias("federal_district"), text.optional(get("region")).alias("region"),
+        F.coalesce(*[text.optional(get(k)) for k in ("municipality_down_name", "municipality_up_name", "municipality")]).alias("municipality"),
         text.optional(get("oktmo")).alias("oktmo"), text.optional(get("fias_code")).alias("fias_code"), values.parse_int(get("population")).alias("population"), lat.alias("lat"), lon.alias("lon"),
     )
     reason = (

@@ -216,6 +216,14 @@ def nearby_stations(t):
     return catalog.nearby(t.stations, t.links, 45.0, 57.0, 400_000).select("id", F.round("priority", 3).alias("priority"))
 
 
+@query(
+    f"""select id from (select *, {km("lon", "lat", "45.0", "57.0")} as d from stations) x where is_visible_default and (is_main_rail_station or uic_ref is not null) and id <> 5 and d <= 600
+  order by is_main_rail_station desc, uic_ref is null, d, name nulls last, id limit 4"""
+)
+def nearby_main_stations(t):
+    return catalog.nearby_main(t.stations, 45.0, 57.0, 600.0, besides=5).select("id")
+
+
 ZONE = f"""zone as (select s.*, {km("s.lon", "s.lat", "h.lon", "h.lat")} as km from stations s join stations h on h.id = 5), near as (select * from zone where km <= 500)"""
 
 
@@ -714,6 +722,13 @@ def noded_network(t):
     return graph.split_edges(graph.node_lines(t.lines.select(F.lit("all").alias("scope_key"), "id", "coords")))[1].select("src", "dst", F.round("length_km", 6).alias("length_km"))
 
 
+@query("select route_id as id, cast(count(*) as integer) + 1 as points from trunk_segments group by 1")
+def merged_lines(t):
+    seg = t.trunk.withColumn("p", F.struct("lon", "lat")).withColumn("q", F.lag("p").over(W.partitionBy("route_id").orderBy("stop_sequence"))).where("q is not null")
+    out = graph.merge_lines(seg.select(F.col("route_id").cast("string").alias("scope_key"), F.col("stop_sequence").alias("id"), F.array("q", "p").alias("coords")))
+    return out.select(F.col("scope_key").cast("int").alias("id"), F.size("coords").alias("points"))
+
+
 @query()
 def edge_snaps(t):
     edges = t.lines.select(F.col("id").alias("edge_id"), F.lit("a").alias("src"), F.lit("b").alias("dst"), "coords")
