@@ -96,12 +96,13 @@ def corridor_summary(t):
     return corridor.summary(corridor.analyse(t.settlements, t.trunk_lines, t.trunk, PARAMS))
 
 
-LENGTHS = f"lengths as (select route_id, round(sum({km('ax', 'ay', 'bx', 'by_')}), 2) as length_km from trunk_segments group by route_id)"
+LENGTHS = f"""lengths as (select t.route_id, coalesce(g.km, 0.0) as length_km from (select distinct route_id from trunk) t
+  left join (select route_id, round(sum({km('ax', 'ay', 'bx', 'by_')}), 2) as km from trunk_segments group by route_id) g on g.route_id = t.route_id)"""
 
 
 @_also(
     f"{HITS}, {LENGTHS}",
-    """select l.route_id, l.length_km, coalesce(n, 0) as settlements_count, cast(coalesce(p, 0) as bigint) as total_population, round(coalesce(p / l.length_km, 0), 2) as density_per_km
+    """select l.route_id, l.length_km, coalesce(n, 0) as settlements_count, cast(coalesce(p, 0) as bigint) as total_population, round(coalesce(p / nullif(l.length_km, 0), 0), 2) as density_per_km
   from lengths l left join (select route_id, count(*) as n, sum(population) as p from hits group by route_id) h on h.route_id = l.route_id""",
 )
 def population_summary(t):
