@@ -16,7 +16,7 @@ Windows are compared by a 64-bit hash and their anchor's independent 64-bit hash
 Skew: what repeats within a slice of a task is decided there (every copy but the smallest id's
 has a smaller one), so a passage that a third of all documents hold leaves a task once a slice,
 not once a document, and windows often met are remembered for the task's later slices. The
-block side streams over rows sorted by anchor and keeps one row for each open window. Only
+block side streams over rows sorted by bucket and keeps one row for each open window. Only
 hashes move; texts move once, to meet their spans.
 
 Defined results: a null text has no words; a row with a null id keeps all words and is no
@@ -34,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm import _words
-from trackloom.llm._shared import only
+from trackloom.llm._shared import only, partitions
 
 WINDOW = 13
 ANCHOR = 4
 REMEMBERED = 1 << 20
+BUCKETS_A_PARTITION = 16
+SLICES_A_ROW = 8
 U64 = np.uint64
 
 
@@ -72,34 +74,48 @@ def _least(keys: np.ndarray, also: np.ndarray, docs: np.ndarray) -> tuple[np.nda
     return out, many
 
 
-HEADER = 3  # of a packed row, in 32-bit words: the document's id and the first word, then windows or a span's length
+PARTS = {"anchors": "<u8", "lows": "<u4", "highs": "<u4", "starts": "<u2", "far": "<u2", "counts": "u1", "values": "<u8"}
+STRETCHES = "bucket int, " + ", ".join(f"{k} binary" for k in PARTS)
+LONGEST = 255
 
 
-def _packed(docs: np.ndarray, starts: np.ndarray, values: np.ndarray, counts: np.ndarray) -> pa.Array:
-    """One binary a row: its id, its start, and its 64-bit values. A row of few bytes is most of what is shuffled."""
-    sizes = HEADER + 2 * counts
+def _shipped(buckets: int, anchors: np.ndarray, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """Stretches gathered by bucket, a row each, its parts as plain byte planes: what is shuffled is mostly hashes.
+
+    A count of 0 marks a span decided here, whose one value is its length in words.
+    """
+    bucket = (anchors % U64(buckets)).astype(np.int32)
+    o = np.argsort(bucket, kind="stable")
+    sizes = np.maximum(counts, 1).astype(np.int64)
+    begin = np.cumsum(sizes) - sizes
+    sizes = sizes[o]
     ends = np.cumsum(sizes)
-    at = ends - sizes
-    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype="<u4")
-    head = np.ones(len(out), dtype=bool)
-    pair = docs.astype("<i8").view("<u4").reshape(-1, 2)
-    for k, part in enumerate((pair[:, 0], pair[:, 1], starts.astype("<i4").view("<u4"))):
-        out[at + k] = part
-        head[at + k] = False
-    out[head] = values.view("<u4")
-    offsets = np.concatenate([[0], ends]) * 4
-    return pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
-
-
-def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    offs = np.frombuffer(column.buffers()[1], dtype=np.int32, count=len(column) + 1 + column.offset)[column.offset :].astype(np.int64)
-    data = np.frombuffer(np.frombuffer(column.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]].tobytes(), dtype="<u4")
-    at = (offs[:-1] - offs[0]) // 4
-    docs = np.stack([data[at], data[at + 1]], axis=1).copy().view("<i8").reshape(-1)
-    rest = np.ones(len(data), dtype=bool)
-    for k in range(HEADER):
-        rest[at + k] = False
-    return docs, data[at + 2].view("<i4"), np.frombuffer(data[rest].tobytes(), dtype=U64), (np.diff(offs) // 4 - HEADER) // 2
+    flat = values[np.repeat(begin[o], sizes) + np.arange(int(ends[-1])) - np.repeat(ends - sizes, sizes)]
+    sorted_ = bucket[o]
+    cut = np.append(np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])), len(o))
+    pair = docs[o].astype("<i8").view("<u4").reshape(-1, 2)
+    start = starts[o]
+    parts = {"anchors": anchors[o], "lows": pair[:, 0], "highs": pair[:, 1], "starts": start & 0xFFFF, "far": start >> 16, "counts": counts[o], "values": flat}
+    columns = [pa.array(sorted_[cut[:-1]])]
+    for k, kind in PARTS.items():
+        x = np.ascontiguousarray(parts[k].astype(kind))
+        at = np.append(0, ends)[cut] if k == "values" else cut
+        columns.append(pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x)]))
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", *PARTS])
+
+
+def _received(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """bucket, anchor, id, start, count and values of every stretch of a batch."""
+    parts, rows = {}, None
+    for k, kind in PARTS.items():
+        c = batch.column(k)
+        offs = np.frombuffer(c.buffers()[1], dtype=np.int32, count=len(c) + 1 + c.offset)[c.offset :].astype(np.int64)
+        parts[k] = np.frombuffer(np.frombuffer(c.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]].tobytes(), dtype=kind)
+        if k == "counts":
+            rows = np.diff(offs)
+    docs = np.stack([parts["lows"], parts["highs"]], axis=1).copy().view("<i8").reshape(-1)
+    starts = parts["starts"].astype(np.int64) + (parts["far"].astype(np.int64) << 16)
+    return np.repeat(batch.column("bucket").to_numpy(), rows), parts["anchors"], docs, starts, parts["counts"].astype(np.int64), parts["values"]
 
 
 class _Remembered:
@@ -118,11 +134,11 @@ class _Remembered:
         self.key[slot[keep]], self.doc[slot[keep]] = keys[keep], docs[keep]
 
 
-def _stretches(window: int, anchor: int):
+def _stretches(window: int, anchor: int, buckets: int):
     """Task side: the stretches that other tasks' documents must be held against, and, with no windows, spans decided here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Remembered()
+        seen, waiting = _Remembered(), []
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for w in _words.slices(batch.column("text")):
@@ -146,50 +162,54 @@ def _stretches(window: int, anchor: int):
                 open_ = np.flatnonzero(~known)
                 new = np.ones(len(open_), dtype=bool)
                 new[1:] = (open_[1:] != open_[:-1] + 1) | (least[open_[1:]] != least[open_[:-1]]) | (doc[open_[1:]] != doc[open_[:-1]])
-                runs = np.flatnonzero(new)
+                run = np.cumsum(new) - 1
+                inside = np.arange(len(open_)) - np.flatnonzero(new)[run] if len(open_) else run
+                runs = np.flatnonzero(new | (inside % LONGEST == 0))
                 o = open_[runs]
                 found = ids[w.lo + span_doc]
                 spread = _words.mix(found.astype(U64) * U64(31) + begin[at].astype(U64))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([least[o], spread]).view(np.int64)),
-                        _packed(
-                            np.concatenate([d[o], found]),
-                            np.concatenate([begin[o], -1 - begin[at]]),  # a start below 0 marks a span
-                            np.concatenate([win[open_], words.astype(U64)]),
-                            np.concatenate([np.diff(np.append(runs, len(open_))), np.ones(len(at), dtype=np.int64)]),
-                        ),
-                    ],
-                    names=["anchor", "stretch"],
+                waiting.append(
+                    (
+                        np.concatenate([least[o], spread]),
+                        np.concatenate([d[o], found]),
+                        np.concatenate([begin[o], begin[at]]),
+                        np.concatenate([np.diff(np.append(runs, len(open_))), np.zeros(len(at), dtype=np.int64)]),
+                        np.concatenate([win[open_], words.astype(U64)]),
+                    )
                 )
+                if len(waiting) == SLICES_A_ROW:
+                    yield _shipped(buckets, *map(np.concatenate, zip(*waiting, strict=True)))
+                    waiting = []
+        if waiting:
+            yield _shipped(buckets, *map(np.concatenate, zip(*waiting, strict=True)))
 
     return run
 
 
 def _factors(window: int):
-    """Block side: rows come sorted by anchor; spans go out."""
+    """Block side: rows come sorted by bucket; spans go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the open anchor's stretches that still have no smaller document
+        held: tuple | None = None  # the open bucket's windows that still have no smaller document
         for batch in batches:
             if not batch.num_rows:
                 continue
-            anchor = batch.column("anchor").to_numpy()
-            d, start, values, size = _unpacked(batch.column("stretch"))
+            bucket, anchor, d, start, count, values = _received(batch)
+            size = np.maximum(count, 1)
             row = np.repeat(np.arange(len(d)), size)
-            settled = start < 0
-            out = [(d[settled], -1 - start[settled], values[settled[row]].astype(np.int64))]
+            settled = count == 0
+            out = [(d[settled], start[settled], values[settled[row]].astype(np.int64))]
             inside = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
-            flat = tuple(x[~settled[row]] for x in (anchor[row], d[row], start[row] + inside, values))
+            flat = tuple(x[~settled[row]] for x in (bucket[row], anchor[row], d[row], start[row] + inside, values))
             if held is not None:
                 flat = tuple(np.concatenate([a, b]) for a, b in zip(held, flat, strict=True))
             if len(flat[0]):
-                a, doc, pos, win = flat
-                low, _ = _least(win, a.view(U64), doc)
+                home, a, doc, pos, win = flat
+                low, _ = _least(win, a, doc)
                 known = doc > low
                 at, span_doc, words = _spans(pos, doc, known, window)
                 out.append((span_doc, pos[at], words))
-                keep = ~known & (a == anchor[-1])
+                keep = ~known & (home == bucket[-1])
                 held = tuple(x[keep] for x in flat)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([o[0] for o in out]).astype(np.int64)), *[pa.array(np.concatenate([o[k] for o in out]).astype(np.int32)) for k in (1, 2)]],
@@ -203,11 +223,13 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col:
     """doc_id, start, n: spans of words, possibly overlapping, that windows of smaller documents cover."""
     if not 1 <= anchor <= window:
         raise ValueError("an anchor has 1 word to a window's")
+    # A task takes one bucket of its partition into memory at a time.
+    buckets = min(1 << 30, BUCKETS_A_PARTITION * partitions(docs.sparkSession))
     named = only(docs, doc_id=id_col, text=text_col).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
     return (
-        named.mapInArrow(_stretches(window, anchor), "anchor long, stretch binary")
-        .repartition("anchor")
-        .sortWithinPartitions("anchor")
+        named.mapInArrow(_stretches(window, anchor, buckets), STRETCHES)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket")
         .mapInArrow(_factors(window), "doc_id long, start int, n int")
     )
 
