@@ -8,12 +8,12 @@ whole sequence as one). Two documents link when their sets' Jaccard similarity i
    documents. Equal sets are one class, whose smallest id stands for them.
 2. Each set is ordered rare first by the sketch's frequency class, then by hash: one total
    order for all. Two similar sets share a shingle among their first size - ceil(t size) + 1.
-3. Prefix rows meet by shingle. The first, smallest row of a shingle's group is paired with the
-   others that pass the length and positional filters; each pair is verified once, behind a
-   suffix filter.
-4. Rows of a group that these links leave in different components are paired too, by the
-   same filters, in a pass over the groups that still hold several. A pair inside one component
-   cannot change a class, so a group of m near copies costs m pairs where it holds together.
+3. Prefix rows meet by shingle, sorted by size. Each is paired with the eight rows before it and
+   a few further back, those that pass the length and positional filters; each pair is verified
+   once, behind a suffix filter.
+4. Rows of a larger group that these links leave in different components are paired too, by the
+   same filters. A pair inside one component cannot change a class, so a group of m near copies
+   costs some m pairs where it holds together.
 
 Components are whole: no group, pair or document is dropped. Texts are needed thrice: for
 sketch and sizes, for prefixes, and for the candidates' sets, which a Bloom filter of fixed
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm import _sketch, _words
-from trackloom.llm._shared import only, settle
+from trackloom.llm._shared import discard, only, settle
 from trackloom.llm.components import components
 
 SKETCH_CELLS = 1 << 22
@@ -166,24 +166,38 @@ def need(a, b, percent: int):
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
-def _leaders(percent: int):
-    """token-sorted rows to pairs of a group's first row, the smallest set's, with each other row."""
+#: How far back a row looks for partners in its group: all of a small group, and a sparse net over a large one.
+DENSE = tuple(range(1, 9))
+SKIPS = (*DENSE, 16, 32, 64, 128)
+
+
+def _neighbours(percent: int):
+    """Rows sorted by token and size to pairs with the rows SKIPS before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = None
+        before = None
         for batch in batches:
-            token, doc, n, pos = (batch.column(c).to_numpy() for c in ("token", "doc_id", "n", "pos"))
-            if not len(token):
+            rows = tuple(batch.column(c).to_numpy() for c in ("token", "doc_id", "n", "pos"))
+            if not len(rows[0]):
                 continue
-            if lead is not None:
-                token, doc, n, pos = (np.concatenate([[x], y]) for x, y in zip(lead, (token, doc, n, pos), strict=True))
-            new = np.append(True, token[1:] != token[:-1])
-            k = np.flatnonzero(new)
-            k = np.repeat(k, np.diff(np.append(k, len(token))))
-            lead = (token[k[-1]], doc[k[-1]], n[k[-1]], pos[k[-1]])
-            ok = ~new & _may_link(n[k], pos[k], n, pos, percent) & (doc[k] != doc)
-            a, b = doc[k][ok], doc[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            old = 0 if before is None else len(before[0])
+            if old:
+                rows = tuple(np.concatenate([x, y]) for x, y in zip(before, rows, strict=True))
+            token, doc, n, pos = rows
+            left, right = [], []
+            for k in SKIPS:
+                j = np.arange(max(old, k), len(token))
+                j = j[token[j] == token[j - k]]
+                j = j[_may_link(n[j - k], pos[j - k], n[j], pos[j], percent) & (doc[j - k] != doc[j])]
+                left.append(np.minimum(doc[j - k], doc[j]))
+                right.append(np.maximum(doc[j - k], doc[j]))
+            before = tuple(x[-max(SKIPS) :] for x in rows)
+            a, b = np.concatenate(left), np.concatenate(right)
+            # One pair often shares many tokens of one batch.
+            o = np.lexsort((b, a))
+            new = np.ones(len(o), dtype=bool)
+            new[1:] = (a[o[1:]] != a[o[:-1]]) | (b[o[1:]] != b[o[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(a[o[new]]), pa.array(b[o[new]])], names=["a", "b"])
 
     return run
 
@@ -195,36 +209,38 @@ def _may_link(na, pa_, nb, pb, percent: int):
 
 
 def _across(percent: int):
-    """Rows sorted by token and size to pairs of different components that pass the filters.
+    """Rows sorted by token and size to pairs of different components that pass the filters and were not neighbours.
 
-    Rows too small for any later row leave the window; of a component nothing is paired twice
-    with the same row here, as each row meets the window once.
+    Rows too small for any later row leave the window.
     """
+    skips = np.zeros(max(SKIPS) + 2, dtype=bool)
+    skips[list(SKIPS)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, window, used = None, None, 0
+        token, window, used, place = None, None, 0, 0
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("token", "rep", "n", "pos", "comp")), strict=True)
             left, right = [], []
             for t, rep, n, pos, comp in rows:
                 if t != token:
-                    token, window, used = t, np.zeros((64, 4), dtype=np.int64), 0
+                    token, window, used, place = t, np.zeros((64, 5), dtype=np.int64), 0, 0
                 w = window[:used]
                 if used:
                     if 100 * w[0, 1] < percent * n:
                         w = w[100 * w[:, 1] >= percent * n]
-                        window[: len(w)] = w
                         used = len(w)
+                        window[:used] = w
                         w = window[:used]
-                    ok = (w[:, 3] != comp) & _may_link(w[:, 1], w[:, 2], np.int64(n), pos, percent)
+                    far = ~skips[np.minimum(place - w[:, 4], max(SKIPS) + 1)]
+                    ok = far & (w[:, 3] != comp) & _may_link(w[:, 1], w[:, 2], np.int64(n), pos, percent)
                     if ok.any():
                         hit = w[ok, 0]
                         left.append(np.minimum(hit, rep))
                         right.append(np.maximum(hit, rep))
                 if used == len(window):
                     window = np.concatenate([window, np.zeros_like(window)])
-                window[used] = rep, n, pos, comp
-                used += 1
+                window[used] = rep, n, pos, comp, place
+                used, place = used + 1, place + 1
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
 
@@ -329,9 +345,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     shared = settle(rows.where("n_shingles > 0 and doc_id is not null").groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "equal-sets")
     members = settle(
-        rows.join(shared, ["one", "two"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")),
+        rows.join(shared, ["one", "two"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")),
         "members",
     )
+    discard(measured)
+    discard(shared)
     rep_of = members.where("n_shingles > 0 and doc_id is not null").select("doc_id", "rep")
 
     named = named.where("doc_id is not null")
@@ -341,14 +359,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     )
     # Rows of a representative: equal sets that different tasks sent meet here.
     reps = settle(grouped.join(rep_of, "doc_id").select("token", F.col("rep").alias("doc_id"), "n", "pos").distinct(), "prefix-reps")
-    first = settle(reps.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_leaders(percent), "a long, b long").distinct(), "pairs")
+    discard(grouped)
+    first = settle(reps.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_neighbours(percent), "a long, b long").distinct(), "pairs")
     texts = _texts_of(named, reps.select("doc_id").distinct())
     links = _verified(first, texts, n, percent)
     found = settle(components(links), "components")
 
     known = reps.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("token", F.col("doc_id").alias("rep"), "n", "pos", F.coalesce("component", "doc_id").alias("comp"))
     known = settle(known, "labelled")
-    mixed = settle(known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "mixed")
+    discard(reps)
+    discard(found)
+    mixed = settle(known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where(f"lo < hi and c > {len(DENSE) + 1}").select("token"), "mixed")
     more = settle(
         known.join(mixed, "token")
         .repartition("token")
@@ -358,7 +379,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         .join(first, ["a", "b"], "left_anti"),
         "pairs-across",
     )
-    links = links.union(_verified(more, texts, n, percent))
-    found = settle(components(links), "components")
+    late = _verified(more, texts, n, percent)
+    for used in (first, texts, known, mixed, more):
+        discard(used)
+    found = settle(components(links.union(late)), "components")
+    discard(links)
+    discard(late)
     out = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
