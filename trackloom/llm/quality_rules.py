@@ -108,3 +108,16 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         *["n_lines", "n_kept_lines", "kept_text"],
         *[c(f"_x{k}").alias(x) for k, x in enumerate(carried)],
     )
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """doc_id, text (the kept lines) and the columns of ``keep`` of the documents that are kept.
+
+    The verdict leaves through a generator, past which no filter is pushed: pushed down, it
+    would be spelled out in terms of the text and computed many times over.
+    """
+    carried = keep or []
+    judged = assess(docs, id_col, text_col, carried)
+    own = F.struct("doc_id", "kept", F.col("kept_text").alias("text"), *[F.col(x).alias(f"_x{k}") for k, x in enumerate(carried)])
+    out = judged.select(F.inline(F.array(own))).where("kept")
+    return out.select("doc_id", "text", *[F.col(f"_x{k}").alias(x) for k, x in enumerate(carried)])
