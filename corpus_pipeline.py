@@ -30,8 +30,7 @@ def _like_documents(df: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = quality_rules.assess(docs, keep=["lang", "source"])
-    return _like_documents(judged.where("kept").withColumn("text", F.col("kept_text")))
+    return _like_documents(quality_rules.clean(docs, keep=["lang", "source"]))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
