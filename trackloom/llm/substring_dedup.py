@@ -40,7 +40,8 @@ WINDOW = 13
 ANCHOR = 4
 REMEMBERED = 1 << 20
 BUCKETS_A_PARTITION = 16
-SLICES_A_ROW = 8
+SLICES_A_ROW = 3
+VALUES_AT_ONCE = 1 << 20
 U64 = np.uint64
 
 
@@ -186,14 +187,25 @@ def _stretches(window: int, anchor: int, buckets: int):
     return run
 
 
+def _smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about VALUES_AT_ONCE values, or one row."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(np.diff(np.frombuffer(batch.column("values").buffers()[1], dtype=np.int32, count=batch.num_rows + 1 + batch.column("values").offset)[batch.column("values").offset :]).astype(np.int64)) // 8
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + VALUES_AT_ONCE, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def _factors(window: int):
     """Block side: rows come sorted by bucket; spans go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the open bucket's windows that still have no smaller document
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _smaller(batches):
             bucket, anchor, d, start, count, values = _received(batch)
             size = np.maximum(count, 1)
             row = np.repeat(np.arange(len(d)), size)
