@@ -306,6 +306,50 @@ def test_salvage(packed):
     assert list(warc.salvage(b"")) == []
 
 
+def _record(k, body=None, url="u"):
+    body = f"body {k} ".encode() * 50 if body is None else body
+    return warc.record("response", f"urn:page:{k}", url, body, hashlib.sha1(body).hexdigest(), None)
+
+
+def _gz(raw, level=6):
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    return z.compress(raw) + z.flush()
+
+
+def _found(data):
+    found = list(warc.salvage(data))
+    return [int(x[2]["warc-record-id"].rpartition(":")[2].strip(">")) for x in found if x[0] == "record"], [x for x in found if x[0] == "gap"]
+
+
+def test_salvage_inside_members():
+    noise = np.random.default_rng(1).integers(33, 127, (9, 3000), dtype=np.uint8)
+    raw = [_record(k, noise[k].tobytes()) for k in range(9)]
+    one = _gz(b"".join(raw))
+    assert _found(one) == (list(range(9)), [])
+    # One bad record in a sound member: the others stay, the gap is that record.
+    bad = raw[4].replace(noise[4].tobytes()[:9], b"#########")
+    ids, gaps = _found(_gz(b"".join([*raw[:4], bad, *raw[5:]])) + _gz(_record(20)))
+    assert ids == [0, 1, 2, 3, 5, 6, 7, 8, 20] and [(g[1], g[2]) for g in gaps] == [(0, len(bad))]
+    # A cut tail, and a cut in the trailer alone.
+    ids, gaps = _found(one[: len(one) // 2])
+    assert ids == list(range(len(ids))) and 3 <= len(ids) <= 5 and gaps
+    ids, gaps = _found(one[:-3])
+    assert ids == list(range(9)) and gaps
+    # A wrong CRC, and a cut member before a sound one.
+    ids, gaps = _found(one[:-8] + bytes([one[-8] ^ 1]) + one[-7:] + _gz(_record(20)))
+    assert ids == [*range(9), 20] and len(gaps) == 1
+    ids, gaps = _found(one[: len(one) // 2] + _gz(_record(20)))
+    assert ids[-1] == 20 and 4 <= len(ids) <= 6 and gaps
+    # A flipped byte in stored bytes costs one record; what is there twice is given once.
+    flat = bytearray(_gz(b"".join(raw), 0))
+    flat[flat.find(noise[4].tobytes()) + 10] ^= 1
+    ids, gaps = _found(bytes(flat))
+    assert ids == [0, 1, 2, 3, 5, 6, 7, 8] and len(gaps) == 2
+    # What a damaged member gave says so.
+    notes = lambda data: [x[2].get(":salvaged-from") for x in warc.salvage(data) if x[0] == "record"]
+    assert notes(one) == [None] * 9 and all(notes(one[:-8] + bytes(8))) and len(notes(one[:-8] + bytes(8))) == 9
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     clean = [f"The {k} first sentence of this text is here and it is fine. " + text(k, k + 40) for k in range(0, 200, 45)]

@@ -6,7 +6,8 @@ row is in the manifest, so a task that is lost and run again leaves no record tw
 
 The reader takes the next record at a member's or version line's place. When a check fails
 (magic, CRC, version line, length, block digest) it searches for the next place from which a
-whole record can be read, goes on there and logs the bytes between as a gap.
+whole record can be read, goes on there and logs the bytes between as a gap. It searches inside
+a member too, also in what could be decompressed of a cut or damaged one.
 
 Of equal payloads of at least ``least`` bytes, the record with the largest id is the response
 and the others are revisits of it, which carry its id, the digest and the payload's length.
@@ -37,6 +38,8 @@ DATE = "1970-01-01T00:00:00Z"
 GZIP = b"\x1f\x8b\x08"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 4
+STEP = 1 << 14
+CUT = "the member does not end"
 
 
 # Records
@@ -94,47 +97,94 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member that begins at a place, and its end; its CRC is checked."""
+def member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What can be decompressed of the gzip member at a place, where that ends, and what is wrong with the member ("" if its CRC holds).
+
+    A failing step is taken again from the state before it, byte by byte, so that all that comes
+    before the damaged byte is returned.
+    """
     if data[at : at + 3] != GZIP:
         raise Damaged("no gzip member")
-    d = zlib.decompressobj(31)
-    try:
-        out = d.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged(str(e)) from e
-    if not d.eof:
-        raise Damaged("the member does not end")
-    return out, len(data) - len(d.unused_data)
+    d, view, out, careful = zlib.decompressobj(31), memoryview(data), [], False
+    while not d.eof:
+        piece = view[at : at + (1 if careful else STEP)]
+        before = None if careful else d.copy()
+        try:
+            got = d.decompress(piece, 1 if careful else 0)
+        except zlib.error as e:
+            if careful:
+                return b"".join(out), at, str(e)
+            d, careful = before, True
+            continue
+        if not len(piece) and not got and not d.eof:
+            return b"".join(out), at, CUT
+        out.append(got)
+        at += len(piece) - len(d.unused_data if d.eof else d.unconsumed_tail)
+    return b"".join(out), at, ""
+
+
+def _within(whole: bytes) -> Iterator[tuple]:
+    """(length, fields, block, "") of each record in decompressed bytes, and (length, None, None, reason and places) of the bytes between."""
+    at, n, gap, why = 0, len(whole), -1, ""
+    while at < n:
+        try:
+            fields, block, end = parse(whole, at)
+        except Damaged as e:
+            if gap < 0:
+                gap, why = at, str(e)
+            following = whole.find(b"WARC/", at + 1)
+            at = n if following < 0 else following
+            continue
+        if gap >= 0:
+            yield at - gap, None, None, f"{why} (decompressed bytes {gap} to {at} of the member)"
+            gap = -1
+        yield end - at, fields, block, ""
+        at = end
+    if gap >= 0:
+        yield n - gap, None, None, f"{why} (decompressed bytes {gap} to {n} of the member)"
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """("record", offset, fields, block) of each record, and ("gap", offset, length, reason) of quarantined bytes."""
+    """("record", offset, fields, block) of each record, and ("gap", offset, length, reason) of quarantined bytes.
+
+    A gap between records of one member has the member's offset; its length counts decompressed
+    bytes. Records of a damaged member are kept, with a field ``:salvaged-from`` that says what is
+    wrong with it, as no digest vouches for their headers. Only a lone record whose member's CRC
+    differs is quarantined: what differs can be nowhere else.
+    """
     packed = GZIP in data[: 1 << 16] and b"WARC/" not in data[:5]
     at, n, gap, why = 0, len(data), -1, ""
     while at < n:
+        wrong = ""
         try:
             if packed:
-                whole, end = member(data, at)
-                inside, found = 0, []
-                while inside < len(whole):
-                    fields, block, inside = parse(whole, inside)
-                    found.append((fields, block))
+                whole, end, wrong = member(data, at)
+                found = list(_within(whole))
+                if (found or wrong) and not any(fields for _, fields, _, _ in found) or "incorrect" in wrong and len(found) == 1:
+                    raise Damaged(wrong or found[0][3])
             else:
                 fields, block, end = parse(data, at)
-                found = [(fields, block)]
+                found = [(end - at, fields, block, "")]
         except Damaged as e:
             if gap < 0:
                 gap, why = at, str(e)
-            following = data.find(GZIP if packed else b"WARC/", at + 1)
-            at = n if following < 0 else following
-            continue
-        if gap >= 0:
-            yield "gap", gap, at - gap, why
-            gap = -1
-        for fields, block in found:
-            yield "record", at, fields, block
-        at = end
+        else:
+            if gap >= 0:
+                yield "gap", min(gap, at), max(at - gap, 0), why
+                gap = -1
+            for length, fields, block, reason in found:
+                if fields is None:
+                    yield "gap", at, length, reason
+                    continue
+                if wrong:
+                    fields[":salvaged-from"] = wrong
+                yield "record", at, fields, block
+            if not wrong:
+                at = end
+                continue
+            gap, why = end, wrong
+        following = data.find(GZIP if packed else b"WARC/", at + 1)
+        at = n if following < 0 else following
     if gap >= 0:
         yield "gap", gap, n - gap, why
 
@@ -217,7 +267,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     digest = base64.b32decode(f.get("warc-payload-digest", "").partition(":")[2]).hex()
                 else:
                     n, digest = len(payload), hashlib.sha1(payload).hexdigest()
-                rows.append((path, at, kind, len(block), None, f.get("warc-record-id", "").strip("<>"), f.get("warc-target-uri"), f.get("warc-refers-to", "").strip("<>") or None, n, digest, payload))
+                rows.append((path, at, kind, len(block), f.get(":salvaged-from"), f.get("warc-record-id", "").strip("<>"), f.get("warc-target-uri"), f.get("warc-refers-to", "").strip("<>") or None, n, digest, payload))
                 held += len(block)
                 if held > 4 << 20:
                     yield out(rows)
@@ -229,7 +279,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
     """Records and gaps of all archives under a folder; with a manifest, of those it names.
 
-    Columns: archive, offset, kind (a record's type, or gap), length, reason (of a gap),
+    Columns: archive, offset, kind (a record's type, or gap), length, reason (of a gap, or
+    what is wrong with the member that a record was salvaged from),
     record_id, url, refers_to, payload_bytes, digest (SHA-1 in hex), payload.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("path", "content")
