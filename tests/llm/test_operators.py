@@ -350,6 +350,29 @@ def test_salvage_inside_members():
     assert notes(one) == [None] * 9 and all(notes(one[:-8] + bytes(8))) and len(notes(one[:-8] + bytes(8))) == 9
 
 
+def test_salvage_finds_either_kind():
+    large = np.random.default_rng(2).integers(0, 256, 200_000, dtype=np.uint8).tobytes()
+    # The first member has no magic and is longer than any prefix.
+    ids, gaps = _found(b"XXX" + (first := _gz(_record(0, large)))[3:] + _gz(_record(1)) + _gz(_record(2)))
+    assert ids == [1, 2] and [g[1:3] for g in gaps] == [(0, len(first))]
+    # A plain file whose first bytes are damaged, with gzip bodies, whole and cut, in and after the damaged record.
+    body = _gz(b"<p>page</p>" * 99)
+    plain = [_record(0, body), _record(1, body[:-9]), _record(2), _record(3, body)]
+    ids, gaps = _found(b"XXXXX" + b"".join(plain)[5:])
+    assert ids == [1, 2, 3] and [g[1:3] for g in gaps] == [(0, len(plain[0]))]
+    # Both kinds in one file, either first.
+    assert _found(_record(0) + _gz(_record(1)) + _record(2)) == ([0, 1, 2], [])
+    assert _found(_gz(_record(0)) + b"junk" + _record(1) + _gz(_record(2)))[0] == [0, 1, 2]
+    # Records that a damaged member stored as they are come once.
+    flat = _gz(b"".join(_record(k) for k in range(4)), 0)
+    assert _found(flat[:-8] + bytes(8) + _record(9))[0] == [0, 1, 2, 3, 9]
+    # A cut one swallows the next member's bytes, which is read all the same.
+    assert _found(flat[:1500] + _gz(_record(8)) + _gz(_record(9)))[0] == [0, 8, 9]
+    # A lone record whose CRC differs does not come back as a plain one.
+    alone = _gz(_record(0), 0)
+    assert _found(alone.replace(b"urn:page:0", b"urn:page:7") + _gz(_record(9)))[0] == [9]
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     clean = [f"The {k} first sentence of this text is here and it is fine. " + text(k, k + 40) for k in range(0, 200, 45)]

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ ARCHIVE_BYTES = 8 << 20
 VERSION = b"WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 GZIP = b"\x1f\x8b\x08"
+START = re.compile(rb"\x1f\x8b\x08|WARC/")
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LEVEL = 4
 STEP = 1 << 14
@@ -147,24 +149,33 @@ def _within(whole: bytes) -> Iterator[tuple]:
 def salvage(data: bytes) -> Iterator[tuple]:
     """("record", offset, fields, block) of each record, and ("gap", offset, length, reason) of quarantined bytes.
 
+    A file may hold gzip members, plain records or both: each place where either kind can begin is
+    tried. What a damaged member stored uncompressed would be met again in the file and is left out.
     A gap between records of one member has the member's offset; its length counts decompressed
     bytes. Records of a damaged member are kept, with a field ``:salvaged-from`` that says what is
     wrong with it, as no digest vouches for their headers. Only a lone record whose member's CRC
     differs is quarantined: what differs can be nowhere else.
     """
-    packed = GZIP in data[: 1 << 16] and b"WARC/" not in data[:5]
     at, n, gap, why = 0, len(data), -1, ""
+    read, read_to, blocks = b"", 0, []
     while at < n:
         wrong = ""
         try:
-            if packed:
+            if data.startswith(GZIP, at):
                 whole, end, wrong = member(data, at)
                 found = list(_within(whole))
-                if (found or wrong) and not any(fields for _, fields, _, _ in found) or "incorrect" in wrong and len(found) == 1:
+                if at < read_to and any(data[at:end] in block for block in blocks):
+                    raise Damaged("given with the record around it")
+                some = [block for _, fields, block, _ in found if fields]
+                if wrong and some:
+                    read, read_to, blocks = whole, end, some
+                if (found or wrong) and not some or "incorrect" in wrong and len(found) == 1:
                     raise Damaged(wrong or found[0][3])
             else:
                 fields, block, end = parse(data, at)
                 found = [(end - at, fields, block, "")]
+                if at < read_to and data[at:end] in read:
+                    raise Damaged("read with the member around it")
         except Damaged as e:
             if gap < 0:
                 gap, why = at, str(e)
@@ -183,8 +194,8 @@ def salvage(data: bytes) -> Iterator[tuple]:
                 at = end
                 continue
             gap, why = end, wrong
-        following = data.find(GZIP if packed else b"WARC/", at + 1)
-        at = n if following < 0 else following
+        following = START.search(data, at + 1)
+        at = following.start() if following else n
     if gap >= 0:
         yield "gap", gap, n - gap, why
 
