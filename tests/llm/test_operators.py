@@ -306,9 +306,16 @@ def test_salvage(packed):
     assert list(warc.salvage(b"")) == []
 
 
-def _record(k, body=None, url="u"):
+def test_warc_long_urls(spark, duck, same_rows, tmp_path):
+    d = _pages(tmp_path, [(k, "data:" + "é" * n, "x" * 1200) for k, n in enumerate((10, 32_600, 65_536, 2_000_000))])
+    same_rows(duck(d).sql(queries.oracle_sql()["op10_warc"]).df(), Q["op10_warc"](spark, d).toPandas())
+    got = warc.write_and_read(spark.read.parquet(d + "/pages.parquet")).select(F.length("url").alias("n")).collect()
+    assert sorted(r.n for r in got) == [15, 32_605, 65_541, 2_000_005]
+
+
+def _record(k, body=None):
     body = f"body {k} ".encode() * 50 if body is None else body
-    return warc.record("response", f"urn:page:{k}", url, body, hashlib.sha1(body).hexdigest(), None)
+    return warc.record("response", f"urn:page:{k}", "u", body, hashlib.sha1(body).hexdigest(), None)
 
 
 def _gz(raw, level=6):

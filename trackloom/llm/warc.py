@@ -35,6 +35,7 @@ from trackloom.llm._shared import fresh_path, only, settle
 
 ARCHIVE_BYTES = 8 << 20
 VERSION = b"WARC/1.1"
+VERSIONS = (b"WARC/1.0", VERSION, b"WARC/0.18")
 DATE = "1970-01-01T00:00:00Z"
 GZIP = b"\x1f\x8b\x08"
 START = re.compile(rb"\x1f\x8b\x08|WARC/")
@@ -75,22 +76,22 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record that begins at a place: its fields, block and end."""
     if data[at : at + 5] != b"WARC/":
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + (1 << 16))
-    if stop < 0:
-        raise Damaged("headers do not end")
-    version, *lines = data[at:stop].split(b"\r\n")
-    if version not in (b"WARC/1.0", b"WARC/1.1", b"WARC/0.18"):
+    version = next((v for v in VERSIONS if data.startswith(v + b"\r\n", at)), None)
+    if version is None:
         raise Damaged("unknown version")
-    fields = {}
-    for line in lines:
-        k, colon, v = line.partition(b":")
+    fields, here = {}, at + len(version) + 2
+    while (stop := data.find(b"\r\n", here)) != here:
+        if stop < 0:
+            raise Damaged("headers do not end")
+        k, colon, v = data[here:stop].partition(b":")
         if not colon:
             raise Damaged("a header without a colon")
         fields[k.strip().decode("utf-8", "replace").lower()] = v.strip().decode("utf-8", "replace")
+        here = stop + 2
     if not fields.get("content-length", "").isdigit():
         raise Damaged("no length")
-    end = stop + 4 + int(fields["content-length"])
-    block = data[stop + 4 : end]
+    end = stop + 2 + int(fields["content-length"])
+    block = data[stop + 2 : end]
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("the record does not end where its length says")
     algorithm, _, digest = fields.get("warc-block-digest", "").partition(":")
