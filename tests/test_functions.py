@@ -177,6 +177,28 @@ def test_lock_without_candidates():
     assert matching.lock([{"stored_station_id": None, "stored_visible": False, "distance_km": None}], [[]]) == [(None, "no_candidates")]
 
 
+def test_candidates_meet_every_station(spark):
+    names = ["НОВОТРОИЦК", "ЗЕЛЕНОГРАД", "МОСКВА ПАСС", "ОМСК", "ЯЯ", "ТВЕРЬ", "УФА", "КОТЛАС", "ТРОИЦК"]
+    st = [(k, n, "r", 30.0 + k, 50.0, k == 3, n != "ТРОИЦК", f"10{k}", None) for k, n in enumerate(names)]
+    stations = spark.createDataFrame(st, "id long, name string, region_code string, lon double, lat double, is_main_rail_station boolean, is_visible_default boolean, esr_user string, uic_ref string")
+    raw = [("ТРОИЦК", None, None), ("ЛЕНИНГРАД", None, None), ("QQQ", None, None), (None, None, None), ("QQQ", "102", None), (None, None, 4), ("Москва Пасс.", None, None)]
+    stops = spark.createDataFrame([(1, k, *r) for k, r in enumerate(raw)], "route_id long, stop_sequence int, station_name_raw string, station_code string, stored_station_id long")
+    got = {}
+    for r in matching.candidates(stops, stations).orderBy("stop_sequence", "rank").collect():
+        got.setdefault(r.stop_sequence, []).append((r.station_id, round(r.name_score, 9)))
+    canonical = [text.canonical_name(F.lit(n or "")) for n in [*names, *[r[0] for r in raw]]]
+    flat = list(one(spark, *canonical))
+    for k, (name, code, stored) in enumerate(raw):
+        scores = [(i, text.similarity(flat[len(names) + k], flat[i])) for i in range(8)]
+        want = {i: round(min(1.0, s + 0.03 * (i == 3)), 9) for i, s in scores if s >= 0.18}
+        if code or stored:
+            want |= {2: 0.92} if code else {4: 0.5}
+        elif not want:
+            want = {i: round(max(0.05, s), 9) for i, s in sorted(scores, key=lambda x: (-x[1], x[0]))[:5]}
+        assert dict(got[k]) == want, name
+    assert 0 in dict(got[0]) and 1 in dict(got[1]) and len(got[2]) == len(got[3]) == 5 and got[6][0] == (2, 1.0)
+
+
 def test_noding_cuts_crossings(spark):
     rows = [("s", 1, [(0.0, 0.0), (2.0, 2.0)]), ("s", 2, [(0.0, 2.0), (2.0, 0.0)]), ("s", 3, [(5.0, 5.0), (6.0, 6.0)])]
     lines = spark.createDataFrame(rows, "scope_key string, id int, coords array<struct<lon:double,lat:double>>")

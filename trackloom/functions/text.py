@@ -166,5 +166,10 @@ def _similarities(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
+def canonical_similarity(a: Column, b: Column) -> Column:
+    """Of names that are canonical already."""
+    return F.pandas_udf(_similarities, "double")(a, b)
+
+
 def name_similarity(a: Column, b: Column) -> Column:
-    return F.pandas_udf(_similarities, "double")(canonical_name(a), canonical_name(b))
+    return canonical_similarity(canonical_name(a), canonical_name(b))
