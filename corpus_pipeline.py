@@ -8,6 +8,10 @@
 
 Every stage but the last returns the columns of documents; its result is written as Parquet
 and read again as the next one's input.
+
+Defined results: a row with a null id is in no group of near duplicates and passes stage 3; of
+rows that repeat an id and a text one stays, with the smallest (lang, source); rows that repeat
+an id with other texts count as one document there, and stay or go together.
 """
 
 from __future__ import annotations
@@ -40,8 +44,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = jaccard_join.jaccard_components(docs, n=5, percent=80)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return _like_documents(docs.join(first, "doc_id", "left_semi"))
+    first = settle(groups.where("doc_id = component_id").groupBy("doc_id").agg((F.count("*") > 1).alias("repeats")), "first-of-groups")
+    kept = docs.join(first.where("not repeats"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    if not (repeats := first.where("repeats")).isEmpty():
+        same = docs.join(repeats, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source")).alias("rest"))
+        kept = kept.unionByName(_like_documents(same.select("doc_id", "text", "rest.*")))
+    return _like_documents(kept)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -400,3 +400,19 @@ def test_pipeline(spark, tmp_path):
     assert keep <= seen[2] and 3 + len(clean) not in seen[2] and seen[4] == seen[3]
     assert {r.doc_id for r in pipeline.run(spark, d).select("doc_id").collect()} == seen[4]
     assert json.dumps([n for n, _ in pipeline.STAGES])
+
+
+def test_pipeline_null_and_repeated_ids(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    clean = [f"The {k} first sentence of this text is here and it is fine. " + text(k, k + 40) for k in range(0, 200, 45)]
+    a, b, c, e = (r.doc_id for r in spark.range(1, 99).toDF("doc_id").where(language_id.fold() != 1).orderBy("doc_id").limit(4).collect())
+    rows = [(None, clean[0], "b"), (None, clean[1], "b"), (a, clean[2], "c"), (a, clean[2], "b"), (a, clean[2], "b"), (b, clean[3], "b"), (c, clean[3], "b"), (c, clean[3], "b"), (e, clean[4], "b")]
+    cols = list(zip(*rows, strict=True))
+    pq.write_table(pa.table({"doc_id": pa.array(cols[0], pa.int64()), "text": pa.array(cols[1]), "lang": pa.array(["en"] * len(rows)), "source": pa.array(cols[2]), "n_chars": pa.array([len(t) for t in cols[1]], pa.int64())}), tmp_path / "documents.parquet")
+    d = str(tmp_path)
+    got = pipeline.near_duplicates(spark, spark.read.parquet(d + "/documents.parquet"), d)
+    assert got.columns == pipeline.COLUMNS
+    want = [(None, clean[0], "b"), (None, clean[1], "b"), (a, clean[2], "b"), (b, clean[3], "b"), (e, clean[4], "b")]
+    assert sorted(((r.doc_id or 0, r.text, r.source) for r in got.collect())) == sorted((i or 0, t, s) for i, t, s in want)
+    out = pipeline.run(spark, d)
+    assert {r.doc_id for r in out.select("doc_id").collect()} == {None, a, b, e}
