@@ -1,4 +1,4 @@
-"""Substring de-duplication by relative Lempel-Ziv parsing against reference blocks.
+"""Substring de-duplication by grouping hashed windows, in place of Lempel-Ziv parsing.
 
 A window is ``WINDOW`` consecutive words. A word is removed when a window that covers it also
 starts in a document with a smaller id.
