@@ -213,6 +213,33 @@ def test_repeated_ids_and_null_ids(spark, tmp_path):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard_join.jaccard_components(docs).collect()) == [(0, 0), (1, 1), (1, 1), (2, 1)]
 
 
+def _rows(tmp_path, rows, ids=pa.int64()):
+    """documents of (doc_id, text) rows."""
+    n = len(rows)
+    cols = {"doc_id": pa.array([r[0] for r in rows], ids), "text": pa.array([r[1] for r in rows], pa.string()), "lang": pa.array(["en"] * n), "source": pa.array(["s"] * n), "n_chars": pa.array([0] * n, pa.int64())}
+    pq.write_table(pa.table(cols), tmp_path / "documents.parquet")
+    return str(tmp_path)
+
+
+def test_substring_repeated_ids_with_other_texts(spark, duck, same_rows, tmp_path):
+    """Spans of one row touch neither another row of its id nor the next document."""
+    passage, own = text(0, 40, ""), " ".join(f"u{k}" for k in range(30))
+    rows = [(1, passage), (2, passage), (2, "short two"), (3, own), (4, "x " + passage + " y"), (4, own + " z"), (4, "z " + own), (None, passage), (None, own), (5, text(0, 20, "") + " " + text(20, 40, "")), (-3, text(5, 25, "")), (6, ("la " * 700).strip()), (7, ("la " * 650).strip())]
+    d = _rows(tmp_path, rows)
+    same_rows(duck(d).sql(queries.oracle_sql()["op3_substring_dedup"]).df(), Q["op3_substring_dedup"](spark, d).toPandas())
+    got = substring_dedup.remove(spark.read.parquet(d + "/documents.parquet").repartition(5), keep=["lang"]).collect()
+    assert sorted((r.doc_id or 0, r.n_removed) for r in got if r.n_words in (2, 40)) == [(0, 0), (1, 20), (2, 0), (2, 40), (5, 40)]
+
+
+def test_substring_factors(spark, tmp_path):
+    """A factor runs as far as its source does; the windows across two factors are looked up as well."""
+    rows = [(1, text(0, 30, "")), (2, text(30, 60, "")), (3, text(0, 60, "")), (4, "q " + text(10, 45, ""))]
+    found = substring_dedup.repeats(spark.read.parquet(_rows(tmp_path, rows) + "/documents.parquet").repartition(4)).collect()
+    covered = lambda i: {w for r in found if r.doc_id == i for w in range(r.start, r.start + r.n)}
+    assert covered(1) == covered(2) == set() and covered(3) == set(range(60)) and covered(4) == set(range(1, 36))
+    assert all(r.source in (-1, 1, 2, 3) and r.source < r.doc_id and r.n >= 13 for r in found)
+
+
 def test_hot_passage(spark, tmp_path):
     """A passage in every document, in many partitions, and long runs of one word."""
     rows = [f"a{k} " + text(0, 20, "") + f" z{k}" for k in range(300)] + ["the " * 900, "the " * 900]

@@ -76,23 +76,23 @@ left join (select doc_id, max(share) as score from own group by doc_id) o using
 
 SQL["op3_substring_dedup"] = r"""
 with words as (
-  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
 ), windows as (
-  select doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: {'p': i, 'g': array_to_string(w[i:i + 12], ' ')}), recursive := true) from words
+  select r, doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: {'p': i, 'g': array_to_string(w[i:i + 12], ' ')}), recursive := true) from words where doc_id is not null
 ), marked as (
-  select doc_id, p from (select doc_id, p, min(doc_id) over (partition by g) as low from windows) where low < doc_id
+  select r, p from (select r, doc_id, p, min(doc_id) over (partition by g) as low from windows) where low < doc_id
 ), gone as (
-  select distinct doc_id, p + k as p from marked, range(13) as t(k)
+  select distinct r, p + k as p from marked, range(13) as t(k)
 ), flat as (
-  select doc_id, unnest(w) as word, generate_subscripts(w, 1) as p from words
+  select r, unnest(w) as word, generate_subscripts(w, 1) as p from words
 ), kept as (
-  select f.doc_id, count(*) filter (where g.p is not null) as n_removed,
+  select f.r, count(*) filter (where g.p is not null) as n_removed,
          coalesce(string_agg(f.word, ' ' order by f.p) filter (where g.p is null), '') as t
-  from flat f left join gone g on g.doc_id = f.doc_id and g.p = f.p group by f.doc_id
+  from flat f left join gone g on g.r = f.r and g.p = f.p group by f.r
 )
 select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(coalesce(k.n_removed, 0) as bigint) as n_removed,
        sha256(coalesce(k.t, '')) as kept_sha256
-from words w left join kept k on k.doc_id = w.doc_id
+from words w left join kept k on k.r = w.r
 """
 
 SQL["op8_jaccard_join"] = r"""

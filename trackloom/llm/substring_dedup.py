@@ -1,27 +1,34 @@
-"""Substring de-duplication by grouping hashed windows, in place of Lempel-Ziv parsing.
+"""Substring de-duplication by relative Lempel-Ziv parsing.
 
 A window is ``WINDOW`` consecutive words. A word is removed when a window that covers it also
 starts in a document with a smaller id.
 
-The reference, all windows of all documents, is indexed in blocks: a window belongs to the
-block of its anchor, the least hash among its ``ANCHOR``-word sequences. Neighbouring windows
-mostly share an anchor, so a document is cut into a few stretches, each held against just the
-one block that can contain it. In a block, stretches are factored against the windows met
-with a smaller id; a run of matching windows is a factor of at least ``WINDOW`` words. Every
-window has one block, so what crosses the boundary of two stretches, or of two factors, is
-checked like the rest.
-
-Windows are compared by a 64-bit hash and their anchor's independent 64-bit hash together.
+The reference, all documents, is indexed in blocks: a window belongs to the block of its
+anchor, the least hash among its ``ANCHOR``-word sequences. Neighbouring windows mostly share
+an anchor, so a document is cut into a few stretches, each parsed against just the one block
+that can contain it. A block's index holds every window's hash with the smallest document
+that has it. A stretch is parsed greedily: at its first window that a smaller document has, the
+longest run of windows that stands in one smaller document is the factor (length, source), and
+parsing goes on at the window after the factor's last. That next window overlaps the factor by
+all words but one, so the windows across two factors' boundary, and those across two
+stretches', are looked up like the rest; a factor of a single window is ``WINDOW`` words, the
+least that counts. Factors are the duplicate spans.
+
+Windows are compared by 56 bits of a hash and their anchor's independent 64-bit hash together.
+A span goes back to its text with its windows' summed hashes, and only where the text at that
+place has the same sum: rows that repeat an id with other texts are judged each by its own.
 
 Skew: what repeats within a slice of a task is decided there (every copy but the smallest id's
 has a smaller one), so a passage that a third of all documents hold leaves a task once a slice,
 not once a document, and windows often met are remembered for the task's later slices. The
-block side streams over rows sorted by bucket and keeps one row for each open window. Only
-hashes move; texts move once, to meet their spans.
+block side streams over rows sorted by bucket and keeps one row for each open window; it sorts
+these again only when as many new ones have come, so a bucket of any size is sorted a
+logarithmic number of times. Only hashes move; texts move once, to meet their spans.
 
 Defined results: a null text has no words; a row with a null id keeps all words and is no
-reference; whole repeated rows get equal results; an empty table gives an empty result; other
-columns are ignored by ``repeats`` and kept by ``remove``.
+reference; rows that repeat an id do not shorten each other, and whole repeated rows get equal
+results; an empty table gives an empty result; other columns are ignored by ``repeats`` and
+kept by ``remove``.
 """
 
 from __future__ import annotations
@@ -42,22 +49,54 @@ REMEMBERED = 1 << 20
 BUCKETS_A_PARTITION = 16
 SLICES_A_ROW = 3
 VALUES_AT_ONCE = 1 << 20
+VALUE_BYTES = 7
+VALUE_BITS = (1 << 8 * VALUE_BYTES) - 1
+SALTS = 4096
 U64 = np.uint64
 
 
-def _spans(where: np.ndarray, doc: np.ndarray, flags: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of flagged windows as (index of the first, its document, words covered)."""
+def _spans(where: np.ndarray, row: np.ndarray, flags: np.ndarray, hashes: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Runs of flagged windows as (index of the first, words covered, sum of the windows' hashes)."""
     k = np.flatnonzero(flags)
     if not len(k):
-        return k, doc[:0], k
+        return k, k, np.zeros(0, dtype=U64)
     new = np.ones(len(k), dtype=bool)
-    new[1:] = (where[k[1:]] != where[k[:-1]] + 1) | (doc[k[1:]] != doc[k[:-1]])
+    new[1:] = (where[k[1:]] != where[k[:-1]] + 1) | (row[k[1:]] != row[k[:-1]])
     at = np.flatnonzero(new)
-    return k[at], doc[k[at]], np.diff(np.append(at, len(k))) + window - 1
-
-
-def _least(keys: np.ndarray, also: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the smallest document among the rows of its key, and whether the key has several documents."""
+    return k[at], np.diff(np.append(at, len(k))) + window - 1, np.add.reduceat(hashes[k], at)
+
+
+def _parse(where: np.ndarray, row: np.ndarray, doc: np.ndarray, win: np.ndarray, anchor: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """The greedy parse of a block's stretches: each factor's first window, its words, the sum of
+    its windows' hashes and its source; and, for each window, whether a smaller document has it."""
+    low, _, source = _least(win, anchor, doc)
+    known = doc > low
+    n = len(win)
+    follows = np.zeros(n + 1, dtype=bool)
+    follows[1:n] = (where[1:] == where[:-1] + 1) & (row[1:] == row[:-1])
+    at = np.flatnonzero(known & ~(follows[:n] & np.append(False, known[:-1])))
+    begins, lengths = [at[:0]], [at[:0]]
+    while len(at):
+        # Each stretch's next factor grows as far as the source goes on like it.
+        length, going = np.ones(len(at), dtype=np.int64), np.arange(len(at))
+        while len(going):
+            x, y = at[going] + length[going], source[at[going]] + length[going]
+            on = follows[np.minimum(x, n)] & follows[np.minimum(y, n)]
+            going, x, y = going[on], x[on], y[on]
+            going = going[(win[x] == win[y]) & (anchor[x] == anchor[y])]
+            length[going] += 1
+        begins.append(at)
+        lengths.append(length)
+        # The window across the factor's end is looked up like any other.
+        at = at + length
+        at = at[follows[at] & np.append(known, False)[at]]
+    begin, length = np.concatenate(begins), np.concatenate(lengths)
+    sums = np.concatenate([np.zeros(1, U64), np.cumsum(win)])
+    return begin, length + window - 1, sums[begin + length] - sums[begin], low[begin], known
+
+
+def _least(keys: np.ndarray, also: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the smallest document among the rows of its key, whether the key has several documents, and a row of the smallest."""
     o = np.argsort(keys)
     k = keys[o]
     same = k[1:] == k[:-1]
@@ -69,25 +108,30 @@ def _least(keys: np.ndarray, also: np.ndarray, docs: np.ndarray) -> tuple[np.nda
     d = docs[o]
     low = np.minimum.reduceat(d, begins)
     sizes = np.diff(np.append(begins, len(k)))
-    out, many = np.empty_like(docs), np.empty(len(docs), dtype=bool)
-    out[o] = np.repeat(low, sizes)
-    many[o] = np.repeat(np.maximum.reduceat(d, begins) > low, sizes)
-    return out, many
-
-
-PARTS = {"anchors": "<u8", "lows": "<u4", "highs": "<u4", "starts": "<u2", "far": "<u2", "counts": "u1", "values": "<u8"}
-STRETCHES = "bucket int, " + ", ".join(f"{k} binary" for k in PARTS)
+    group = np.repeat(np.arange(len(begins)), sizes)
+    its = np.flatnonzero(d == low[group])
+    place = np.empty(len(begins), dtype=np.int64)
+    place[group[its]] = o[its]
+    out, many, source = np.empty_like(docs), np.empty(len(docs), dtype=bool), np.empty(len(docs), dtype=np.int64)
+    out[o] = low[group]
+    many[o] = (np.maximum.reduceat(d, begins) > low)[group]
+    source[o] = place[group]
+    return out, many, source
+
+
+PARTS = {"anchors": "<u8", "lows": "<u4", "highs": "<u4", "starts": "<u2", "far": "<u2", "counts": "u1"}
+STRETCHES = "bucket int, " + ", ".join(f"{k} binary" for k in [*PARTS, "values"])
 LONGEST = 255
 
 
 def _shipped(buckets: int, anchors: np.ndarray, docs: np.ndarray, starts: np.ndarray, counts: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
     """Stretches gathered by bucket, a row each, its parts as plain byte planes: what is shuffled is mostly hashes.
 
-    A count of 0 marks a span decided here, whose one value is its length in words.
+    A count of 0 marks a span decided here, whose two values are its length in words and its windows' sum.
     """
     bucket = (anchors % U64(buckets)).astype(np.int32)
     o = np.argsort(bucket, kind="stable")
-    sizes = np.maximum(counts, 1).astype(np.int64)
+    sizes = np.where(counts, counts, 2).astype(np.int64)
     begin = np.cumsum(sizes) - sizes
     sizes = sizes[o]
     ends = np.cumsum(sizes)
@@ -96,43 +140,51 @@ def _shipped(buckets: int, anchors: np.ndarray, docs: np.ndarray, starts: np.nda
     cut = np.append(np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])), len(o))
     pair = docs[o].astype("<i8").view("<u4").reshape(-1, 2)
     start = starts[o]
-    parts = {"anchors": anchors[o], "lows": pair[:, 0], "highs": pair[:, 1], "starts": start & 0xFFFF, "far": start >> 16, "counts": counts[o], "values": flat}
+    parts = {"anchors": anchors[o], "lows": pair[:, 0], "highs": pair[:, 1], "starts": start & 0xFFFF, "far": start >> 16, "counts": counts[o]}
     columns = [pa.array(sorted_[cut[:-1]])]
-    for k, kind in PARTS.items():
-        x = np.ascontiguousarray(parts[k].astype(kind))
-        at = np.append(0, ends)[cut] if k == "values" else cut
-        columns.append(pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((at * x.itemsize).astype(np.int32)), pa.py_buffer(x)]))
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", *PARTS])
+    planes = [(np.ascontiguousarray(parts[k].astype(kind)), cut, np.dtype(kind).itemsize) for k, kind in PARTS.items()]
+    planes.append((np.ascontiguousarray(flat.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :VALUE_BYTES]), np.append(0, ends)[cut], VALUE_BYTES))
+    for x, at, width in planes:
+        columns.append(pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((at * width).astype(np.int32)), pa.py_buffer(x)]))
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", *PARTS, "values"])
 
 
 def _received(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """bucket, anchor, id, start, count and values of every stretch of a batch."""
-    parts, rows = {}, None
-    for k, kind in PARTS.items():
-        c = batch.column(k)
+
+    def plane(name: str) -> tuple[np.ndarray, np.ndarray]:
+        c = batch.column(name)
         offs = np.frombuffer(c.buffers()[1], dtype=np.int32, count=len(c) + 1 + c.offset)[c.offset :].astype(np.int64)
-        parts[k] = np.frombuffer(np.frombuffer(c.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]].tobytes(), dtype=kind)
-        if k == "counts":
-            rows = np.diff(offs)
+        return offs, np.frombuffer(c.buffers()[2], dtype=np.uint8)[offs[0] : offs[-1]]
+
+    parts = {k: np.frombuffer(plane(k)[1].tobytes(), dtype=kind) for k, kind in PARTS.items()}
+    rows = np.diff(plane("counts")[0])
+    packed = plane("values")[1].reshape(-1, VALUE_BYTES)
+    values = np.zeros((len(packed), 8), dtype=np.uint8)
+    values[:, :VALUE_BYTES] = packed
     docs = np.stack([parts["lows"], parts["highs"]], axis=1).copy().view("<i8").reshape(-1)
     starts = parts["starts"].astype(np.int64) + (parts["far"].astype(np.int64) << 16)
-    return np.repeat(batch.column("bucket").to_numpy(), rows), parts["anchors"], docs, starts, parts["counts"].astype(np.int64), parts["values"]
+    return np.repeat(batch.column("bucket").to_numpy(), rows), parts["anchors"], docs, starts, parts["counts"].astype(np.int64), values.view("<u8").reshape(-1)
 
 
 class _Remembered:
     """Windows met in several documents, and the smallest id met: a bounded memory of one task."""
 
     def __init__(self):
-        self.key, self.doc = np.zeros(REMEMBERED, dtype=U64), np.full(REMEMBERED, np.iinfo(np.int64).max)
+        self.key, self.also, self.doc = np.zeros(REMEMBERED, dtype=U64), np.zeros(REMEMBERED, dtype=U64), np.full(REMEMBERED, np.iinfo(np.int64).max)
 
-    def smaller(self, keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    def smaller(self, keys: np.ndarray, also: np.ndarray, docs: np.ndarray) -> np.ndarray:
         slot = (keys & U64(REMEMBERED - 1)).astype(np.int64)
-        return (self.key[slot] == keys) & (self.doc[slot] < docs)
+        return (self.key[slot] == keys) & (self.also[slot] == also) & (self.doc[slot] < docs)
 
-    def add(self, keys: np.ndarray, docs: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, also: np.ndarray, docs: np.ndarray) -> None:
+        # Largest ids first: where a window comes twice, the smallest stays.
+        o = np.argsort(-docs, kind="stable")
+        keys, also, docs = keys[o], also[o], docs[o]
         slot = (keys & U64(REMEMBERED - 1)).astype(np.int64)
-        keep = (self.key[slot] != keys) | (docs < self.doc[slot])
-        self.key[slot[keep]], self.doc[slot[keep]] = keys[keep], docs[keep]
+        keep = (self.key[slot] != keys) | (self.also[slot] != also) | (docs < self.doc[slot])
+        slot, keys, also, docs = slot[keep], keys[keep], also[keep], docs[keep]
+        self.key[slot], self.also[slot], self.doc[slot] = keys, also, docs
 
 
 def _stretches(window: int, anchor: int, buckets: int):
@@ -151,15 +203,15 @@ def _stretches(window: int, anchor: int, buckets: int):
                 if not len(idx):
                     continue
                 least = _words.sliding_min(_words.grams(h, anchor, 21), window - anchor + 1)[idx]
-                win = _words.grams(h, window, 22)[idx]
+                win = _words.grams(h, window, 22)[idx] & U64(VALUE_BITS)
                 doc = w.doc[idx]
                 d = ids[w.lo + doc]
-                low, many = _least(win, least, d)
-                known = (d > low) | seen.smaller(win, d)
+                low, many, _ = _least(win, least, d)
+                known = (d > low) | seen.smaller(win, least, d)
                 first = many & ~known
-                seen.add(win[first], d[first])
+                seen.add(win[first], least[first], d[first])
                 begin = idx - w.first[doc]
-                at, span_doc, words = _spans(idx, doc, known, window)
+                at, words, sums = _spans(idx, doc, known, win, window)
                 open_ = np.flatnonzero(~known)
                 new = np.ones(len(open_), dtype=bool)
                 new[1:] = (open_[1:] != open_[:-1] + 1) | (least[open_[1:]] != least[open_[:-1]]) | (doc[open_[1:]] != doc[open_[:-1]])
@@ -167,7 +219,7 @@ def _stretches(window: int, anchor: int, buckets: int):
                 inside = np.arange(len(open_)) - np.flatnonzero(new)[run] if len(open_) else run
                 runs = np.flatnonzero(new | (inside % LONGEST == 0))
                 o = open_[runs]
-                found = ids[w.lo + span_doc]
+                found = d[at]
                 spread = _words.mix(found.astype(U64) * U64(31) + begin[at].astype(U64))
                 waiting.append(
                     (
@@ -175,7 +227,7 @@ def _stretches(window: int, anchor: int, buckets: int):
                         np.concatenate([d[o], found]),
                         np.concatenate([begin[o], begin[at]]),
                         np.concatenate([np.diff(np.append(runs, len(open_))), np.zeros(len(at), dtype=np.int64)]),
-                        np.concatenate([win[open_], words.astype(U64)]),
+                        np.concatenate([win[open_], np.stack([words.astype(U64), sums], axis=1).reshape(-1)]),
                     )
                 )
                 if len(waiting) == SLICES_A_ROW:
@@ -201,38 +253,55 @@ def _smaller(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _factors(window: int):
-    """Block side: rows come sorted by bucket; spans go out."""
+    """Block side: rows come sorted by bucket; factors go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the open bucket's windows that still have no smaller document
+        waiting, n_waiting, rows = [], 0, 0
+
+        def spans(parts: list[tuple]) -> pa.RecordBatch:
+            doc, start, words, sums, source = (np.concatenate(x) for x in zip(*parts, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(words.astype(np.int32)), pa.array((sums & U64(VALUE_BITS)).astype(np.int64)), pa.array(source)], names=["doc_id", "start", "n", "sum", "source"])
+
+        def parsed() -> pa.RecordBatch:
+            nonlocal held, waiting, n_waiting
+            home, anchor, row, doc, pos, win = (np.concatenate(x) for x in zip(*([held] if held else []), *waiting, strict=True))
+            at, words, sums, source, known = _parse(pos, row, doc, win, anchor, window)
+            keep = ~known & (home == home[-1])
+            held = tuple(x[keep] for x in (home, anchor, row, doc, pos, win))
+            waiting, n_waiting = [], 0
+            return spans([(doc[at], pos[at], words, sums, source)])
+
         for batch in _smaller(batches):
             bucket, anchor, d, start, count, values = _received(batch)
-            size = np.maximum(count, 1)
-            row = np.repeat(np.arange(len(d)), size)
-            settled = count == 0
-            out = [(d[settled], start[settled], values[settled[row]].astype(np.int64))]
-            inside = np.arange(len(values)) - np.repeat(np.cumsum(size) - size, size)
-            flat = tuple(x[~settled[row]] for x in (bucket[row], anchor[row], d[row], start[row] + inside, values))
-            if held is not None:
-                flat = tuple(np.concatenate([a, b]) for a, b in zip(held, flat, strict=True))
-            if len(flat[0]):
-                home, a, doc, pos, win = flat
-                low, _ = _least(win, a, doc)
-                known = doc > low
-                at, span_doc, words = _spans(pos, doc, known, window)
-                out.append((span_doc, pos[at], words))
-                keep = ~known & (home == bucket[-1])
-                held = tuple(x[keep] for x in flat)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([o[0] for o in out]).astype(np.int64)), *[pa.array(np.concatenate([o[k] for o in out]).astype(np.int32)) for k in (1, 2)]],
-                names=["doc_id", "start", "n"],
-            )
+            size = np.where(count, count, 2)
+            first = np.cumsum(size) - size
+            done = np.flatnonzero(count == 0)
+            if len(done):
+                yield spans([(d[done], start[done], values[first[done]], values[first[done] + 1], np.full(len(done), -1))])
+            of = np.repeat(np.arange(len(d)), size)
+            inside = np.arange(len(values)) - first[of]
+            open_ = np.flatnonzero(count[of] > 0)
+            of, inside = of[open_], inside[open_]
+            if len(of):
+                waiting.append((bucket[of], anchor[of], of + rows, d[of], start[of] + inside, values[open_]))
+                n_waiting += len(of)
+            rows += len(d)
+            # What is held is sorted again only with as many new windows.
+            if n_waiting >= max(VALUES_AT_ONCE, len(held[0]) if held else 0):
+                yield parsed()
+        if waiting:
+            yield parsed()
 
     return run
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, n: spans of words, possibly overlapping, that windows of smaller documents cover."""
+    """doc_id, start, n, sum and source: factors, possibly overlapping, whose windows a smaller document has.
+
+    ``sum`` is that of the windows' hashes; ``source`` is the document a factor was found in, -1
+    where a task decided alone.
+    """
     if not 1 <= anchor <= window:
         raise ValueError("an anchor has 1 word to a window's")
     # A task takes one bucket of its partition into memory at a time.
@@ -242,25 +311,39 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col:
         named.mapInArrow(_stretches(window, anchor, buckets), STRETCHES)
         .repartition("bucket")
         .sortWithinPartitions("bucket")
-        .mapInArrow(_factors(window), "doc_id long, start int, n int")
+        .mapInArrow(_factors(window), "doc_id long, start int, n int, sum long, source long")
     )
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _own(w: _words.Words, row: np.ndarray, at: np.ndarray, length: np.ndarray, sums: np.ndarray, window: int) -> np.ndarray:
+    """Which spans are of these texts: they lie inside and their windows have the same sum."""
+    ok = (at + length <= w.counts[row]) & (at >= 0) & (length >= window)
+    win = _words.grams(w.hashes(), window, 22) & U64(VALUE_BITS)
+    total = np.concatenate([np.zeros(1, U64), np.cumsum(win)])
+    begin = np.minimum(w.first[row] + at, len(win))
+    end = np.clip(begin + length - window + 1, 0, len(win))
+    return ok & ((total[end] - total[begin]) & U64(VALUE_BITS) == sums)
+
+
+def _kept(window: int):
+    return lambda batches: _kept_of(batches, window)
+
+
+def _kept_of(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text, spans = batch.column("text"), batch.column("spans")
         rest = [c for c in batch.schema.names if c not in ("text", "spans")]
         counts = np.where(np.asarray(spans.is_null()), 0, np.asarray(spans.value_lengths().fill_null(0)))
         flat = spans.flatten()
-        at, length = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+        at, length, sums = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1, 2))
         ends = np.cumsum(counts)
         for w in _words.slices(text):
             lo, hi = w.lo, w.hi
             s0, s1 = int(ends[lo] - counts[lo]), int(ends[hi - 1])
-            first = np.repeat(w.first[:-1], counts[lo:hi])
-            steps = np.zeros(len(w.start) + 1, dtype=np.int64)
-            np.add.at(steps, first + at[s0:s1], 1)
-            np.add.at(steps, np.minimum(first + at[s0:s1] + length[s0:s1], len(w.start)), -1)
+            row = np.repeat(np.arange(hi - lo), counts[lo:hi])
+            own = _own(w, row, at[s0:s1], length[s0:s1], sums[s0:s1].astype(U64), window) if s1 > s0 else np.zeros(0, dtype=bool)
+            begin = w.first[row[own]] + at[s0:s1][own]
+            steps = np.bincount(begin, minlength=len(w.start) + 1) - np.bincount(begin + length[s0:s1][own], minlength=len(w.start) + 1)
             keep = np.flatnonzero(np.cumsum(steps[:-1]) == 0)
             doc = w.doc[keep]
             kept = np.bincount(doc, minlength=hi - lo)
@@ -288,9 +371,12 @@ def remove(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col:
     """
     extra = {f"_x{k}": c for k, c in enumerate(keep or [])}
     found = repeats(docs, window, anchor, id_col, text_col)
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans")).select(F.col("doc_id").alias("_doc"), "spans")
+    # A document's spans lie within its words; a text's own copies of one span are given once.
+    spans = found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "sum")).alias("spans")).select(F.col("doc_id").alias("_doc"), F.lit(0).alias("_s"), "spans")
     named = only(docs, doc_id=id_col, text=text_col, **extra)
-    joined = named.join(spans, named.doc_id.cast("long") == spans._doc, "left").drop("_doc")
+    # Rows with a null id meet no spans; a salt deals them out.
+    salt = F.when(named.doc_id.isNull(), F.pmod(F.xxhash64("text"), F.lit(SALTS)) + 1).otherwise(0)
+    joined = named.join(spans, (named.doc_id.cast("long") == spans._doc) & (salt == spans._s), "left").drop("_doc", "_s")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema if f.name != "text")
-    out = joined.select(*[c for c in named.columns if c != "text"], "text", "spans").mapInArrow(_kept, f"{kinds}, text string, n_words long, n_removed long")
+    out = joined.select(*[c for c in named.columns if c != "text"], "text", "spans").mapInArrow(_kept(window), f"{kinds}, text string, n_words long, n_removed long")
     return out.select("doc_id", "text", "n_words", "n_removed", *[F.col(k).alias(c) for k, c in extra.items()])
