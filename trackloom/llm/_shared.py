@@ -14,10 +14,12 @@ OWN_FOLDER = "/tmp/trackloom-shared"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session that names none (a local test) gets a folder of its own.
+    Only a local session that names none (a test) gets a folder of its own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         folder = OWN_FOLDER
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/trackloom"

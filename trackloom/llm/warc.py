@@ -238,8 +238,14 @@ def _append(folder: str):
     return run
 
 
-def _uri(folder: str) -> str:
-    return folder if "://" in folder else ("file://" + folder.removeprefix("file:") if folder.startswith(("/", "file:/")) else folder)
+def _uri(spark: SparkSession, folder: str) -> str:
+    """The folder, made, with the scheme of the store that it is in: one without is in the cluster's
+    default file system, as for all of Spark, and one of mounted file systems is resolved."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    whole = store.resolvePath(path).toString()
+    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -249,12 +255,17 @@ def write_archives(pages: DataFrame, folder: str, least: int = 1000, id_col: str
     measured = rows.select("page_id", digest.alias("digest"), size.alias("size")).where((F.col("size") >= least) & F.col("page_id").isNotNull())
     first = measured.groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("c")).where("c > 1").select("digest", "size", "first")
     first = settle(first, "first-pages")
-    joined = rows.withColumn("digest", digest).withColumn("size", size).join(first, ["digest", "size"], "left")
+    # Small payloads and rows without an id meet nothing; a key of their own deals them out. A large payload that
+    # many rows share is a skewed key of a left join, whose rows Spark splits at run time.
+    rows = rows.withColumn("digest", digest).withColumn("size", size)
+    meets = (F.col("size") >= least) & F.col("page_id").isNotNull()
+    rows = rows.withColumn("key", F.when(meets, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    joined = rows.join(first.select(F.col("digest").alias("key_of"), F.col("size").alias("size_of"), "first"), (F.col("key") == F.col("key_of")) & (F.col("size") == F.col("size_of")), "left")
     revisit = F.col("first").isNotNull() & (F.col("page_id") < F.col("first"))
     decided = joined.select(
         "page_id", "url", "html", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("first")).alias("refers_to")
     )
-    return settle(decided.mapInArrow(_append(_uri(folder)), "archive string, n_records long, n_bytes long"), "warc-manifest")
+    return settle(decided.mapInArrow(_append(_uri(pages.sparkSession, folder)), "archive string, n_records long, n_bytes long"), "warc-manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
