@@ -1,18 +1,23 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids, product-quantised
 residuals, asymmetric distance tables, and exact reranking.
 
-Centroids and codebooks are fitted on a bounded sample (``SAMPLE`` rows, those with the
+Centroids and codebooks are fitted on a bounded sample (``SAMPLE`` rows at most, those with the
 smallest id hashes); every row is then assigned and coded. A query looks into the lists whose
-centroids have the largest inner product with it, ranks their rows by table look-ups, and
-reranks the best ``RERANK`` of each block by the exact inner product in double precision.
+centroids have the largest inner product with it, and into further ones until these hold
+``k`` other rows, ranks their rows by table look-ups, and reranks the best ``RERANK`` of each
+block by the exact inner product in double precision.
 
 Lists are binned to about ``BLOCK_ROWS`` rows a task; one that is larger is cut in blocks of
-rows, and a bin's queries in blocks too, so a list that holds a third of all rows becomes many
-equal tasks. What a block returns for a query is at most ``k`` rows.
+rows, and a bin's queries in blocks of ``BLOCK_QUERIES``, so a list that holds a third of all
+rows becomes many equal tasks. A block of queries is at least as large as a block of rows, so
+rows are sent no more often than queries are. What a block returns for a query is at most
+``k`` rows. What is broadcast has a number for each list, of which there are ``LISTS_AT_MOST``
+at most, besides centroids and codebooks.
 
 Defined results: vectors that are null, empty, zero, of another length than the sample's most
 common one, or hold null or non-finite components take no part, nor do rows with a null id;
-ties go to the smaller id; repeated rows are candidates each; an empty table gives an empty
+ties go to the smaller id; rows that repeat an id are candidates each, but of those that repeat
+a query's id one is asked, the one with the smallest vector; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -30,14 +35,15 @@ from pyspark.sql import functions as F
 
 from trackloom.llm._shared import only, settle
 
-SAMPLE = 16384
-LISTS_AT_MOST = 4096
-TARGET = 0.985  # of true neighbours, in probed lists
+SAMPLE = 65536
+ROWS_A_LIST = 16  # of the sample, at least
+LISTS_AT_MOST = SAMPLE // ROWS_A_LIST
+TARGET = 0.97  # of true neighbours, in probed lists
 SUBSPACE = 4
 CODES = 256
 RERANK = 100
 BLOCK_ROWS = 4096
-BLOCK_QUERIES = 512
+BLOCK_QUERIES = 4096
 
 
 @dataclass
@@ -58,10 +64,16 @@ class Index:
         parts = r.reshape(len(x), m, -1)
         return at, np.stack([nearest(parts[:, j], self.codebooks[j]) for j in range(m)], axis=1).astype(np.uint8)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
-        """The n lists with the largest inner product with each query's vector."""
-        scores = q @ self.centroids.T
-        return np.argsort(-scores, axis=1, kind="stable")[:, : min(n, len(self.centroids))]
+    def ranked(self, q: np.ndarray) -> np.ndarray:
+        """All lists by their inner product with each query's vector, the largest first."""
+        return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
+
+    def probes(self, q: np.ndarray, n: int, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """Each query's first n lists, and as many more as it takes to hold ``least`` rows."""
+        ranked = self.ranked(q)
+        held = np.cumsum(sizes[ranked], axis=1)
+        enough = np.argmax(held >= np.minimum(least, held[:, -1:]), axis=1) + 1
+        return [own[: max(n, m)] for own, m in zip(ranked, enough.tolist(), strict=True)]
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each query, inner products with all codes: queries x subspaces x codes."""
@@ -88,11 +100,15 @@ def k_means(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     return centres
 
 
+def lists_for(rows: int) -> int:
+    """About the root of the rows, twice over: so a list has some rows at every size, and a query's share of them falls as rows grow."""
+    return int(np.clip(2 ** round(np.log2(2 * max(1.0, rows) ** 0.5)), 1, LISTS_AT_MOST))
+
+
 def fit(sample: np.ndarray, rows: int) -> Index:
     """rows: of the whole table; lists grow with its square root."""
     x = np.unique(sample, axis=0).astype(np.float64)
-    lists = int(np.clip(2 ** round(np.log2(max(1.0, rows) ** 0.5)), 1, LISTS_AT_MOST))
-    centres = k_means(x, min(lists, max(1, len(x) // 8)), 12, 1)
+    centres = k_means(x, min(lists_for(rows), max(1, len(x) // 8)), 10, 1)
     dim = x.shape[1]
     padded = -(-dim // SUBSPACE) * SUBSPACE
     r = np.pad(x - centres[nearest(x, centres)], ((0, 0), (0, padded - dim))).reshape(len(x), padded // SUBSPACE, SUBSPACE)
@@ -122,13 +138,13 @@ def _code(shared):
     return run
 
 
-def _probe(shared, probes: int, bin_of: np.ndarray):
+def _probe(shared, probes: int, bin_of: np.ndarray, sizes: np.ndarray, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at = index.probes(_vectors(batch.column("vector")).astype(np.float64), probes)
+            at = index.probes(_vectors(batch.column("vector")).astype(np.float64), probes, sizes, least)
             bins, rows, lists = [], [], []
             for k, own in enumerate(at):
                 home = bin_of[own]
@@ -180,11 +196,13 @@ def _search(shared, k: int, rerank: int):
 def calibrate(index: Index, sample: np.ndarray, k: int, target: float) -> int:
     """Lists to probe so that, within the sample, so large a share of true neighbours is in probed lists."""
     x = np.unique(sample, axis=0).astype(np.float64)
-    q = x[:: max(1, len(x) // 256)]
+    own = np.arange(0, len(x), max(1, len(x) // 256))
+    q = x[own]
     at = nearest(x, index.centroids)
     scores = q @ x.T
-    near = np.argsort(-scores, axis=1, kind="stable")[:, 1 : k + 1]
-    place = np.argsort(index.probes(q, len(index.centroids)), axis=1)
+    scores[np.arange(len(own)), own] = -np.inf
+    near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    place = np.argsort(index.ranked(q), axis=1)
     need = np.sort(np.take_along_axis(place, at[near], axis=1).reshape(-1)) + 1
     return int(need[min(len(need) - 1, int(np.ceil(target * len(need))))]) if len(need) else len(index.centroids)
 
@@ -213,8 +231,9 @@ def search(table: DataFrame, is_query: Column, k: int = 20, probes: int | None =
     schema = "query_id long, rank int, vec_id long, score double"
     if n == 0:
         return spark.createDataFrame([], schema)
-    share = min(1.0, 1.3 * SAMPLE / n + 0.001)
-    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
+    most = min(SAMPLE, max(SAMPLE // 4, ROWS_A_LIST * lists_for(n)))
+    share = min(1.0, 1.3 * most / n + 0.001)
+    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most).select("vector").collect()
     lengths = pd.Series([len(r.vector) for r in picked])
     dim = int(lengths.value_counts().sort_index().idxmax())
     sampled = np.array([r.vector for r in picked if len(r.vector) == dim])
@@ -225,14 +244,17 @@ def search(table: DataFrame, is_query: Column, k: int = 20, probes: int | None =
 
     rows = rows.where(F.size("vector") == dim)
     coded = settle(rows.mapInArrow(_code(shared), "list int, vec_id long, vector array<double>, codes binary"), "coded")
-    # One number for each list, of which there are LISTS_AT_MOST.
+    # One number for each list: LISTS_AT_MOST rows, and no more in what is broadcast below.
     sizes = {r.list: r["count"] for r in coded.groupBy("list").count().collect()}
     bin_of, bin_rows = bins_of(sizes, len(index.centroids))
-    asked = settle(rows.where(is_query).mapInArrow(_probe(shared, probes, bin_of), "bin int, query_id long, vector array<double>, lists binary"), "probes")
+    own = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.count("*").alias("c"))
+    held = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
+    least = k + int(own.agg(F.max("c")).first()[0] or 0)
+    asked = settle(own.mapInArrow(_probe(shared, probes, bin_of, held, least), "bin int, query_id long, vector array<double>, lists binary"), "probes")
     asked_of = {r.bin: r["count"] for r in asked.groupBy("bin").count().collect()}
     blocks = [(b, -(-n // BLOCK_ROWS), max(1, -(-asked_of.get(b, 0) // BLOCK_QUERIES))) for b, n in enumerate(bin_rows)]
     grid = F.broadcast(spark.createDataFrame(blocks, "bin int, row_blocks int, query_blocks int"))
-    home = F.broadcast(spark.createDataFrame([(k, int(b)) for k, b in enumerate(bin_of)], "list int, bin int"))
+    home = F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(bin_of)], "list int, bin int"))
     left = coded.join(home, "list").join(grid, "bin").select(
         "bin", F.pmod(F.xxhash64("vec_id"), F.col("row_blocks")).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"), "list", "vec_id", "vector", "codes"
     )
