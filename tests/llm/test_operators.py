@@ -65,6 +65,28 @@ def test_hard_documents_against_sql(spark, duck, same_rows, tmp_path, name):
     same_rows(duck(d).sql(queries.oracle_sql()[name]).df(), Q[name](spark, d).toPandas())
 
 
+#: Clean texts of other scripts and quoting habits, and lines that only look like navigation or notices.
+CLEAN = [
+    "Le ministre a dit « oui » puis « non » devant la presse réunie hier soir. Il a ajouté que « rien » ne changera avant la fin de cette longue année.",
+    "Er sagte »ja« und dann »nein« vor der ganzen versammelten Presse. Danach ging er ohne ein weiteres Wort mit seinen Leuten nach Hause zurück.",
+    " ".join(["これは 普通の 文章 です。", "次の 文も 静かに 続きます。"] * 1 + [f"第{k} の 文は 少しだけ 長く なります。" for k in range(6)]),
+    "این متن ساده است و هیچ مشکلی ندارد؟ بله این جمله‌ها همه روشن هستند و خواننده آنها را خوب می‌فهمد۔ پس باید در مجموعه بماند و حذف نشود؟",
+    "यह एक साधारण लेख है जिसमें कोई दोष नहीं है। इसमें कई वाक्य हैं जो साफ और सरल भाषा में लिखे गए हैं। पाठक इसे आसानी से समझ सकता है।",
+    "The committee read the privacy policy aloud, line by line, before the members voted on the new rules for the library and its many reading rooms.",
+    "In the shell, cat a | sort | uniq prints each line once, and it does so for files of any length, as long as the disk holds the sorted runs it needs.",
+]
+
+
+def test_quality_rules_of_scripts(spark, duck, same_rows, tmp_path):
+    dirty = ["Home | News | Shop | Login.\nTerms of use. Privacy policy. All rights reserved.\n" + "word " * 25, "a › b › c. " + "\n" + "x " * 30]
+    d = _rows(tmp_path, [(k, t) for k, t in enumerate(CLEAN + dirty)] + [(None, CLEAN[0]), (0, CLEAN[1]), (0, CLEAN[1])])
+    got = Q["op1_quality_rules"](spark, d).toPandas()
+    assert len(got) == len(CLEAN) + len(dirty) + 3
+    same_rows(duck(d).sql(queries.oracle_sql()["op1_quality_rules"]).df(), got)
+    kept = dict(zip(got.doc_id, got.kept, strict=True))
+    assert all(kept[k] for k in range(len(CLEAN))) and not any(kept[k] for k in range(len(CLEAN), len(CLEAN) + len(dirty)))
+
+
 @pytest.mark.parametrize("name", [n for n in Q if n not in ("op9_vector_search", "op10_warc")])
 def test_empty_table(spark, tmp_path, name):
     assert Q[name](spark, folder(tmp_path, [])).count() == 0
@@ -259,10 +281,25 @@ def test_components(spark):
 def test_license_diagonals(spark, tmp_path):
     mit = license_scan.TEMPLATES[1][1]
     words = mit.split(" ")
-    rows = ["Intro. " + mit, " ".join(words[:9] + ["really"] + words[9:]), " ".join(words[:5]), "Permission is hereby " * 3]
-    got = {r.doc_id: r for r in license_scan.scan(spark.read.parquet(folder(tmp_path, rows) + "/documents.parquet")).collect()}
+    rows = ["Intro. " + mit, " ".join(words[:9] + ["really"] + words[9:]), " ".join(words[:5]), "Permission is hereby " * 3, " ".join(words[:10] + ["of"] * 9 + words[10:]), mit.replace("free", "sold").replace("software", "thing")]
+    d = spark.read.parquet(folder(tmp_path, rows) + "/documents.parquet")
+    got = {r.doc_id: r for r in license_scan.scan(d).collect()}
     assert got[0].labels == "mit" and got[0].score == 1.0 and got[0].n_base == 0 and got[0].spans[0].lo == 1
-    assert got[1].labels == "mit" and 0.6 <= got[1].score < 1 and got[2].labels == "" and got[3].labels == ""
+    assert got[1].labels == "mit" and 0.9 <= got[1].score < 1 and got[2].labels == "" and got[3].labels == ""
+    # Nine strange words within split the diagonals; changed words lower the share.
+    assert got[4].labels == "" and 0.6 <= got[5].score <= 0.9
+    long = {r.doc_id: r for r in license_scan.scan(d, phrases=[("free of charge to any person", "six"), ("intro", "one")]).collect()}
+    assert (long[0].n_base, long[0].first_word, long[0].base_labels) == (2, 0, "one,six") and long[5].n_base == 0
+    assert {r.n_base for r in license_scan.scan(d, phrases=[]).collect()} == {0}
+
+
+def test_licenses_of_every_row(spark, duck, same_rows, tmp_path):
+    """Rows with null and repeated ids have a result each."""
+    rows = [(1, "Apache License here"), (1, "the MIT license of it"), (1, "the MIT license of it"), (None, "GNU General Public License"), (None, None), (2, ""), (None, "plain")]
+    d = _rows(tmp_path, rows)
+    got = Q["op7_license_scan"](spark, d).toPandas()
+    assert len(got) == len(rows)
+    same_rows(duck(d).sql(queries.oracle_sql()["op7_license_scan"]).df(), got)
 
 
 def _vectors(n=500, dim=10, seed=0):
@@ -292,6 +329,28 @@ def test_vector_search(spark, tmp_path):
     assert Q["op9_vector_search"](spark, str(tmp_path)).count() == 0
 
 
+def test_vector_repeated_queries(spark, tmp_path):
+    """A query row that comes twice is asked once, and finds k different neighbours."""
+    x = np.random.default_rng(5).normal(size=(120, 8)).round(3)
+    ids = [*range(120), 0, 20, 20, 40, None, None]
+    rows = [*x.tolist(), x[0].tolist(), x[20].tolist(), x[21].tolist(), x[40].tolist(), x[1].tolist(), x[1].tolist()]
+    pq.write_table(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(rows, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    got = Q["op9_vector_search"](spark, str(tmp_path)).toPandas()
+    assert sorted(got.query_id.unique()) == [0, 20, 40, 60, 80, 100]
+    for q, part in got.groupby("query_id"):
+        assert sorted(part["rank"]) == list(range(1, 21)) and q not in set(part.vec_id)
+        assert part[~part.vec_id.isin([0, 20, 40])].vec_id.is_unique
+
+
+def test_vector_lists_hold_enough(spark, tmp_path):
+    """A query whose probed lists hold too few rows goes on to further lists."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(900, 6)), 60 + rng.normal(size=(3, 6)), -60 + rng.normal(size=(3, 6))])
+    pq.write_table(pa.table({"vec_id": pa.array([*range(900), 1000, 1001, 1002, 1020, 1021, 1022], pa.int64()), "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))}), tmp_path / "e.parquet")
+    got = vector_search.search(spark.read.parquet(str(tmp_path / "e.parquet")), F.col("vec_id") % 1000 == 0, k=20, probes=1).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {0: 20, 1000: 20}
+
+
 def test_quantiser():
     x = np.random.default_rng(3).normal(size=(300, 6))
     index = vector_search.fit(x, 300)
@@ -333,6 +392,14 @@ def test_salvage(packed):
     assert list(warc.salvage(b"")) == []
 
 
+def test_warc_null_and_repeated_ids(spark, duck, same_rows, tmp_path):
+    big = "b" * 2000
+    d = _pages(tmp_path, [(None, "a", big), (None, "a", big), (None, None, None), (7, "b", big), (7, "b", big), (3, "c", big), (4, "d", "x")])
+    got = Q["op10_warc"](spark, d).toPandas()
+    assert len(got) == 7
+    same_rows(duck(d).sql(queries.oracle_sql()["op10_warc"]).df(), got)
+
+
 def test_warc_long_urls(spark, duck, same_rows, tmp_path):
     d = _pages(tmp_path, [(k, "data:" + "é" * n, "x" * 1200) for k, n in enumerate((10, 32_600, 65_536, 2_000_000))])
     same_rows(duck(d).sql(queries.oracle_sql()["op10_warc"]).df(), Q["op10_warc"](spark, d).toPandas())

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from trackloom.llm import license_scan, quality_rules
+from trackloom.llm import license_scan
 
 SQL: dict[str, str] = {}
 
@@ -9,33 +9,41 @@ def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+# The rules of op1, spelled for DuckDB's own pattern language.
+_ENDS = r"""[.!?…。！？｡．؟۔।॥։።៖។၊။།༎‼⁇⁈⁉]["'”’»›)\]』」）］》〉*_]*(?:[\t-\r ]|$)|[。！？｡؟۔।॥]"""
+_MENU = r"(?i)^[\t-\r ]*(?:home|menu|log ?in|sign ?in|sign ?up|search|contact|contact us|about|about us|next|previous|back to top|skip to content)[\t-\r .!?]*$"
+_NOTICE = r"(?i)(?:all rights reserved|lorem ipsum|enable javascript|use cookies|uses cookies|cookie policy|privacy policy|terms of use|terms of service|terms and conditions|subscribe to our|click here to)"
+
 SQL["op1_quality_rules"] = rf"""
 with docs as (
-  select doc_id, coalesce(text, '') as t from documents
+  select row_number() over () as r, doc_id, coalesce(text, '') as t from documents
 ), cut as (
-  select doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') as w,
+  select r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') as w,
          list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as l from docs
 ), lines as (
-  select doc_id, l, list_filter(l, lambda x: regexp_matches(x, {_text(quality_rules.ENDS)})
-    and not regexp_matches(x, {_text(quality_rules.NAVIGATION)}) and not regexp_matches(x, {_text(quality_rules.BOILERPLATE)})
-    and len(regexp_extract_all(x, {_text(quality_rules.SIGNS)})) * 10 <= length(x)
+  select r, l, list_filter(l, lambda x: regexp_matches(x, {_text(_ENDS)})
+    and not (len(regexp_extract_all(x, '[|›»]')) - len(regexp_extract_all(x, '[«‹]')) >= 2
+      and len(regexp_extract_all(x, '[^\t-\r ]+')) <= 4 * (len(regexp_extract_all(x, '[|›»]')) - len(regexp_extract_all(x, '[«‹]')) + 1))
+    and not regexp_matches(x, {_text(_MENU)})
+    and not (regexp_matches(x, {_text(_NOTICE)}) and len(regexp_extract_all(x, '[^\t-\r ]+')) <= 15 * len(regexp_extract_all(x, {_text(_NOTICE)})))
+    and len(regexp_extract_all(x, '[#*$%&<>]')) * 10 <= length(x)
     and len(regexp_extract_all(x, '!!')) < 3) as good from cut
 ), windows as (
-  select doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: {{'p': i, 'g': array_to_string(w[i:i + 7], ' ')}}), recursive := true) from cut
+  select r, unnest(list_transform(range(1, len(w) - 6), lambda i: {{'p': i, 'g': array_to_string(w[i:i + 7], ' ')}}), recursive := true) from cut
 ), repeated as (
-  select doc_id, p from (select doc_id, p, count(*) over (partition by doc_id, g) as n from windows) where n > 1
+  select r, p from (select r, p, count(*) over (partition by r, g) as n from windows) where n > 1
 ), covered as (
-  select doc_id, count(distinct p + k) as n from repeated, range(8) as r(k) group by doc_id
+  select r, count(distinct p + k) as n from repeated, range(8) as q(k) group by r
 ), measured as (
   select c.doc_id, cast(len(c.w) as bigint) as n_words, cast(length(array_to_string(c.w, '')) as bigint) as word_chars,
     cast(length(c.t) - length(regexp_replace(c.t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
     cast(len(c.l) - len(list_distinct(c.l)) as bigint) as n_dup_lines, coalesce(v.n, 0) as n_repeat_words,
     cast(len(c.l) as bigint) as n_lines, cast(len(g.good) as bigint) as n_kept_lines,
     length(array_to_string(c.l, '')) as a, length(array_to_string(g.good, '')) as b
-  from cut c join lines g using (doc_id) left join covered v using (doc_id)
+  from cut c join lines g using (r) left join covered v using (r)
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
-  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * b >= {100 - quality_rules.MOST_LOST} * a as kept, n_lines, n_kept_lines
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * b >= 50 * a as kept, n_lines, n_kept_lines
 from measured
 """
 
@@ -45,33 +53,34 @@ _PHRASES = ", ".join(f"({_text(p)}, {_text(label)})" for p, label in license_sca
 SQL["op7_license_scan"] = rf"""
 with places(template, label, size, t, g) as (values {_PLACES}), phrases(p, label) as (values {_PHRASES}),
 words as (
-  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents
 ), flat as (
-  select doc_id, unnest(range(0, len(w))) as pos, w from words
+  select r, unnest(range(0, len(w))) as pos, w from words
 ), rolled as (
-  select doc_id, pos, array_to_string(w[pos + 1:pos + 2], ' ') as g2, array_to_string(w[pos + 1:pos + 3], ' ') as g3, len(w) - pos as n from flat
+  select r, pos, array_to_string(w[pos + 1:pos + 2], ' ') as g2, array_to_string(w[pos + 1:pos + 3], ' ') as g3, len(w) - pos as n from flat
 ), base as (
-  select r.doc_id, r.pos, p.label from rolled r join phrases p on p.p = r.g2 or p.p = r.g3 where len(string_split(p.p, ' ')) <= r.n
-), votes as (
-  select doc_id, template, any_value(label) as label, any_value(size) as size, pos - t as d, count(distinct t) as votes
-  from rolled r join places p on p.g = r.g3 where r.n >= 3 group by doc_id, template, pos - t
+  select r.r, r.pos, p.label from rolled r join phrases p on p.p = r.g2 or p.p = r.g3 where len(string_split(p.p, ' ')) <= r.n
+), hits as (
+  select r.r, p.template, p.label, p.size, r.pos, p.t, r.pos - p.t as d from rolled r join places p on p.g = r.g3 where r.n >= 3
+), diagonals as (
+  select distinct r, template, d from hits
 ), marked as (
-  select *, case when d - lag(d) over (partition by doc_id, template order by d) <= {license_scan.NEAR} then 0 else 1 end as new from votes
+  select *, case when d - lag(d) over (partition by r, template order by d) <= {license_scan.NEAR} then 0 else 1 end as new from diagonals
 ), grouped as (
-  select *, sum(new) over (partition by doc_id, template order by d) as span from marked
-), spans as (
-  select doc_id, any_value(label) as label, least(sum(votes), max(size)) / max(size) as share from grouped group by doc_id, template, span
+  select *, sum(new) over (partition by r, template order by d) as span from marked
+), spread as (
+  select h.r, h.template, g.span, h.label, h.size, h.pos, h.t, h.pos + k as p_word, h.t + k as t_word from hits h join grouped g on g.r = h.r and g.template = h.template and g.d = h.d, range(3) as q(k)
 ), own as (
-  select doc_id, label, share from spans where 100 * share >= {license_scan.LEAST_SHARE}
+  select * from (select r, any_value(label) as label, least(count(distinct p_word), count(distinct t_word)) / greatest(max(size), max(pos) + 2 - min(pos) + 1) as share from spread group by r, template, span) x where 100 * share >= {license_scan.LEAST_SHARE}
 ), both_kinds as (
-  select doc_id, label from base union select doc_id, label from own
+  select r, label from base union select r, label from own
 )
 select w.doc_id, cast(len(w.w) as bigint) as n_words, coalesce(b.n, 0) as n_base, b.lo as first_word, b.hi as last_word,
   coalesce(b.labels, '') as base_labels, coalesce(l.labels, '') as labels, coalesce(o.score, 0.0) as score
 from words w
-left join (select doc_id, count(*) as n, min(pos) as lo, max(pos) as hi, string_agg(distinct label, ',' order by label) as labels from base group by doc_id) b using (doc_id)
-left join (select doc_id, string_agg(distinct label, ',' order by label) as labels from both_kinds group by doc_id) l using (doc_id)
-left join (select doc_id, max(share) as score from own group by doc_id) o using (doc_id)
+left join (select r, count(*) as n, min(pos) as lo, max(pos) as hi, string_agg(distinct label, ',' order by label) as labels from base group by r) b using (r)
+left join (select r, string_agg(distinct label, ',' order by label) as labels from both_kinds group by r) l using (r)
+left join (select r, max(share) as score from own group by r) o using (r)
 """
 
 SQL["op3_substring_dedup"] = r"""

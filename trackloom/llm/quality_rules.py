@@ -1,8 +1,8 @@
 """Line-first quality rules, in DataFrame functions only.
 
-Each line is held against the rules on its own: it must hold a sentence's end (punctuation), must
-not be a menu or link list (navigation), a notice (boilerplate), or mostly signs and shouting
-(noise). Failing lines go; a document that loses more than ``MOST_LOST`` percent of its
+Each line is held against the rules on its own: it must hold a sentence's end of any script
+(punctuation), must not be a menu or link list (navigation), mostly notices (boilerplate), or
+mostly signs and shouting (noise). Failing lines go; a document that loses more than ``MOST_LOST`` percent of its
 characters, or fails the base rules on repetition and length, is rejected.
 
 Everything of a document is computed within its row, so there is no shuffle and no state:
@@ -25,21 +25,37 @@ LEAST_WORDS = 20
 MOST_REPEATED = 30
 MOST_LOST = 50
 
-ENDS = r"""[.!?…]["'”’»)\]]*([\x20\x09-\x0D]|\z)"""
-NAVIGATION = r"\|[^|]*\||[›»][^›»]*[›»]|(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|sign ?(in|up)|search|contact( us)?|about( us)?|next|previous|back to top|skip to content)[\x20\x09-\x0D.!?]*\z"
+#: Sentence ends of many scripts (Latin, CJK, Arabic, Urdu, Devanagari, Armenian, Ethiopic, Khmer, Burmese, Tibetan).
+TERMINALS = ".!?…。！？｡．؟۔।॥։።៖។၊။།༎‼⁇⁈⁉"
+CLOSERS = """"'”’»›)\\]』」）］》〉*_"""
+#: A line needs no space after its last end; inside a line an ASCII end needs one ("3.14").
+ENDS = rf"""[{TERMINALS}][{CLOSERS}]*([\x20\x09-\x0D]|\z)|[。！？｡؟۔।॥]"""
+MARKS = r"[|›»]"
+OPENERS = r"[«‹]"
+MENU = r"(?i)^[\x20\x09-\x0D]*(home|menu|log ?in|sign ?(in|up)|search|contact( us)?|about( us)?|next|previous|back to top|skip to content)[\x20\x09-\x0D.!?]*\z"
 BOILERPLATE = r"(?i)all rights reserved|lorem ipsum|enable javascript|uses? cookies|cookie policy|privacy policy|terms (of (use|service)|and conditions)|subscribe to our|click here to"
+WORD = r"[^\x20\x09-\x0D]+"
 SIGNS = r"[#*$%&<>]"
 SHOUT = "!!"
+WORDS_A_MARK = 4
+WORDS_A_NOTICE = 15
 
 
 def bad_line(line: Column) -> Column:
-    """Whether a line with words fails a rule."""
+    """Whether a line with words fails a rule.
+
+    Navigation: two marks or more between short pieces, a closing quotation mark being one only
+    where none was opened. Boilerplate: notices that make up a good part of the line.
+    """
+    count = lambda p: F.regexp_count(line, F.lit(p))
+    marks = count(MARKS) - count(OPENERS)
     return (
         ~line.rlike(ENDS)
-        | line.rlike(NAVIGATION)
-        | line.rlike(BOILERPLATE)
-        | (F.regexp_count(line, F.lit(SIGNS)) * 10 > F.length(line))
-        | (F.regexp_count(line, F.lit(SHOUT)) >= 3)
+        | ((marks >= 2) & (count(WORD) <= WORDS_A_MARK * (marks + 1)))
+        | line.rlike(MENU)
+        | (line.rlike(BOILERPLATE) & (count(WORD) <= WORDS_A_NOTICE * count(BOILERPLATE)))
+        | (count(SIGNS) * 10 > F.length(line))
+        | (count(SHOUT) >= 3)
     )
 
 
@@ -62,6 +78,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     d = d.select(
         *own,
         "n_symbols",
+        "_w",
         "_lines",
         F.filter("_lines", lambda x: ~bad_line(x)).alias("_good"),
         F.size("_w").cast("long").alias("n_words"),
@@ -74,11 +91,14 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
     d = d.select(
         *own,
-        *["n_symbols", "n_words", "word_chars", "_lines", "_good"],
+        *["n_symbols", "n_words", "word_chars", "_lines", "_good", "_w"],
         F.when(repeats, F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("_s"),
     )
-    # Neighbours in hash order with equal hashes are repeated windows.
-    same = F.zip_with(F.slice("_s", F.lit(1), F.size("_s") - 1), F.slice("_s", F.lit(2), F.size("_s") - 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    # Neighbours in hash order with equal hashes, and equal words, are repeated windows.
+    window = lambda x: F.slice("_w", x["i"] + 1, WINDOW)
+    same = F.zip_with(
+        F.slice("_s", F.lit(1), F.size("_s") - 1), F.slice("_s", F.lit(2), F.size("_s") - 1), lambda a, b: F.when((a["h"] == b["h"]) & (window(a) == window(b)), F.array(a["i"], b["i"]))
+    )
     places = F.array_sort(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull()))))
     d = d.select(*own, *["n_symbols", "n_words", "word_chars", "_lines", "_good"], F.when(c("_s").isNotNull(), places).alias("_p"))
     covered = F.aggregate(
