@@ -183,11 +183,73 @@ def test_language_id(spark, tmp_path):
     assert [hard[k].lang_pred for k in (0, 1, 2, len(HARD))] == ["und"] * 4 and hard[5].lang_pred == "en"
 
 
+def _vectors_of(texts):
+    raw = [t.encode() for t in texts]
+    x = language_id.vectors(np.frombuffer(b"".join(raw), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    return np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
+
+
 def test_language_pairs():
     rows = [("en", "the cat and the dog with that thing"), ("de", "der hund und die katze mit dem ding"), ("fr", "le chien et la chatte avec une chose"), ("es", "el perro y la gata con una cosa")] * 4
-    model = language_id.fit(rows)
-    assert set(model.families) == {"germanic", "romance"} and len(model.pairs) == 3
-    assert language_id.fit([]).languages == [] and language_id.fit(rows[:1]).languages == ["en"]
+    fit = lambda rows: language_id.fit([a for a, _ in rows], _vectors_of([t for _, t in rows]))
+    model = fit(rows)
+    assert model.families == ["germanic", "romance"] and model.pairs == [("de", "en"), ("es", "fr")] and len(model.weights) == 4
+    assert language_id.fit([], np.zeros((0, language_id.DIMENSIONS + 1))).languages == [] and fit(rows[:1]).languages == ["en"]
+    many = fit([(f"x{k}", f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 20) for k in range(230)])
+    assert len(many.languages) == 230 and len(many.weights) == 230 and not many.pairs
+
+
+def test_language_brute_force(spark):
+    """Sample, features, margins and votes, spelled out one text and one gram at a time."""
+    docs = spark.read.parquet(SF + "/documents.parquet")
+    labels, x = language_id.sample(docs, language_id.fold() != 1, 30)
+    model = language_id.fit(labels, x)
+    assert len(model.languages) == 4 and all(10 <= labels.count(a) <= 30 for a in model.languages)
+
+    def counted(text):
+        b = [c + 32 if 65 <= c <= 90 else 32 if 33 <= c <= 64 else c for c in text.encode()]
+        cells = {}
+        for k in range(3):
+            for i in range(len(b) - k):
+                g = b[i] if k == 0 else b[i] * 257 + b[i + 1] if k == 1 else (b[i] * 257 + b[i + 1]) * 263 + b[i + 2]
+                h = ((g + k * 7919) * 2654435761 & 0xFFFFFFFF) >> (32 - language_id.BITS)
+                cells[h] = cells.get(h, 0) + 1
+        return {h: n**0.5 / sum(cells.values()) ** 0.5 for h, n in cells.items()}
+
+    def predicted(text):
+        v = counted(text)
+        m = [sum(float(w[h]) * y for h, y in v.items()) + float(w[-1]) for w in model.weights]
+        sigmoid = lambda y: 1 / (1 + np.exp(-4 * y))
+        k = max(range(len(model.families)), key=lambda k: (m[k], -k))
+        score = sigmoid(m[k])
+        members = [a for a in model.languages if language_id.family(a) == model.families[k]]
+        tally = {a: [0, 0.0, 99.0] for a in members}
+        for j, (a, b) in enumerate(model.pairs):
+            if a in tally:
+                y = m[len(model.families) + j]
+                for name, own in ((a, y), (b, -y)):
+                    tally[name][1] += own
+                    tally[name][2] = min(tally[name][2], own)
+                tally[a if y >= 0 else b][0] += 1
+        best = max(members, key=lambda a: (tally[a][0], tally[a][1]))
+        return best, score * (sigmoid(tally[best][2]) if len(members) > 1 else 1)
+
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in language_id.identify(docs, language_id.fold() != 1, per_language=30).collect():
+        lang, score = predicted(texts[r.doc_id])
+        assert r.lang_pred == lang and r.score == pytest.approx(score, abs=1e-3)
+
+
+def test_language_long_and_repeated(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(language_id, "BYTES_AT_ONCE", 1000)
+    for t in ("äß " * 700, "a", "ab", "x" * 1000, "x" * 1001):
+        raw = np.frombuffer(t.encode(), dtype=np.uint8)
+        assert np.allclose(language_id.long_vector(raw), language_id.vectors(raw, np.array([0, len(raw)])), atol=1e-6)
+    monkeypatch.undo()
+    a, b = 0, 1  # learned from
+    rows = [(None, CLEAN[0]), (a, CLEAN[0]), (a, CLEAN[0]), (a, None), (b, "12 34")] + [(a, CLEAN[5])] * 5
+    got = Q["op6_language_id"](spark, _rows(tmp_path, rows)).collect()
+    assert len(got) == len(rows) and sum(r.lang_pred == "und" for r in got) == 2 and not any(r.held_out for r in got)
 
 
 def _components(rows, n=5, percent=80):

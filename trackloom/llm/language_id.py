@@ -1,18 +1,23 @@
 """Language identification by hierarchical discrimination.
 
-The family is predicted first; inside a family, a linear support vector machine for each pair
-of its languages votes, and the language with most votes, then with the larger summed margin,
-wins. Families are told apart the same way, so every decision is a linear machine over hashed
-byte n-grams of the whole text, scaled to unit length.
-
-Fitting takes a bounded sample: of each language the ``PER_LANGUAGE`` labelled rows with the
-smallest id hashes. Its size does not grow with the table. Prediction reads whole texts of all
-rows, in one pass with no shuffle; the weights, of fixed size, are broadcast.
+The family is predicted first, by a linear machine for each family against the rest; inside a
+family, a linear support vector machine for each pair of its languages votes, and the language
+with most votes, then with the larger summed margin, wins. All machines read hashed byte n-grams
+of the whole text, scaled to unit length.
+
+Fitting takes a bounded sample: of each language the ``per_language`` labelled rows with letters
+that have the smallest hashes, fewer where ``fitting_rows`` over all languages would be passed. One
+scan counts the languages' rows, one picks the sample; a picked row's whole text becomes its
+n-gram vector where it is read, so the driver gets at most ``fitting_rows`` vectors of fixed
+size and no texts. No language is left out. Machines grow with the number of languages, and with
+the square of the languages in one of the ``FAMILIES`` alone. Prediction reads whole texts of all
+rows, in one pass with no shuffle; the weights are broadcast.
 
 Defined results: a null text or one without letters is ``und`` with score 0; without any
 labelled row every text is ``und``; with one language in the sample it is that language; ties
-go to the smaller label; repeated rows get a row each; an empty table gives an empty result;
-other columns are ignored.
+go to the smaller label; repeated rows get a row each and enter the sample once; rows with a
+null id are predicted like the rest; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -23,19 +28,21 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.llm import _words
 from trackloom.llm._shared import only
 
 PER_LANGUAGE = 600
-SAMPLE_BYTES = 4000  # of a fitting row; prediction reads whole texts
-LANGUAGES_AT_MOST = 200
+FITTING_ROWS = 6000
 BITS = 13
 DIMENSIONS = 1 << BITS
 ROWS_AT_ONCE = 128
+BYTES_AT_ONCE = 1 << 20
 EPOCHS = 12
 LEAST_STEPS = 600
 REGULAR = 1e-4
@@ -58,37 +65,70 @@ def family(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang.lower().split("-")[0] in members), lang)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Hashed grams of 1, 2 and 3 bytes: for each length the cells, and the documents, in order."""
+def _plain(data: np.ndarray) -> np.ndarray:
+    """Lower-cased bytes; digits and signs tell no language and are spaces."""
     b = _words._LOWER[data].astype(np.uint32)
-    b[(b >= 0x21) & (b <= 0x40)] = 0x20  # digits and signs tell no language
-    n = len(b)
-    doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    two = b[:-1] * np.uint32(257) + b[1:] if n > 1 else b[:0]
-    three = two[:-1] * np.uint32(263) + b[2:] if n > 2 else b[:0]
-    out = []
-    for k, g in enumerate((b, two, three)):
-        inside = doc[: len(g)] == doc[k : k + len(g)]
-        h = (g + np.uint32(k * 7919)) * np.uint32(2654435761)
-        out.append(((h >> np.uint32(32 - BITS))[inside].astype(np.int32), doc[: len(g)][inside]))
-    return out
-
-
-def matrix(grams: list[tuple[np.ndarray, np.ndarray]], lo: int, hi: int) -> np.ndarray:
-    """Unit-length rows of square-root counts of documents lo..hi."""
-    x = np.zeros(((hi - lo) * DIMENSIONS,), dtype=np.float32)
-    for cells, docs in grams:
-        a, b = np.searchsorted(docs, [lo, hi])
-        x += np.bincount((docs[a:b] - lo).astype(np.int64) * DIMENSIONS + cells[a:b], minlength=len(x))
-    x = np.sqrt(x.reshape(hi - lo, DIMENSIONS))
+    b[(b >= 0x21) & (b <= 0x40)] = 0x20
+    return b
+
+
+def _cells(b: np.ndarray, k: int) -> np.ndarray:
+    """The hashed cell of each gram of k + 1 bytes."""
+    g = b
+    for j, base in ((1, 257), (2, 263))[:k]:
+        g = g[:-1] * np.uint32(base) + b[j:]
+    return ((g + np.uint32(k * 7919)) * np.uint32(2654435761) >> np.uint32(32 - BITS)).astype(np.int32)
+
+
+def _scaled(counts: np.ndarray) -> np.ndarray:
+    x = np.sqrt(counts)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def vectors(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Unit-length rows of square-root counts of grams of 1, 2 and 3 bytes, one for each text."""
+    n = len(offsets) - 1
+    b = _plain(data)
+    doc = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
+    x = np.zeros(n * DIMENSIONS, dtype=np.float32)
+    for k in range(3):
+        if len(b) > k:
+            c = _cells(b, k)
+            inside = doc[: len(c)] == doc[k:]
+            x += np.bincount((doc[: len(c)] * DIMENSIONS + c)[inside], minlength=len(x))
+    return _scaled(x.reshape(n, DIMENSIONS))
+
+
+def long_vector(data: np.ndarray) -> np.ndarray:
+    """The row of one text of any length, counted piece by piece."""
+    x = np.zeros(DIMENSIONS, dtype=np.float64)
+    for at in range(0, len(data), BYTES_AT_ONCE):
+        for k in range(3):
+            b = _plain(data[at : at + BYTES_AT_ONCE + k])
+            if len(b) > k:
+                x += np.bincount(_cells(b, k), minlength=DIMENSIONS)
+    return _scaled(x[None, :].astype(np.float32))
+
+
+def batches_of(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, vectors) of a column's texts, some at a time or a long one alone; nulls are empty."""
+    raw = pc.fill_null(column, "").cast(pa.large_string())
+    _, offs, data = raw.buffers()
+    offsets = np.frombuffer(offs, dtype=np.int64, count=len(raw) + 1 + raw.offset)[raw.offset :]
+    flat = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    lo = 0
+    while lo < len(raw):
+        hi = int(np.searchsorted(offsets, offsets[lo] + BYTES_AT_ONCE, side="right")) - 1
+        hi = max(lo + 1, min(hi, lo + ROWS_AT_ONCE))
+        a, b = int(offsets[lo]), int(offsets[hi])
+        yield lo, long_vector(flat[a:b]) if b - a > BYTES_AT_ONCE else vectors(flat[a:b], offsets[lo : hi + 1] - a)
+        lo = hi
+
+
 def fit_pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A linear machine by sub-gradient steps on the hinge loss (Pegasos, averaged); y is +1 or -1."""
+    """A linear machine by sub-gradient steps on the hinge loss (Pegasos, averaged); x ends with ones, y is +1 or -1."""
     rng = np.random.default_rng(0)
-    w, total, steps = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), 0
-    x = np.hstack([x, np.ones((len(x), 1), dtype=np.float32)])
+    w, total, steps = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 0
     weight = np.where(y > 0, 1 / max(1, (y > 0).sum()), 1 / max(1, (y < 0).sum())) * len(y) / 2
     t, parts = 0, max(1, len(x) // 32)
     rounds = max(EPOCHS, -(-LEAST_STEPS // parts))
@@ -109,20 +149,31 @@ def fit_pair(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     languages: list[str]
-    families: list[str]
-    pairs: list[tuple[str, str]] = field(default_factory=list)  # of families, then of languages
-    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, DIMENSIONS + 1)))
+    families: list[str]  # a machine each, against the rest, where there are several
+    pairs: list[tuple[str, str]] = field(default_factory=list)  # of languages of one family, a machine each
+    weights: np.ndarray = field(default_factory=lambda: np.zeros((0, DIMENSIONS + 1), dtype=np.float32))
+
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return (x @ self.weights[:, :-1].T + self.weights[:, -1]).astype(np.float64)
 
     def decide(self, margins: np.ndarray) -> tuple[list[str], np.ndarray]:
-        """Labels and scores of rows of margins, one column for each pair."""
+        """Labels and scores of rows of margins, one column for each machine."""
         n = len(margins)
-        column = {p: k for k, p in enumerate(self.pairs)}
-
-        def vote(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            votes, sums = np.zeros((n, len(names))), np.zeros((n, len(names)))
-            least = np.full((n, len(names)), np.inf)
-            for i, j in combinations(range(len(names)), 2):
-                m = margins[:, column[names[i], names[j]]]
+        own = len(self.families) if len(self.families) > 1 else 0
+        column = {p: own + k for k, p in enumerate(self.pairs)}
+        sure = lambda m: 1 / (1 + np.exp(-4 * np.clip(m, -20, 20)))
+        fam, score = np.zeros(n, dtype=np.int64), np.ones(n)
+        if own:
+            fam = np.argmax(margins[:, :own], axis=1)
+            score = sure(margins[np.arange(n), fam])
+        out = np.empty(n, dtype=object)
+        for k, f in enumerate(self.families):
+            rows = np.flatnonzero(fam == k)
+            members = [x for x in self.languages if family(x) == f]
+            votes, sums, least = np.zeros((3, len(rows), len(members)))
+            least[:] = np.inf
+            for i, j in combinations(range(len(members)), 2):
+                m = margins[rows, column[members[i], members[j]]]
                 votes[:, i] += m >= 0
                 votes[:, j] += m < 0
                 sums[:, i] += m
@@ -130,99 +181,88 @@ class Model:
                 least[:, i] = np.minimum(least[:, i], m)
                 least[:, j] = np.minimum(least[:, j], -m)
             best = np.argmax(votes + np.clip(sums, -1e6, 1e6) * 1e-9, axis=1)
-            return best, least[np.arange(n), best]
-
-        fam, sure = vote(self.families)
-        out, score = np.empty(n, dtype=object), 1 / (1 + np.exp(-4 * np.clip(sure, -20, 20)))
-        for k, f in enumerate(self.families):
-            rows = np.flatnonzero(fam == k)
-            members = [x for x in self.languages if family(x) == f]
-            if len(members) == 1:
-                out[rows] = members[0]
-                continue
-            best, inside = vote(members)
-            out[rows] = np.array(members, dtype=object)[best[rows]]
-            score[rows] *= 1 / (1 + np.exp(-4 * np.clip(inside[rows], -20, 20)))
+            out[rows] = np.array(members, dtype=object)[best]
+            if len(members) > 1:
+                score[rows] *= sure(least[np.arange(len(rows)), best])
         return list(out), score
 
 
-def fit(sample: list[tuple[str, str]]) -> Model:
-    """A model of (lang, text) rows."""
-    langs = sorted({x for x, _ in sample})
-    model = Model(langs, sorted({family(x) for x in langs}))
+def fit(labels: list[str], x: np.ndarray) -> Model:
+    """A model of labelled vectors; the last column of x is 1."""
+    langs = sorted(set(labels))
+    model = Model(langs, sorted({family(a) for a in langs}))
     if len(langs) < 2:
         return model
-    raw = [t.encode("utf-8", "ignore")[:SAMPLE_BYTES] for _, t in sample]
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    grams = features(data, np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
-    x = np.vstack([matrix(grams, k, min(k + ROWS_AT_ONCE, len(raw))) for k in range(0, len(raw), ROWS_AT_ONCE)])
-    label = np.array([a for a, _ in sample])
-    kin = np.array([family(a) for a in label])
-    weights = []
-    tasks = [(kin, p) for p in combinations(model.families, 2)]
+    label, kin = np.array(labels), np.array([family(a) for a in labels])
+    weights = [fit_pair(x, np.where(kin == f, 1.0, -1.0)) for f in model.families] if len(model.families) > 1 else []
     for f in model.families:
-        tasks += [(label, p) for p in combinations([a for a in langs if family(a) == f], 2)]
-    for names, (a, b) in tasks:
-        rows = np.flatnonzero((names == a) | (names == b))
-        model.pairs.append((a, b))
-        weights.append(fit_pair(x[rows], np.where(names[rows] == a, 1.0, -1.0)))
-    model.weights = np.array(weights)
+        for a, b in combinations([a for a in langs if family(a) == f], 2):
+            rows = np.flatnonzero((label == a) | (label == b))
+            model.pairs.append((a, b))
+            weights.append(fit_pair(x[rows], np.where(label[rows] == a, 1.0, -1.0)))
+    model.weights = np.array(weights, dtype=np.float32)
     return model
 
 
-def sample(docs: DataFrame, train: Column, per_language: int) -> list[tuple[str, str]]:
-    """Of each language the rows with the smallest id hashes: (lang, text), at most per_language each."""
-    rows = docs.where(train & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES_AT_MOST).collect()}
-    # One threshold for each language picks about the wanted number of rows before any text moves.
-    u = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = None
-    for a, n in sorted(counts.items()):
-        part = rows.where((F.col("lang") == a) & (u < (1.5 * per_language + 50) / n) & F.col("text").rlike(r"\p{L}")).select("lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"), u.alias("u"), "doc_id")
-        chosen = part if chosen is None else chosen.union(part)
-    if chosen is None:
-        return []
-    out: dict[str, list] = {}
-    for r in sorted(chosen.collect(), key=lambda r: (r.lang, r.u, r.doc_id)):
-        out.setdefault(r.lang, []).append((r.lang, r.text))
-    return [x for a in sorted(out) for x in out[a][:per_language]]
+def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts' vectors, their cells that are not zero as numbers and values."""
+    for batch in batches:
+        for lo, x in batches_of(batch.column("text")):
+            cells = [np.flatnonzero(r) for r in x]
+            raw = [np.concatenate([c.astype("<u2").view(np.uint8), r[c].astype("<f4").view(np.uint8)]).tobytes() for c, r in zip(cells, x, strict=True)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, len(x)) for c in ("lang", "u")], pa.array(raw, pa.binary())], names=["lang", "u", "vector"])
+
+
+def sample(docs: DataFrame, train: Column, per_language: int, fitting_rows: int = FITTING_ROWS) -> tuple[list[str], np.ndarray]:
+    """Labels and vectors, with a last column of ones, of the rows to fit on."""
+    rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return [], np.zeros((0, DIMENSIONS + 1), dtype=np.float32)
+    most = min(per_language, max(1, fitting_rows // len(counts)))
+    # A threshold for each language picks about the wanted number of rows in one scan.
+    u = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
+    least = F.create_map(*[F.lit(x) for a, n in sorted(counts.items()) for x in (a, int(min(1.0, (1.5 * most + 50) / n) * (1 << 40)))])
+    picked = rows.select("lang", u.alias("u"), "text").where(F.col("u") < F.try_element_at(least, F.col("lang")))
+    once = picked.mapInArrow(_sparse, "lang string, u long, vector binary").groupBy("lang", "u").agg(F.min("vector").alias("vector"))
+    ranked = once.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("u"))).where(F.col("k") <= most)
+    got = sorted(ranked.select("lang", "u", "vector").collect(), key=lambda r: (r.lang, r.u))
+    x = np.zeros((len(got), DIMENSIONS + 1), dtype=np.float32)
+    x[:, -1] = 1
+    for k, r in enumerate(got):
+        n = len(r.vector) // 6
+        x[k, np.frombuffer(r.vector, dtype="<u2", count=n)] = np.frombuffer(r.vector, dtype="<f4", offset=2 * n)
+    return [r.lang for r in got], x
 
 
 def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
-        w = model.weights[:, :-1].T.astype(np.float32).copy()
-        bias = model.weights[:, -1]
         for batch in batches:
             text = batch.column("text")
-            for s in _words.slices(text, most=1 << 20):
-                n = s.hi - s.lo
+            rest = [c for c in batch.schema.names if c != "text"]
+            for lo, x in batches_of(text):
+                n = len(x)
                 lang, score = [UNDETERMINED] * n, np.zeros(n)
                 if len(model.languages) == 1:
                     lang, score = [model.languages[0]] * n, np.ones(n)
                 elif model.languages:
-                    grams = features(s.data, s.offsets)
-                    margins = [matrix(grams, k, min(k + ROWS_AT_ONCE, n)) @ w + bias for k in range(0, n, ROWS_AT_ONCE)]
-                    lang, score = model.decide(np.vstack(margins))
-                texts = text.slice(s.lo, n).to_pylist()
-                for k, t in enumerate(texts):
-                    if t is None or not _LETTER.search(t):
+                    lang, score = model.decide(model.margins(x))
+                for k, t in enumerate(text.slice(lo, n)):
+                    if not t.is_valid or not _LETTER.search(t.as_py()):
                         lang[k], score[k] = UNDETERMINED, 0.0
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(s.lo, n) for c in batch.schema.names if c != "text"], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))],
-                    names=[*[c for c in batch.schema.names if c != "text"], "lang_pred", "score"],
-                )
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(lo, n) for c in rest], pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1))], names=[*rest, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, train: Column, per_language: int = PER_LANGUAGE, fitting_rows: int = FITTING_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred and score of every text, and the columns of ``keep``.
 
     ``train``, a condition on ``doc_id``, names the rows whose text and label may be learned
     from; no other column enters a prediction.
     """
-    model = fit(sample(only(docs, doc_id=id_col, text=text_col, lang=lang_col), train, per_language))
+    model = fit(*sample(only(docs, doc_id=id_col, text=text_col, lang=lang_col), train, per_language, fitting_rows))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     extra = {f"_x{k}": c for k, c in enumerate(keep or [])}
     named = only(docs, doc_id=id_col, text=text_col, **extra)

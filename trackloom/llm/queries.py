@@ -54,7 +54,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from trackloom.llm.language_id import fold, identify
 
     out = identify(documents(spark, sf_dir), train=fold() != 1)
-    return out.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(fold() == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
