@@ -11,8 +11,8 @@ held against the longer of template and span. So words put in, left out or chang
 share, a span's words that the template lacks do too, and ``LEAST_SHARE`` decides.
 
 Only hits, phrase places and one row a text are shuffled, once, by a row number that each
-text gets where it is read. The templates are a local table; Catalyst broadcasts it if it is
-small enough, and joins by shuffle if a caller brings a large one.
+text gets where it is read. The templates' places are broadcast if they are at most
+``BROADCAST_PLACES``; if a caller brings more, the join is left to Spark.
 
 Defined results: a null or empty text has no words, nulls for the places, empty labels and
 score 0; every row has its own result, whatever its id (null or repeated); an empty table
@@ -31,6 +31,7 @@ from trackloom.llm._shared import lower_az
 
 K = 3
 NEAR = 2
+BROADCAST_PLACES = 50_000
 LEAST_SHARE = 60  # percent of the template's words, or the span's where these are more
 
 #: Between words: ASCII that is no letter or digit, once A-Z is lowered.
@@ -111,9 +112,10 @@ def template_places(templates: list[tuple[str, str]]) -> list[tuple]:
 
 
 def _table(spark: SparkSession, templates: list[tuple[str, str]]) -> DataFrame:
-    words = [f"t{j}" for j in range(K)]
-    table = spark.createDataFrame(template_places(templates), "template int, label string, size int, t int, " + ", ".join(f"{w} string" for w in words))
-    return table.select("template", "label", "size", "t", *words, F.xxhash64(*words).alias("h"))
+    words, places = [f"t{j}" for j in range(K)], template_places(templates)
+    table = spark.createDataFrame(places, "template int, label string, size int, t int, " + ", ".join(f"{w} string" for w in words))
+    table = table.select("template", "label", "size", "t", *words, F.xxhash64(*words).alias("h"))
+    return F.broadcast(table) if len(places) <= BROADCAST_PLACES else table
 
 
 def _covered(places: str) -> Column:
