@@ -280,6 +280,33 @@ def test_jaccard_chains(spark, tmp_path):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == _components(rows)
 
 
+def test_jaccard_hot_groups_in_blocks(spark, tmp_path, monkeypatch):
+    """Salts and blocks far smaller than the groups: near copies that partly link, hot shingles, outliers."""
+    monkeypatch.setattr(jaccard_join, "HOT_ROWS", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(4)
+    base = [f"b{k}" for k in range(90)]
+    rows = []
+    for k in range(70):
+        own = base.copy()
+        for at in rng.choice(90, int(rng.integers(0, 6)), replace=False):
+            own[at] = f"n{k}_{at}"
+        rows.append(" ".join(own[: 90 - int(rng.integers(0, 12))]))
+    rows += [" ".join(["hot"] * 9) + f" q{k}" for k in range(20)] + ["short one"] * 3
+    d = folder(tmp_path, rows)
+    got = jaccard_join.jaccard_components(spark.read.parquet(d + "/documents.parquet").repartition(6))
+    want = _components(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want and len({c for _, c in want.values()}) > 3
+
+
+def test_jaccard_repeated_ids_with_other_texts(spark, tmp_path):
+    """The smallest text of an id stands for it; every row keeps its own size."""
+    rows = [(1, text(0, 40, "")), (1, "zz " + text(100, 150, "")), (2, "zz " + text(100, 150, "")), (3, text(0, 40, "")), (None, text(0, 40, "")), (1, None), (4, text(0, 40, ""))]
+    d = _rows(tmp_path, rows)
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in Q["op8_jaccard_join"](spark, d).collect())
+    assert got == [(0, 36, 0), (1, 0, 1), (1, 36, 1), (1, 47, 1), (2, 47, 2), (3, 36, 1), (4, 36, 1)]
+
+
 def test_jaccard_filters_are_exact():
     rng = np.random.default_rng(2)
     for _ in range(400):

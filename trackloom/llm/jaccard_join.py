@@ -15,14 +15,21 @@ whole sequence as one). Two documents link when their sets' Jaccard similarity i
    same filters. A pair inside one component cannot change a class, so a group of m near copies
    costs some m pairs where it holds together.
 
+Hot shingles: one whose frequency in the sketch is over ``HOT_ROWS`` has its rows dealt by salts of
+row and shingle in step 3, so its groups stay below that, and near copies, which share many
+shingles, meet under others where one shingle's salt parts them. Step 4 gives a group's
+largest component and its other rows blocks of ``BLOCK_ROWS`` each, and lets each block of the
+one meet each of the others: every pair is looked at in one task, and no task has more than
+two blocks of a group.
+
 Components are whole: no group, pair or document is dropped. Texts are needed thrice: for
 sketch and sizes, for prefixes, and for the candidates' sets, which a Bloom filter of fixed
 size picks before any shuffle.
 
 Defined results: a null, empty or blank text has an empty set and links with nothing; a row
 with a null id keeps its row with a null class; rows that repeat an id count as one document,
-that of any of its rows, and get a row each; an empty table gives an empty result; other
-columns are ignored.
+whose text is the smallest of theirs, and get a row each, with the size of their own set; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trackloom.llm import _sketch, _words
@@ -42,6 +49,8 @@ from trackloom.llm.components import components
 SKETCH_CELLS = 1 << 22
 BLOOM_CELLS = 1 << 22
 SEEN_SETS = 1 << 16
+HOT_ROWS = 512
+BLOCK_ROWS = 256
 U64 = np.uint64
 
 
@@ -100,17 +109,20 @@ def _measure(n: int):
     return run
 
 
-def frequency_classes(cells: np.ndarray) -> np.ndarray:
-    """Half powers of two of what a cell holds over its chance load: what chance explains is class 0."""
+def frequency_classes(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Half powers of two of what a cell holds over its chance load, what chance explains being
+    class 0, and for each class the salts that its shingles' rows are dealt to."""
     usual = float(np.median(cells))
     spread = max(1.0, 1.4826 * float(np.median(np.abs(cells - usual))))
     over = (cells - usual) / (4 * spread)
-    return np.clip(np.floor(2 * np.log2(np.maximum(over, 0.5))) + 1, 0, 63).astype(np.uint8)
+    classes = np.clip(np.floor(2 * np.log2(np.maximum(over, 0.5))) + 1, 0, 63).astype(np.uint8)
+    salts = np.minimum(np.ceil(4 * spread * 2 ** (np.arange(64) / 2) / HOT_ROWS), 1 << 20).astype(np.int32)
+    return classes, salts
 
 
 def _prefixes(n: int, percent: int, table):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = table.value, {}
+        (classes, salts), seen = table.value, {}
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for w in _words.slices(batch.column("text"), lower=True):
@@ -127,23 +139,28 @@ def _prefixes(n: int, percent: int, table):
                 c = classes[(s.hash & U64(SKETCH_CELLS - 1)).astype(np.int64)]
                 o = np.argsort(c, kind="stable")
                 o = o[np.argsort(s.doc[o].astype(np.uint16), kind="stable")]
-                h, doc = s.hash[o], s.doc
+                h, doc, dealt = s.hash[o], s.doc, salts[c[o]]
                 pos = np.arange(len(h)) - s.first[doc]
                 size = s.size[doc]
                 keep = (pos < size - (percent * size + 99) // 100 + 1) & fresh[doc]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[keep].view(np.int64)), pa.array(ids[w.lo + doc[keep]]), pa.array(size[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
-                    names=["token", "doc_id", "n", "pos"],
+                    [pa.array(h[keep].view(np.int64)), pa.array(dealt[keep]), pa.array(ids[w.lo + doc[keep]]), pa.array(size[keep].astype(np.int32)), pa.array(pos[keep].astype(np.int32))],
+                    names=["token", "salts", "doc_id", "n", "pos"],
                 )
 
     return run
 
 
-ROWS = "token long, doc_id long, n int, pos int"
+ROWS = "token long, salts int, doc_id long, n int, pos int"
+
+
+def _dealt(row: str = "doc_id") -> Column:
+    """Which of its token's salts a row has; another one for another token."""
+    return F.when(F.col("salts") > 1, F.pmod(F.xxhash64(row, "token"), F.col("salts"))).otherwise(0)
 
 
 def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of tokens that have several; rows come sorted by token."""
+    """Rows of tokens that have several, or may have them under another salt; rows come sorted by token."""
     before, held = None, None  # the last row's token if it has gone out or not, and the row if it waits
     for batch in batches:
         if not batch.num_rows:
@@ -154,7 +171,7 @@ def _in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield held
             held = None
         same = token[1:] == token[:-1]
-        keep = np.append(before is not None and token[0] == before, same) | np.append(same, False)
+        keep = np.append(before is not None and token[0] == before, same) | np.append(same, False) | (batch.column("salts").to_numpy() > 1)
         if not keep[-1]:
             held = batch.slice(batch.num_rows - 1, 1)
         before = token[-1]
@@ -172,7 +189,7 @@ SKIPS = (*DENSE, 16, 32, 64, 128)
 
 
 def _neighbours(percent: int):
-    """Rows sorted by token and size to pairs with the rows SKIPS before them."""
+    """Rows sorted by token, salt and size to pairs with the rows SKIPS before them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
@@ -208,41 +225,60 @@ def _may_link(na, pa_, nb, pb, percent: int):
     return (percent * na <= 100 * nb) & (percent * nb <= 100 * na) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need(na, nb, percent))
 
 
-def _across(percent: int):
-    """Rows sorted by token and size to pairs of different components that pass the filters and were not neighbours.
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (token, rep, n, pos, comp) of tokens of several components, under each key (token, kind, i, j) where they meet others.
 
-    Rows too small for any later row leave the window.
+    Kind 0 is a block of the token's largest component (side 0) and one of the other rows (side 1);
+    kind 1 is two blocks of the other rows, or one that meets itself (side 2).
     """
-    skips = np.zeros(max(SKIPS) + 2, dtype=bool)
-    skips[list(SKIPS)] = True
+    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("main"), F.sum("c").alias("all"))
+    blocks = lambda c: F.ceil(c / BLOCK_ROWS).cast("int")
+    r = rows.join(sizes.select("token", "top", blocks(F.col("main")).alias("m"), blocks(F.col("all") - F.col("main")).alias("o")), "token")
+    at = lambda c: F.pmod(F.xxhash64("rep", "token"), F.col(c)).cast("int")
+    each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    key = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    main = F.transform(each("o"), lambda x: key(0, at("m"), x, F.lit(0)))
+    own = at("o")
+    others = F.concat(
+        F.transform(each("m"), lambda x: key(0, x, own, F.lit(1))),
+        F.transform(each("o"), lambda x: key(1, F.least(own, x), F.greatest(own, x), F.when(own == x, 2).when(own < x, 0).otherwise(1))),
+    )
+    return r.select("token", "rep", "n", "pos", "comp", F.explode(F.when(F.col("comp") == F.col("top"), main).otherwise(others)).alias("k")).select("token", "k.*", "rep", "n", "pos", "comp")
+
+
+def _across(percent: int):
+    """Rows sorted by token, kind, i and j to pairs of different components that pass the filters."""
+    names = ["token", "kind", "i", "j", "side", "rep", "n", "pos", "comp"]
+
+    def met(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        side, rep, n, pos, comp = group[4:]
+        a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        x, y = np.nonzero((comp[a][:, None] != comp[b][None, :]) & _may_link(n[a][:, None], pos[a][:, None], n[b][None, :], pos[b][None, :], percent))
+        x, y = rep[a[x]], rep[b[y]]
+        return np.minimum(x, y), np.maximum(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, window, used, place = None, None, 0, 0
+        held = np.zeros((len(names), 0), dtype=np.int64)
+
+        def pairs(rows: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+            found = [met(rows[:, a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            # Both orders of a pair of one block, and pairs that share several tokens, once.
+            o = np.lexsort((b, a))
+            new = np.ones(len(o), dtype=bool)
+            new[1:] = (a[o[1:]] != a[o[:-1]]) | (b[o[1:]] != b[o[:-1]])
+            return pa.RecordBatch.from_arrays([pa.array(a[o[new]]), pa.array(b[o[new]])], names=["a", "b"])
+
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("token", "rep", "n", "pos", "comp")), strict=True)
-            left, right = [], []
-            for t, rep, n, pos, comp in rows:
-                if t != token:
-                    token, window, used, place = t, np.zeros((64, 5), dtype=np.int64), 0, 0
-                w = window[:used]
-                if used:
-                    if 100 * w[0, 1] < percent * n:
-                        w = w[100 * w[:, 1] >= percent * n]
-                        used = len(w)
-                        window[:used] = w
-                        w = window[:used]
-                    far = ~skips[np.minimum(place - w[:, 4], max(SKIPS) + 1)]
-                    ok = far & (w[:, 3] != comp) & _may_link(w[:, 1], w[:, 2], np.int64(n), pos, percent)
-                    if ok.any():
-                        hit = w[ok, 0]
-                        left.append(np.minimum(hit, rep))
-                        right.append(np.maximum(hit, rep))
-                if used == len(window):
-                    window = np.concatenate([window, np.zeros_like(window)])
-                window[used] = rep, n, pos, comp, place
-                used, place = used + 1, place + 1
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+            rows = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])], axis=1)
+            if not rows.shape[1]:
+                continue
+            cuts = np.append(0, np.flatnonzero(np.any(rows[:4, 1:] != rows[:4, :-1], axis=0)) + 1)
+            held = rows[:, cuts[-1] :]
+            if len(cuts) > 1:
+                yield pairs(rows, cuts)
+        if held.shape[1]:
+            yield pairs(held, np.array([0, held.shape[1]]))
 
     return run
 
@@ -334,11 +370,29 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataF
     return settle(pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(_verify(n, percent), "a long, b long"), "verified")
 
 
+MEASURED = "kind int, doc_id long, n_shingles long, one long, two long, block long, cells binary"
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest id reachable by links, its own included)."""
-    spark = docs.sparkSession
     named = only(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    measured = settle(named.mapInArrow(_measure(n), "kind int, doc_id long, n_shingles long, one long, two long, block long, cells binary"), "measured", ["kind"])
+    measured = settle(named.mapInArrow(_measure(n), MEASURED), "measured", ["kind"])
+    rows = measured.where("kind = 0")
+    sets = F.struct("one", "two", "n_shingles")
+    several = settle(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(sets).alias("lo"), F.max(sets).alias("hi")).where("lo <> hi").select("doc_id"), "ids-of-several-sets")
+    if several.isEmpty():
+        return _classes(named, measured, n, percent)
+    # Ids whose rows have different sets: one text stands for each.
+    chosen = named.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    once = named.where("doc_id is not null").join(several, "doc_id", "left_anti").unionByName(chosen)
+    classes = _classes(once, settle(once.mapInArrow(_measure(n), MEASURED), "measured", ["kind"]), n, percent)
+    of = classes.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles").join(of, "doc_id", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(named: DataFrame, measured: DataFrame, n: int, percent: int) -> DataFrame:
+    """The result where rows of one id have one set."""
+    spark = named.sparkSession
     rows = measured.where("kind = 0").select("doc_id", "n_shingles", "one", "two")
     cells = _sketch.total(measured.where("kind = 1").select("block", "cells"), SKETCH_CELLS)
     table = spark.sparkContext.broadcast(frequency_classes(cells))
@@ -348,39 +402,41 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         rows.join(shared, ["one", "two"], "left").select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")),
         "members",
     )
-    discard(measured)
     discard(shared)
-    rep_of = members.where("n_shingles > 0 and doc_id is not null").select("doc_id", "rep")
+    rep_of = members.where("n_shingles > 0 and doc_id is not null").select("doc_id", "rep").distinct()
 
     named = named.where("doc_id is not null")
     grouped = settle(
-        named.mapInArrow(_prefixes(n, percent, table), ROWS).repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_in_groups, ROWS),
+        named.mapInArrow(_prefixes(n, percent, table), ROWS).repartition(F.col("token"), _dealt()).sortWithinPartitions("token").mapInArrow(_in_groups, ROWS),
         "prefix-groups",
     )
     # Rows of a representative: equal sets that different tasks sent meet here.
-    reps = settle(grouped.join(rep_of, "doc_id").select("token", F.col("rep").alias("doc_id"), "n", "pos").distinct(), "prefix-reps")
+    reps = settle(grouped.join(rep_of, "doc_id").select("token", "salts", F.col("rep").alias("doc_id"), "n", "pos").distinct(), "prefix-reps")
     discard(grouped)
-    first = settle(reps.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(_neighbours(percent), "a long, b long").distinct(), "pairs")
+    met = reps.withColumn("salt", _dealt()).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "doc_id").drop("salt")
+    first = settle(met.mapInArrow(_neighbours(percent), "a long, b long").distinct(), "pairs")
     texts = _texts_of(named, reps.select("doc_id").distinct())
     links = _verified(first, texts, n, percent)
     found = settle(components(links), "components")
 
-    known = reps.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("token", F.col("doc_id").alias("rep"), "n", "pos", F.coalesce("component", "doc_id").alias("comp"))
+    known = reps.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select("token", "salts", F.col("doc_id").alias("rep"), "n", "pos", F.coalesce("component", "doc_id").alias("comp"))
     known = settle(known, "labelled")
     discard(reps)
     discard(found)
-    mixed = settle(known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where(f"lo < hi and c > {len(DENSE) + 1}").select("token"), "mixed")
+    # In a smaller group without salts all pairs have been looked at.
+    mixed = settle(known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.max("salts").alias("salts")).where(f"lo < hi and (c > {len(DENSE) + 1} or salts > 1)").select("token"), "mixed")
+    rest = settle(known.join(mixed, "token").drop("salts"), "mixed-rows")
     more = settle(
-        known.join(mixed, "token")
-        .repartition("token")
-        .sortWithinPartitions("token", "n", "rep")
+        _in_blocks(rest)
+        .repartition("token", "kind", "i", "j")
+        .sortWithinPartitions("token", "kind", "i", "j")
         .mapInArrow(_across(percent), "a long, b long")
         .distinct()
         .join(first, ["a", "b"], "left_anti"),
         "pairs-across",
     )
     late = _verified(more, texts, n, percent)
-    for used in (first, texts, known, mixed, more):
+    for used in (first, texts, known, mixed, rest, more):
         discard(used)
     found = settle(components(links.union(late)), "components")
     discard(links)
