@@ -105,7 +105,7 @@ def test_token_counts(spark, tmp_path):
 
 def test_every_prefix(spark, tmp_path):
     library = _bpe.load(P.path("byte_bpe_50k.json")).library
-    rows = [t for t in HARD if t and len(t) < 120]
+    rows = [t for t in HARD if t and len(t) < 120] + ["<|endoftext|>", "a<|endoftext|>b<|endoftext|>", "<|endoftext", " <|endoftext|> <|endoftext|>\n", "x" * 60 + "<|endoftext|>" + "'s 12"]
     got = token_counts.prefix_counts(spark.read.parquet(folder(tmp_path, rows) + "/documents.parquet"), P.path("byte_bpe_50k.json"))
     for r in got.collect():
         t = rows[r.doc_id]
@@ -130,6 +130,14 @@ def test_packing(spark, tmp_path):
     assert all(sum(n for _, n in s) <= 2048 for s in sequences.values())
 
 
+def test_sentences_end_before_white_space():
+    bpe = _bpe.load(P.path("byte_bpe_50k.json"))
+    ids = np.frombuffer(bpe.encode(["It is 3.14 or more. Yes!\nNo"])[0], dtype="<u4")
+    texts = [bpe.token[i].decode() for i in ids.tolist()]
+    ends = ["".join(texts[:k]) for k in bpe.ends(ids, bpe.sentence_end)]
+    assert "It is 3.14 or more." in ends and not any(e.endswith("3.") for e in ends)
+
+
 def test_cuts_are_cheapest():
     rng = np.random.default_rng(0)
     for _ in range(20):
@@ -158,7 +166,68 @@ def test_pieces_equal_the_library(spark, tmp_path):
     assert {r.doc_id: r.text for r in back.collect()} == dict(enumerate(t or "" for t in HARD))
     assert all(r.round_trip for r in Q["op5_sentencepiece"](spark, str(tmp_path)).collect())
     long = codec.library.normalize(text(0, 400))
-    assert list(codec.search(long, 32)) == list(codec.search(long, 10**9))
+    assert list(codec.search(long, 3)) == list(codec.search(long)) == list(codec.search(long, 10**9))
+
+
+def test_pieces_in_chunks(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "CHUNK", 50)
+    codec = sentencepiece_codec.load(P.path("piece_bpe_32k.model"))
+    rows = [*HARD, "a" * 500, "  x   " * 90, " " * 200, ("é日 " * 40) + "x" * 120]
+    for t, x in zip(rows, codec.encode(rows), strict=True):
+        assert np.frombuffer(x, "<u4").tolist() == codec.library.encode(t or "")
+
+
+def test_bad_ids(spark):
+    codec = sentencepiece_codec.load(P.path("piece_bpe_32k.model"))
+    good = codec.library.encode("good ids")
+    rows = spark.createDataFrame([(1, good), (2, [*good, -1, None, 10**6, 0]), (3, None), (4, [])], "doc_id int, ids array<int>")
+    got = {r.doc_id: r.text for r in sentencepiece_codec.decode(rows, P.path("piece_bpe_32k.model")).collect()}
+    assert got == {1: "good ids", 2: "good ids" + " \u2047 " * 4, 3: None, 4: ""}
+
+
+def _message(fields):
+    """A protocol-buffer message of (number, value) pairs; a float is written as 32 bits."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    parts = []
+    for number, v in fields:
+        if isinstance(v, int):
+            parts.append(varint(number << 3) + varint(v))
+        elif isinstance(v, float):
+            parts.append(varint(number << 3 | 5) + struct.pack("<f", v))
+        else:
+            parts.append(varint(number << 3 | 2) + varint(len(v)) + v)
+    return b"".join(parts)
+
+
+def test_unigram_ids_equal_the_library(tmp_path):
+    """The vocabulary file's pieces as a unigram model with scores by rule, no two paths' sums being rounded."""
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        own = list(sentencepiece_codec._fields(f.read()))
+    rng, out = np.random.default_rng(9), []
+    for number, value in own:
+        if number == 1:
+            p = dict(sentencepiece_codec._fields(value))
+            out.append((1, _message([(1, p[1]), (2, -float(rng.integers(64, 900)) / 64), (3, p.get(3, 1))])))
+        elif number == 2:
+            spec = [(k, v) for k, v in sentencepiece_codec._fields(value) if k not in (3,) and isinstance(v, int)]
+            out.append((2, _message([*spec, (3, 1)])))
+        elif isinstance(value, bytes):
+            out.append((number, value))
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(_message(out))
+    codec = sentencepiece_codec.Codec(path)
+    assert not codec.bpe
+    rows = [*HARD, *CLEAN, "x" * 300, "straße " * 60, "日本" * 100]
+    for t, x in zip(rows, codec.encode(rows), strict=True):
+        assert np.frombuffer(x, "<u4").tolist() == codec.library.encode(t or "")
 
 
 def test_unigram_search():

@@ -2,19 +2,24 @@
 
 The search walks a normalised text once. At each place it keeps the best path that ends there,
 a backpointer and the last piece; only places within the longest piece's length can still be
-reached from, so these are the surviving paths. When all of them lead back to one boundary,
-the ids before it are settled and leave the window, which so stays bounded for texts of any
-length. In unigram models the best path has the largest sum of piece scores; in BPE models
-the path is the one whose every two neighbours the merges leave apart, of which each place has
-exactly one, so both give the ids of the ``sentencepiece`` library.
+reached from, so the paths that survive end at these. When all of them lead back to one
+boundary, the ids before it are settled and leave the window. The search looks for such a
+boundary each time the window has grown by the longest piece's length, and before each run of
+space marks, where all paths meet at once, as no piece has a mark after another character.
+So the window is bounded by the longest piece and the longest word, for texts of any length.
 
-No piece has a space mark after another character, so all paths meet before each run of space
-marks: words are settled one by one and a bounded cache holds those that repeat.
+What lies between two boundaries before space marks is a function of its characters alone, so
+a bounded cache answers those that repeat; texts are taken in chunks that end at such a boundary.
+
+In unigram models the best path has the largest sum of piece scores (in double precision); in
+BPE models the path is the one whose every two neighbours the merges leave apart, of which each
+place has exactly one, so both give the ids of the ``sentencepiece`` library.
 
 Characters without a piece become byte pieces, or the unknown id in models without them.
 
-Defined results: a null or empty text has no ids and decodes to an empty one; repeated rows get
-a row each; an empty table gives an empty result; other columns are ignored.
+Defined results: a null or empty text has no ids and decodes to an empty one; ids that are null,
+negative or not in the model decode like the unknown id; repeated rows get a row each; null ids
+of rows stay null; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -35,7 +40,7 @@ from trackloom.llm._shared import only
 from trackloom.llm.token_counts import portions
 
 SPACE = "▁"
-COMMIT_EVERY = 256
+CHUNK = 1 << 18
 UNKNOWN_PENALTY = 10.0
 UNIGRAM, BPE = 1, 2
 #: Piece types of the model file (fixed values).
@@ -128,8 +133,13 @@ class Codec:
             self._follows[a << 20 | b] = known
         return known
 
-    def search(self, text: str, every: int = COMMIT_EVERY) -> Iterator[int]:
-        """The piece of each step of the best path through a normalised text; -1 - code point for a character without piece."""
+    def search(self, text: str, every: int | None = None) -> Iterator[int]:
+        """The piece of each step of the best path through a normalised text; -1 - code point for a character without piece.
+
+        Each time the window has grown by ``every`` places (the longest piece's length), what all surviving paths share is given.
+        """
+        every = every or self.longest
+        due = every
         ids, longest, scores, follows, bpe = self.ids.get, self.longest, self.scores, self._follows.get, self.bpe
         n, base = len(text), 0  # base: where the window begins
         last, back, best = [-1], [0], [0.0]
@@ -164,7 +174,7 @@ class Codec:
                 last.append(t)
                 back.append(at)
                 best.append(top)
-            if i - base >= every and i % every == 0:
+            if i - base >= due:
                 # Surviving paths end at the last places a piece can still begin from.
                 alive = set(range(max(base, i - longest + 1), i + 1))
                 while len(alive) > 1:
@@ -172,6 +182,7 @@ class Codec:
                     alive.discard(k)
                     alive.add(back[k - base])
                 meet = alive.pop()
+                due = i - meet + every
                 if meet > base:
                     yield from self._path(last, back, base, meet)
                     cut = meet - base
@@ -200,9 +211,21 @@ class Codec:
 
     # Texts
 
-    def words(self, text: str) -> list[str]:
+    def chunks(self, text: str) -> Iterator[str]:
+        """A normalised text in parts of about CHUNK characters, cut before runs of space marks."""
+        at = 0
+        while len(text) - at > CHUNK:
+            cut = text.find(SPACE, at + CHUNK)
+            while cut > 0 and text[cut - 1] == SPACE:
+                cut = text.find(SPACE, cut + 1)
+            if cut < 0:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:] if at else text
+
+    def words(self, s: str) -> list[str]:
         """A normalised text cut before each run of space marks."""
-        s = self.library.normalize(text)
         if s[:1] == SPACE and s[-1:] != SPACE and SPACE * 2 not in s:
             return s[1:].split(SPACE)
         return [w[1:] if w[0] == SPACE and len(w) > 1 and w[1] != SPACE else SPACE + w for w in _RUNS.findall(s)]
@@ -213,7 +236,14 @@ class Codec:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts, as little-endian unsigned 32-bit numbers."""
-        cut = [self.words(t) if t else [] for t in texts]
+        whole = [self.library.normalize(t) if t else "" for t in texts]
+        short = iter(self._encode([self.words(s) if s else [] for s in whole if len(s) <= CHUNK]))
+        return [next(short) if len(s) <= CHUNK else self._long(s) for s in whole]
+
+    def _long(self, s: str) -> bytes:
+        return b"".join([self._encode([self.words(part)])[0] for part in self.chunks(s)])
+
+    def _encode(self, cut: list[list[str]]) -> list[bytes]:
         wanted: set[str] = set()
         for c in cut:
             wanted.update(c)
@@ -222,7 +252,15 @@ class Codec:
         return [b"".join(map(look, c)) for c in cut]
 
     def decode(self, ids: bytes) -> str:
-        raw = b"".join(map(self.raw.__getitem__, memoryview(ids).cast("I").tolist())).decode("utf-8", "replace")
+        return self._text(map(self.raw.__getitem__, memoryview(ids).cast("I").tolist()))
+
+    def decode_any(self, ids: list[int | None]) -> str:
+        """Ids of any kind: those that the model lacks are unknown ones."""
+        n, unknown = len(self.raw), self.raw[self.unknown]
+        return self._text([self.raw[i] if i is not None and 0 <= i < n else unknown for i in ids])
+
+    def _text(self, parts: Iterable[bytes]) -> str:
+        raw = b"".join(parts).decode("utf-8", "replace")
         return raw[1:] if self.dummy_prefix and raw[:1] == " " else raw
 
 
@@ -251,12 +289,12 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 
 def decode(encoded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text of every row's ids; null ids are none."""
+    """doc_id and text of every row's ids; null where these are null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load(model)
         for batch in batches:
-            texts = [codec.decode(array("I", x or []).tobytes()) for x in batch.column("ids").to_pylist()]
+            texts = [None if x is None else codec.decode_any(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
