@@ -111,15 +111,22 @@ class ByteBPE:
         self._follows: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
         size = max([*ranks.values(), *self.special_ids]) + 1
-        self.sentence_end, self.clause_end, self._spaced = np.zeros((3, size), dtype=bool)
+        self.sentence_end, self.clause_end, self._spaced, self._begins = np.zeros((4, size), dtype=bool)
         for b, i in ranks.items():
             self.sentence_end[i] = b.rstrip(b"\"')]")[-1:] in (b".", b"!", b"?", b"\n")
             self.clause_end[i] = b[-1:] in (b",", b";", b":")
             self._spaced[i] = b[:1] == b" "
+            self._begins[i] = b[:1] in (b" ", b"\n", b"\t", b"\r")
         self._newline = ranks[b"\n"]
         self._ids = _Held(lambda w: array("I", self.plain(spelled(w))).tobytes(), self._many)
         self._tables = _Held(self._table, lambda many: {w: self._table(w) for w in many})
 
+    def ends(self, ids: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Places after a sentence's or clause's last token: one that ends like it, before one that begins with white space, or the last."""
+        last = kind[ids]
+        last[:-1] &= self._begins[ids[1:]] | (ids[:-1] == self._newline)
+        return np.flatnonzero(last) + 1
+
     def special_in(self, text: str) -> bool:
         return any(s in text for s in self.specials)
 
@@ -207,6 +214,12 @@ class ByteBPE:
     def prefix_counts(self, text: str) -> list[int]:
         """Tokens of text[:i] for each i from 0 to len(text), exactly."""
         if self.special_in(text):
+            at, special = min(((text.find(s), s) for s in self.specials if s in text), key=lambda x: (x[0], -len(x[1])))
+            end = at + len(special)
+            if not any(s != special and s in text[:end] for s in self.specials):
+                # Until its last character a special string is plain text; from there on it is one token, and what follows stands alone.
+                before = self.prefix_counts(text[: end - 1])
+                return before + [before[at] + 1 + c for c in self.prefix_counts(text[end:])]
             return [len(self.library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
         bare = text[1:] if text[:1] == " " else text
         if bare.isascii() and bare.isalpha():

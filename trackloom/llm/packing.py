@@ -8,8 +8,10 @@ only where none of these comes within half a sequence, anywhere:
 
 As padding is size - (j - i), the minimum is over cost(i) + i in a sliding window, which a
 monotone queue answers in constant time. The stream is cut in blocks; a block's last few
-sequences stay open and are chosen anew with what follows. A sequence whose padding costs
-more than the cuts is split into sequences of powers of two, which need none.
+sequences stay open and are chosen anew with what follows. The chosen sequences whose padding
+costs more than further cuts are then split into sequences of powers of two, which need none;
+the split lowers the cost of the choice and does not enter it. A sentence ends where white space
+follows its sign, so "3.14" is one.
 
 No shuffle: the rows that leave a task are the pieces of the documents it read. A lost task
 runs again over the same split and gives the same sequence ids.
@@ -102,9 +104,8 @@ def split_padded(cuts: list[int], start: int, size: int) -> list[int]:
 class Stream:
     """The open end of one partition's stream."""
 
-    def __init__(self, partition: int, size: int, sentence_end: np.ndarray, clause_end: np.ndarray, end_id: int):
-        self.next_id, self.size, self.end_id = partition << 40, size, end_id
-        self.sentence_end, self.clause_end = sentence_end, clause_end
+    def __init__(self, partition: int, size: int, bpe: _bpe.ByteBPE, end_id: int):
+        self.next_id, self.size, self.end_id, self.bpe = partition << 40, size, end_id, bpe
         self.docs: list[tuple[int, int, int, bytes]] = []  # id, ids before this part, tokens of the document, ids
         self.tokens = 0
 
@@ -120,8 +121,7 @@ class Stream:
         raw = b"".join([d[3] for d in self.docs])
         ids = np.frombuffer(raw, dtype="<u4")
         doc_ends = np.cumsum([len(d[3]) // 4 for d in self.docs])
-        sentences = np.flatnonzero(self.sentence_end[ids]) + 1
-        clauses = np.flatnonzero(self.clause_end[ids]) + 1
+        sentences, clauses = self.bpe.ends(ids, self.bpe.sentence_end), self.bpe.ends(ids, self.bpe.clause_end)
         cuts = choose_cuts(*places(doc_ends, sentences, clauses, self.size), self.size)
         if not last:
             cuts = cuts[: max(0, len(cuts) - OPEN_SEQUENCES)]
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 1, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe.load(tokenizer)
-        stream = Stream(TaskContext.get().partitionId(), size, bpe.sentence_end, bpe.clause_end, end_id)
+        stream = Stream(TaskContext.get().partitionId(), size, bpe, end_id)
         id_type = None
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
