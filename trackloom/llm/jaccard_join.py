@@ -233,7 +233,9 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
     """
     sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("main"), F.sum("c").alias("all"))
     blocks = lambda c: F.ceil(c / BLOCK_ROWS).cast("int")
-    r = rows.join(sizes.select("token", "top", blocks(F.col("main")).alias("m"), blocks(F.col("all") - F.col("main")).alias("o")), "token")
+    # Written first, so that the join is no stage of the aggregation's and Spark may broadcast it or split a hot token's rows.
+    sizes = settle(sizes.select("token", "top", blocks(F.col("main")).alias("m"), blocks(F.col("all") - F.col("main")).alias("o")), "mixed-sizes")
+    r = rows.join(sizes, "token")
     at = lambda c: F.pmod(F.xxhash64("rep", "token"), F.col(c)).cast("int")
     each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     key = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
