@@ -200,14 +200,19 @@ def reverse(coords) -> Column:
 
 def in_ring(lon, lat, ring) -> Column:
     """Point in a closed ring by ray casting; the boundary counts as inside (GEO14)."""
+    return in_segments(lon, lat, segments(ring))
+
+
+def in_segments(lon, lat, parts) -> Column:
+    """The same by a ring's segments, of which those that reach the point's latitude are enough."""
     px, py = _c(lon), _c(lat)
 
     def crosses(s: Column) -> Column:
         a, b = s["a"], s["b"]
         return ((a["lat"] > py) != (b["lat"] > py)) & (px < (b["lon"] - a["lon"]) * (py - a["lat"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0)) + a["lon"])
 
-    hits = F.aggregate(segments(ring), F.lit(0), lambda n, s: n + F.coalesce(crosses(s), F.lit(False)).cast("int"))
-    on = F.exists(segments(ring), lambda s: foot(px, py, s["a"], s["b"])["d2"] <= 1e-24)
+    hits = F.aggregate(parts, F.lit(0), lambda n, s: n + F.coalesce(crosses(s), F.lit(False)).cast("int"))
+    on = F.exists(parts, lambda s: foot(px, py, s["a"], s["b"])["d2"] <= 1e-24)
     return (hits % 2 == 1) | on
 
 

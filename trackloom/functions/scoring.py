@@ -183,9 +183,17 @@ def link_pair_score(transition: Column, outlier: Column, connector_km: Column, f
     return 4 * transition + outlier + 0.15 * connector_km + F.when(fallback, 0.05).otherwise(0.0) + F.when(secondary, 0.01).otherwise(0.0)
 
 
-def virtual_score(total_km: Column, air_km: Column) -> Column:
-    """GRF16: the way there, and dearly what lies between station and track."""
-    return total_km + 6 * air_km + 30 * F.greatest(F.lit(0.0), air_km - 0.35)
+def virtual_score(total_km: Column, *air_km: Column) -> Column:
+    """GRF16: the way there, and dearly what lies between each station and the track."""
+    out = total_km
+    for a in air_km:
+        out = out + 6 * a + 30 * F.greatest(F.lit(0.0), a - 0.35)
+    return out
+
+
+def bridge_score(transition: Column, outlier: Column, connector_km: Column, fallbacks: Column, gap_km: Column) -> Column:
+    """GRF11: a path over a bridge between components; ``fallbacks`` counts ends without a stored link."""
+    return 4 * transition + outlier + 0.15 * connector_km + 0.05 * fallbacks + 0.20 + 0.35 * gap_km
 
 
 def travel_hours(length_km: Column, speed_kmh: float = 60.0) -> Column:

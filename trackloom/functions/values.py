@@ -40,12 +40,16 @@ def parse_distance_km(c: Column) -> Column:
 
 
 def parse_minutes(c: Column) -> Column:
-    """"n", "hh:mm" or "n ч m мин" (DAT1)."""
+    """"n", a whole "hh:mm", "n ч m мин", or the first number of any other text (DAT1)."""
     t = F.lower(F.trim(c.cast("string")))
     part = lambda pattern, k=1: F.nullif(F.regexp_extract(t, pattern, k), F.lit("")).try_cast("int")
     hours, minutes = part(r"(\d+)\s*ч"), part(r"(\d+)\s*м")
-    return F.when(t.rlike(r"^\d+$"), part(r"^(\d+)$")).when(t.rlike(r"^\d+:\d+"), part(r"^(\d+):") * 60 + part(r"^\d+:(\d+)")).otherwise(
-        F.when(hours.isNotNull() | minutes.isNotNull(), F.coalesce(hours, F.lit(0)) * 60 + F.coalesce(minutes, F.lit(0)))
+    clock = r"^(\d{1,2}):(\d{2})$"
+    return (
+        F.when(t.rlike(r"^\d+$"), part(r"^(\d+)$"))
+        .when(t.rlike(clock), part(clock) * 60 + part(clock, 2))
+        .when(hours.isNotNull() | minutes.isNotNull(), F.coalesce(hours, F.lit(0)) * 60 + F.coalesce(minutes, F.lit(0)))
+        .otherwise(part(r"(\d+)"))
     )
 
 

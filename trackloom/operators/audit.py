@@ -24,11 +24,27 @@ def _polygon_cells(polygons: DataFrame, cell: float) -> DataFrame:
     return b.withColumn("cx", F.explode(span("box.w", "box.e"))).withColumn("cy", F.explode(span("box.s", "box.n"))).drop("box")
 
 
+def _ring_cells(polygons: DataFrame, cell: float) -> DataFrame:
+    """hit, cx, cy of each cell that a ring covers or passes: ``whole`` where it covers all of it, else the
+    ring's segments in the cell's band of latitude, which decide for every point of the cell."""
+    rings = polygons.select(F.col("region_code").alias("hit"), F.explode("rings").alias("ring")).withColumn("box", box_of(F.array("ring")))
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor(F.col(hi) / cell).cast("int"))
+    rows = rings.select("hit", geo.segments("ring").alias("all"), span("box.w", "box.e").alias("xs"), F.explode(span("box.s", "box.n")).alias("cy"))
+    reaches = lambda axis, at: lambda s: (F.greatest(s["a"][axis], s["b"][axis]) >= at * cell) & (F.least(s["a"][axis], s["b"][axis]) <= (at + 1) * cell)
+    rows = rows.select("hit", "cy", F.filter("all", reaches("lat", F.col("cy"))).alias("parts"), F.explode("xs").alias("cx"))
+    rows = rows.withColumn("passed", F.exists("parts", reaches("lon", F.col("cx"))))
+    middle = geo.in_segments((F.col("cx") + 0.5) * cell, (F.col("cy") + 0.5) * cell, F.col("parts"))
+    return rows.withColumn("whole", ~F.col("passed") & middle).where("whole or passed").select("hit", "cx", "cy", "whole", F.when(F.col("passed"), F.col("parts")).alias("parts"))
+
+
 def point_hits(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """JON6, GEO14: points with each region they lie in (``hit``), null without any."""
-    keyed = points.withColumn("cx", F.floor(F.col("lon") / cell).cast("int")).withColumn("cy", F.floor(F.col("lat") / cell).cast("int"))
-    inside = F.exists("rings", lambda r: geo.in_ring("lon", "lat", r))
-    hits = keyed.join(_polygon_cells(polygons, cell), ["cx", "cy"]).where(inside).select("id", "hit").distinct()
+    """JON6, GEO14: points with each region they lie in (``hit``), null without any.
+
+    A cell within a region settles its points; others meet the part of the ring that matters there.
+    """
+    keyed = points.select("id", "lon", "lat", F.floor(F.col("lon") / cell).cast("int").alias("cx"), F.floor(F.col("lat") / cell).cast("int").alias("cy"))
+    inside = F.col("whole") | geo.in_segments("lon", "lat", F.col("parts"))
+    hits = keyed.join(_ring_cells(polygons, cell), ["cx", "cy"]).where(inside).select("id", "hit").distinct()
     return points.join(hits, "id", "left")
 
 
@@ -88,15 +104,22 @@ def low_own_share(lines: DataFrame, boxes: DataFrame, least: float = 0.5) -> Dat
 
 def nearby_line_counts(stations: DataFrame, lines: DataFrame, radius_m: float) -> DataFrame:
     """JON4, AGG5, GEO19: distinct lines of each kind within a radius of every station."""
-    seg = explode_segments(lines.select(F.col("id").alias("line_id"), "is_service_line", "is_main_passenger_line", "coords"))
-    pairs = segment_range_join(stations.select(F.col("id").alias("station_id"), "lon", "lat"), seg, radius_m / 1000)
-    distinct = lambda cond: F.countDistinct(F.when(cond, F.col("line_id")))
-    n = pairs.groupBy("station_id").agg(
-        F.countDistinct("line_id").alias("nearby_lines"), distinct(F.col("is_service_line")).alias("service_lines"),
-        distinct(~F.col("is_service_line")).alias("open_lines"), distinct(F.col("is_main_passenger_line")).alias("passenger_lines"),
-    )
-    cols = ["nearby_lines", "service_lines", "open_lines", "passenger_lines"]
-    return stations.join(n.withColumnRenamed("station_id", "id"), "id", "left").fillna(0, cols)
+    n = _counts_within(stations, lines, [radius_m])
+    return stations.join(n, "id", "left").fillna(0, COUNTS)
+
+
+#: How many lines of each kind are near a station.
+COUNTS = ["nearby_lines", "service_lines", "open_lines", "passenger_lines"]
+
+
+def _counts_within(stations: DataFrame, lines: DataFrame, radii_m: list[float]) -> DataFrame:
+    """id and COUNTS for each radius (with the radius appended, where there are several), of stations that have any: one join for all."""
+    seg = explode_segments(lines.select(F.col("id").alias("line_id"), F.coalesce("is_service_line", F.lit(False)).alias("service"), F.coalesce("is_main_passenger_line", F.lit(False)).alias("main"), "coords"))
+    pairs = segment_range_join(stations.select("id", "lon", "lat"), seg, max(radii_m) / 1000)
+    near = pairs.groupBy("id", "line_id", "service", "main").agg(F.min("distance_km").alias("km"))
+    kinds = dict(zip(COUNTS, [F.lit(True), F.col("service"), ~F.col("service"), F.col("main")], strict=True))
+    name = lambda kind, r: kind if len(radii_m) == 1 else f"{kind}_{r}"
+    return near.groupBy("id").agg(*[F.count(F.when(cond & (F.col("km") <= r / 1000), 1)).alias(name(kind, r)) for r in radii_m for kind, cond in kinds.items()])
 
 
 def station_decisions(rows: DataFrame) -> DataFrame:
@@ -127,11 +150,9 @@ def action_counts(decisions: DataFrame) -> DataFrame:
 
 def radius_classes(stations: DataFrame, lines: DataFrame, radii_m: list[int]) -> DataFrame:
     """Each station's class at several radii: a column for each."""
-    parts = []
-    for r in radii_m:
-        n = nearby_line_counts(stations.select("id", "lon", "lat"), lines, r)
-        parts.append(n.select("id", scoring.station_class(F.col("nearby_lines"), F.col("service_lines"), F.col("open_lines"), F.col("passenger_lines")).alias(f"r{r}")))
-    return reduce(lambda a, b: a.join(b, "id"), parts)
+    names = [[k if len(radii_m) == 1 else f"{k}_{r}" for k in COUNTS] for r in radii_m]
+    n = stations.select("id").join(_counts_within(stations, lines, radii_m), "id", "left").fillna(0, sum(names, []))
+    return n.select("id", *[scoring.station_class(*map(F.col, own)).alias(f"r{r}") for r, own in zip(radii_m, names, strict=True)])
 
 
 def transitions(classes: DataFrame, radii_m: list[int]) -> DataFrame:

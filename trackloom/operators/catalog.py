@@ -193,6 +193,27 @@ def calendar(first: str, last: str, spark) -> DataFrame:
     return days
 
 
+def recommended_codes(scored: DataFrame) -> DataFrame:
+    """TOP13: of each station's scored codes the first by score, priority, source and code.
+
+    scored: station_id, code, source, base_priority, final_score.
+    """
+    order = [F.desc_nulls_last("final_score"), F.coalesce(F.nullif("base_priority", F.lit(0)), F.lit(999)), F.coalesce("source", F.lit("")), F.coalesce("code", F.lit(""))]
+    return latest(scored, ["station_id"], order)
+
+
+def calendar_status(days: DataFrame, trains: DataFrame, errors: DataFrame) -> DataFrame:
+    """DAT3: each day's trains or failure; a day that failed leaves the others as they are.
+
+    trains: as ``merge_trains`` takes them; errors: day, error.
+    """
+    n = merge_trains(trains).groupBy("day").agg(F.count("*").alias("trains"))
+    bad = errors.groupBy("day").agg(F.min("error").alias("error"))
+    out = days.join(n, "day", "left").join(bad, "day", "left")
+    status = F.when(F.col("error").isNotNull() & F.col("trains").isNull(), "failed").when(F.col("trains").isNull(), "empty").when(F.col("error").isNotNull(), "partial").otherwise("ok")
+    return out.select("day", status.alias("status"), F.coalesce("trains", F.lit(0)).cast("long").alias("trains"), "error")
+
+
 def merge_trains(trains: DataFrame) -> DataFrame:
     """DAT3: trains found on several days and pairs once, in order of day, time and number."""
     return trains.dropDuplicates(["day", "train_number", "from_code", "to_code", "departure_time"]).orderBy("day", F.col("departure_time").asc_nulls_last(), "train_number")

@@ -61,8 +61,9 @@ def eligible(settlements: DataFrame, p: CorridorParams) -> DataFrame:
 
 def in_corridor(settlements: DataFrame, routes: DataFrame, corridor_km: float) -> DataFrame:
     """JON1, GEO3: settlements of each route's corridor with distance_to_route_km; routes(route_id, coords)."""
-    pairs = segment_range_join(settlements, explode_segments(routes), corridor_km)
-    return pairs.groupBy("route_id", *settlements.columns).agg(F.min("distance_km").alias("distance_to_route_km"))
+    pairs = segment_range_join(settlements.select("id", "lon", "lat"), explode_segments(routes), corridor_km)
+    near = pairs.groupBy("route_id", "id").agg(F.min("distance_km").alias("distance_to_route_km"))
+    return near.join(settlements, "id").select("route_id", *settlements.columns, "distance_to_route_km")
 
 
 def population_summary(settlements: DataFrame, routes: DataFrame, p: CorridorParams) -> DataFrame:

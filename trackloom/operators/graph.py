@@ -277,6 +277,36 @@ def shares_component(a, b):
 # Building
 
 
+def topology_input(lines: DataFrame, regions: list[str] | None = None) -> DataFrame:
+    """FLT20: open lines that are shown or main ones, of some regions, with two points at least."""
+    is_ = lambda c: F.coalesce(F.col(c), F.lit(False))
+    out = lines.where(~is_("is_service_line") & (is_("is_visible_default") | is_("is_main_passenger_line")) & (F.size("coords") >= 2))
+    return out.where(F.col("region_code").isin(regions)) if regions else out
+
+
+def build_topology(lines: DataFrame, stations: DataFrame, scope_key: str, regions: list[str] | None = None, k: int = 6, near_m: float = 450.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """GRF1, FLT20: nodes, edges and station links of a scope, from its regions' lines and stations.
+
+    stations: id, region_code, lon, lat.
+    """
+    used = topology_input(lines, regions).select(F.lit(scope_key).alias("scope_key"), "id", "coords")
+    nodes, edges = split_edges(node_lines(used))
+    own = stations.where(F.col("region_code").isin(regions)) if regions else stations
+    links = station_links(own.select(F.col("id").alias("station_id"), "lon", "lat"), nodes.select("node", "lon", "lat"), k, near_m)
+    return nodes, edges, links.withColumn("scope_key", F.lit(scope_key))
+
+
+def load_edges(edges: DataFrame, scopes: list[str] | None = None, most: int | None = None) -> DataFrame:
+    """TOP12: the edges of some scopes; with ``most``, a guard that callers may set, the first by id."""
+    out = edges.where(F.col("scope_key").isin(scopes)) if scopes else edges
+    return out if most is None else out.orderBy("edge_id").limit(most)
+
+
+def linked_nodes(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """JON7: links with the place of their node, those of nodes that the scope has."""
+    return links.join(nodes.select("scope_key", "node", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat")), ["scope_key", "node"])
+
+
 def split_edges(lines: DataFrame, least_km: float = 1e-6) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of noded two-point lines (GRF1, SET1): lines(scope_key, coords).
 

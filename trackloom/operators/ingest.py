@@ -178,8 +178,10 @@ def cleanup_plan(service_only: DataFrame, others: DataFrame) -> DataFrame:
 
 def remove_in_zones(stations: DataFrame, zones: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, archived): halts and platforms inside a zone that no route stops at go to the archive (UDF0)."""
-    inside = F.exists("rings", lambda r: geo.in_ring("lon", "lat", r))
-    hit = stations.where(F.col("station_type").isin("halt", "platform", "stop")).join(zones.select("region_code", "rings"), "region_code").where(inside).select("id").distinct()
+    from trackloom.operators.audit import point_hits
+
+    some = stations.where(F.col("station_type").isin("halt", "platform", "stop"))
+    hit = point_hits(some, zones).where(F.col("hit") == F.col("region_code")).select("id").distinct()
     gone = hit.join(used.select(F.col("station_id").alias("id")).distinct(), "id", "left_anti")
     return stations.join(gone, "id", "left_anti"), stations.join(gone, "id", "left_semi")
 
@@ -245,9 +247,10 @@ class SettlementFilter:
 
 
 def is_settlement_level(c: Column) -> Column:
-    """FLT18."""
-    s = text.slug(c)
-    return F.when(s.contains("аноним"), F.lit(False)).otherwise((s == "") | s.rlike("насел|поселен|город|село|деревн|settlement|place"))
+    """FLT18: an empty level counts as a settlement's; an anonymised one never does."""
+    s = F.lower(text.clean_text(c))
+    marked = s.contains("населен") | s.contains("settlement") | s.contains("locality") | s.isin("нп", "np")
+    return F.when(s.contains("аноним"), F.lit(False)).otherwise((s == "") | marked)
 
 
 def matches(c: Column, wanted: tuple[str, ...]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import geo, scoring
 from trackloom.functions.arrays import merge_sequences
 from trackloom.operators.ingest import latest
+from trackloom.operators.lineage import cut
 from trackloom.operators.spatial_join import explode_segments, segment_range_join
 
 
@@ -91,17 +92,130 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return out.where("transition is not null").withColumn("final_score", score)
 
 
-def virtual_route(found: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
-    """GRF16, GRF20: of the paths between two stations' options the best by way and air distance.
+LINK_KM = 1.5
 
-    found: as ``graph.paths`` gives them; starts, ends: node, air_km, along_km.
+
+def link_options(stations: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, max_km: float = LINK_KM, most: int = 32) -> DataFrame:
+    """GRF16: how each station reaches the network: stored links, near nodes of the scope, and both
+    ends of near edges, one option a node, with air_km and link_distance_km (JON7, TOP14, GEO9, TOP8, FLT23).
+
+    stations: id, lon, lat; links: scope_key, station_id, node, link_distance_m, is_primary; nodes:
+    scope_key, node, lon, lat; edges: scope_key, edge_id, src, dst, coords.
+    """
+    from trackloom.operators.graph import degrees, linked_nodes
+
+    of = degrees(edges).withColumnRenamed("node", "_n")
+    placed = nodes.join(of, F.col("node") == F.col("_n")).drop("_n")
+    at = stations.select(F.col("id").alias("station_id"), "lon", "lat")
+    stored = linked_nodes(links, placed).join(at, "station_id").join(of, F.col("node") == F.col("_n"))
+    stored = stored.select("station_id", "node", geo.haversine_km("lon", "lat", "node_lon", "node_lat").alias("air_km"), (F.col("link_distance_m") / 1000).alias("link_distance_km"), "degree", F.lit(True).alias("stored"))
+    near = nearest_nodes(stations.select("id", "lon", "lat"), placed.select("node", "lon", "lat", "degree").distinct(), max_km)
+    near = near.select(F.col("id").alias("station_id"), "node", F.col("distance_km").alias("air_km"), F.col("distance_km").alias("link_distance_km"), "degree", F.lit(False).alias("stored"))
+    near = near.join(stored.select("station_id", "node"), ["station_id", "node"], "left_anti")
+    snaps = edge_snaps(stations.select("id", "lon", "lat"), edges, max_km * 1000).join(of, F.col("node") == F.col("_n"))
+    snaps = snaps.select(F.col("id").alias("station_id"), "node", "air_km", (F.col("air_km") + F.col("along_km")).alias("link_distance_km"), "degree", F.lit(False).alias("stored"))
+    return within_air(merged_links(stored.unionByName(near), snaps, most), max_km).where("accepted").drop("accepted")
+
+
+def _sides(wanted: DataFrame, options: DataFrame) -> DataFrame:
+    """Options of both ends of each pair (pair_id, origin, destination) of different nodes."""
+    side = lambda x: options.select(F.col("station_id").alias(f"s_{x}"), F.col("node").alias({"a": "source", "b": "target"}[x]), F.col("air_km").alias(f"air_{x}"), F.col("link_distance_km").alias(f"km_{x}"), F.col("stored").alias(f"stored_{x}"))
+    return wanted.join(side("a"), F.col("origin") == F.col("s_a")).join(side("b"), F.col("destination") == F.col("s_b")).where("source <> target").drop("s_a", "s_b")
+
+
+def _found(pairs: DataFrame, edges: DataFrame, scope_key: str) -> DataFrame:
+    from trackloom.operators.graph import paths
+
+    asked = pairs.select(F.lit(scope_key).alias("scope_key"), "source", "target").distinct()
+    way = paths(edges.withColumn("scope_key", F.lit(scope_key)), asked).select(F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("length_km").alias("path_km"), "edge_ids", "nodes")
+    return pairs.join(way, (F.col("source") == F.col("_s")) & (F.col("target") == F.col("_t"))).drop("_s", "_t")
+
+
+def virtual_routes(wanted: DataFrame, options: DataFrame, edges: DataFrame, scope_key: str = "all") -> DataFrame:
+    """GRF16: for each pair of stations the best way through the network: every two options are tried,
+    and the way's length counts, and dearly what lies between station and track.
+
+    wanted: pair_id, origin, destination; options: as ``link_options`` gives them.
+    """
+    tried = _found(_sides(wanted, options), edges, scope_key)
+    total = F.col("path_km") + F.col("km_a") + F.col("km_b")
+    tried = tried.withColumn("total_km", total).withColumn("score", scoring.virtual_score(F.col("total_km"), F.col("air_a"), F.col("air_b")))
+    order = [F.round("score", 9), F.round("total_km", 9), F.size("edge_ids"), F.col("source"), F.col("target")]
+    return latest(tried, ["pair_id"], order)
+
+
+def probe(wanted: DataFrame, options: DataFrame, edges: DataFrame, scope_key: str = "all") -> DataFrame:
+    """GRF20: whether a scope connects two stations: the shortest total over their options, or ``no path``."""
+    tried = _found(_sides(wanted, options), edges, scope_key).withColumn("total_km", F.col("path_km") + F.col("km_a") + F.col("km_b"))
+    best = latest(tried, ["pair_id"], [F.round("total_km", 9), F.col("source"), F.col("target")]).select("pair_id", "source", "target", "path_km", "total_km", F.size("edge_ids").alias("edges"))
+    return wanted.join(best, "pair_id", "left").withColumn("result", F.when(F.col("total_km").isNull(), "no path").otherwise("path found"))
+
+
+def bridge_routes(wanted: DataFrame, options: DataFrame, edges: DataFrame, labels: DataFrame, bridges: DataFrame, scope_key: str = "all") -> DataFrame:
+    """GRF11: for pairs none of whose options share a component, the best way over one bridge (SET6).
+
+    wanted: pair_id, origin, destination, delta_km, geo_km; labels: node, component; bridges: as
+    ``graph.bridge_candidates`` gives them.
     """
-    a = starts.select(F.col("node").alias("source"), F.col("air_km").alias("air_a"), F.col("along_km").alias("along_a"))
-    b = ends.select(F.col("node").alias("target"), F.col("air_km").alias("air_b"), F.col("along_km").alias("along_b"))
-    j = found.join(a, "source").join(b, "target")
-    total = F.col("length_km") + F.col("along_a") + F.col("along_b")
-    j = j.withColumn("total_km", total).withColumn("score", scoring.virtual_score(F.col("total_km"), F.col("air_a") + F.col("air_b")))
-    return j.orderBy("score", "total_km", F.size("edge_ids"), "source", "target").limit(1)
+    named = with_components(options, labels).where("component is not null")
+    have = named.groupBy("station_id").agg(F.collect_set("component").alias("own"))
+    side = lambda x: have.select(F.col("station_id").alias(f"s_{x}"), F.col("own").alias(f"own_{x}"))
+    apart = wanted.join(side("a"), F.col("origin") == F.col("s_a")).join(side("b"), F.col("destination") == F.col("s_b")).where(~F.arrays_overlap("own_a", "own_b")).select(*wanted.columns)
+    both = bridges.select("component", F.col("r_component").alias("other"), F.col("node").alias("leave"), F.col("r_node").alias("enter"), F.col("distance_km").alias("gap_km"))
+    both = both.unionByName(both.select(F.col("other").alias("component"), F.col("component").alias("other"), F.col("enter").alias("leave"), F.col("leave").alias("enter"), "gap_km"))
+    end = lambda x: named.select(F.col("station_id").alias(f"s_{x}"), F.col("component").alias(f"c_{x}"), F.col("node").alias(f"node_{x}"), F.col("link_distance_km").alias(f"km_{x}"), F.col("stored").alias(f"stored_{x}"))
+    j = apart.join(end("a"), F.col("origin") == F.col("s_a")).join(end("b"), F.col("destination") == F.col("s_b"))
+    j = j.join(both, (F.col("c_a") == F.col("component")) & (F.col("c_b") == F.col("other"))).drop("s_a", "s_b", "component", "other")
+    legs = j.select(F.col("node_a").alias("source"), F.col("leave").alias("target")).union(j.select(F.col("enter").alias("source"), F.col("node_b").alias("target"))).distinct()
+    way = _found(legs.where("source <> target"), edges, scope_key).select("source", "target", "path_km", F.size("edge_ids").alias("hops"))
+    way = way.unionByName(legs.where("source = target").withColumn("path_km", F.lit(0.0)).withColumn("hops", F.lit(0)))
+    leg = lambda x: way.select(F.col("source").alias(f"u_{x}"), F.col("target").alias(f"v_{x}"), F.col("path_km").alias(f"path_{x}"), F.col("hops").alias(f"hops_{x}"))
+    j = j.join(leg("a"), (F.col("node_a") == F.col("u_a")) & (F.col("leave") == F.col("v_a"))).join(leg("b"), (F.col("enter") == F.col("u_b")) & (F.col("node_b") == F.col("v_b")))
+    total = F.col("km_a") + F.col("path_a") + F.col("gap_km") + F.col("path_b") + F.col("km_b")
+    j = j.withColumn("total_km", total).withColumn("edge_count", F.col("hops_a") + F.col("hops_b") + 1)
+    j = j.withColumn("transition", scoring.path_transition(F.col("delta_km"), F.col("total_km"), F.col("edge_count"))).where("transition is not null")
+    weak = (~F.col("stored_a")).cast("int") + (~F.col("stored_b")).cast("int")
+    score = scoring.bridge_score(F.col("transition"), scoring.path_outlier(F.col("delta_km"), F.col("geo_km"), F.col("total_km")), F.col("km_a") + F.col("km_b"), weak, F.col("gap_km"))
+    out = j.select("pair_id", F.lit("bridge").alias("mode"), score.alias("final_score"), "total_km", F.col("km_a").alias("start_km"), F.col("km_b").alias("end_km"), "edge_count", F.col("node_a").alias("source"), F.col("node_b").alias("target"), "leave", "enter", "gap_km")
+    return latest(out, ["pair_id"], [F.round("final_score", 9), F.round("total_km", 9), F.col("edge_count"), F.col("source"), F.col("target"), F.col("leave"), F.col("enter")])
+
+
+def direct_routes(wanted: DataFrame, options: DataFrame, edges: DataFrame, scope_key: str = "all") -> DataFrame:
+    """GRF12, TOP10: for each pair of stops the best path between their options (wanted as for ``bridge_routes``)."""
+    one = _sides(wanted, options).withColumn("start_km", F.col("km_a")).withColumn("end_km", F.col("km_b")).withColumn("p", F.col("stored_a")).withColumn("q", F.col("stored_b"))
+    tried = _found(one, edges, scope_key).withColumn("edge_count", F.size("edge_ids"))
+    return best_pair(score_pairs(tried)).withColumn("mode", F.lit("direct"))
+
+
+def chosen_routes(direct: DataFrame, bridged: DataFrame) -> DataFrame:
+    """GRF12: direct path or bridge, by score, total, connectors and edges."""
+    both = direct.unionByName(bridged, allowMissingColumns=True)
+    return latest(both, ["pair_id"], [F.round("final_score", 9), F.round("total_km", 9), F.col("start_km") + F.col("end_km"), F.col("edge_count"), F.col("mode").desc()])
+
+
+def build_routes(stops: DataFrame, locked: DataFrame, stations: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, scope_key: str = "all") -> tuple[DataFrame, DataFrame]:
+    """From stops with a chosen station to routes on the map: the way between every two neighbouring
+    stops, and each route's geometry in groups that a missing way parts (GRF12, GRF15, ARR6).
+
+    stops: route_id, stop_sequence, distance_km; locked: route_id, stop_sequence, station_id.
+    """
+    w = W.partitionBy("route_id").orderBy("stop_sequence")
+    at = stops.join(locked.select("route_id", "stop_sequence", F.col("station_id").alias("destination")), ["route_id", "stop_sequence"]).where("destination is not null")
+    at = at.withColumn("origin", F.lag("destination").over(w)).withColumn("_before", F.lag("distance_km").over(w)).where("origin is not null and origin <> destination")
+    place = lambda x: stations.select(F.col("id").alias(x), F.col("lon").alias(f"lon_{x}"), F.col("lat").alias(f"lat_{x}"))
+    at = at.join(place("origin"), "origin").join(place("destination"), "destination")
+    wanted = at.select(
+        "route_id", "stop_sequence", F.concat_ws(":", "route_id", "stop_sequence").alias("pair_id"), "origin", "destination",
+        scoring.delta_km(F.col("_before"), F.col("distance_km")).alias("delta_km"), geo.haversine_km("lon_origin", "lat_origin", "lon_destination", "lat_destination").alias("geo_km"),
+    )
+    wanted = cut(wanted)
+    used = stations.join(wanted.select(F.explode(F.array("origin", "destination")).alias("id")).distinct(), "id", "left_semi")
+    options = cut(link_options(used, links, nodes, edges))
+    found = direct_routes(wanted.drop("route_id", "stop_sequence"), options, edges, scope_key)
+    found = cut(found)
+    lines = path_geometry(found.select(F.col("pair_id").alias("path_id"), "edge_ids", "nodes"), edges).select(F.col("path_id").alias("pair_id"), "coords")
+    legs = wanted.join(found.select("pair_id", "source", "target", "path_km", "total_km", "edge_count", "final_score"), "pair_id", "left").join(lines, "pair_id", "left")
+    return legs, route_geometry(legs.select("route_id", "stop_sequence", "coords"))
 
 
 def with_components(options: DataFrame, labels: DataFrame) -> DataFrame:

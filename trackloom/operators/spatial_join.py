@@ -18,34 +18,69 @@ from trackloom.operators.lineage import cut
 
 KM_PER_DEGREE = 111.0
 HIGHEST_LATITUDE = 80.0
+HALF_GLOBE_KM = 20_100.0
 
 
 def cell(c: Column | str, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size).cast("int")
 
 
-def neighbours(x: Column, y: Column) -> Column:
-    """A cell and the eight around it."""
-    return F.array(*[F.struct((x + i).alias("cx"), (y + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-
-
 def cell_sizes(radius_km: float, max_lat: float = HIGHEST_LATITUDE) -> tuple[float, float]:
     """Cell width and height in degrees that a radius never exceeds up to a latitude."""
     high = radius_km / KM_PER_DEGREE * 1.01
     return high / math.cos(math.radians(max_lat)), high
 
 
-def range_join(left: DataFrame, right: DataFrame, radius_km: float, by: list[str] | None = None, max_lat: float = HIGHEST_LATITUDE, on: Column | None = None) -> DataFrame:
+class Bands:
+    """Cells of a sphere: bands of latitude as high as a radius, each cut in as many columns, around
+    the whole circle, as the radius allows there; one column where it spans a pole."""
+
+    def __init__(self, radius_km: float):
+        self.angle = math.radians(radius_km / KM_PER_DEGREE * 1.01)
+        self.height = math.degrees(self.angle)
+
+    def band(self, lat: Column) -> Column:
+        return F.floor(lat / self.height).cast("int")
+
+    def columns(self, band: Column) -> Column:
+        """How many columns a band has: points within the radius of one of its points are in the same or the next column."""
+        far = F.greatest(F.abs(band * self.height), F.abs((band + 1) * self.height)) + self.height
+        narrow = F.sin(F.lit(min(self.angle, math.pi) / 2)) / F.cos(F.radians(F.least(far, F.lit(89.999999))))
+        n = F.floor(F.lit(math.pi) / F.asin(F.least(narrow * 1.01, F.lit(1.0)))).cast("int")
+        return F.when((far >= 90) | (narrow >= 0.5) | (n < 3), F.lit(1)).otherwise(n)
+
+    @staticmethod
+    def column(lon: Column, n: Column) -> Column:
+        return F.pmod(F.floor((lon + 180) / 360 * n).cast("int"), n)
+
+    def key(self, lon: Column, lat: Column) -> tuple[Column, Column]:
+        y = self.band(lat)
+        return self.column(lon, self.columns(y)), y
+
+    def around(self, lon: Column, lat: Column) -> Column:
+        """The cells in which points within the radius can be, each once."""
+
+        def row(d: int) -> Column:
+            y = self.band(lat) + d
+            n = self.columns(y)
+            x = self.column(lon, n)
+            return F.transform(F.array_distinct(F.array(x, F.pmod(x + 1, n), F.pmod(x + n - 1, n))), lambda c: F.struct(c.alias("cx"), y.alias("cy")))
+
+        return F.concat(row(-1), row(0), row(1))
+
+
+def range_join(left: DataFrame, right: DataFrame, radius_km: float, by: list[str] | None = None, on: Column | None = None) -> DataFrame:
     """Pairs of points within a radius, with ``distance_km`` (JON1, JON4, JON18, JON21).
 
-    Both sides have lon and lat; the right side's columns are prefixed with ``r_``. ``by`` names
-    equality keys of both sides.
+    Both sides have lon and lat, anywhere on the globe: cells close over the date line and the
+    poles. The right side's columns are prefixed with ``r_``. ``by`` names equality keys of both
+    sides.
     """
-    width, height = cell_sizes(radius_km, max_lat)
-    by = by or []
-    a = left.withColumn("_cx", cell("lon", width)).withColumn("_cy", cell("lat", height))
+    bands, by = Bands(radius_km), by or []
+    x, y = bands.key(F.col("lon"), F.col("lat"))
+    a = left.withColumn("_cx", x).withColumn("_cy", y)
     b = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    b = b.withColumn("_cell", F.explode(neighbours(cell("r_lon", width), cell("r_lat", height)))).withColumn("_bx", F.col("_cell.cx")).withColumn("_by", F.col("_cell.cy")).drop("_cell")
+    b = b.withColumn("_cell", F.explode(bands.around(F.col("r_lon"), F.col("r_lat")))).withColumn("_bx", F.col("_cell.cx")).withColumn("_by", F.col("_cell.cy")).drop("_cell")
     cond = (F.col("_cx") == F.col("_bx")) & (F.col("_cy") == F.col("_by"))
     for k in by:
         cond &= F.col(k) == F.col(f"r_{k}")
@@ -65,7 +100,9 @@ def segment_range_join(points: DataFrame, segments: DataFrame, radius_km: float,
     """Points with each segment within a radius, and ``distance_km`` to it.
 
     A segment is cut in pieces no longer than a cell, and takes part in the cells around each
-    piece, so its rows follow its length. Cells are as large as the radius, at least.
+    piece, so its rows follow its length. Cells are as large as the radius, at least. Distances
+    are planar around the point, so a segment over the date line is to come cut there, and
+    ``max_lat`` bounds the latitudes.
     """
     pad_x, pad_y = cell_sizes(radius_km, max_lat)
     width, height = max(pad_x, least_cell), max(pad_y, least_cell)
@@ -97,28 +134,28 @@ def nearest_in_group(left: DataFrame, right: DataFrame, key: str, left_id: str,
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("distance_m", geo.haversine_m("lon", "lat", "r_lon", "r_lat")).drop("_d2")
 
 
-def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, radius_km: float, by: list[str] | None = None, rounds: int = 6) -> DataFrame:
-    """For each left point the k nearest right points, by growing rings of cells (JON3, GRF19).
+def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, radius_km: float, by: list[str] | None = None) -> DataFrame:
+    """For each left point the k nearest right points, all where there are fewer, by growing rings of cells (JON3, GRF19).
 
     A round joins within a radius and settles the left points that have k partners there; the
-    others go on with twice the radius. ``rounds`` bounds the radius; what is found by then is
-    kept whole.
+    others go on with four times the radius, until it spans the globe. ``radius_km`` is a start
+    that suits most points, no bound.
     """
     done, rest, r = None, left, radius_km
-    for step in range(rounds):
+    while True:
+        last = r >= HALF_GLOBE_KM
         pairs = range_join(rest, right, r, by)
         w = W.partitionBy(left_id).orderBy("distance_km", f"r_{right_id}")
         ranked = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
         enough = ranked.groupBy(left_id).agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(left_id)
-        last = step == rounds - 1
         part = ranked if last else ranked.join(enough, left_id, "left_semi")
         done = part if done is None else done.unionByName(part)
-        if not last:
-            rest = cut(rest.join(enough, left_id, "left_anti"))
-            if rest.isEmpty():
-                break
-        r *= 2
-    return done
+        if last:
+            return done
+        rest = cut(rest.join(enough, left_id, "left_anti"))
+        if rest.isEmpty():
+            return done
+        r = min(4 * r, HALF_GLOBE_KM)
 
 
 def dedupe_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -685,17 +685,6 @@ def station_links(t):
     return out.select("station_id", "node", "is_primary")
 
 
-@query()
-def shortest_paths(t):
-    pairs = t.chain.groupBy("scope_key").agg(F.min("src").alias("source")).join(t.chain.select("scope_key", F.col("dst").alias("target")).distinct(), "scope_key")
-    return graph.paths(t.chain, pairs).select("scope_key", "source", "target", F.round("length_km", 6).alias("length_km"), F.size("edge_ids").alias("edges"))
-
-
-@query()
-def path_distances(t):
-    return graph.distances(t.chain, t.chain.groupBy("scope_key").agg(F.min("src").alias("source")).select("source"))
-
-
 @query()
 def path_alternatives(t):
     far = t.edges.groupBy("scope_key").agg(F.min("src").alias("source"), F.max("dst").alias("target"))
@@ -718,11 +707,6 @@ def bridge_candidates(t):
     return graph.bridge_candidates(nodes, 400.0, 8, 1_000_000).select("scope_key", "component", "r_component", "node", "r_node")
 
 
-@query()
-def noded_network(t):
-    return graph.split_edges(graph.node_lines(t.lines.select(F.lit("all").alias("scope_key"), "id", "coords")))[1].select("src", "dst", F.round("length_km", 6).alias("length_km"))
-
-
 @query("select route_id as id, cast(count(*) as integer) + 1 as points from trunk_segments group by 1")
 def merged_lines(t):
     seg = t.trunk.withColumn("p", F.struct("lon", "lat")).withColumn("q", F.lag("p").over(W.partitionBy("route_id").orderBy("stop_sequence"))).where("q is not null")
@@ -730,12 +714,6 @@ def merged_lines(t):
     return out.select(F.col("scope_key").cast("int").alias("id"), F.size("coords").alias("points"))
 
 
-@query()
-def edge_snaps(t):
-    edges = t.lines.select(F.col("id").alias("edge_id"), F.lit("a").alias("src"), F.lit("b").alias("dst"), "coords")
-    return routing.edge_snaps(t.stations.select("id", "lon", "lat"), edges, 15_000.0).drop("coords")
-
-
 # Costs (NUM12-17, GRF13, GRF16)
 
 D, G, P, H = "(case when id % 10 = 0 then null else leg end)", "(leg * (id % 7) / 3.0)", "(leg * (id % 9) / 4.0)", "(id % 12)"
@@ -809,20 +787,13 @@ def source_digests(t):
     return readers.aggregate_md5(t.stations.select("region_code", F.col("name").alias("source"), F.md5(F.col("id").cast("string")).alias("md5")))
 
 
-@query()
-def line_collections(t):
-    return sinks.line_collection(t.lines, "region_code", ["id", "name"]).select("region_code", F.length("geojson").alias("chars"))
-
-
-@query()
-def payload_trains(t):
-    p = t.spark.table("events").select(F.col("event_id").alias("payload_id"), F.concat(F.lit('{"tp":[{"list":[{"number":"'), F.col("user_id").cast("string"), F.lit('","date0":"1","inner":{"trainNumber":7}},{"number":"'), F.col("user_id").cast("string"), F.lit('","date0":"1"}]}]}')).alias("payload"))
-    return readers.trains(p)
-
-
 # Streams (STM0)
 
 
 @query("select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
 def event_windows(t):
     return streams.tumbling(t.spark.table("events"))
+
+
+# Further queries register themselves here.
+from trackloom.plans import expressions, networks, files  # noqa: E402, F401, I001

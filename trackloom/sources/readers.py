@@ -29,7 +29,8 @@ def map_extract(nodes: DataFrame, ways: DataFrame) -> tuple[DataFrame, DataFrame
     """SRC1: stations (as points) and rail lines of extracted nodes and ways.
 
     nodes: osm_id, railway, name, tags_json, lon, lat; ways: the same with coords. A way of a
-    station stands for its centroid; ways of fewer than two points go.
+    station stands for its centroid, of the area where it is closed (four points at least), else of
+    the line; ways of fewer than two points go, and what is neither node nor way is not read.
     """
     c = geo.centroid("coords")
     station = F.col("railway").isin("station", "halt")
@@ -44,9 +45,9 @@ def _flip(c: Column) -> Column:
     return F.transform(c, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat")))
 
 
-def overpass(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """SRC2: (station features, line features) of a saved map query; a relation's place is its members' mean."""
-    e = spark.read.schema(OVERPASS).option("multiLine", True).json(path).select(F.explode("elements").alias("e")).select("e.*")
+def overpass(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """SRC2: (station features, line features) of saved map queries, a file each or, with ``lines``, a line each; a relation's place is its members' mean."""
+    e = spark.read.schema(OVERPASS).option("multiLine", not lines).json(path).select(F.explode("elements").alias("e")).select("e.*")
     all_points = F.coalesce(_flip(F.flatten(F.transform("members", lambda m: m["geometry"]))), F.array().cast(POINTS))
     own = F.when(F.col("type") == "node", F.array(geo.point("lon", "lat"))).when(F.col("type") == "way", _flip(F.col("geometry"))).otherwise(all_points)
     mean = lambda k: F.aggregate(own, F.lit(0.0), lambda s, p: s + p[k]) / F.nullif(F.size(own), F.lit(0))
@@ -70,13 +71,13 @@ def settlements(spark: SparkSession, path: str, sep: str = ";", encoding: str =
     raise ValueError(f"not a settlement file: {path}")
 
 
-def features(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(FEATURES).option("multiLine", True).json(path).select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
+def features(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(FEATURES).option("multiLine", not lines).json(path).select(F.explode("features").alias("f")).select("f.properties", "f.geometry")
 
 
-def boundaries(spark: SparkSession, path: str, region: str | None = None) -> DataFrame:
+def boundaries(spark: SparkSession, path: str, region: str | None = None, lines: bool = False) -> DataFrame:
     """SRC4: region_code, region_name, rings; polygons and multi-polygons alike."""
-    f = features(spark, path).select(F.try_element_at("properties", F.lit("code")).alias("region_code"), F.try_element_at("properties", F.lit("name")).alias("region_name"), "geometry")
+    f = features(spark, path, lines).select(F.try_element_at("properties", F.lit("code")).alias("region_code"), F.try_element_at("properties", F.lit("name")).alias("region_name"), "geometry")
     one = F.from_json("geometry", "type string, coordinates array<array<array<double>>>")
     many = F.from_json("geometry", "type string, coordinates array<array<array<array<double>>>>")
     ring = lambda r: F.transform(r, lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
@@ -105,13 +106,13 @@ def download_decision(remote: str | None, cached: str | None, have_file: bool) -
     return "download_and_verify" if remote else "download_unverified"
 
 
-def routes(spark: SparkSession, path: str) -> DataFrame:
-    """SRC9: route payloads, one to a file or a list of them."""
-    return spark.read.schema(ROUTE).option("multiLine", True).json(path)
+def routes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """SRC9: route payloads, one to a file or a list of them; with ``lines``, one to a line."""
+    return spark.read.schema(ROUTE).option("multiLine", not lines).json(path)
 
 
-def station_matches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MATCH).option("multiLine", True).json(path).withColumn("is_active", F.coalesce("is_active", F.lit(True)))
+def station_matches(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(MATCH).option("multiLine", not lines).json(path).withColumn("is_active", F.coalesce("is_active", F.lit(True)))
 
 
 def tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, DataFrame]:
@@ -122,6 +123,11 @@ def tables(spark: SparkSession, folder: str, names: list[str]) -> dict[str, Data
     return out
 
 
+def xml_fields(c: Column, names: list[str]) -> Column:
+    """JSN5: the named children of a one-level XML answer as a struct of strings; nulls where it is no XML."""
+    return F.from_xml(c, ", ".join(f"{n} string" for n in names), {"mode": "PERMISSIVE"})
+
+
 # Timetable payloads nest their records at no fixed depth (JSN1, JSN2).
 
 
