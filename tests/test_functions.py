@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import math
 import random
 
 import pytest
@@ -297,3 +298,55 @@ def test_network_cache(spark):
     cache.get(["c"], make)
     cache.get(["a", "b"], make)
     assert len(built) == 3
+
+
+def _globe(n, seed):
+    rng = random.Random(seed)
+    spots = [(rng.uniform(-180, 180), rng.choice([rng.uniform(-90, 90), rng.uniform(86, 90), rng.uniform(-90, -87)])) for _ in range(n)]
+    spots += [(179.99, 10.0), (-179.99, 10.0), (180.0, 0.0), (-180.0, 0.0), (0.0, 90.0), (77.0, 90.0), (12.0, -90.0)]
+    return [(k, float(x), float(y)) for k, (x, y) in enumerate(spots)]
+
+
+def _km(a, b):
+    (_, x, y), (_, u, v) = a, b
+    h = math.sin(math.radians(v - y) / 2) ** 2 + math.cos(math.radians(y)) * math.cos(math.radians(v)) * math.sin(math.radians(u - x) / 2) ** 2
+    return 2 * 6371.0088 * math.atan2(math.sqrt(h), math.sqrt(max(1e-12, 1 - h)))
+
+
+@pytest.mark.parametrize("radius", [30.0, 300.0, 2500.0, 12_000.0])
+def test_range_join_on_the_globe(spark, radius):
+    """Over the date line and around the poles, against all pairs."""
+    from trackloom.operators.spatial_join import range_join
+
+    rows = _globe(90, 3)
+    df = spark.createDataFrame(rows, "id long, lon double, lat double")
+    got = {(r.id, r.r_id) for r in range_join(df, df, radius).select("id", "r_id").collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if _km(a, b) <= radius}
+
+
+def test_nearest_neighbours_know_no_largest_radius(spark):
+    from trackloom.operators.spatial_join import knn_join
+
+    rows, few = _globe(40, 4), _globe(5, 5)
+    a, b = (spark.createDataFrame(x, "id long, lon double, lat double") for x in (rows, few))
+    got = {}
+    for r in knn_join(a, b, "id", "id", 3, 0.5).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.r_id))
+    for p in rows:
+        want = [q[0] for q in sorted(few, key=lambda q: (_km(p, q), q[0]))[:3]]
+        assert [i for _, i in sorted(got[p[0]])] == want
+    assert all(len(x) == 1 for x in ([r for r in knn_join(a, b.limit(1), "id", "id", 3, 0.5).where("id = 7").collect()],))
+
+
+def test_points_in_rings_by_cells(spark):
+    """Cells inside a ring, on its border and in a notch give what the whole ring gives."""
+    from trackloom.operators.audit import point_hits
+
+    rng = random.Random(1)
+    star = [(10 + 6 * math.cos(k * math.pi / 7) * (1 if k % 2 else 0.4), 50 + 5 * math.sin(k * math.pi / 7) * (1 if k % 2 else 0.4)) for k in range(14)]
+    rings = {"star": [star + star[:1]], "box": [[(9.0, 49.0), (13.0, 49.0), (13.0, 53.0), (9.0, 53.0), (9.0, 49.0)]], "two": [[(0.0, 40.0), (3.5, 40.0), (1.0, 44.2), (0.0, 40.0)], [(15.0, 47.0), (18.0, 47.0), (16.0, 48.0), (15.0, 47.0)]]}
+    polygons = spark.createDataFrame([(k, [[{"lon": x, "lat": y} for x, y in r] for r in v]) for k, v in rings.items()], "region_code string, rings array<array<struct<lon:double,lat:double>>>")
+    points = spark.createDataFrame([(k, rng.uniform(-1, 19), rng.uniform(39, 56)) for k in range(1500)] + [(2000, 9.0, 51.0), (2001, 13.0, 53.0)], "id long, lon double, lat double")
+    got = {(r.id, r.hit) for r in point_hits(points, polygons).collect() if r.hit}
+    whole = points.crossJoin(polygons).where(F.exists("rings", lambda r: geo.in_ring("lon", "lat", r)))
+    assert got == {(r.id, r.region_code) for r in whole.select("id", "region_code").collect()} and len(got) > 200
