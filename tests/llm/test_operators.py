@@ -92,6 +92,54 @@ def test_empty_table(spark, tmp_path, name):
     assert Q[name](spark, folder(tmp_path, [])).count() == 0
 
 
+#: Rows that repeat, with null ids, null texts and one id of several texts.
+ROWS = [(1, text(0, 40)), (1, text(0, 40)), (1, "other text of it"), (None, text(0, 40)), (None, None), (2, None), (2, ""), (3, text(5, 45)), (3, text(5, 45))]
+
+
+@pytest.mark.parametrize("name", [n for n in Q if n not in ("op9_vector_search", "op10_warc", "op4_packing")])
+def test_null_and_repeated_ids(spark, duck, same_rows, tmp_path, name):
+    """Every row has a result, whatever its id."""
+    d = _rows(tmp_path, ROWS)
+    got = Q[name](spark, d).toPandas()
+    assert sorted(-1 if i != i or i is None else i for i in got.doc_id) == sorted(-1 if i is None else i for i, _ in ROWS)
+    if name in ("op1_quality_rules", "op3_substring_dedup", "op7_license_scan"):
+        same_rows(duck(d).sql(queries.oracle_sql()[name]).df(), got)
+
+
+def test_packing_null_and_repeated_ids(spark, tmp_path):
+    library = _bpe.load(P.path("byte_bpe_50k.json")).library
+    got = Q["op4_packing"](spark, _rows(tmp_path, ROWS)).collect()
+    for i in (1, 2, 3, None):
+        want = sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in ROWS if k == i)
+        assert sum(r.length for r in got if r.doc_id == i) == want
+
+
+LONG = 6_000_000
+
+
+def test_very_long_texts(spark, tmp_path):
+    """One text of some megabytes, of words and of one word, beside short ones, through every operator on documents."""
+    words = " ".join(f"w{k % 9973}x{k % 7}" for k in range(LONG // 9))
+    rows = [(1, words), (2, "a" * LONG), (3, words + " end"), (4, text(0, 40))]
+    d = _rows(tmp_path, rows)
+    run = lambda name: {r.doc_id: r for r in Q[name](spark, d).collect()}
+    n = len(words.split(" "))
+    one = run("op1_quality_rules")
+    assert one[1].n_words == n and one[2].word_chars == LONG and not one[2].kept
+    two = run("op2_token_counts")
+    assert two[1].n_bytes == len(words) and two[1].over_limit and not two[4].over_limit
+    three = run("op3_substring_dedup")
+    assert three[3].n_removed == n and three[1].n_removed == 0 and three[2].n_words == 1
+    pieces = Q["op4_packing"](spark, d).where("doc_id = 1").collect()
+    assert sum(r.length for r in pieces) == two[1].n_tokens + 1 and all(r.length <= 2048 for r in pieces)
+    assert all(r.round_trip for r in run("op5_sentencepiece").values())
+    assert len(run("op6_language_id")) == 4 and run("op7_license_scan")[1].n_words == n
+    eight = run("op8_jaccard_join")
+    assert eight[1].component_id == eight[3].component_id == 1 and eight[2].component_id == 2
+    back = warc.write_and_read(spark.read.parquet(d + "/documents.parquet").selectExpr("doc_id as page_id", "source as url", "text as html")).collect()
+    assert sorted(r.payload_bytes for r in back) == sorted(len(t) for _, t in rows)
+
+
 def test_token_counts(spark, tmp_path):
     library = _bpe.load(P.path("byte_bpe_50k.json")).library
     got = {r.doc_id: r for r in Q["op2_token_counts"](spark, folder(tmp_path, HARD)).collect()}
@@ -654,6 +702,54 @@ def test_pipeline(spark, tmp_path):
     assert json.dumps([n for n, _ in pipeline.STAGES])
 
 
+def test_pipeline_empty_and_extra_columns(spark, tmp_path):
+    """Each stage takes an empty table, and columns of any name beside those of documents."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    d = folder(tmp_path, [])
+    assert pipeline.run(spark, d).count() == 0
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, spark.read.parquet(d + "/documents.parquet"), d)
+        assert out.count() == 0 and (name == "packing" or out.columns == pipeline.COLUMNS)
+    clean = [f"The {k} first sentence of this text is here and it is fine. " + text(k, k + 40) for k in range(0, 200, 45)]
+    d = folder(tmp_path, [*clean, None, ""])
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, spark.read.parquet(d + "/documents.parquet"), d)
+        assert out.count() > 0 and (name == "packing" or out.columns == pipeline.COLUMNS)
+    assert {r.doc_id for r in pipeline.run(spark, d).collect()} == set(range(len(clean)))
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Which documents each stage keeps, and with which words, one rule at a time."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = np.random.default_rng(11)
+    shared = "this passage stands in several documents and it is long enough to be one of those that go away"
+    bodies = [f"The {k} text begins here and goes on for a while. " + " ".join(f"q{k}_{j}" for j in range(30)) + "." for k in range(24)]
+    bodies[3] += " " + shared + "."
+    bodies[7] = bodies[7] + " " + shared + "."
+    bodies[9] = bodies[5].replace("q5_3", "changed")
+    bodies[11] = bodies[5]
+    bodies[13] = "a | b | c\n" * 30
+    bodies[15] = bodies[15] + "\nshort line without an end"
+    d = folder(tmp_path, [bodies[k] for k in rng.permutation(24)], extra=False)
+    docs = spark.read.parquet(d + "/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    good = {k: "\n".join(x for x in t.split("\n") if x.rstrip().endswith(".")) for k, t in before.items()}
+    good = {k: t for k, t in good.items() if len(t.replace("\n", "")) * 2 >= len(before[k].replace("\n", "")) and len(before[k].split()) >= 20}
+    one = pipeline.quality(spark, docs, d).collect()
+    assert {r.doc_id: r.text for r in one} == good
+    sets = _components([good.get(k) for k in range(24)])
+    first = {k for k in good if sets[k][1] == k}
+    three = pipeline.near_duplicates(spark, pipeline.quality(spark, docs, d), d).collect()
+    assert {r.doc_id: r.text for r in three} == {k: good[k] for k in first}
+    windows, want = {}, {}
+    for k in sorted(first):
+        w = good[k].split()
+        gone = {j for i in range(len(w) - 12) if windows.setdefault(tuple(w[i : i + 13]), k) < k for j in range(i, i + 13)}
+        want[k] = " ".join(x for j, x in enumerate(w) if j not in gone)
+    four = pipeline.repeated_passages(spark, spark.createDataFrame(three, docs.schema), d).collect()
+    assert {r.doc_id: r.text for r in four} == {k: t for k, t in want.items() if t} and want != {k: " ".join(good[k].split()) for k in first}
+
+
 def test_pipeline_null_and_repeated_ids(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     clean = [f"The {k} first sentence of this text is here and it is fine. " + text(k, k + 40) for k in range(0, 200, 45)]
