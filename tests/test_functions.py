@@ -350,3 +350,25 @@ def test_points_in_rings_by_cells(spark):
     got = {(r.id, r.hit) for r in point_hits(points, polygons).collect() if r.hit}
     whole = points.crossJoin(polygons).where(F.exists("rings", lambda r: geo.in_ring("lon", "lat", r)))
     assert got == {(r.id, r.region_code) for r in whole.select("id", "region_code").collect()} and len(got) > 200
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_merged_lines_keep_every_segment(spark, seed):
+    """Random lines on a small lattice: all segments stay, and no two lines end alone at one place."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(60):
+        x, y = rng.randrange(7), rng.randrange(7)
+        coords = [(x, y)]
+        for _ in range(rng.randrange(1, 4)):
+            dx, dy = rng.choice([(0, 1), (1, 0), (0, -1), (-1, 0)])
+            coords.append((coords[-1][0] + dx, coords[-1][1] + dy))
+        rows.append((f"s{k % 2}", k, [{"lon": float(a), "lat": float(b)} for a, b in coords]))
+    out = graph.merge_lines(spark.createDataFrame(rows, "scope_key string, id long, coords array<struct<lon:double,lat:double>>")).collect()
+    steps = lambda scope, c: sorted((scope, *sorted([(p["lon"], p["lat"]), (q["lon"], q["lat"])])) for p, q in itertools.pairwise(c))
+    assert sorted(x for s, _, c in rows for x in steps(s, c)) == sorted(x for r in out for x in steps(r.scope_key, [p.asDict() for p in r.coords]))
+    ends = {}
+    for k, r in enumerate(out):
+        for p in (r.coords[0], r.coords[-1]):
+            ends.setdefault((r.scope_key, p.lon, p.lat), []).append(k)
+    assert all(len(v) != 2 or v[0] == v[1] for v in ends.values()) and len({(r.scope_key, r.id) for r in out}) == len(out) < 60

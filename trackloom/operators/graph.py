@@ -357,30 +357,43 @@ def node_lines(lines: DataFrame, cell: float = 0.05) -> DataFrame:
 def merge_lines(lines: DataFrame) -> DataFrame:
     """GEO11: lines that meet end to end where just two do, as one line: (scope_key, id, coords).
 
-    Chains of one scope are walked in one task; junctions and open ends stay as they are.
+    A place where just two ends meet links their lines; what is linked is a chain, which the
+    components of these links find for all scopes at once. So a task walks one chain, never a
+    scope; junctions and open ends stay as they are. A merged line has its least line's id.
     """
-
-    def walk(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        parts = [[(p["lon"], p["lat"]) for p in c] for c in df.sort_values("id")["coords"] if len(c) >= 2]
+    lines = cut(lines.select("scope_key", "id", "coords").where(F.size("coords") >= 2))
+    ends = lines.select("scope_key", "id", F.explode(F.array(geo.start_point("coords"), geo.end_point("coords"))).alias("at"))
+    meet = ends.groupBy("scope_key", "at").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where("n = 2")
+    joints = cut(meet.select("scope_key", "at", "a", "b"))
+    # Ids are a scope's own; a line's key is its scope and id.
+    key = lambda x: F.concat_ws("\0", "scope_key", F.lpad(F.col(x).cast("string"), 20, "0"))
+    linked = joints.where("a <> b").select(key("a").alias("src"), key("b").alias("dst"))
+    chains = components(linked).select(F.col("node").alias("_line"), F.col("component").alias("chain"))
+    at = F.array_sort(F.collect_set("at"))
+    open_ = joints.select("scope_key", "at", F.explode(F.array_distinct(F.array("a", "b"))).alias("id")).groupBy("scope_key", "id").agg(at.alias("joints"))
+    parts = lines.withColumn("_line", key("id")).join(chains, "_line", "left").withColumn("chain", F.coalesce("chain", "_line")).join(open_, ["scope_key", "id"], "left")
+
+    def walk(k: tuple, df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values("id")
+        place = lambda p: (p["lon"], p["lat"])
+        coords = [[place(p) for p in c] for c in df["coords"]]
+        joint = {place(p) for j in df["joints"] if j is not None for p in j}
         at = defaultdict(list)
-        for k, c in enumerate(parts):
-            at[c[0]].append(k)
-            at[c[-1]].append(k)
-        used, out = set(), []
+        for i, c in enumerate(coords):
+            at[c[0]].append(i)
+            at[c[-1]].append(i)
+        used = {0}
 
         def grow(c: list) -> list:
-            while len(at[c[-1]]) == 2 and (k := next((k for k in at[c[-1]] if k not in used), None)) is not None:
-                used.add(k)
-                c = c + (parts[k][1:] if parts[k][0] == c[-1] else parts[k][-2::-1])
+            while c[-1] in joint and (i := next((i for i in at[c[-1]] if i not in used), None)) is not None:
+                used.add(i)
+                c = c + (coords[i][1:] if coords[i][0] == c[-1] else coords[i][-2::-1])
             return c
 
-        for k, c in enumerate(parts):
-            if k not in used:
-                used.add(k)
-                out.append(grow(grow(c)[::-1])[::-1])
-        return pd.DataFrame([(key[0], k, [{"lon": x, "lat": y} for x, y in c]) for k, c in enumerate(out)], columns=["scope_key", "id", "coords"])
+        c = grow(grow(coords[0])[::-1])[::-1]
+        return pd.DataFrame([(df["scope_key"].iloc[0], df["id"].iloc[0], [{"lon": x, "lat": y} for x, y in c])], columns=["scope_key", "id", "coords"])
 
-    return lines.select("scope_key", "id", "coords").groupBy("scope_key").applyInPandas(walk, "scope_key string, id long, coords array<struct<lon:double,lat:double>>")
+    return parts.groupBy("chain").applyInPandas(walk, "scope_key string, id long, coords array<struct<lon:double,lat:double>>")
 
 
 class NetworkCache:

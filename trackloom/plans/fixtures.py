@@ -40,7 +40,7 @@ select route_id, stop_sequence as seg, lon as bx, lat as by_, ax, ay, station_id
   select *, lag(lon) over (partition by route_id order by stop_sequence) as ax, lag(lat) over (partition by route_id order by stop_sequence) as ay,
     lag(station_id) over (partition by route_id order by stop_sequence) as src from trunk) t where ax is not null""",
     "edges": """
-select cast(row_number() over (order by src, dst) as bigint) as edge_id, 'all' as scope_key, src, dst, n as n, cast(km as double) as length_km from (
+select cast(src * 1000000000 + dst as bigint) as edge_id, 'all' as scope_key, src, dst, n as n, cast(km as double) as length_km from (
   select least(a.station_id, b.station_id) as src, greatest(a.station_id, b.station_id) as dst, count(*) as n, min(b.leg_km) as km
   from route_stops a join route_stops b on b.route_id = a.route_id and b.stop_sequence = a.stop_sequence + 1
   where a.station_id <> b.station_id group by 1, 2) e""",
