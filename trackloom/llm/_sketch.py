@@ -47,3 +47,15 @@ def total(parts: DataFrame, n_cells: int) -> np.ndarray:
     for row in summed.toLocalIterator():
         out[row.block] = np.frombuffer(zlib.decompress(row.cells), dtype="<u4")
     return out.reshape(-1)
+
+
+def classes(cells: np.ndarray) -> np.ndarray:
+    """Half powers of two of what a cell holds over its chance load, at most 63: what chance explains is class 0."""
+    return np.clip(np.floor(2 * np.log2(np.maximum(over(cells)[0], 0.5))) + 1, 0, 63).astype(np.uint8)
+
+
+def over(cells: np.ndarray) -> tuple[np.ndarray, float]:
+    """What cells hold over the usual, in units of four spreads, and that unit."""
+    usual = float(np.median(cells))
+    unit = 4 * max(1.0, 1.4826 * float(np.median(np.abs(cells - usual))))
+    return (cells - usual) / unit, unit

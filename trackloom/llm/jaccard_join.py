@@ -110,14 +110,10 @@ def _measure(n: int):
 
 
 def frequency_classes(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Half powers of two of what a cell holds over its chance load, what chance explains being
-    class 0, and for each class the salts that its shingles' rows are dealt to."""
-    usual = float(np.median(cells))
-    spread = max(1.0, 1.4826 * float(np.median(np.abs(cells - usual))))
-    over = (cells - usual) / (4 * spread)
-    classes = np.clip(np.floor(2 * np.log2(np.maximum(over, 0.5))) + 1, 0, 63).astype(np.uint8)
-    salts = np.minimum(np.ceil(4 * spread * 2 ** (np.arange(64) / 2) / HOT_ROWS), 1 << 20).astype(np.int32)
-    return classes, salts
+    """Each cell's frequency class, and for each class the salts that its shingles' rows are dealt to."""
+    unit = _sketch.over(cells)[1]
+    salts = np.minimum(np.ceil(unit * 2 ** (np.arange(64) / 2) / HOT_ROWS), 1 << 20).astype(np.int32)
+    return _sketch.classes(cells), salts
 
 
 def _prefixes(n: int, percent: int, table):

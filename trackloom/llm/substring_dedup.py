@@ -4,8 +4,9 @@ A window is ``WINDOW`` consecutive words. A word is removed when a window that c
 starts in a document with a smaller id.
 
 The reference, all documents, is indexed in blocks: a window belongs to the block of its
-anchor, the least hash among its ``ANCHOR``-word sequences. Neighbouring windows mostly share
-an anchor, so a document is cut into a few stretches, each parsed against just the one block
+anchor, the first among its ``ANCHOR``-word sequences by frequency class, rare ones first, and
+hash. Classes come from a sketch of fixed size over all documents, so a phrase that very many
+documents hold in different contexts is no anchor. Neighbouring windows mostly share an anchor, so a document is cut into a few stretches, each parsed against just the one block
 that can contain it. A block's index holds every window's hash with the smallest document
 that has it. A stretch is parsed greedily: at its first window that a smaller document has, the
 longest run of windows that stands in one smaller document is the factor (length, source), and
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackloom.llm import _words
+from trackloom.llm import _sketch, _words
 from trackloom.llm._shared import only, partitions
 
 WINDOW = 13
@@ -52,6 +53,7 @@ VALUES_AT_ONCE = 1 << 20
 VALUE_BYTES = 7
 VALUE_BITS = (1 << 8 * VALUE_BYTES) - 1
 SALTS = 4096
+SKETCH_CELLS = 1 << 20
 U64 = np.uint64
 
 
@@ -129,7 +131,7 @@ def _shipped(buckets: int, anchors: np.ndarray, docs: np.ndarray, starts: np.nda
 
     A count of 0 marks a span decided here, whose two values are its length in words and its windows' sum.
     """
-    bucket = (anchors % U64(buckets)).astype(np.int32)
+    bucket = (_words.mix(anchors) % U64(buckets)).astype(np.int32)
     o = np.argsort(bucket, kind="stable")
     sizes = np.where(counts, counts, 2).astype(np.int64)
     begin = np.cumsum(sizes) - sizes
@@ -187,11 +189,31 @@ class _Remembered:
         self.key[slot], self.also[slot], self.doc[slot] = keys, also, docs
 
 
-def _stretches(window: int, anchor: int, buckets: int):
+def _counted(anchor: int):
+    """A task's counts of anchor-word sequences, as blocks of a sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(SKETCH_CELLS, dtype=np.uint32)
+        for batch in batches:
+            for w in _words.slices(batch.column("text")):
+                g = _words.grams(w.hashes(), anchor, 21)
+                cells += np.bincount((g & U64(SKETCH_CELLS - 1)).astype(np.int32), minlength=SKETCH_CELLS).astype(np.uint32)
+        block, raw = _sketch.blocks(cells)
+        yield pa.RecordBatch.from_arrays([block, raw], names=["block", "cells"])
+
+    return run
+
+
+def _ranked(grams: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Keys in the order of anchors: the class above, then the hash's upper bits."""
+    return classes[(grams & U64(SKETCH_CELLS - 1)).astype(np.int64)].astype(U64) << U64(58) | grams >> U64(6)
+
+
+def _stretches(window: int, anchor: int, buckets: int, table):
     """Task side: the stretches that other tasks' documents must be held against, and, with no windows, spans decided here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, waiting = _Remembered(), []
+        seen, waiting, classes = _Remembered(), [], table.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for w in _words.slices(batch.column("text")):
@@ -202,7 +224,7 @@ def _stretches(window: int, anchor: int, buckets: int):
                 idx = np.flatnonzero(w.doc[:n] == w.doc[window - 1 :])
                 if not len(idx):
                     continue
-                least = _words.sliding_min(_words.grams(h, anchor, 21), window - anchor + 1)[idx]
+                least = _words.sliding_min(_ranked(_words.grams(h, anchor, 21), classes), window - anchor + 1)[idx]
                 win = _words.grams(h, window, 22)[idx] & U64(VALUE_BITS)
                 doc = w.doc[idx]
                 d = ids[w.lo + doc]
@@ -307,8 +329,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, id_col:
     # A task takes one bucket of its partition into memory at a time.
     buckets = min(1 << 30, BUCKETS_A_PARTITION * partitions(docs.sparkSession))
     named = only(docs, doc_id=id_col, text=text_col).where("doc_id is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
+    cells = _sketch.total(named.select("text").mapInArrow(_counted(anchor), "block long, cells binary"), SKETCH_CELLS)
+    table = docs.sparkSession.sparkContext.broadcast(_sketch.classes(cells))
     return (
-        named.mapInArrow(_stretches(window, anchor, buckets), STRETCHES)
+        named.mapInArrow(_stretches(window, anchor, buckets, table), STRETCHES)
         .repartition("bucket")
         .sortWithinPartitions("bucket")
         .mapInArrow(_factors(window), "doc_id long, start int, n int, sum long, source long")
