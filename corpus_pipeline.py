@@ -9,9 +9,16 @@
 Every stage but the last returns the columns of documents; its result is written as Parquet
 and read again as the next one's input.
 
-Defined results: a row with a null id is in no group of near duplicates and passes stage 3; of
-rows that repeat an id and a text one stays, with the smallest (lang, source); rows that repeat
-an id with other texts count as one document there, and stay or go together.
+Defined results: a null, empty or blank text goes in stage 1; a row with a null id is in no group
+of near duplicates and passes stage 3, and stage 4 keeps all its words; of rows that repeat an id
+and a text one stays, with the smallest (lang, source); rows that repeat an id with other texts
+count as one document in stage 3, and stay or go together. A null or wrong label is replaced in
+stage 2; ties go to the smaller label. Texts of any length are taken whole. An empty table gives
+an empty result in each stage. Columns of other names are dropped by the first stage that meets
+them; n_chars follows the text.
+
+Each stage's result stays in the shared folder until the user removes it: the rows of run() are
+read from the last one.
 """
 
 from __future__ import annotations
@@ -68,7 +75,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: Tokenisation and fitted models have no SQL; the stages are tested against brute force.
+#: Tokenisation and fitted models have no SQL; what each stage keeps is tested against a brute-force version.
 ORACLE_SQL = None
 
 
