@@ -290,7 +290,7 @@ def build_topology(lines: DataFrame, stations: DataFrame, scope_key: str, region
     stations: id, region_code, lon, lat.
     """
     used = topology_input(lines, regions).select(F.lit(scope_key).alias("scope_key"), "id", "coords")
-    nodes, edges = split_edges(node_lines(used))
+    nodes, edges = map(cut, split_edges(node_lines(used)))
     own = stations.where(F.col("region_code").isin(regions)) if regions else stations
     links = station_links(own.select(F.col("id").alias("station_id"), "lon", "lat"), nodes.select("node", "lon", "lat"), k, near_m)
     return nodes, edges, links.withColumn("scope_key", F.lit(scope_key))
