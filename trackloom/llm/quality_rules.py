@@ -49,8 +49,10 @@ def bad_line(line: Column) -> Column:
     """
     count = lambda p: F.regexp_count(line, F.lit(p))
     marks = count(MARKS) - count(OPENERS)
+    # Most lines end a sentence with their last character, which is soon seen.
+    ended = F.right(F.rtrim(line), F.lit(1)).isin(*TERMINALS)
     return (
-        ~line.rlike(ENDS)
+        ~(ended | line.rlike(ENDS))
         | ((marks >= 2) & (count(WORD) <= WORDS_A_MARK * (marks + 1)))
         | line.rlike(MENU)
         | (line.rlike(BOILERPLATE) & (count(WORD) <= WORDS_A_NOTICE * count(BOILERPLATE)))
@@ -85,9 +87,16 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.when(
             F.size("_w") > WINDOW,
-            F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW))),
-        ).alias("_h"),
+            F.transform("_w", lambda x: F.xxhash64(x)),
+        ).alias("_hw"),
     )
+    # A window's hash is made of its halves' hashes, from single words up, so each is made once.
+    step = 1
+    while step < WINDOW:
+        both = F.zip_with("_hw", F.slice("_hw", F.lit(step + 1), F.size("_hw")), lambda a, b: F.xxhash64(a, b))
+        d = d.select(*own, *["n_symbols", "n_words", "word_chars", "_lines", "_good", "_w"], F.when(F.col("_hw").isNotNull(), both).alias("_hw"))
+        step *= 2
+    d = d.withColumn("_h", F.slice("_hw", F.lit(1), F.size("_w") - (WINDOW - 1)))
     repeats = F.size(F.array_distinct("_h")) < F.size("_h")
     d = d.select(
         *own,
