@@ -114,7 +114,7 @@ def test_packing_null_and_repeated_ids(spark, tmp_path):
         assert sum(r.length for r in got if r.doc_id == i) == want
 
 
-LONG = 6_000_000
+LONG = 3_000_000
 
 
 def test_very_long_texts(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,10 +45,17 @@ def settle(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return out
 
 
+TIDY_SECONDS = 3.0
+_tidied = [0.0]
+
+
 def tidy(spark: SparkSession) -> None:
-    """Let Spark's cleaner see that finished queries' shuffle files are no longer referred to."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark's cleaner see that finished queries' shuffle files are no longer referred to; not
+    after each of many short steps, which leave little."""
+    if time.monotonic() - _tidied[0] > TIDY_SECONDS:
+        gc.collect()
+        spark._jvm.System.gc()
+        _tidied[0] = time.monotonic()
 
 
 def discard(df: DataFrame) -> None:

@@ -302,6 +302,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, folder: str, manifest: DataFrame | None = None) -> DataFrame:
     """Records and gaps of all archives under a folder; with a manifest, of those it names.
 
+    An archive is read whole, so it may have 2 GB at most; the writer's have some megabytes.
+
     Columns: archive, offset, kind (a record's type, or gap), length, reason (of a gap, or
     what is wrong with the member that a record was salvaged from),
     record_id, url, refers_to, payload_bytes, digest (SHA-1 in hex), payload.
