@@ -2,7 +2,7 @@
 
 Each input partition is one stream: its documents' ids in input order. Cuts are chosen by
 dynamic programming over the places after a document, after a sentence, after a clause and,
-only where none of these comes within half a sequence, anywhere:
+only where none of these comes within a sixteenth of a sequence, anywhere:
 
     cost(j) = penalty(j) + min over i, j - i <= size, of cost(i) + padding(j - i)
 
@@ -35,10 +35,10 @@ from trackloom.llm import _bpe
 from trackloom.llm._shared import only
 from trackloom.llm.token_counts import portions
 
-SENTENCE_PENALTY = 8
-CLAUSE_PENALTY = 16
-INSIDE_PENALTY = 64
-INSIDE_STEP = 64
+SENTENCE_PENALTY = 4
+CLAUSE_PENALTY = 8
+INSIDE_PENALTY = 32
+INSIDE_STEP = 32
 BLOCK_TOKENS = 1 << 19
 OPEN_SEQUENCES = 16
 
@@ -73,7 +73,7 @@ def places(doc_ends: np.ndarray, sentence_ends: np.ndarray, clause_ends: np.ndar
     ends = np.flatnonzero(penalty)
     penalties = penalty[ends].astype(np.int64) - 1
     gaps = np.diff(ends, prepend=0)
-    if (long := np.flatnonzero(gaps > size // 2)).size:
+    if (long := np.flatnonzero(gaps > size // 16)).size:
         inside = np.concatenate([np.arange(ends[k] - gaps[k] + INSIDE_STEP, ends[k], INSIDE_STEP) for k in long])
         ends = np.concatenate([ends, inside])
         penalties = np.concatenate([penalties, np.full(len(inside), INSIDE_PENALTY)])
