@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import arrays, geo, scoring, text, values
 from trackloom.operators import audit, catalog, corridor, graph, ingest, matching, routing, spatial_join
 from trackloom.plans.fixtures import load, with_views
-from trackloom.sources import readers, sinks
+from trackloom.sources import readers
 from trackloom.streaming import events as streams
 
 _ALL: dict[str, Callable[[SimpleNamespace], DataFrame]] = {}
@@ -73,7 +73,7 @@ def _also(parts: str, select: str, name: str | None = None):
     return query(f", {parts} {select}", name)
 
 
-# Corridor (JON1, JON2, NUM1-4, TOP1, FLT8, FLT9, FLT21, AGG1, AGG2)
+# Corridor
 
 
 @_also(
@@ -134,7 +134,7 @@ def chart_items(t):
     return corridor.chart_items(r)
 
 
-# Lists, search, summaries (FLT1-7, FLT16, FLT25, AGG3, AGG4, JON8-11, JON13, JON19, JON20, TOP3, TOP4, TOP15)
+# Lists, search, summaries
 
 
 @query("select id, name, region_code from stations where is_visible_default and lon between 35 and 60 and lat between 52 and 60 and region_code in ('ASIA', 'EUROPE') order by name nulls last, id limit 20000")
@@ -314,7 +314,7 @@ def job_states(t):
     return catalog.job_states(e).select("job_id", "status")
 
 
-# Ingest (FLT10-15, FLT20, AGG9, AGG10, WIN5, JON16, SNK2-7, SET8, AGG14, AGG15, AGG27, NUM19-22, DAT1, DAT2)
+# Ingest
 
 SUBWAY = "(lower(json_extract_string(tags_json, '$.operator')) like '%metro%' or lower(coalesce(name, '')) like 'метро %')"
 SIGNS = "(lower(json_extract_string(tags_json, '$.operator')) like '%ржд%' or json_extract_string(tags_json, '$.uic_ref') <> '')"
@@ -419,7 +419,7 @@ def parsed_values(t):
     )
 
 
-# Text (STR1, STR2, STR7-13, STR19, STR20, NUM11, FLT22)
+# Text
 
 
 @query("select id, regexp_replace(upper(a), '[^A-ZА-Я0-9]', '', 'g') as import_name, regexp_replace(regexp_replace(replace(lower(b), '-', '_'), '[^0-9a-zа-я_]+', '_', 'g'), '_+', '_', 'g') as key, md5(b) as ident from names")
@@ -453,7 +453,7 @@ def similar_names(t):
     return t.names.select("id", F.round(text.name_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
-# Geometry (GEO1-7, GEO10, GEO13-16, STR21)
+# Geometry
 
 
 @query(f"select id, round({km('lon', 'lat', '37.6', '55.75')}, 3) as km, round({km('lon', 'lat', '37.6', '55.75')} * 1000, 0) as m from settlements")
@@ -481,7 +481,7 @@ def closest_points(t):
     return t.lines.select("id", F.round(p["lon"], 6).alias("lon"), F.round(p["lat"], 6).alias("lat"))
 
 
-# Audits (JON4-6, JON15, JON25, JON26, AGG5-7, AGG18, AGG19, AGG25, AGG26, WIN2, NUM7-10)
+# Audits
 
 POINT_HITS = "hits as (select s.id, s.region_code, b.region_code as hit from stations s left join boxes b on s.lon between b.west and b.east and s.lat between b.south and b.north)"
 CLASSIFIED = POINT_HITS + """, classified as (select *, case when n = 0 then 'outside_all' when n = 1 and own then 'own_region_only' when n = 1 then 'other_region_only' when own then 'own_and_others' else 'several_others' end as category from
@@ -567,7 +567,7 @@ def domain_violations(t):
     return audit.domain_violations(t.settlements, {"population": F.col("population") >= 0, "lat": F.col("lat") <= 64})
 
 
-# Graph (GRF1-10, GRF13, GRF17, GRF22, AGG8, AGG11-13, AGG20, SET1-7, JON3, JON7, JON12, JON14, JON18, WIN1, WIN9, TOP7-14)
+# Graph
 
 
 @query("select node, count(*) as degree from (select src as node from edges union all select dst from edges) x group by 1")
@@ -714,7 +714,7 @@ def merged_lines(t):
     return out.select(F.col("scope_key").cast("int").alias("id"), F.size("coords").alias("points"))
 
 
-# Costs (NUM12-17, GRF13, GRF16)
+# Costs
 
 D, G, P, H = "(case when id % 10 = 0 then null else leg end)", "(leg * (id % 7) / 3.0)", "(leg * (id % 9) / 4.0)", "(id % 12)"
 
@@ -734,7 +734,7 @@ def transition_costs(t):
     return x.select("id", F.round(scoring.path_transition(d, p, h), 6).alias("transition"), F.round(scoring.path_outlier(d, g, p), 6).alias("outlier"), F.round(scoring.lock_transition(d, g, F.lit(False)), 6).alias("lock"))
 
 
-# Matching (GRF14, GRF18, GRF21, AGG16, AGG17, SET9, TOP6, JON22)
+# Matching
 
 STOPS = "stops as (select route_id, stop_sequence, case when stop_sequence % 5 = 0 then station_id end as station_id, station_code from route_stops)"
 
@@ -779,7 +779,7 @@ def expanded_regions(t):
     return t.stations.select("id", matching.expand_regions(given).alias("codes"))
 
 
-# Documents and digests (SNK8, SNK10, SRC6, JSN1)
+# Documents and digests
 
 
 @query("select region_code, md5(concat('{', string_agg(concat('\"', source, '\":\"', m, '\"'), ',' order by source), '}')) as md5 from (select region_code, name as source, md5(cast(id as varchar(20))) as m from stations) x group by 1")
@@ -787,7 +787,7 @@ def source_digests(t):
     return readers.aggregate_md5(t.stations.select("region_code", F.col("name").alias("source"), F.md5(F.col("id").cast("string")).alias("md5")))
 
 
-# Streams (STM0)
+# Streams
 
 
 @query("select time_bucket(interval 1 hour, ts) as window_start, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2")
