@@ -372,3 +372,16 @@ def test_merged_lines_keep_every_segment(spark, seed):
         for p in (r.coords[0], r.coords[-1]):
             ends.setdefault((r.scope_key, p.lon, p.lat), []).append(k)
     assert all(len(v) != 2 or v[0] == v[1] for v in ends.values()) and len({(r.scope_key, r.id) for r in out}) == len(out) < 60
+
+
+def test_lock_cost_columns(spark):
+    """The column form of a candidate's cost gives what the lock itself uses."""
+    rng, rows = random.Random(2), []
+    for _ in range(200):
+        stop = {"stored_station_id": rng.choice([None, 1, 2]), "stored_visible": rng.random() < 0.7}
+        cand = {"stop_name_score": round(rng.random(), 3), "effective_score": round(rng.random(), 3), "code_match": rng.random() < 0.3, "anchor": rng.random() < 0.3, "station_id": rng.choice([1, 2, 3]), "region_code": rng.choice([None, "r"])}
+        has = stop["stored_station_id"] is not None and stop["stored_visible"]
+        rows.append((cand["effective_score"], cand["stop_name_score"], cand["code_match"], cand["anchor"], cand["station_id"] == stop["stored_station_id"], has, cand["region_code"] is None, float(matching.own_cost(stop, cand))))
+    df = spark.createDataFrame(rows, "e double, f double, c boolean, a boolean, s boolean, h boolean, n boolean, want double")
+    for r in df.select(scoring.lock_cost(*map(F.col, "efcashn")).alias("got"), "want").collect():
+        assert r.got == pytest.approx(r.want)

@@ -127,6 +127,17 @@ def effective_score(score: Column, code_match: Column, anchor: Column, main: Col
     return clamp(s + F.when(main, 0.03).otherwise(0.0), 0.01, 1.0)
 
 
+def lock_cost(effective: Column, fit: Column, code_match: Column, anchor: Column, is_stored: Column, has_stored: Column, no_region: Column) -> Column:
+    """NUM13 as columns: what a candidate costs in the route-wide lock without its neighbours.
+
+    ``fit`` is the name's score; ``is_stored``: it is the stop's stored station; ``has_stored``:
+    the stop has a visible one.
+    """
+    points = lambda cond, n: F.when(cond, float(n)).otherwise(0.0)
+    stored = F.when(~has_stored, 0.0).when(is_stored, F.when(fit >= 0.72, -4.0).otherwise(8.0)).otherwise(points((fit < 0.72) & ~code_match, 2))
+    return F.greatest(F.lit(0.0), 1 - effective) * 8 + F.greatest(F.lit(0.0), 0.85 - fit) * 10 - points(code_match, 5) - points(anchor, 2) + stored + points(no_region, 1)
+
+
 def gap_confidence(distance_m: Column, most_m: float) -> Column:
     """NUM17."""
     return clamp(1 - distance_m / most_m, 0.0, 1.0)

@@ -130,6 +130,17 @@ def effective_scores(t):
     return s.select("id", F.round(scoring.effective_score(c("s"), c("id") % 3 == 0, c("id") % 4 == 0, c("id") % 5 == 0), 6).alias("score"))
 
 
+@query(
+    """select id, round(greatest(0, 1 - e) * 8 + greatest(0, 0.85 - f) * 10 - case when c then 5 else 0 end - case when a then 2 else 0 end
+  + case when not h then 0 when id % 3 = 0 then case when f >= 0.72 then -4 else 8 end when f < 0.72 and not c then 2 else 0 end + case when id % 11 = 0 then 1 else 0 end, 6) as cost
+  from (select id, (population % 1000) / 1000 as e, (population % 97) / 97 as f, id % 5 = 0 as c, id % 7 = 0 as a, id % 2 = 0 as h from settlements) x"""
+)
+def lock_costs(t):
+    s = t.settlements
+    cost = scoring.lock_cost(c("population") % 1000 / 1000, c("population") % 97 / 97, c("id") % 5 == 0, c("id") % 7 == 0, c("id") % 3 == 0, c("id") % 2 == 0, c("id") % 11 == 0)
+    return s.select("id", F.round(cost, 6).alias("cost"))
+
+
 @query("select id, (population % 100) / 100 >= 0.3 and ((population % 70) / 100 >= 0.25 or id % 6 = 0) and (id % 5 = 0 or lon * 4 <= 150) as usable, (population % 40) / 10 <= 1.5 as accepted from settlements")
 def usable_codes(t):
     s = t.settlements.withColumn("air_km", (c("population") % 40) / 10)
