@@ -84,6 +84,34 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(page("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.periodic_runs import best, find
+
+    out = find(with_planted_runs(documents(spark, sf_dir))).withColumn("top", best(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"]))
+    long = lambda f: F.col("top")[f].cast("long")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[long(f).alias(f) for f in ("start", "length", "period")],
+        F.expr("1000L * top.length div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The documents' ids and texts; where crc32 of the id ends in 0, the text's tail repeats itself
+    with the offset and the period that the rest of the number gives."""
+    h, w = F.crc32(F.col("doc_id").cast("string")), F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    docs = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, w)).withColumn("n", F.size("w"))
+    a = F.expr("h div 10 % n")
+    tailed = docs.withColumn("a", F.when(F.col("n") > 0, a)).withColumn("p", F.expr("1 + (n - a) div (3 + h div 10 % 8)"))
+    word = lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))
+    repeated = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), word), " ")
+    return tailed.select("doc_id", F.when(F.col("a").isNotNull(), repeated).otherwise(F.col("text")).alias("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
