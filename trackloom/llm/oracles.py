@@ -139,3 +139,27 @@ select page_id, cast(n as bigint) as payload_bytes, d as payload_digest,
        case when n >= 1000 and page_id < first then first end as refers_to
 from f
 """
+
+SQL["op13_decontaminate"] = r"""
+with docs as (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from documents
+), items as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as w from benchmark
+), sized as (
+  select item_id, w, least(len(w), 10) as m from items where len(w) > 0
+), windows as (
+  select distinct item_id, m, array_to_string(w[pos + 1:pos + m], ' ') as g from (select item_id, w, m, unnest(range(0, len(w) - m + 1)) as pos from sized)
+), lengths as (
+  select distinct m from windows
+), places as (
+  select r, m, pos, array_to_string(w[pos + 1:pos + m], ' ') as g from (select r, w, m, unnest(range(0, len(w) - m + 1)) as pos from docs, lengths where len(w) >= m)
+), met as (
+  select p.r, p.m, p.pos, w.item_id from places p join windows w on w.m = p.m and w.g = p.g
+), covered as (
+  select r, count(distinct p) as n from (select r, unnest(range(pos, pos + m)) as p from met) group by r
+), named as (
+  select r, count(distinct item_id) as n, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from met group by r
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, coalesce(c.n, 0) as n_hit, coalesce(i.n, 0) as n_items, sha256(coalesce(i.ids, '')) as items_sha256, coalesce(c.n, 0) > 0 as contaminated
+from docs d left join covered c using (r) left join named i using (r)
+"""

@@ -106,6 +106,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from trackloom.llm.decontaminate import hits
+
+    out = hits(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10, gram=5)
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """The documents' ids and texts; where crc32 of the id ends in 0, the text's tail repeats itself
     with the offset and the period that the rest of the number gives."""
