@@ -87,7 +87,7 @@ def test_quality_rules_of_scripts(spark, duck, same_rows, tmp_path):
     assert all(kept[k] for k in range(len(CLEAN))) and not any(kept[k] for k in range(len(CLEAN), len(CLEAN) + len(dirty)))
 
 
-@pytest.mark.parametrize("name", [n for n in Q if n not in ("op9_vector_search", "op10_warc")])
+@pytest.mark.parametrize("name", [n for n in Q if n not in ("op9_vector_search", "op10_warc", "op11_whitening", "op13_decontaminate")])
 def test_empty_table(spark, tmp_path, name):
     assert Q[name](spark, folder(tmp_path, [])).count() == 0
 
@@ -96,7 +96,7 @@ def test_empty_table(spark, tmp_path, name):
 ROWS = [(1, text(0, 40)), (1, text(0, 40)), (1, "other text of it"), (None, text(0, 40)), (None, None), (2, None), (2, ""), (3, text(5, 45)), (3, text(5, 45))]
 
 
-@pytest.mark.parametrize("name", [n for n in Q if n not in ("op9_vector_search", "op10_warc", "op4_packing")])
+@pytest.mark.parametrize("name", [n for n in Q if n not in ("op9_vector_search", "op10_warc", "op4_packing", "op11_whitening", "op13_decontaminate")])
 def test_null_and_repeated_ids(spark, duck, same_rows, tmp_path, name):
     """Every row has a result, whatever its id."""
     d = _rows(tmp_path, ROWS)

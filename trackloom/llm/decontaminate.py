@@ -27,8 +27,6 @@ ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,10 +79,9 @@ def _stretches(frame: DataFrame, lengths: list[int], window: int, gram: int) ->
         count = window - gram + 1
         g = [F.get(f"_g{gram}", c("_at") + j) for j in range(-1, count)]
         f, before = F.least(*g[1:]) if count > 1 else g[1], F.least(*g[:-1]) if count > 1 else g[0]
-        # Where the smallest changes, or gives way to an equal one, a stretch begins; it ends with its gram at the latest.
+        # Where the smallest changes, or gives way to an equal one, a stretch begins; it ends when its gram is left behind.
         begins = (c("_at") == 0) | (f != before) | (f == g[0])
-        place = reduce(lambda rest, j: F.when(g[j + 1] == f, F.lit(j)).otherwise(rest), range(count - 2, -1, -1), F.lit(count - 1))
-        found.append(F.when((c("_at") <= n - window) & begins, row(f, window, place)))
+        found.append(F.when((c("_at") <= n - window) & begins, row(f, window, F.lit(count - 1))))
     found += [F.when(c("_at") <= n - m, row(F.xxhash64(F.get(f"_g{m}", c("_at")), F.lit(m)), m, F.lit(0))) for m in lengths if m < window]
     # The one generator for all lengths, past which no filter is pushed down.
     return frame.select(*own, F.inline(F.array(*found) if found else F.expr("cast(array() as array<struct<f:bigint,m:int,lo:int,hi:int>>)")))
