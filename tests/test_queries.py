@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trackloom.functions import text
 from trackloom.operators import matching
+from trackloom.plans import networks
 from trackloom.plans import queries as plans
 from trackloom.plans.fixtures import load
 
@@ -46,7 +47,9 @@ def _shortest(edges, source, target):
 def _path_alternatives(spark, t, got):
     edges = t.edges.collect()
     km = {e.edge_id: e.length_km for e in edges}
-    found = plans.graph.paths(t.edges, t.edges.groupBy("scope_key").agg(F.min("src").alias("source"), F.max("dst").alias("target")), most=3).collect()
+    ends = t.trunk.groupBy("route_id").agg(F.min_by("station_id", "stop_sequence").alias("source"), F.max_by("station_id", "stop_sequence").alias("target")).where("source <> target").select(F.lit("all").alias("scope_key"), "source", "target")
+    found = plans.graph.path_alternatives(t.edges, ends, most=3).collect()
+    assert {(r.source, r.target) for r in found} == {(r.source, r.target) for r in ends.collect() if _shortest(edges, r.source, r.target) is not None}
     assert len(found) == len(got) >= 1
     for r in found:
         assert r.length_km == pytest.approx(sum(km[e] for e in r.edge_ids)) and r.nodes[0] == r.source and r.nodes[-1] == r.target
@@ -91,23 +94,29 @@ def _route_regions(spark, t, got):
         assert list(r.strict) == list(dict.fromkeys(strict))[:6] and set(r.regions) == {c.region_code for c in own}
 
 
-def _built_routes(spark, t, got):
-    stops = t.trunk.orderBy("route_id", "stop_sequence").collect()
-    pairs = [(a, b) for a, b in zip(stops, stops[1:], strict=False) if a.route_id == b.route_id]
-    edges = t.chain.collect()
-    assert len(got) == len(pairs)
-    mine = {(r.route_id, r.stop_sequence): r for r in got.itertuples()}
-    for a, b in pairs:
-        r = mine[b.route_id, b.stop_sequence]
-        assert (r.origin, r.destination) == (a.station_id, b.station_id)
-        if math.isnan(r.total_km):
-            assert _shortest(edges, a.station_id, b.station_id) is None
+def _route_shapes(spark, t, got):
+    """Groups as a walk over the legs makes them."""
+    legs = networks._built(t)[0].orderBy("route_id", "stop_sequence").collect()
+    assert {r.method for r in legs} >= {"topology_graph_path", "missing_locked_station"}
+    groups, route, current = [], None, None
+    for r in legs:
+        if r.route_id != route:
+            route, current = r.route_id, None
+        if r.coords is None:
+            current = current if r.method == "missing_locked_station" else None
+            continue
+        line = [(p.lon, p.lat) for p in r.coords]
+        if current is not None and current[-1] == line[0]:
+            current += line[1:]
         else:
-            # Snaps to an edge's far end may be shorter than its stored length, never unreachable.
-            assert r.total_km > 0 and (r.points is None or math.isnan(r.points) or r.points >= 2)
+            current = line
+            groups.append((route, current))
+    length = lambda c: sum(6371.0088 * 2 * math.asin(math.sqrt(math.sin(math.radians(b[1] - a[1]) / 2) ** 2 + math.cos(math.radians(a[1])) * math.cos(math.radians(b[1])) * math.sin(math.radians(b[0] - a[0]) / 2) ** 2)) for a, b in zip(c, c[1:], strict=False))
+    mine, want = sorted((r.route_id, r.points, r.length_km) for r in got.itertuples()), sorted((i, len(c), length(c)) for i, c in groups)
+    assert [x[:2] for x in mine] == [x[:2] for x in want] and [x[2] for x in mine] == pytest.approx([x[2] for x in want], rel=1e-4)
 
 
-CHECKS = {"similar_names": _similar_names, "path_alternatives": _path_alternatives, "stop_candidates": _stop_candidates, "locked_routes": _locked_routes, "route_regions": _route_regions, "built_routes": _built_routes}
+CHECKS = {"similar_names": _similar_names, "path_alternatives": _path_alternatives, "stop_candidates": _stop_candidates, "locked_routes": _locked_routes, "route_regions": _route_regions, "route_shapes": _route_shapes}
 
 
 @pytest.mark.parametrize("name", sorted(plans.queries()))

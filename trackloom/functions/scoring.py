@@ -194,6 +194,11 @@ def link_pair_score(transition: Column, outlier: Column, connector_km: Column, f
     return 4 * transition + outlier + 0.15 * connector_km + F.when(fallback, 0.05).otherwise(0.0) + F.when(secondary, 0.01).otherwise(0.0)
 
 
+def link_source_penalty(stored: Column, primary: Column) -> Column:
+    """GRF13: what a link costs that no topology stored, or that is not its station's first."""
+    return F.when(~stored, 0.05).when(~F.coalesce(primary, F.lit(False)), 0.01).otherwise(0.0)
+
+
 def virtual_score(total_km: Column, *air_km: Column) -> Column:
     """GRF16: the way there, and dearly what lies between each station and the track."""
     out = total_km

@@ -1,9 +1,9 @@
 """The undirected line graph: degrees, components, gaps, connectors, paths and alternatives.
 
-Relational steps are DataFrame plans. Components contract by hash-to-minimum rounds that are
-checkpointed to the shared folder. Shortest paths inside one scope are sequential by nature and
-run grouped by scope in one pandas kernel per group; distances over a whole table relax edges
-in rounds instead.
+Relational steps are DataFrame plans. Components contract by stars in rounds that are
+checkpointed to the shared folder. Shortest paths are pieced together from the parts of a
+network (``overlay``); alternatives are sequential by nature and run one connected network and
+some pairs to a task; distances over a whole table relax edges in rounds.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from trackloom.functions import geo
 from trackloom.functions.arrays import overlap_ratio
 from trackloom.functions.scoring import gap_confidence
+from trackloom.operators import overlay
 from trackloom.operators.lineage import cut
 from trackloom.operators.spatial_join import range_join
 
@@ -53,27 +54,37 @@ def dangling(edges: DataFrame, by: list[str] | None = None) -> DataFrame:
     return degrees(edges, by).where("degree = 1")
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node and component, the smallest node of its component (GRF7).
 
-    Every round each node takes the least label among itself and its neighbours, then its
-    label's label, so long chains shorten by powers of two.
+    Star contraction: a round links each node's larger neighbours to its smallest one, then what a
+    node is linked to, to the smallest of these. Rounds grow with the logarithm of the nodes;
+    minima combine before they are shuffled, so a hub is no hot key.
     """
-    both = cut(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node"))
+    nodes = cut(edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    links = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u > v").distinct())
+    mark = lambda df: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
     before = None
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("m"))
-        step = labels.join(near, "node", "left").select("node", F.least("component", "m").alias("component"))
-        up = step.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        labels = cut(step.join(up, "component", "left").select("node", F.least("component", "up").alias("component")))
-        now = labels.agg(F.bit_xor(F.xxhash64("node", "component")).alias("x"), F.count("*").alias("n")).first()
-        if now == before:
-            return labels
+        if (now := mark(links)) == before or now.n == 0:
+            return nodes.join(links, nodes.node == links.u, "left").select("node", F.coalesce("v", "node").alias("component"))
         before = now
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = cut(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def components_by_scope(edges: DataFrame) -> DataFrame:
+    """scope_key, node, component: the table that tells what can be reached within a scope (GRF7, GRF20)."""
+    own = lambda x: F.struct("scope_key", F.col(x).alias("node")).alias(x)
+    found = components(edges.select(own("src"), own("dst")))
+    return found.select("node.scope_key", "node.node", F.col("component.node").alias("component"))
+
+
 def component_stats(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """AGG12: nodes, edges and length of each component, and whether it is the largest (ties: the smallest label)."""
     nodes = labels.groupBy("component").agg(F.count("*").alias("nodes_count"))
@@ -100,8 +111,9 @@ def gap_candidates(nodes: DataFrame, max_gap_m: float, k: int = 3, same_componen
     return out.withColumn("confidence", gap_confidence(F.col("distance_m"), max_gap_m)).where(F.col("confidence") >= min_confidence)
 
 
-def connectors(gaps: DataFrame, existing: DataFrame, max_m: float = 50.0, min_confidence: float = 0.35, multiplier: float = 15.0, limit: int | None = 50_000) -> DataFrame:
-    """Connectors for accepted gaps that have none in either direction (GRF10, JON14, TOP11)."""
+def connectors(gaps: DataFrame, existing: DataFrame, max_m: float = 50.0, min_confidence: float = 0.35, multiplier: float = 15.0, limit: int | None = None) -> DataFrame:
+    """Connectors for accepted gaps that have none in either direction (GRF10, JON14); with ``limit``, a
+    guard that callers may set, only the first by scope and distance (TOP11)."""
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
     good = gaps.where((F.col("distance_m") <= max_m) & (F.col("confidence") >= min_confidence)).select("scope_key", *pair, "distance_m", "confidence")
     have = existing.select("scope_key", *pair).distinct()
@@ -198,36 +210,45 @@ def alternatives(near: dict, source, target, most: int = 3, min_difference: floa
     return kept
 
 
-def _near(edges: pd.DataFrame) -> dict:
-    near: dict = defaultdict(list)
-    for e, a, b, km in zip(edges["edge_id"], edges["src"], edges["dst"], edges["length_km"], strict=True):
-        if a != b and km > 0:
-            near[a].append((b, e, km))
-            near[b].append((a, e, km))
-    return near
+PAIRS_A_TASK = 16
+MOST_EDGES = 2_000_000
 
 
-PATHS = "scope_key string, source long, target long, rank int, length_km double, edge_ids array<long>, nodes array<long>"
+def paths(edges: DataFrame, pairs: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """Shortest paths of pairs (scope_key, source, target) within their scope (GRF4), over ``parts`` of
+    the network where these are given; see ``overlay.paths``."""
+    return overlay.paths(edges, pairs, parts).withColumn("rank", F.lit(0))
 
 
-def paths(edges: DataFrame, pairs: DataFrame, most: int = 0, **options) -> DataFrame:
-    """Shortest paths, and with ``most`` alternatives, of pairs (scope_key, source, target) within their scope.
+def path_alternatives(edges: DataFrame, pairs: DataFrame, most: int = 3, pairs_a_task: int = PAIRS_A_TASK, **options) -> DataFrame:
+    """Shortest path and at most ``most`` alternatives of each pair within its scope (GRF5).
 
-    Edges of a scope and its pairs meet in one task, as in one in-memory network; pairs of one
-    scope share the adjacency. Unreachable pairs give no row.
+    Pairs that nothing connects never meet the network. The others of a scope are dealt over as
+    many groups as it takes to give each ``pairs_a_task``; a group gets the edges of the pairs'
+    own component, as one in-memory network, which is refused beyond ``MOST_EDGES``.
     """
-
-    def solve(key: tuple, e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        near = _near(e.sort_values("edge_id"))
-        rows = []
-        for s, t in zip(p["source"], p["target"], strict=True):
-            found = alternatives(near, s, t, most, **options) if most else [x for x in [shortest_path(near, s, t)] if x]
-            rows += [(key[0], s, t, k, km, ids, nodes) for k, (ids, nodes, km) in enumerate(found)]
+    c = F.col
+    labels = cut(components_by_scope(edges))
+    of = lambda x: labels.select(c("scope_key").alias("_scope"), c("node").alias("_node"), c("component").alias(x))
+    on = lambda x: (c("scope_key") == c("_scope")) & (c(x) == c("_node"))
+    asked = pairs.select("scope_key", "source", "target").distinct().join(of("component"), on("source")).drop("_scope", "_node").join(of("_other"), on("target")).drop("_scope", "_node").where("component = _other").drop("_other")
+    groups = asked.groupBy("scope_key", "component").agg(F.ceil(F.count("*") / pairs_a_task).cast("int").alias("groups"))
+    asked = asked.join(groups, ["scope_key", "component"]).withColumn("salt", F.pmod(F.xxhash64("source", "target"), c("groups")).cast("int"))
+    own = edges.where((c("src") != c("dst")) & (c("length_km") > 0)).select("scope_key", "edge_id", "src", "dst", "length_km").join(of("component"), on("src")).drop("_scope", "_node").join(groups, ["scope_key", "component"])
+    largest = own.groupBy("scope_key", "component").count().agg(F.max("count").alias("n")).first().n or 0
+    if largest > MOST_EDGES:
+        raise ValueError(f"a connected network of {largest} edges is more than alternatives are searched in ({MOST_EDGES})")
+    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), c("groups") - 1)))
+    kind = dict(edges.dtypes)
+
+    def run(key: tuple, e: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        near = overlay.neighbours(e.sort_values("edge_id"))
+        rows = [(key[0], s, t, k, km, ids, nodes) for s, t in zip(p["source"].tolist(), p["target"].tolist(), strict=True) for k, (ids, nodes, km) in enumerate(alternatives(near, s, t, most, **options))]
         return pd.DataFrame(rows, columns=["scope_key", "source", "target", "rank", "length_km", "edge_ids", "nodes"])
 
-    # Fresh names on both sides: pairs are often made from the edges themselves.
-    own = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names]).groupBy("scope_key")
-    return own(edges, "scope_key", "edge_id", "src", "dst", "length_km").cogroup(own(pairs, "scope_key", "source", "target")).applyInPandas(solve, PATHS)
+    schema = f"scope_key string, source {kind['src']}, target {kind['src']}, rank int, length_km double, edge_ids array<{kind['edge_id']}>, nodes array<{kind['src']}>"
+    grouped = lambda df, *names: df.select(*[c(x).alias(x) for x in names]).groupBy("scope_key", "component", "salt")
+    return grouped(own, "scope_key", "component", "salt", "edge_id", "src", "dst", "length_km").cogroup(grouped(asked, "scope_key", "component", "salt", "source", "target")).applyInPandas(run, schema)
 
 
 def alternative_metrics(found: DataFrame) -> DataFrame:

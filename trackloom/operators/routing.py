@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo, scoring
 from trackloom.functions.arrays import merge_sequences
+from trackloom.operators import graph, overlay
 from trackloom.operators.ingest import latest
 from trackloom.operators.lineage import cut
-from trackloom.operators.spatial_join import explode_segments, segment_range_join
+from trackloom.operators.spatial_join import explode_segments, range_join, segment_range_join
+
+
+def _station(df: DataFrame) -> list[str]:
+    """What options belong to: a station, within a scope where the frame names it."""
+    return ["station_id", *(["scope_key"] if "scope_key" in df.columns else [])]
 
 
 def matcher_links(direct: DataFrame, nearest: DataFrame, most: int = 18) -> DataFrame:
-    """TOP9: one option a node, stored links before near nodes, 18 a station.
+    """TOP9: one option a node, stored links before near nodes, 18 a station and scope.
 
-    Both: station_id, node, link_distance_km, is_primary.
+    Both: station_id, node, link_distance_km, is_primary, and scope_key if any.
     """
+    by = _station(direct)
     both = direct.withColumn("source_rank", F.lit(0)).unionByName(nearest.withColumn("source_rank", F.lit(1)))
     order = [F.col("source_rank"), (~F.col("is_primary")).cast("int"), F.col("link_distance_km").asc_nulls_last(), F.col("node")]
-    one = latest(both, ["station_id", "node"], order)
-    return one.withColumn("rank", F.row_number().over(W.partitionBy("station_id").orderBy(*order))).where(F.col("rank") <= most)
+    one = latest(both, [*by, "node"], order)
+    return one.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most)
 
 
 def merged_links(base: DataFrame, extra: DataFrame, most: int = 32) -> DataFrame:
     """TOP8: one option a node by air distance, link distance, degree; the extra source wins ties.
 
-    Both: station_id, node, air_km, link_distance_km, degree.
+    Both: station_id, node, air_km, link_distance_km, degree, and scope_key if any.
     """
+    by = _station(base)
     both = base.withColumn("source", F.lit(0)).unionByName(extra.withColumn("source", F.lit(1))).fillna(0, ["link_distance_km", "degree"])
-    one = latest(both, ["station_id", "node"], [F.col("air_km"), F.col("link_distance_km"), F.desc("degree"), F.desc("source")])
-    w = W.partitionBy("station_id").orderBy("air_km", "link_distance_km", F.desc("degree"), "node")
+    one = latest(both, [*by, "node"], [F.col("air_km"), F.col("link_distance_km"), F.desc("degree"), F.desc("source")])
+    w = W.partitionBy(*by).orderBy("air_km", "link_distance_km", F.desc("degree"), "node")
     return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).drop("source")
 
 
@@ -46,27 +54,27 @@ def primary_node(links: DataFrame) -> DataFrame:
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, radius_km: float, most: int = 16) -> DataFrame:
-    """TOP14, AGG23, JON12: nodes with edges around each point by distance, degree and name."""
-    from trackloom.operators.spatial_join import range_join
-
+    """TOP14, AGG23, JON12: nodes with edges around each point by distance, degree and name, of each scope if they have one."""
     near = range_join(points, nodes.where("degree > 0"), radius_km)
-    w = W.partitionBy("id").orderBy(F.round("distance_km", 6), F.desc("r_degree"), "r_node")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("id", F.col("r_node").alias("node"), "distance_km", F.col("r_degree").alias("degree"), "rank")
+    scope = [F.col("r_scope_key").alias("scope_key")] if "scope_key" in nodes.columns else []
+    w = W.partitionBy("id", *scope).orderBy(F.round("distance_km", 6), F.desc("r_degree"), "r_node")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("id", *scope, F.col("r_node").alias("node"), "distance_km", F.col("r_degree").alias("degree"), "rank")
 
 
 def edge_snaps(points: DataFrame, edges: DataFrame, radius_m: float = 1500.0, most: int = 12) -> DataFrame:
-    """GEO9: the nearest edges of each point, each with the ways to both its ends.
+    """GEO9: the nearest edges of each point, of each scope if they have one, each with the ways to both its ends.
 
-    points: id, lon, lat; edges: edge_id, src, dst, coords.
+    points: id, lon, lat; edges: edge_id, src, dst, coords, and scope_key if any.
     """
-    near = segment_range_join(points, explode_segments(edges.select("edge_id", "coords")), radius_m / 1000).groupBy("id", "lon", "lat", "edge_id").agg(F.min("distance_km").alias("air_km"))
-    w = W.partitionBy("id").orderBy("air_km", "edge_id")
-    near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).join(edges.select("edge_id", "src", "dst", "coords"), "edge_id")
+    scope = ["scope_key"] if "scope_key" in edges.columns else []
+    near = segment_range_join(points, explode_segments(edges.select(*scope, "edge_id", "coords")), radius_m / 1000).groupBy("id", *scope, "lon", "lat", "edge_id").agg(F.min("distance_km").alias("air_km"))
+    w = W.partitionBy("id", *scope).orderBy("air_km", "edge_id")
+    near = near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).join(edges.select(*scope, "edge_id", "src", "dst", "coords"), [*scope, "edge_id"])
     at = geo.locate("lon", "lat", F.col("coords"))
     to_src, to_dst = geo.reverse(geo.substring(F.col("coords"), F.lit(0.0), F.col("share"))), geo.substring(F.col("coords"), F.col("share"), F.lit(1.0))
     near = near.withColumn("share", at)
     option = lambda node, way: F.struct(F.col(node).alias("node"), geo.length_km(way).alias("along_km"), way.alias("coords"))
-    return near.select("id", "edge_id", "air_km", "rank", F.explode(F.array(option("src", to_src), option("dst", to_dst))).alias("o")).select("id", "edge_id", "air_km", "rank", "o.*")
+    return near.select("id", *scope, "edge_id", "air_km", "rank", F.explode(F.array(option("src", to_src), option("dst", to_dst))).alias("o")).select("id", *scope, "edge_id", "air_km", "rank", "o.*")
 
 
 def link_pairs(starts: DataFrame, ends: DataFrame) -> DataFrame:
@@ -85,10 +93,13 @@ def best_pair(scored: DataFrame) -> DataFrame:
 
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
-    """NUM15, NUM16, GRF13: pairs with path_km, edge_count, delta_km, geo_km; rejected ones go."""
+    """NUM15, NUM16, GRF13: pairs with path_km, edge_count, delta_km, geo_km and, of either end, whether
+    its link is stored and primary; rejected ones go."""
     total = F.col("path_km") + F.col("start_km") + F.col("end_km")
     out = pairs.withColumn("total_km", total).withColumn("transition", scoring.path_transition(F.col("delta_km"), F.col("total_km"), F.col("edge_count")))
-    score = scoring.link_pair_score(F.col("transition"), scoring.path_outlier(F.col("delta_km"), F.col("geo_km"), F.col("total_km")), F.col("start_km") + F.col("end_km"), F.lit(False), ~(F.col("p") & F.col("q")))
+    score = scoring.link_pair_score(F.col("transition"), scoring.path_outlier(F.col("delta_km"), F.col("geo_km"), F.col("total_km")), F.col("start_km") + F.col("end_km"), F.lit(False), F.lit(False))
+    for x in "ab":
+        score = score + scoring.link_source_penalty(F.col(f"stored_{x}"), F.col(f"primary_{x}"))
     return out.where("transition is not null").withColumn("final_score", score)
 
 
@@ -96,95 +107,136 @@ LINK_KM = 1.5
 
 
 def link_options(stations: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, max_km: float = LINK_KM, most: int = 32) -> DataFrame:
-    """GRF16: how each station reaches the network: stored links, near nodes of the scope, and both
-    ends of near edges, one option a node, with air_km and link_distance_km (JON7, TOP14, GEO9, TOP8, FLT23).
+    """GRF16: how each station reaches each scope's network: stored links, near nodes, and both ends
+    of near edges, one option a node, with air_km and link_distance_km (JON7, TOP14, GEO9, TOP8, FLT23).
 
     stations: id, lon, lat; links: scope_key, station_id, node, link_distance_m, is_primary; nodes:
     scope_key, node, lon, lat; edges: scope_key, edge_id, src, dst, coords.
     """
-    from trackloom.operators.graph import degrees, linked_nodes
-
-    of = degrees(edges).withColumnRenamed("node", "_n")
-    placed = nodes.join(of, F.col("node") == F.col("_n")).drop("_n")
-    at = stations.select(F.col("id").alias("station_id"), "lon", "lat")
-    stored = linked_nodes(links, placed).join(at, "station_id").join(of, F.col("node") == F.col("_n"))
-    stored = stored.select("station_id", "node", geo.haversine_km("lon", "lat", "node_lon", "node_lat").alias("air_km"), (F.col("link_distance_m") / 1000).alias("link_distance_km"), "degree", F.lit(True).alias("stored"))
-    near = nearest_nodes(stations.select("id", "lon", "lat"), placed.select("node", "lon", "lat", "degree").distinct(), max_km)
-    near = near.select(F.col("id").alias("station_id"), "node", F.col("distance_km").alias("air_km"), F.col("distance_km").alias("link_distance_km"), "degree", F.lit(False).alias("stored"))
-    near = near.join(stored.select("station_id", "node"), ["station_id", "node"], "left_anti")
-    snaps = edge_snaps(stations.select("id", "lon", "lat"), edges, max_km * 1000).join(of, F.col("node") == F.col("_n"))
-    snaps = snaps.select(F.col("id").alias("station_id"), "node", "air_km", (F.col("air_km") + F.col("along_km")).alias("link_distance_km"), "degree", F.lit(False).alias("stored"))
+    of = graph.degrees(edges, ["scope_key"])
+    placed = nodes.select("scope_key", "node", "lon", "lat").distinct().join(of, ["scope_key", "node"])
+    at, c = stations.select(F.col("id").alias("station_id"), "lon", "lat"), F.col
+    stored = graph.linked_nodes(links, placed).join(at, "station_id").join(of, ["scope_key", "node"])
+    stored = stored.select("scope_key", "station_id", "node", geo.haversine_km("lon", "lat", "node_lon", "node_lat").alias("air_km"), (c("link_distance_m") / 1000).alias("link_distance_km"), "degree", F.lit(True).alias("stored"), "is_primary")
+    found = [c("id").alias("station_id"), "node"]
+    near = nearest_nodes(stations.select("id", "lon", "lat"), placed, max_km)
+    near = near.select("scope_key", *found, c("distance_km").alias("air_km"), c("distance_km").alias("link_distance_km"), "degree", F.lit(False).alias("stored"), F.lit(False).alias("is_primary"))
+    near = near.join(stored.select("scope_key", "station_id", "node"), ["scope_key", "station_id", "node"], "left_anti")
+    snaps = edge_snaps(stations.select("id", "lon", "lat"), edges, max_km * 1000).join(of, ["scope_key", "node"])
+    snaps = snaps.select("scope_key", *found, "air_km", (c("air_km") + c("along_km")).alias("link_distance_km"), "degree", F.lit(False).alias("stored"), F.lit(False).alias("is_primary"))
     return within_air(merged_links(stored.unionByName(near), snaps, most), max_km).where("accepted").drop("accepted")
 
 
-def _sides(wanted: DataFrame, options: DataFrame) -> DataFrame:
-    """Options of both ends of each pair (pair_id, origin, destination) of different nodes."""
-    side = lambda x: options.select(F.col("station_id").alias(f"s_{x}"), F.col("node").alias({"a": "source", "b": "target"}[x]), F.col("air_km").alias(f"air_{x}"), F.col("link_distance_km").alias(f"km_{x}"), F.col("stored").alias(f"stored_{x}"))
-    return wanted.join(side("a"), F.col("origin") == F.col("s_a")).join(side("b"), F.col("destination") == F.col("s_b")).where("source <> target").drop("s_a", "s_b")
-
-
-def _found(pairs: DataFrame, edges: DataFrame, scope_key: str) -> DataFrame:
-    from trackloom.operators.graph import paths
+NEAR_KM = 8.0
 
-    asked = pairs.select(F.lit(scope_key).alias("scope_key"), "source", "target").distinct()
-    way = paths(edges.withColumn("scope_key", F.lit(scope_key)), asked).select(F.col("source").alias("_s"), F.col("target").alias("_t"), F.col("length_km").alias("path_km"), "edge_ids", "nodes")
-    return pairs.join(way, (F.col("source") == F.col("_s")) & (F.col("target") == F.col("_t"))).drop("_s", "_t")
 
+def matcher_options(stations: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, max_km: float = NEAR_KM, near: int = 12, most: int = 18) -> DataFrame:
+    """TOP9: what routes on the map take: a station's stored links and the nearest nodes of each scope.
 
-def virtual_routes(wanted: DataFrame, options: DataFrame, edges: DataFrame, scope_key: str = "all") -> DataFrame:
-    """GRF16: for each pair of stations the best way through the network: every two options are tried,
-    and the way's length counts, and dearly what lies between station and track.
-
-    wanted: pair_id, origin, destination; options: as ``link_options`` gives them.
+    Arguments are those of ``link_options``.
+    """
+    c = F.col
+    used = graph.degrees(edges, ["scope_key"]).select("scope_key", "node")
+    placed = nodes.select("scope_key", "node", "lon", "lat").distinct().join(used, ["scope_key", "node"])
+    own = stations.select("id", "lon", "lat")
+    stored = graph.linked_nodes(links, placed).join(own.select(c("id").alias("station_id")), "station_id")
+    stored = stored.select("scope_key", "station_id", "node", (c("link_distance_m") / 1000).alias("link_distance_km"), "is_primary")
+    w = W.partitionBy("id", "r_scope_key").orderBy("distance_km", "r_node")
+    close = range_join(own, placed, max_km).withColumn("k", F.row_number().over(w)).where(c("k") <= near)
+    close = close.select(c("r_scope_key").alias("scope_key"), c("id").alias("station_id"), c("r_node").alias("node"), c("distance_km").alias("link_distance_km"), F.lit(False).alias("is_primary"))
+    out = matcher_links(stored, close, most)
+    return out.select("scope_key", "station_id", "node", c("link_distance_km").alias("air_km"), "link_distance_km", (c("source_rank") == 0).alias("stored"), F.coalesce("is_primary", F.lit(False)).alias("is_primary"))
+
+
+def _sides(wanted: DataFrame, options: DataFrame, labels: DataFrame | None = None, alike: bool = False) -> DataFrame:
+    """Options of both ends of each pair (pair_id, origin, destination) within one scope, of different
+    nodes unless ``alike``; with ``labels`` (scope_key, node, component) only what is connected, so no
+    search begins that cannot end."""
+    c = F.col
+    if labels is not None:
+        options = options.join(labels.select("scope_key", "node", "component"), ["scope_key", "node"])
+    names = {"scope_key": "scope", "station_id": "s", "air_km": "air", "link_distance_km": "km", "stored": "stored", "is_primary": "primary", **({"component": "component"} if labels is not None else {})}
+    side = lambda x: options.select(c("node").alias({"a": "source", "b": "target"}[x]), *[c(k).alias(f"{v}_{x}") for k, v in names.items()])
+    on = (c("destination") == c("s_b")) & (c("scope_a") == c("scope_b"))
+    if labels is not None:
+        on &= c("component_a") == c("component_b")
+    out = wanted.join(side("a"), c("origin") == c("s_a")).join(side("b"), on).withColumnRenamed("scope_a", "scope_key")
+    return (out if alike else out.where("source <> target")).drop("s_a", "s_b", "scope_b", "component_a", "component_b")
+
+
+def _found(pairs: DataFrame, edges: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """The pairs (scope_key, source, target) that a path connects, with path_km, edge_ids and nodes."""
+    way = overlay.paths(edges, pairs.select("scope_key", "source", "target"), parts)
+    return pairs.join(way.withColumnRenamed("length_km", "path_km"), ["scope_key", "source", "target"])
+
+
+def virtual_routes(wanted: DataFrame, options: DataFrame, edges: DataFrame, labels: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """GRF16: for each pair of stations the best way through the network of a scope: every two options are
+    tried, and the way's length counts, and dearly what lies between station and track.
+
+    wanted: pair_id, origin, destination; options: as ``link_options`` gives them; labels: as
+    ``graph.components_by_scope`` gives them; parts: as ``overlay.paths`` takes them.
     """
-    tried = _found(_sides(wanted, options), edges, scope_key)
+    tried = _found(_sides(wanted, options, labels), edges, parts)
     total = F.col("path_km") + F.col("km_a") + F.col("km_b")
     tried = tried.withColumn("total_km", total).withColumn("score", scoring.virtual_score(F.col("total_km"), F.col("air_a"), F.col("air_b")))
-    order = [F.round("score", 9), F.round("total_km", 9), F.size("edge_ids"), F.col("source"), F.col("target")]
+    order = [F.round("score", 9), F.round("total_km", 9), F.size("edge_ids"), F.col("scope_key"), F.col("source"), F.col("target")]
     return latest(tried, ["pair_id"], order)
 
 
-def probe(wanted: DataFrame, options: DataFrame, edges: DataFrame, scope_key: str = "all") -> DataFrame:
-    """GRF20: whether a scope connects two stations: the shortest total over their options, or ``no path``."""
-    tried = _found(_sides(wanted, options), edges, scope_key).withColumn("total_km", F.col("path_km") + F.col("km_a") + F.col("km_b"))
-    best = latest(tried, ["pair_id"], [F.round("total_km", 9), F.col("source"), F.col("target")]).select("pair_id", "source", "target", "path_km", "total_km", F.size("edge_ids").alias("edges"))
+def probe(wanted: DataFrame, options: DataFrame, edges: DataFrame, labels: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """GRF20: whether a scope connects two stations: the shortest total over their options, or ``no path``.
+
+    The labels tell; only what they connect is searched.
+    """
+    tried = _found(_sides(wanted, options, labels), edges, parts).withColumn("total_km", F.col("path_km") + F.col("km_a") + F.col("km_b"))
+    best = latest(tried, ["pair_id"], [F.round("total_km", 9), F.col("scope_key"), F.col("source"), F.col("target")]).select("pair_id", "source", "target", "path_km", "total_km", F.size("edge_ids").alias("edges"))
     return wanted.join(best, "pair_id", "left").withColumn("result", F.when(F.col("total_km").isNull(), "no path").otherwise("path found"))
 
 
-def bridge_routes(wanted: DataFrame, options: DataFrame, edges: DataFrame, labels: DataFrame, bridges: DataFrame, scope_key: str = "all") -> DataFrame:
-    """GRF11: for pairs none of whose options share a component, the best way over one bridge (SET6).
+def _steps(edge_ids: str, nodes: str) -> Column:
+    """A path as steps from node to node."""
+    return F.transform(edge_ids, lambda e, i: F.struct(e.alias("edge_id"), F.get(nodes, i).alias("a"), F.get(nodes, i + 1).alias("b")))
 
-    wanted: pair_id, origin, destination, delta_km, geo_km; labels: node, component; bridges: as
-    ``graph.bridge_candidates`` gives them.
+
+def bridge_routes(wanted: DataFrame, options: DataFrame, edges: DataFrame, labels: DataFrame, bridges: DataFrame, parts: DataFrame | None = None) -> DataFrame:
+    """GRF11: for pairs none of whose options share a component of a scope, the best way over one bridge (SET6).
+
+    wanted: pair_id, origin, destination, delta_km, geo_km; labels: scope_key, node, component; bridges:
+    as ``graph.bridge_candidates`` gives them.
     """
+    c = F.col
     named = with_components(options, labels).where("component is not null")
-    have = named.groupBy("station_id").agg(F.collect_set("component").alias("own"))
-    side = lambda x: have.select(F.col("station_id").alias(f"s_{x}"), F.col("own").alias(f"own_{x}"))
-    apart = wanted.join(side("a"), F.col("origin") == F.col("s_a")).join(side("b"), F.col("destination") == F.col("s_b")).where(~F.arrays_overlap("own_a", "own_b")).select(*wanted.columns)
-    both = bridges.select("component", F.col("r_component").alias("other"), F.col("node").alias("leave"), F.col("r_node").alias("enter"), F.col("distance_km").alias("gap_km"))
-    both = both.unionByName(both.select(F.col("other").alias("component"), F.col("component").alias("other"), F.col("enter").alias("leave"), F.col("leave").alias("enter"), "gap_km"))
-    end = lambda x: named.select(F.col("station_id").alias(f"s_{x}"), F.col("component").alias(f"c_{x}"), F.col("node").alias(f"node_{x}"), F.col("link_distance_km").alias(f"km_{x}"), F.col("stored").alias(f"stored_{x}"))
-    j = apart.join(end("a"), F.col("origin") == F.col("s_a")).join(end("b"), F.col("destination") == F.col("s_b"))
-    j = j.join(both, (F.col("c_a") == F.col("component")) & (F.col("c_b") == F.col("other"))).drop("s_a", "s_b", "component", "other")
-    legs = j.select(F.col("node_a").alias("source"), F.col("leave").alias("target")).union(j.select(F.col("enter").alias("source"), F.col("node_b").alias("target"))).distinct()
-    way = _found(legs.where("source <> target"), edges, scope_key).select("source", "target", "path_km", F.size("edge_ids").alias("hops"))
-    way = way.unionByName(legs.where("source = target").withColumn("path_km", F.lit(0.0)).withColumn("hops", F.lit(0)))
-    leg = lambda x: way.select(F.col("source").alias(f"u_{x}"), F.col("target").alias(f"v_{x}"), F.col("path_km").alias(f"path_{x}"), F.col("hops").alias(f"hops_{x}"))
-    j = j.join(leg("a"), (F.col("node_a") == F.col("u_a")) & (F.col("leave") == F.col("v_a"))).join(leg("b"), (F.col("enter") == F.col("u_b")) & (F.col("node_b") == F.col("v_b")))
-    total = F.col("km_a") + F.col("path_a") + F.col("gap_km") + F.col("path_b") + F.col("km_b")
-    j = j.withColumn("total_km", total).withColumn("edge_count", F.col("hops_a") + F.col("hops_b") + 1)
-    j = j.withColumn("transition", scoring.path_transition(F.col("delta_km"), F.col("total_km"), F.col("edge_count"))).where("transition is not null")
-    weak = (~F.col("stored_a")).cast("int") + (~F.col("stored_b")).cast("int")
-    score = scoring.bridge_score(F.col("transition"), scoring.path_outlier(F.col("delta_km"), F.col("geo_km"), F.col("total_km")), F.col("km_a") + F.col("km_b"), weak, F.col("gap_km"))
-    out = j.select("pair_id", F.lit("bridge").alias("mode"), score.alias("final_score"), "total_km", F.col("km_a").alias("start_km"), F.col("km_b").alias("end_km"), "edge_count", F.col("node_a").alias("source"), F.col("node_b").alias("target"), "leave", "enter", "gap_km")
-    return latest(out, ["pair_id"], [F.round("final_score", 9), F.round("total_km", 9), F.col("edge_count"), F.col("source"), F.col("target"), F.col("leave"), F.col("enter")])
-
-
-def direct_routes(wanted: DataFrame, options: DataFrame, edges: DataFrame, scope_key: str = "all") -> DataFrame:
+    have = named.groupBy("scope_key", "station_id").agg(F.collect_set("component").alias("own"))
+    side = lambda x: have.select(c("scope_key").alias(f"scope_{x}"), c("station_id").alias(f"s_{x}"), c("own").alias(f"own_{x}"))
+    apart = wanted.join(side("a"), c("origin") == c("s_a")).join(side("b"), (c("destination") == c("s_b")) & (c("scope_a") == c("scope_b")))
+    apart = apart.where(~graph.shares_component(c("own_a"), c("own_b"))).select(*wanted.columns, c("scope_a").alias("scope_key"))
+    both = bridges.select("scope_key", c("component").alias("c_a"), c("r_component").alias("c_b"), c("node").alias("leave"), c("r_node").alias("enter"), c("distance_km").alias("gap_km"))
+    both = both.unionByName(both.select("scope_key", c("c_b").alias("c_a"), c("c_a").alias("c_b"), c("enter").alias("leave"), c("leave").alias("enter"), "gap_km"))
+    end = lambda x, station: named.select("scope_key", c("station_id").alias(station), c("component").alias(f"c_{x}"), c("node").alias(f"node_{x}"), c("link_distance_km").alias(f"km_{x}"), c("stored").alias(f"stored_{x}"))
+    j = cut(apart.join(end("a", "origin"), ["scope_key", "origin"]).join(both, ["scope_key", "c_a"]).join(end("b", "destination"), ["scope_key", "destination", "c_b"]))
+    legs = j.select("scope_key", c("node_a").alias("source"), c("leave").alias("target")).union(j.select("scope_key", c("enter").alias("source"), c("node_b").alias("target"))).distinct()
+    way = cut(_found(legs, edges, parts).select("scope_key", "source", "target", "path_km", _steps("edge_ids", "nodes").alias("steps")))
+    leg = lambda x, u, v: way.select("scope_key", c("source").alias(u), c("target").alias(v), c("path_km").alias(f"path_{x}"), c("steps").alias(f"steps_{x}"))
+    j = j.join(leg("a", "node_a", "leave"), ["scope_key", "node_a", "leave"]).join(leg("b", "enter", "node_b"), ["scope_key", "enter", "node_b"])
+    total = c("km_a") + c("path_a") + c("gap_km") + c("path_b") + c("km_b")
+    j = j.withColumn("total_km", total).withColumn("edge_count", F.size("steps_a") + F.size("steps_b") + 1)
+    j = j.withColumn("transition", scoring.path_transition(c("delta_km"), c("total_km"), c("edge_count"))).where("transition is not null")
+    weak = (~c("stored_a")).cast("int") + (~c("stored_b")).cast("int")
+    score = scoring.bridge_score(c("transition"), scoring.path_outlier(c("delta_km"), c("geo_km"), c("total_km")), c("km_a") + c("km_b"), weak, c("gap_km"))
+    gap = F.struct(F.lit(None).cast(dict(edges.dtypes)["edge_id"]).alias("edge_id"), c("leave").alias("a"), c("enter").alias("b"))
+    out = j.select(
+        "pair_id", "scope_key", F.lit("bridge").alias("mode"), score.alias("final_score"), "total_km", c("km_a").alias("start_km"), c("km_b").alias("end_km"), "edge_count",
+        c("node_a").alias("source"), c("node_b").alias("target"), "leave", "enter", "gap_km", F.concat("steps_a", F.array(gap), "steps_b").alias("steps"),
+    )
+    return latest(out, ["pair_id"], [F.round("final_score", 9), F.round("total_km", 9), c("edge_count"), c("scope_key"), c("source"), c("target"), c("leave"), c("enter")])
+
+
+def direct_routes(wanted: DataFrame, options: DataFrame, edges: DataFrame, labels: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
     """GRF12, TOP10: for each pair of stops the best path between their options (wanted as for ``bridge_routes``)."""
-    one = _sides(wanted, options).withColumn("start_km", F.col("km_a")).withColumn("end_km", F.col("km_b")).withColumn("p", F.col("stored_a")).withColumn("q", F.col("stored_b"))
-    tried = _found(one, edges, scope_key).withColumn("edge_count", F.size("edge_ids"))
-    return best_pair(score_pairs(tried)).withColumn("mode", F.lit("direct"))
+    one = _sides(wanted, options, labels, alike=True).withColumn("start_km", F.col("km_a")).withColumn("end_km", F.col("km_b"))
+    tried = _found(one, edges, parts).withColumn("edge_count", F.size("edge_ids"))
+    return best_pair(score_pairs(tried)).withColumn("mode", F.lit("direct")).withColumn("steps", _steps("edge_ids", "nodes"))
 
 
 def chosen_routes(direct: DataFrame, bridged: DataFrame) -> DataFrame:
@@ -193,34 +245,70 @@ def chosen_routes(direct: DataFrame, bridged: DataFrame) -> DataFrame:
     return latest(both, ["pair_id"], [F.round("final_score", 9), F.round("total_km", 9), F.col("start_km") + F.col("end_km"), F.col("edge_count"), F.col("mode").desc()])
 
 
-def build_routes(stops: DataFrame, locked: DataFrame, stations: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, scope_key: str = "all") -> tuple[DataFrame, DataFrame]:
-    """From stops with a chosen station to routes on the map: the way between every two neighbouring
-    stops, and each route's geometry in groups that a missing way parts (GRF12, GRF15, ARR6).
+METHOD = {"direct": "topology_graph_path", "bridge": "topology_component_bridge"}
+
+
+def build_routes(
+    stops: DataFrame, locked: DataFrame, stations: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame, parts: DataFrame | None = None, bridge_km: float = 2.0
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From stops with a chosen station to routes on the map (GRF12, GRF15, ARR6): legs, steps and groups.
+
+    A leg joins each stop to the one before it: the best path between the two stations' links, or
+    over a bridge where nothing connects them. It has no path where the network gives none
+    (``missing_graph_path``), nor where either stop has no station (``missing_locked_station``): a
+    stop without a station parts the route, it is never passed over. legs: one row each, with its
+    method, lengths and coords; steps: the edges and gaps that each leg takes, in order; groups: the
+    route's geometry.
 
-    stops: route_id, stop_sequence, distance_km; locked: route_id, stop_sequence, station_id.
+    stops: route_id, stop_sequence, distance_km; locked: route_id, stop_sequence, station_id; the
+    others as for ``link_options``; parts as for ``overlay.paths``.
     """
-    w = W.partitionBy("route_id").orderBy("stop_sequence")
-    at = stops.join(locked.select("route_id", "stop_sequence", F.col("station_id").alias("destination")), ["route_id", "stop_sequence"]).where("destination is not null")
-    at = at.withColumn("origin", F.lag("destination").over(w)).withColumn("_before", F.lag("distance_km").over(w)).where("origin is not null and origin <> destination")
-    place = lambda x: stations.select(F.col("id").alias(x), F.col("lon").alias(f"lon_{x}"), F.col("lat").alias(f"lat_{x}"))
-    at = at.join(place("origin"), "origin").join(place("destination"), "destination")
-    wanted = at.select(
-        "route_id", "stop_sequence", F.concat_ws(":", "route_id", "stop_sequence").alias("pair_id"), "origin", "destination",
-        scoring.delta_km(F.col("_before"), F.col("distance_km")).alias("delta_km"), geo.haversine_km("lon_origin", "lat_origin", "lon_destination", "lat_destination").alias("geo_km"),
+    c, w = F.col, W.partitionBy("route_id").orderBy("stop_sequence")
+    at = stops.join(locked.select("route_id", "stop_sequence", c("station_id").alias("destination")), ["route_id", "stop_sequence"], "left")
+    lag = lambda x, name: F.lag(x).over(w).alias(name)
+    at = at.select("route_id", "stop_sequence", "destination", "distance_km", lag("stop_sequence", "from_sequence"), lag("destination", "origin"), lag("distance_km", "_before"), (F.row_number().over(w) - 1).alias("segment"))
+    place = lambda x: stations.select(c("id").alias(x), F.struct("lon", "lat").alias(f"at_{x}"))
+    at = at.where("from_sequence is not null").join(place("origin"), "origin", "left").join(place("destination"), "destination", "left")
+    pair = F.concat_ws(":", "route_id", "stop_sequence").alias("pair_id")
+    way = geo.haversine_km(c("at_origin.lon"), c("at_origin.lat"), c("at_destination.lon"), c("at_destination.lat"))
+    wanted = cut(at.select("route_id", "stop_sequence", "segment", "from_sequence", pair, "origin", "destination", scoring.delta_km(c("_before"), c("distance_km")).alias("delta_km"), way.alias("geo_km"), "at_origin", "at_destination"))
+    asked = wanted.where("at_origin is not null and at_destination is not null").select("pair_id", "origin", "destination", "delta_km", "geo_km")
+
+    used = stations.join(asked.select(F.explode(F.array("origin", "destination")).alias("id")).distinct(), "id", "left_semi")
+    options = cut(matcher_options(used, links, nodes, edges))
+    labels = cut(graph.components_by_scope(edges))
+    spots = nodes.select("scope_key", "node", "lon", "lat").distinct()
+    bridges = graph.bridge_candidates(spots.join(labels, ["scope_key", "node"]), bridge_km)
+    found = cut(chosen_routes(direct_routes(asked, options, edges, labels, parts), bridge_routes(asked, options, edges, labels, bridges, parts)))
+
+    spot = lambda x: spots.select("scope_key", c("node").alias(x), F.struct("lon", "lat").alias(f"at_{x}"))
+    taken = found.select("pair_id", "scope_key", F.posexplode("steps").alias("pos", "step")).select("pair_id", "scope_key", (c("pos") + 1).alias("pos"), "step.*")
+    of = edges.select("scope_key", "edge_id", "src", "length_km", "coords")
+    run = taken.join(of, ["scope_key", "edge_id"], "left").join(spot("a"), ["scope_key", "a"], "left").join(spot("b"), ["scope_key", "b"], "left")
+    line = F.when(c("edge_id").isNull(), F.array("at_a", "at_b")).when(c("src") == c("a"), c("coords")).otherwise(F.reverse("coords"))
+    run = cut(run.join(found.select("pair_id", "gap_km"), "pair_id").select("pair_id", "pos", "edge_id", "a", "b", F.coalesce("length_km", "gap_km").alias("length_km"), F.when(c("edge_id").isNull(), "component_bridge_gap").otherwise("graph_locked_station_path").alias("source"), line.alias("coords")))
+    parts_of = run.groupBy("pair_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "coords"))), lambda x: x["coords"]).alias("lines"))
+
+    ends = found.join(spot("source"), ["scope_key", "source"], "left").join(spot("target"), ["scope_key", "target"], "left").join(parts_of, "pair_id", "left")
+    legs = wanted.join(ends.select("pair_id", "mode", "scope_key", "source", "target", "total_km", "start_km", "end_km", "gap_km", "edge_count", "final_score", "at_source", "at_target", "lines"), "pair_id", "left")
+    connector = lambda a, b: F.when(c(a) != c(b), F.array(a, b)).otherwise(F.array(a))
+    ways = F.concat(F.array(connector("at_origin", "at_source")), F.coalesce("lines", F.array(F.array("at_source"))), F.array(connector("at_target", "at_destination")))
+    merged = merge_sequences(ways, 1e-10)
+    method = F.when(c("mode") == "direct", METHOD["direct"]).when(c("mode") == "bridge", METHOD["bridge"]).when(c("at_origin").isNull() | c("at_destination").isNull(), "missing_locked_station").otherwise("missing_graph_path")
+    legs = legs.select(
+        "route_id", "stop_sequence", "segment", "from_sequence", "origin", "destination", method.alias("method"), "scope_key", "source", "target",
+        (c("total_km") - c("start_km") - c("end_km")).alias("graph_km"), "start_km", "end_km", "gap_km", "total_km", "edge_count", "final_score",
+        F.when(c("mode").isNotNull(), F.when(F.size(merged) >= 2, merged).otherwise(F.array("at_origin", "at_destination"))).alias("coords"),
     )
-    wanted = cut(wanted)
-    used = stations.join(wanted.select(F.explode(F.array("origin", "destination")).alias("id")).distinct(), "id", "left_semi")
-    options = cut(link_options(used, links, nodes, edges))
-    found = direct_routes(wanted.drop("route_id", "stop_sequence"), options, edges, scope_key)
-    found = cut(found)
-    lines = path_geometry(found.select(F.col("pair_id").alias("path_id"), "edge_ids", "nodes"), edges).select(F.col("path_id").alias("pair_id"), "coords")
-    legs = wanted.join(found.select("pair_id", "source", "target", "path_km", "total_km", "edge_count", "final_score"), "pair_id", "left").join(lines, "pair_id", "left")
-    return legs, route_geometry(legs.select("route_id", "stop_sequence", "coords"))
+    legs = cut(legs)
+    steps = run.join(wanted.select("pair_id", "route_id", "stop_sequence", "segment"), "pair_id").drop("pair_id")
+    return legs, steps, route_geometry(legs.select("route_id", "stop_sequence", "coords", (c("method") == "missing_locked_station").alias("unlocked")))
 
 
 def with_components(options: DataFrame, labels: DataFrame) -> DataFrame:
     """GRF22."""
-    return options.join(labels, "node", "left")
+    by = [x for x in ("scope_key",) if x in options.columns and x in labels.columns]
+    return options.join(labels, [*by, "node"], "left")
 
 
 def path_geometry(paths: DataFrame, edges: DataFrame) -> DataFrame:
@@ -237,11 +325,19 @@ def path_geometry(paths: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def route_geometry(segments: DataFrame) -> DataFrame:
-    """GRF15: a route's stretches of found paths; a missing one starts a new group.
+    """GRF15: a route's stretches of found paths; a new group begins after a missing path, and where a
+    path does not begin at the last one's end.
 
-    segments: route_id, stop_sequence, coords (null: no path).
+    segments: route_id, stop_sequence, coords (null: no path), and, if any, unlocked (the path is
+    missing for want of a station, which parts a group only by where the next path begins).
     """
-    w = W.partitionBy("route_id").orderBy("stop_sequence")
-    g = segments.withColumn("group", F.sum(F.when(F.col("coords").isNull(), 1).otherwise(0)).over(w)).where("coords is not null")
+    w, c = W.partitionBy("route_id").orderBy("stop_sequence"), F.col
+    missing = c("coords").isNull() & ~F.coalesce("unlocked", F.lit(False)) if "unlocked" in segments.columns else c("coords").isNull()
+    g = segments.withColumn("_missing", F.sum(missing.cast("int")).over(w))
+    past = w.rowsBetween(W.unboundedPreceding, -1)
+    end = F.when(c("coords").isNotNull(), F.struct(geo.end_point(c("coords")).alias("at"), c("_missing").alias("m")))
+    g = g.withColumn("_last", F.last(end, ignorenulls=True).over(past)).where("coords is not null")
+    apart = (c("_last.m") == c("_missing")) & (c("_last.at") != geo.start_point(c("coords")))
+    g = g.withColumn("group", c("_missing") + F.sum(F.coalesce(apart, F.lit(False)).cast("int")).over(w))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("stop_sequence", "coords"))), lambda x: x["coords"])
     return g.groupBy("route_id", "group").agg(merge_sequences(parts).alias("coords"))

@@ -19,6 +19,19 @@ walk as (select src as source, src as node, cast(null as bigint) as came, cast(0
   union select w.source, b.dst, b.edge_id, w.km + b.length_km, w.hops + 1 from walk w join both_ways b on b.src = w.node where w.came is null or b.edge_id <> w.came)"""
 
 
+def _parts(t):
+    """The chain's nodes by region, a scope's own: most edges of the chain lead from one to another."""
+    return t.stations.select(_scope("id"), c("id").alias("node"), c("region_code").alias("part"))
+
+
+def _scope(node: str):
+    return _scope_of(c(node))
+
+
+def _scope_of(node):
+    return F.when(node % 2 == 0, "even").otherwise("odd").alias("scope_key")
+
+
 def _walk(parts: str, select: str, name: str | None = None):
     """A query whose SQL walks the forest."""
 
@@ -37,7 +50,7 @@ def _walk(parts: str, select: str, name: str | None = None):
 )
 def shortest_paths(t):
     pairs = t.chain.groupBy("scope_key").agg(F.min("src").alias("source")).join(t.chain.select("scope_key", c("dst").alias("target")).distinct(), "scope_key")
-    return graph.paths(t.chain, pairs).select("scope_key", "source", "target", F.round("length_km", 6).alias("length_km"), F.size("edge_ids").alias("edges"))
+    return graph.paths(t.chain, pairs, _parts(t)).select("scope_key", "source", "target", F.round("length_km", 6).alias("length_km"), F.size("edge_ids").alias("edges"))
 
 
 @_walk(", starts as (select min(src) as source from chain group by scope_key)", "select w.source, w.node, round(w.km, 6) as km from walk w join starts s on s.source = w.source")
@@ -130,41 +143,41 @@ def _placed(t):
     """The chain's edges with their ends' places, and its nodes."""
     at = lambda x: t.stations.select(c("id").alias(x), F.struct("lon", "lat").alias(f"p_{x}"))
     edges = t.chain.join(at("src"), "src").join(at("dst"), "dst").select("scope_key", "edge_id", "src", "dst", "length_km", F.array("p_src", "p_dst").alias("coords"))
-    nodes = t.stations.select(F.lit("all").alias("scope_key"), c("id").alias("node"), "lon", "lat")
+    nodes = t.stations.select(_scope("id"), c("id").alias("node"), "lon", "lat")
     return edges, nodes
 
 
 @_also(
     f"""edge as (select c.edge_id, c.src, c.dst, a.lon as ax, a.lat as ay, b.lon as bx, b.lat as by_ from chain c join stations a on a.id = c.src join stations b on b.id = c.dst), deg as (select node, count(*) as degree from (select src as node from edge union all select dst from edge) x group by 1),
   near as (select s.id, {km("s.lon", "s.lat", "n.lon", "n.lat")} as air, n.id as node, degree from settlements s, stations n join deg on deg.node = n.id),
-  close as (select * from (select *, row_number() over (partition by id order by round(air, 6), degree desc, node) as k from near where air <= 60) x where k <= 16),
+  close as (select * from (select *, row_number() over (partition by id, node % 2 order by round(air, 6), degree desc, node) as k from near where air <= 60) x where k <= 16),
   snap as (select s.id, e.*, {seg_km("s.lon", "s.lat", "ax", "ay", "bx", "by_")} as air, {PT.replace("45 -", "s.lon -").replace("57 -", "s.lat -")} as t from settlements s, (select *, (bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay) as n from edge) e),
-  best as (select * from (select *, row_number() over (partition by id order by air, edge_id) as k from snap where air <= 60) x where k <= 12),
+  best as (select * from (select *, row_number() over (partition by id, src % 2 order by air, edge_id) as k from snap where air <= 60) x where k <= 12),
   options as (select id, node, air, air as way, degree, 0 as source from close
     union all select id, src, air, air + {km("ax", "ay", "ax + t * (bx - ax)", "ay + t * (by_ - ay)")}, degree, 1 from best join deg on deg.node = src
     union all select id, dst, air, air + {km("ax + t * (bx - ax)", "ay + t * (by_ - ay)", "bx", "by_")}, degree, 1 from best join deg on deg.node = dst),
   one as (select * from (select *, row_number() over (partition by id, node order by air, way, degree desc, source desc) as k from options) x where k = 1)""",
-    "select id as station_id, node, round(air, 5) as air_km, round(way, 5) as way_km from (select *, row_number() over (partition by id order by air, way, degree desc, node) as r from one) x where r <= 32",
+    "select id as station_id, case when node % 2 = 0 then 'even' else 'odd' end as scope_key, node, round(air, 5) as air_km, round(way, 5) as way_km from (select *, row_number() over (partition by id, node % 2 order by air, way, degree desc, node) as r from one) x where r <= 32",
 )
 def link_options(t):
     edges, nodes = _placed(t)
-    none = t.links.select(F.lit("all").alias("scope_key"), "station_id", "node", "link_distance_m", "is_primary").limit(0)
+    none = t.links.select("scope_key", "station_id", "node", "link_distance_m", "is_primary").limit(0)
     out = routing.link_options(t.settlements.select("id", "lon", "lat"), none, nodes, edges, max_km=60.0)
-    return out.select("station_id", "node", F.round("air_km", 5).alias("air_km"), F.round("link_distance_km", 5).alias("way_km"))
+    return out.select("station_id", "scope_key", "node", F.round("air_km", 5).alias("air_km"), F.round("link_distance_km", 5).alias("way_km"))
 
 
 # Virtual routes, probes, bridges (GRF11, GRF12, GRF13, GRF16, GRF20, NUM15, NUM16, TOP10, SET6)
 
-OPTIONS = """options as (select id as station_id, id as node, (id % 5) / 10.0 as air, (id % 7) / 10.0 as way, id % 3 = 0 as stored from stations union all select id, id + 2, (id % 3) / 4.0, (id % 2) / 2.0, false from stations where id + 2 in (select id from stations)),
+OPTIONS = """options as (select id as station_id, id as node, (id % 5) / 10.0 as air, (id % 7) / 10.0 as way, id % 3 = 0 as stored, id % 6 = 0 as prim from stations union all select id, id + 2, (id % 3) / 4.0, (id % 2) / 2.0, false, false from stations where id + 2 in (select id from stations)),
 wanted as (select id as pair_id, id as origin, id + 8 as destination, cast(id % 40 as double) as delta_km, cast(20 as double) as geo_km from stations where id + 8 in (select id from stations)),
-sides as (select w.*, a.node as source, b.node as target, a.air as air_a, b.air as air_b, a.way as km_a, b.way as km_b, a.stored as p, b.stored as q from wanted w join options a on a.station_id = w.origin join options b on b.station_id = w.destination where a.node <> b.node),
+sides as (select w.*, a.node as source, b.node as target, a.air as air_a, b.air as air_b, a.way as km_a, b.way as km_b, case when not a.stored then 0.05 when not a.prim then 0.01 else 0 end + case when not b.stored then 0.05 when not b.prim then 0.01 else 0 end as sources from wanted w join options a on a.station_id = w.origin join options b on b.station_id = w.destination and b.node % 2 = a.node % 2 where a.node <> b.node),
 tried as (select s.*, w.km as path_km, w.hops, w.km + km_a + km_b as total from sides s join walk w on w.source = s.source and w.node = s.target)"""
 
 
 def _options(t):
     s = t.stations.select("id")
-    own = s.select(c("id").alias("station_id"), c("id").alias("node"), (c("id") % 5 / 10).alias("air_km"), (c("id") % 7 / 10).alias("link_distance_km"), (c("id") % 3 == 0).alias("stored"))
-    next_ = s.select(c("id").alias("station_id"), (c("id") + 2).alias("node"), (c("id") % 3 / 4).alias("air_km"), (c("id") % 2 / 2).alias("link_distance_km"), F.lit(False).alias("stored"))
+    own = s.select(_scope("id"), c("id").alias("station_id"), c("id").alias("node"), (c("id") % 5 / 10).alias("air_km"), (c("id") % 7 / 10).alias("link_distance_km"), (c("id") % 3 == 0).alias("stored"), (c("id") % 6 == 0).alias("is_primary"))
+    next_ = s.select(_scope("id"), c("id").alias("station_id"), (c("id") + 2).alias("node"), (c("id") % 3 / 4).alias("air_km"), (c("id") % 2 / 2).alias("link_distance_km"), F.lit(False).alias("stored"), F.lit(False).alias("is_primary"))
     wanted = s.select(c("id").alias("pair_id"), c("id").alias("origin"), (c("id") + 8).alias("destination"), (c("id") % 40).cast("double").alias("delta_km"), F.lit(20.0).alias("geo_km"))
     here = s.select(c("id").alias("_i"))
     return own.unionByName(next_.join(here, c("node") == c("_i"), "left_semi")), wanted.join(here, c("destination") == c("_i"), "left_semi")
@@ -176,7 +189,7 @@ def _options(t):
 )
 def virtual_routes(t):
     options, wanted = _options(t)
-    return routing.virtual_routes(wanted, options, t.chain).select("pair_id", "source", "target", F.round("total_km", 6).alias("total_km"), F.round("score", 6).alias("score"))
+    return routing.virtual_routes(wanted, options, t.chain, graph.components_by_scope(t.chain), _parts(t)).select("pair_id", "source", "target", F.round("total_km", 6).alias("total_km"), F.round("score", 6).alias("score"))
 
 
 @_walk(
@@ -186,7 +199,7 @@ def virtual_routes(t):
 )
 def scope_probe(t):
     options, wanted = _options(t)
-    return routing.probe(wanted, options, t.chain).select("pair_id", "source", "target", F.round("total_km", 6).alias("total_km"), "result")
+    return routing.probe(wanted, options, t.chain, graph.components_by_scope(t.chain), _parts(t)).select("pair_id", "source", "target", F.round("total_km", 6).alias("total_km"), "result")
 
 
 def _transition(delta: str, path: str, hops: str) -> str:
@@ -201,23 +214,23 @@ def _outlier(delta: str, geo_km: str, path: str) -> str:
 
 DIRECT = f"""costed as (select *, {_transition("delta_km", "total", "hops")} as transition, {_outlier("delta_km", "geo_km", "total")} as outlier from tried),
 direct as (select * from (select *, row_number() over (partition by pair_id order by score, total, km_a + km_b, hops, source, target) as n from (
-  select *, 4 * transition + outlier + 0.15 * (km_a + km_b) + case when p and q then 0 else 0.01 end as score from costed where transition is not null) x) y where n = 1)"""
+  select *, 4 * transition + outlier + 0.15 * (km_a + km_b) + sources as score from costed where transition is not null) x) y where n = 1)"""
 
 
 @_walk(f", {OPTIONS}, {DIRECT}", "select pair_id, round(total, 6) as total_km, round(score, 6) as final_score from direct")
 def direct_routes(t):
     options, wanted = _options(t)
-    return routing.direct_routes(wanted, options, t.chain).select("pair_id", F.round("total_km", 6).alias("total_km"), F.round("final_score", 6).alias("final_score"))
+    return routing.direct_routes(wanted, options, t.chain, parts=_parts(t)).select("pair_id", F.round("total_km", 6).alias("total_km"), F.round("final_score", 6).alias("final_score"))
 
 
 BRIDGED = f"""labels as (select source as node, min(node) as component from walk group by 1), named as (select o.*, component from options o join labels l on l.node = o.node),
-own as (select station_id, list(distinct component) as cs from named group by 1), apart as (select w.* from wanted w join own a on a.station_id = w.origin join own b on b.station_id = w.destination where len(list_intersect(a.cs, b.cs)) = 0),
+own as (select station_id, node % 2 as scope, list(distinct component) as cs from named group by 1, 2), apart as (select w.*, a.scope from wanted w join own a on a.station_id = w.origin join own b on b.station_id = w.destination and b.scope = a.scope where len(list_intersect(a.cs, b.cs)) = 0),
 sizes as (select component, count(*) as size from labels group by 1), spots as (select l.node, l.component, size, s.lon, s.lat from labels l join sizes z on z.component = l.component join stations s on s.id = l.node),
 gaps as (select * from (select *, row_number() over (partition by component, other order by gap_km, leave, enter) as k from (select a.component, b.component as other, a.node as leave, b.node as enter, {km("a.lon", "a.lat", "b.lon", "b.lat")} as gap_km, least(a.size, b.size) as small
-  from spots a join spots b on a.component < b.component) x where gap_km <= 900 and small <= 500) y where k <= 8),
+  from spots a join spots b on a.component < b.component and a.node % 2 = b.node % 2) x where gap_km <= 900 and small <= 500) y where k <= 8),
 both_gaps as (select component, other, leave, enter, gap_km from gaps union all select other, component, enter, leave, gap_km from gaps),
 over_ as (select a.pair_id, a.delta_km, a.geo_km, x.node as source, y.node as target, leave, enter, gap_km, x.way as km_a, y.way as km_b, u.hops + v.hops + 1 as hops, x.way + u.km + gap_km + v.km + y.way as total, case when x.stored then 0 else 1 end + case when y.stored then 0 else 1 end as weak
-  from apart a join named x on x.station_id = a.origin join named y on y.station_id = a.destination join both_gaps g on g.component = x.component and g.other = y.component
+  from apart a join named x on x.station_id = a.origin and x.node % 2 = a.scope join named y on y.station_id = a.destination and y.node % 2 = a.scope join both_gaps g on g.component = x.component and g.other = y.component
   join walk u on u.source = x.node and u.node = leave join walk v on v.source = enter and v.node = y.node),
 bridged as (select * from (select *, row_number() over (partition by pair_id order by round(score, 9), round(total, 9), hops, source, target, leave, enter) as n from (
   select *, 4 * transition + {_outlier("delta_km", "geo_km", "total")} + 0.15 * (km_a + km_b) + 0.05 * weak + 0.2 + 0.35 * gap_km as score from (select *, {_transition("delta_km", "total", "hops")} as transition from over_) o where transition is not null) x) y where n = 1)"""
@@ -226,9 +239,9 @@ bridged as (select * from (select *, row_number() over (partition by pair_id ord
 def _bridged(t):
     options, wanted = _options(t)
     wanted = wanted.withColumn("delta_km", F.col("delta_km") * 30)
-    labels = graph.components(t.chain)
-    spots = t.stations.select(F.lit("all").alias("scope_key"), c("id").alias("node"), "lon", "lat").join(labels, "node")
-    return options, wanted, routing.bridge_routes(wanted, options, t.chain, labels, graph.bridge_candidates(spots, 900.0))
+    labels = graph.components_by_scope(t.chain)
+    spots = _placed(t)[1].join(labels, ["scope_key", "node"])
+    return options, wanted, routing.bridge_routes(wanted, options, t.chain, labels, graph.bridge_candidates(spots, 900.0), _parts(t))
 
 
 FAR = OPTIONS.replace("cast(id % 40 as double) as delta_km", "cast(id % 40 as double) * 30 as delta_km")
@@ -242,7 +255,7 @@ def bridge_routes(t):
 @_walk(f", {FAR}, {DIRECT}, {BRIDGED}", "select pair_id, 'direct' as mode, round(score, 5) as final_score from direct union all select pair_id, 'bridge', round(score, 5) from bridged where pair_id not in (select pair_id from direct)")
 def chosen_routes(t):
     options, wanted, bridged = _bridged(t)
-    return routing.chosen_routes(routing.direct_routes(wanted, options, t.chain), bridged).select("pair_id", "mode", F.round("final_score", 5).alias("final_score"))
+    return routing.chosen_routes(routing.direct_routes(wanted, options, t.chain, graph.components_by_scope(t.chain), _parts(t)), bridged).select("pair_id", "mode", F.round("final_score", 5).alias("final_score"))
 
 
 # Routes on the map (GRF15, GRF18, ARR6, SNK8)
@@ -305,12 +318,53 @@ def import_matches(t):
     return matching.import_matches(s, t.stations, mapping).select("route_id", "stop_sequence", "matched_id", "match_method", F.col("match_confidence").cast("double").alias("match_confidence"))
 
 
-@query()
+BUILT = f"""held as (select route_id, stop_sequence, case when station_id % 6 <> 0 then station_id end as station, case when stop_sequence % 5 <> 0 then cast(stop_sequence * 25 as double) end as km from trunk),
+linked as (select id as station_id, id as node, (id % 5) / 10.0 as way, id % 4 <> 0 as prim from stations union all select id, id + 1, (id % 3) / 4.0, false from stations where id % 3 <> 0),
+deg as (select distinct node from (select src as node from chain union all select dst from chain) x), placed as (select d.node, s.lon, s.lat from deg d join stations s on s.id = d.node),
+near as (select * from (select s.id as station_id, p.node, {km("s.lon", "s.lat", "p.lon", "p.lat")} as way, row_number() over (partition by s.id, p.node % 2 order by {km("s.lon", "s.lat", "p.lon", "p.lat")}, p.node) as k from stations s, placed p where {km("s.lon", "s.lat", "p.lon", "p.lat")} <= 8) x where k <= 12),
+both_kinds as (select l.station_id, l.node, l.way, l.prim, true as stored from linked l join placed p on p.node = l.node union all select station_id, node, way, false, false from near),
+one as (select * from (select *, row_number() over (partition by station_id, node order by not stored, not prim, way) as n from both_kinds) x where n = 1),
+options as (select station_id, node, way as air, way, stored, prim from (select *, row_number() over (partition by station_id, node % 2 order by not stored, not prim, way, node) as k from one) x where k <= 18),
+legs as (select h.route_id, h.stop_sequence, h.station as destination, lag(h.stop_sequence) over w as from_sequence, lag(h.station) over w as origin, case when h.km is not null and lag(h.km) over w is not null then greatest(0, h.km - lag(h.km) over w) end as delta_km from held h window w as (partition by h.route_id order by h.stop_sequence)),
+wanted as (select concat(l.route_id, ':', l.stop_sequence) as pair_id, l.*, {km("a.lon", "a.lat", "b.lon", "b.lat")} as geo_km from legs l join stations a on a.id = l.origin join stations b on b.id = l.destination where l.from_sequence is not null),
+{OPTIONS[OPTIONS.index("sides as"):].replace(" where a.node <> b.node", "")}"""
+
+
+def _nullable_delta(sql: str) -> str:
+    """The costs where a stop has no distance."""
+    return sql.replace("case when delta_km <= 1 then", "case when delta_km is null then total * 0.03 + hops * 0.02 when delta_km <= 1 then")
+
+
+@_walk(
+    f""", {BUILT}, {_nullable_delta(DIRECT)}, {_nullable_delta(BRIDGED).replace("gap_km <= 900", "gap_km <= 300")},
+chosen as (select * from (select *, row_number() over (partition by pair_id order by round(score, 9), round(total, 9), way, hops, method desc) as n from (
+  select pair_id, 'topology_graph_path' as method, score, total, km_a + km_b as way, hops, source, target, cast(null as double) as gap_km from direct union all select pair_id, 'topology_component_bridge', score, total, km_a + km_b, hops, source, target, gap_km from bridged) x) y where n = 1)""",
+    """select l.route_id, cast(l.stop_sequence as integer) as stop_sequence, l.from_sequence, coalesce(k.method, case when l.origin is null or l.destination is null then 'missing_locked_station' else 'missing_graph_path' end) as method,
+  round(k.total, 5) as total_km, round(k.score, 5) as final_score, cast(k.hops as integer) as edge_count, round(k.gap_km, 5) as gap_km, round(k.total - k.way, 5) as steps_km
+  from legs l left join chosen k on k.pair_id = concat(l.route_id, ':', l.stop_sequence) where l.from_sequence is not null""",
+)
 def built_routes(t):
-    """The way between every two stops of every route, through the chain, and its geometry."""
-    stops = t.trunk.select("route_id", "stop_sequence", "station_id", F.lit(None).cast("double").alias("distance_km"))
+    """Routes end to end: distances or none, stops without a station, gaps that a bridge closes or nothing does."""
+    legs, steps, _ = _built(t)
+    walked = steps.groupBy("route_id", "stop_sequence").agg(F.sum("length_km").alias("steps_km"))
+    out = legs.join(walked, ["route_id", "stop_sequence"], "left")
+    rounded = [F.round(x, 5).alias(x) for x in ("total_km", "final_score", "gap_km")]
+    no_steps = F.when(c("total_km").isNotNull(), F.coalesce("steps_km", F.lit(0.0)))
+    return out.select("route_id", "stop_sequence", "from_sequence", "method", *rounded, "edge_count", F.round(no_steps, 5).alias("steps_km"))
+
+
+def _built(t):
+    stops = t.trunk.select("route_id", "stop_sequence", F.when(c("stop_sequence") % 5 != 0, (c("stop_sequence") * 25).cast("double")).alias("distance_km"))
+    locked = t.trunk.where("station_id % 6 <> 0").select("route_id", "stop_sequence", "station_id")
     edges, nodes = _placed(t)
-    locked = stops.select("route_id", "stop_sequence", "station_id")
-    links = t.stations.select(F.lit("all").alias("scope_key"), c("id").alias("station_id"), c("id").alias("node"), F.lit(0.0).alias("link_distance_m"), F.lit(True).alias("is_primary"))
-    legs, _ = routing.build_routes(stops, locked, t.stations, links, nodes, edges)
-    return legs.select("route_id", "stop_sequence", "origin", "destination", F.round("total_km", 6).alias("total_km"), F.size("coords").alias("points"))
+    s = t.stations
+    link = lambda node, m, primary: [_scope_of(node), c("id").alias("station_id"), node.alias("node"), m.alias("link_distance_m"), primary.alias("is_primary")]
+    links = s.select(*link(c("id"), c("id") % 5 * 100, c("id") % 4 != 0)).unionByName(s.where("id % 3 <> 0").select(*link(c("id") + 1, c("id") % 3 * 250, F.lit(False))))
+    return routing.build_routes(stops, locked, s, links, nodes, edges, _parts(t), bridge_km=300.0)
+
+
+@query()
+def route_shapes(t):
+    """The geometry of the built routes: each route's groups, their points and lengths."""
+    _, _, groups = _built(t)
+    return groups.select("route_id", c("group").alias("group_"), F.size("coords").alias("points"), F.round(geo.length_km(c("coords")), 4).alias("length_km"))
