@@ -107,6 +107,9 @@ class ByteBPE:
         self.longest = max(map(len, ranks))
         self.specials = sorted(added)
         self.special_ids = [self.library.token_to_id(s) for s in self.specials]
+        # The first special string from a place on is cut out, of several there the longest.
+        self._special = re.compile("|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) or r"(?!)")
+        self._nested = {x for x in added if any(y in x for y in added if y != x)}
         self._split = regex.compile(SPLIT)
         self._follows: dict[int, bool] = {}
         self._alone: dict[int, bool] = {}
@@ -212,15 +215,27 @@ class ByteBPE:
         return count
 
     def prefix_counts(self, text: str) -> list[int]:
-        """Tokens of text[:i] for each i from 0 to len(text), exactly."""
-        if self.special_in(text):
-            at, special = min(((text.find(s), s) for s in self.specials if s in text), key=lambda x: (x[0], -len(x[1])))
-            end = at + len(special)
-            if not any(s != special and s in text[:end] for s in self.specials):
-                # Until its last character a special string is plain text; from there on it is one token, and what follows stands alone.
-                before = self.prefix_counts(text[: end - 1])
-                return before + [before[at] + 1 + c for c in self.prefix_counts(text[end:])]
-            return [len(self.library.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+        """Tokens of text[:i] for each i from 0 to len(text), exactly.
+
+        Until its last character a special string is plain text; from there on it is one token, and
+        what follows stands alone.
+        """
+        if not self.special_in(text):
+            return self._plain_counts(text)
+        out, base, begin = [0], 0, 0
+        for m in self._special.finditer(text):
+            at, end = m.span()
+            before = self._plain_counts(text[begin : end - 1])
+            if m.group() in self._nested:  # one that ends within it is cut out first
+                for i in range(at + 1, end):
+                    before[i - begin] = len(self.library.encode(text[begin:i], add_special_tokens=False).ids)
+            out += [base + c for c in before[1:]]
+            base += before[at - begin] + 1
+            out.append(base)
+            begin = end
+        return out + [base + c for c in self._plain_counts(text[begin:])[1:]]
+
+    def _plain_counts(self, text: str) -> list[int]:
         bare = text[1:] if text[:1] == " " else text
         if bare.isascii() and bare.isalpha():
             return self.piece_counts(text.encode())

@@ -10,6 +10,7 @@ rows each get a row; an empty table gives an empty result; extra columns are ign
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -80,14 +81,16 @@ def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         bpe = _bpe.load(tokenizer)
         for batch in batches:
             for lo, texts in portions(batch.column("text")):
-                rows = []
+                flat, ends = array("i"), [0]
                 for tables in bpe.prefix_tables(texts):
-                    out, base = [0], 0
+                    base = 0
+                    flat.append(0)
                     for t in tables:
-                        out += [base + c for c in t[1:]]
-                        base = out[-1]
-                    rows.append(out)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "prefix_tokens"])
+                        flat.extend(base + c for c in t[1:])
+                        base += t[-1]
+                    ends.append(len(flat))
+                counts = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32)))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, len(texts)), counts], names=["doc_id", "prefix_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return only(docs, doc_id=id_col, text=text_col).mapInArrow(run, f"doc_id {kind}, prefix_tokens array<int>")

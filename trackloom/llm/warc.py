@@ -72,6 +72,21 @@ class Damaged(ValueError):
     pass
 
 
+def number(text: str | None) -> int | None:
+    """A field's number of bytes; null where it is none, or one that no archive holds."""
+    return int(text) if text and re.fullmatch("[0-9]{1,18}", text) else None
+
+
+def sha1_of(field: str | None) -> str | None:
+    """A digest field's SHA-1 in hex, whether it is written in base 32 or in hex; null for other digests and codings."""
+    algorithm, _, digest = (field or "").strip().partition(":")
+    if algorithm.lower() != "sha1":
+        return None
+    if re.fullmatch("[0-9A-Fa-f]{40}", digest):
+        return digest.lower()
+    return base64.b32decode(digest.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", digest) else None
+
+
 def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The record that begins at a place: its fields, block and end."""
     if data[at : at + 5] != b"WARC/":
@@ -79,23 +94,29 @@ def parse(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     version = next((v for v in VERSIONS if data.startswith(v + b"\r\n", at)), None)
     if version is None:
         raise Damaged("unknown version")
-    fields, here = {}, at + len(version) + 2
+    fields, name, here = {}, "", at + len(version) + 2
     while (stop := data.find(b"\r\n", here)) != here:
         if stop < 0:
             raise Damaged("headers do not end")
+        if data[here : here + 1] in (b" ", b"\t") and name:  # a folded line goes on with the last field
+            fields[name] += " " + data[here:stop].strip().decode("utf-8", "replace")
+            here = stop + 2
+            continue
         k, colon, v = data[here:stop].partition(b":")
         if not colon:
             raise Damaged("a header without a colon")
-        fields[k.strip().decode("utf-8", "replace").lower()] = v.strip().decode("utf-8", "replace")
+        name = k.strip().decode("utf-8", "replace").lower()
+        fields[name] = v.strip().decode("utf-8", "replace")
         here = stop + 2
-    if not fields.get("content-length", "").isdigit():
+    length = number(fields.get("content-length"))
+    if length is None:
         raise Damaged("no length")
-    end = stop + 2 + int(fields["content-length"])
+    end = stop + 2 + length
     block = data[stop + 2 : end]
     if data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("the record does not end where its length says")
-    algorithm, _, digest = fields.get("warc-block-digest", "").partition(":")
-    if algorithm.lower() == "sha1" and base64.b32encode(hashlib.sha1(block).digest()).decode() != digest.upper():
+    digest = sha1_of(fields.get("warc-block-digest"))
+    if digest is not None and hashlib.sha1(block).hexdigest() != digest:
         raise Damaged("the block digest differs")
     return fields, block, end + 4
 
@@ -286,8 +307,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kind = f.get("warc-type", "")
                 payload = block.partition(b"\r\n\r\n")[2] if f.get("content-type", "").startswith("application/http") else block
                 if kind == "revisit":
-                    payload, n = None, int(f.get("payload-length", 0))
-                    digest = base64.b32decode(f.get("warc-payload-digest", "").partition(":")[2]).hex()
+                    payload, n, digest = None, number(f.get("payload-length")), sha1_of(f.get("warc-payload-digest"))
                 else:
                     n, digest = len(payload), hashlib.sha1(payload).hexdigest()
                 rows.append((path, at, kind, len(block), f.get(":salvaged-from"), f.get("warc-record-id", "").strip("<>"), f.get("warc-target-uri"), f.get("warc-refers-to", "").strip("<>") or None, n, digest, payload))
@@ -322,3 +342,18 @@ def write_and_read(pages: DataFrame, least: int = 1000) -> DataFrame:
     if manifest.isEmpty():
         return spark.createDataFrame([], "archive string, offset long, kind string, length long, reason string, record_id string, url string, refers_to string, payload_bytes long, digest string, payload binary")
     return read_archives(spark, folder, manifest)
+
+
+def round_trip(pages: DataFrame, least: int = 1000) -> DataFrame:
+    """What ``write_and_read`` gives, without payloads, held against the manifest: an archive of
+    which a record is missing, or bytes lie outside records, is an error."""
+    spark = pages.sparkSession
+    folder = fresh_path(spark, "warc")
+    manifest = write_archives(pages, folder, least)
+    found = settle(read_archives(spark, folder, manifest).drop("payload"), "warc-records")
+    gap = (F.col("kind") == "gap").cast("int")
+    read = found.groupBy(F.substring_index("archive", "/", -1).alias("archive")).agg(F.sum(1 - gap).alias("read"), F.sum(gap).alias("gaps"))
+    lost = manifest.join(read, "archive", "left").where("coalesce(read, 0) <> n_records or coalesce(gaps, 0) > 0").first()
+    if lost is not None:
+        raise RuntimeError(f"{lost.archive} was written with {lost.n_records} records and read with {lost.read or 0}, and {lost.gaps or 0} gaps")
+    return found
