@@ -5,13 +5,14 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trackloom.functions import arrays, geo, scoring, text, values
-from trackloom.operators import catalog, graph, ingest, matching
+from trackloom.operators import catalog, graph, ingest, matching, spatial_join
 from trackloom.sources import readers, sinks
 
 
@@ -385,3 +386,19 @@ def test_lock_cost_columns(spark):
     df = spark.createDataFrame(rows, "e double, f double, c boolean, a boolean, s boolean, h boolean, n boolean, want double")
     for r in df.select(scoring.lock_cost(*map(F.col, "efcashn")).alias("got"), "want").collect():
         assert r.got == pytest.approx(r.want)
+
+
+def test_nearest_in_group(spark):
+    """The nearest in degrees, whatever the spacing, with rows that have no partner or no place."""
+    rng = np.random.default_rng(8)
+    stops = [("a", k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(30, 31, (40, 2)))] + [("b", 900, -170.0, 80.0), ("b", 901, 170.0, -80.0), ("c", 7, None, 1.0), ("a", 990, 30.5, 30.5), ("a", 989, 30.5, 30.5)]
+    hits = [("a", k, float(x), float(y)) for k, (x, y) in enumerate(rng.normal(30.5, 3, (120, 2)))] + [("b", k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-80, 80, (30, 2)))] + [("a", 500, None, 1.0), ("c", 1, 1.0, 1.0), ("d", 1, 1.0, 1.0), ("a", 501, 30.5, 30.5)]
+    left = spark.createDataFrame(hits, "g string, id long, lon double, lat double")
+    right = spark.createDataFrame(stops, "g string, sid long, lon double, lat double")
+    for k in (1, 3):
+        got = spatial_join.nearest_in_group(left, right, "g", "id", "sid", k).collect()
+        want = set()
+        for g, i, x, y in hits:
+            near = sorted(((x - a) ** 2 + (y - b) ** 2, s) for h, s, a, b in stops if h == g and a is not None and x is not None)[:k]
+            want |= {(g, i, s, n + 1) for n, (_, s) in enumerate(near)} or {(g, i, None, 1)}
+        assert {(r.g, r.id, r.r_sid, r["rank"]) for r in got} == want and len(got) == len(want)

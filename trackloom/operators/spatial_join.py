@@ -123,15 +123,45 @@ def segment_range_join(points: DataFrame, segments: DataFrame, radius_km: float,
     return out.where(F.col("distance_km") <= radius_km).drop("_cx", "_cy", "_px", "_py")
 
 
+WIDEST_DEGREES = 1000.0
+
+
 def nearest_in_group(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, k: int = 1) -> DataFrame:
     """For each left row the k nearest right rows of its key, in planar order, with distance_m (JON2, JON3).
 
-    Columns of the left side, r_<id>, distance_m and rank; left rows without any partner stay.
+    Rows meet by key and cell, in growing rings: a key's first cells are as wide as its right rows
+    lie apart on average, so most left rows meet a few of them and are settled in the first round;
+    the others go on with four times the width. Degrees are taken as they are: nothing closes over
+    the date line. Columns of the left side, r_<id>, r_lon, r_lat, rank and distance_m; left rows
+    without any partner, or without a place, stay.
     """
-    b = right.select(F.col(key), F.col(right_id).alias(f"r_{right_id}"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    pairs = left.join(b, key, "left").withColumn("_d2", geo.planar2("lon", "lat", "r_lon", "r_lat"))
-    w = W.partitionBy(key, left_id).orderBy(F.col("_d2").asc_nulls_last(), F.col(f"r_{right_id}").asc_nulls_last())
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn("distance_m", geo.haversine_m("lon", "lat", "r_lon", "r_lat")).drop("_d2")
+    c, other = F.col, f"r_{right_id}"
+    b = right.select(c(key).alias("_key"), c(right_id).alias(other), c("lon").alias("r_lon"), c("lat").alias("r_lat")).where("r_lon is not null and r_lat is not null")
+    span = F.greatest(F.max("r_lon") - F.min("r_lon"), F.max("r_lat") - F.min("r_lat"))
+    keys = cut(b.groupBy("_key").agg(F.greatest(span / F.count("*"), F.lit(0.01)).alias("_width"), F.count("*").alias("_n")))
+    own = left.join(keys, c(key) == c("_key"), "left").drop("_key")
+    placed = c("_n").isNotNull() & c("lon").isNotNull() & c("lat").isNotNull()
+    kept = [*left.columns]
+    alone = own.where(~placed).select(*kept, *[F.lit(None).cast(b.schema[x].dataType).alias(x) for x in (other, "r_lon", "r_lat")], F.lit(1).alias("rank"))
+    rest, done, grown = own.where(placed), alone, 1.0
+    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
+    while True:
+        width = c("_width") * grown
+        spread = b.join(keys, "_key").withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
+        spread = spread.select("_key", other, "r_lon", "r_lat", (F.floor(c("r_lon") / width) + c("_dx")).alias("_bx"), (F.floor(c("r_lat") / width) + c("_dy")).alias("_by"))
+        near = rest.withColumn("_cx", F.floor(c("lon") / width)).withColumn("_cy", F.floor(c("lat") / width))
+        pairs = near.join(spread, (c(key) == c("_key")) & (c("_cx") == c("_bx")) & (c("_cy") == c("_by"))).withColumn("_d2", geo.planar2("lon", "lat", "r_lon", "r_lat"))
+        # A ring that spans all there is takes whatever it meets.
+        pairs = pairs.where((c("_d2") <= width * width) | (width >= WIDEST_DEGREES))
+        w = W.partitionBy(key, left_id).orderBy("_d2", other)
+        ranked = pairs.withColumn("rank", F.row_number().over(w)).where(c("rank") <= k)
+        enough = F.count("*").over(W.partitionBy(key, left_id)) >= F.least(F.lit(k), c("_n"))
+        settled = cut(ranked.withColumn("_enough", enough).where("_enough").select(*kept, other, "r_lon", "r_lat", "rank"))
+        done = done.unionByName(settled)
+        rest = cut(rest.join(settled.select(key, left_id).distinct(), [key, left_id], "left_anti").select(*kept, "_width", "_n"))
+        if rest.isEmpty():
+            return done.withColumn("distance_m", geo.haversine_m("lon", "lat", "r_lon", "r_lat"))
+        grown *= 4
 
 
 def knn_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, radius_km: float, by: list[str] | None = None) -> DataFrame:
