@@ -402,3 +402,29 @@ def test_nearest_in_group(spark):
             near = sorted(((x - a) ** 2 + (y - b) ** 2, s) for h, s, a, b in stops if h == g and a is not None and x is not None)[:k]
             want |= {(g, i, s, n + 1) for n, (_, s) in enumerate(near)} or {(g, i, None, 1)}
         assert {(r.g, r.id, r.r_sid, r["rank"]) for r in got} == want and len(got) == len(want)
+
+
+def test_noding_of_a_dense_place(spark):
+    """A hundred thousand crossings in one cell of the plan: dealt over cells that hold few segments each."""
+    n, low, high = 320, 10.001, 10.049
+    at = np.linspace(low + 1e-4, high - 1e-4, n)
+    rows = [("a", k, [(low, float(y)), (high, float(y))]) for k, y in enumerate(at)] + [("a", n + k, [(float(x), low), (float(x), high)]) for k, x in enumerate(at)]
+    lines = spark.createDataFrame(rows, "scope_key string, id long, coords array<struct<lon:double,lat:double>>")
+    seg = lines.selectExpr("scope_key", "cast(id as string) as seg", "coords[0].lon as ax", "coords[0].lat as ay", "coords[1].lon as bx", "coords[1].lat as by")
+    cells = graph.segment_cells(seg, most=64)
+    held = [r["count"] for r in cells.groupBy("scope_key", "level", "cx", "cy").count().collect()]
+    assert max(held) <= 64 and len(held) > 50
+    pieces = graph.node_lines(lines, most=64)
+    assert pieces.count() == 2 * n * (n + 1)
+
+
+def test_noding_where_all_meet_in_a_point(spark):
+    """What no quarter parts is met in blocks; every segment is cut at the point."""
+    n = 60
+    turn = [2 * math.pi * k / n / 2 for k in range(n)]
+    rows = [("a", k, [(5.02 - 0.01 * math.cos(t), 5.02 - 0.01 * math.sin(t)), (5.02 + 0.01 * math.cos(t), 5.02 + 0.01 * math.sin(t))]) for k, t in enumerate(turn)]
+    lines = spark.createDataFrame(rows, "scope_key string, id long, coords array<struct<lon:double,lat:double>>")
+    seg = lines.selectExpr("scope_key", "cast(id as string) as seg", "coords[0].lon as ax", "coords[0].lat as ay", "coords[1].lon as bx", "coords[1].lat as by")
+    assert graph.segment_cells(seg, most=16, depth=3).agg(F.max("blocks")).first()[0] > 1
+    ends = graph.split_edges(graph.node_lines(lines, most=16))
+    assert ends[1].count() == 2 * n and ends[0].count() == 2 * n + 1

@@ -342,18 +342,62 @@ def split_edges(lines: DataFrame, least_km: float = 1e-6) -> tuple[DataFrame, Da
     return nodes, seg.where("src <> dst").select("scope_key", "segment", "src", "dst", "length_km", "coords")
 
 
-def node_lines(lines: DataFrame, cell: float = 0.05) -> DataFrame:
+SEGMENTS_A_CELL = 256
+CELL_DEPTH = 8
+
+
+def segment_cells(segments: DataFrame, cell: float = 0.05, most: int = SEGMENTS_A_CELL, depth: int = CELL_DEPTH) -> DataFrame:
+    """segments (scope_key, seg, ax, ay, bx, by) with each cell they run through: level, cx, cy and blocks.
+
+    A cell of a scope that holds more than ``most`` segments is cut into quarters, and these again,
+    ``depth`` times at most; so a dense place is many cells. What still holds more, as where all
+    segments meet in one point, is to be met in ``blocks`` times ``blocks`` parts.
+    """
+    c = F.col
+
+    def through(size: float):
+        """Whether a segment's line comes into a cell; the boxes overlap already."""
+        half = size / 2
+        mx, my = (c("cx") + 0.5) * size - c("ax"), (c("cy") + 0.5) * size - c("ay")
+        dx, dy = c("bx") - c("ax"), c("by") - c("ay")
+        return F.abs(dx * my - dy * mx) <= (F.abs(dx) + F.abs(dy)) * half * (1 + 1e-6) + 1e-9
+
+    def touched(lo, hi, size: float):
+        return F.floor((F.least(lo, hi) - 1e-9) / size).cast("long"), F.floor((F.greatest(lo, hi) + 1e-9) / size).cast("long")
+
+    (x0, x1), (y0, y1) = touched(c("ax"), c("bx"), cell), touched(c("ay"), c("by"), cell)
+    now = segments.withColumn("cx", F.explode(F.sequence(x0, x1))).withColumn("cy", F.explode(F.sequence(y0, y1))).where(through(cell))
+    key, done = ["scope_key", "cx", "cy"], None
+    for level in range(depth + 1):
+        now = cut(now)
+        counts = now.groupBy(*key).agg(F.count("*").alias("_n"))
+        sized = now.join(counts, key)
+        settled = (sized if level == depth else sized.where(c("_n") <= most)).withColumn("level", F.lit(level))
+        done = settled if done is None else done.unionByName(settled)
+        if level == depth or counts.where(c("_n") > most).isEmpty():
+            break
+        size = cell / 2 ** (level + 1)
+        (x0, x1), (y0, y1) = touched(c("ax"), c("bx"), size), touched(c("ay"), c("by"), size)
+        quarter = lambda x, lo, hi: F.explode(F.filter(F.array(c(x) * 2, c(x) * 2 + 1), lambda v: v.between(lo, hi)))
+        now = sized.where(c("_n") > most).select(*segments.columns, quarter("cx", x0, x1).alias("cx"), "cy").select(*segments.columns, "cx", quarter("cy", y0, y1).alias("cy")).where(through(size))
+    return done.withColumn("blocks", F.ceil(c("_n") / most).cast("int")).drop("_n")
+
+
+def node_lines(lines: DataFrame, cell: float = 0.05, most: int = SEGMENTS_A_CELL) -> DataFrame:
     """Lines cut wherever they meet (GEO12): (scope_key, id, coords) to two-point pieces (scope_key, coords).
 
-    Segments meet by the cells their boxes cover; each is cut at its crossings with the others
-    and at other segments' ends that lie on it.
+    Segments meet by the cells they run through, which are the smaller the more they hold; each is
+    cut at its crossings with the others and at other segments' ends that lie on it.
     """
     seg = lines.select("scope_key", F.posexplode(geo.segments(F.col("coords"))).alias("k", "s"), "id")
     seg = cut(seg.select("scope_key", F.concat_ws(":", "id", "k").alias("seg"), *[F.col(f"s.{p}.{c}").alias(n) for p, c, n in (("a", "lon", "ax"), ("a", "lat", "ay"), ("b", "lon", "bx"), ("b", "lat", "by"))]))
-    box = lambda lo, hi: F.sequence(F.floor(F.least(lo, hi) / cell).cast("int"), F.floor(F.greatest(lo, hi) / cell).cast("int"))
-    spread = seg.withColumn("cx", F.explode(box(F.col("ax"), F.col("bx")))).withColumn("cy", F.explode(box(F.col("ay"), F.col("by"))))
-    other = spread.select(*[F.col(c).alias(f"o_{c}") for c in spread.columns])
-    pairs = spread.join(other, (F.col("scope_key") == F.col("o_scope_key")) & (F.col("cx") == F.col("o_cx")) & (F.col("cy") == F.col("o_cy")) & (F.col("seg") != F.col("o_seg")))
+    spread = cut(segment_cells(seg, cell, most))
+    dealt = spread.withColumn("_own", F.pmod(F.xxhash64("seg"), F.col("blocks")).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    other = dealt.select(*[F.col(c).alias(f"o_{c}") for c in dealt.columns])
+    same = F.col("_own") == F.col("o__other")
+    for k in ("scope_key", "level", "cx", "cy"):
+        same &= F.col(k) == F.col(f"o_{k}")
+    pairs = dealt.join(other, same & (F.col("_other") == F.col("o__own")) & (F.col("seg") != F.col("o_seg")))
     dx, dy, ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("o_bx") - F.col("o_ax"), F.col("o_by") - F.col("o_ay")
     det = dx * ey - dy * ex
     t = ((F.col("o_ax") - F.col("ax")) * ey - (F.col("o_ay") - F.col("ay")) * ex) / F.nullif(det, F.lit(0.0))
