@@ -67,8 +67,12 @@ def first_number(raw: Column, keys: list[str]) -> Column:
     return F.translate(F.coalesce(*[F.get_json_object(raw, f"$.{k}") for k in keys]), ",", ".").try_cast("double")
 
 
+#: The keys that coordinates have, the likelier first.
+LON_KEYS = ["lon", "lng", "longitude", "x", "X", "Longitude"]
+LAT_KEYS = ["lat", "latitude", "y", "Y", "Latitude"]
+
+
 def lon_lat(raw: Column) -> Column:
     """struct<lon, lat> of a JSON object with any of the usual keys; null outside the ranges."""
-    lon = first_number(raw, ["lon", "lng", "longitude", "x", "X", "Longitude"])
-    lat = first_number(raw, ["lat", "latitude", "y", "Y", "Latitude"])
+    lon, lat = first_number(raw, LON_KEYS), first_number(raw, LAT_KEYS)
     return F.when(valid_lat_lon(lat, lon), F.struct(lon.alias("lon"), lat.alias("lat")))
