@@ -252,7 +252,6 @@ def test_readers(spark, tmp_path):
     assert readers.settlements(spark, str(tmp_path / "s.csv")).first().region == "B"
     with pytest.raises(ValueError):
         readers.settlements(spark, "x.txt")
-    assert readers.download_decision("a", "a", True) == "use_cached" and readers.download_decision(None, None, False) == "download_unverified"
 
 
 def test_payload_walk(spark):

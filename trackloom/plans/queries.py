@@ -87,15 +87,22 @@ def _corridor(t):
     return corridor.analyse(t.settlements, t.trunk_lines, t.trunk, PARAMS)
 
 
-@_also(
-    SCORED,
-    """select route_id, count(*) as settlements_count, count(*) filter (where not served) as not_served_count, cast(sum(population) as bigint) as total_population,
-  cast(coalesce(sum(population) filter (where not served), 0) as bigint) as not_served_population, max(score) as max_score, round(avg(score), 2) as avg_score from good group by route_id""",
-)
+SUMMARY = """select route_id, count(*) as settlements_count, count(*) filter (where not served) as not_served_count, cast(sum(population) as bigint) as total_population,
+  cast(coalesce(sum(population) filter (where not served), 0) as bigint) as not_served_population, max(score) as max_score, round(avg(score), 2) as avg_score from good group by route_id"""
+
+
+@_also(SCORED, SUMMARY)
 def corridor_summary(t):
     return corridor.summary(corridor.analyse(t.settlements, t.trunk_lines, t.trunk, PARAMS))
 
 
+@_also(SCORED, SUMMARY)
+def requested_corridor(t):
+    """As a client asks for it, by its own names (FE8)."""
+    asked = {"corridorKm": 25.0, "stationAccessKm": 15.0, "minPopulation": 1000, "maxPopulation": None, "maxResults": 200, "minScore": 5.0}
+    return corridor.summary(corridor.analyse(t.settlements, t.trunk_lines, t.trunk, corridor.CorridorParams.of(asked)))
+
+
 LENGTHS = f"""lengths as (select t.route_id, coalesce(g.km, 0.0) as length_km from (select distinct route_id from trunk) t
   left join (select route_id, round(sum({km('ax', 'ay', 'bx', 'by_')}), 2) as km from trunk_segments group by route_id) g on g.route_id = t.route_id)"""
 

@@ -99,11 +99,10 @@ def aggregate_md5(sources: DataFrame) -> DataFrame:
     return sources.groupBy("region_code").agg(F.md5(F.to_json(F.map_from_entries(pairs))).alias("md5"))
 
 
-def download_decision(remote: str | None, cached: str | None, have_file: bool) -> str:
-    """SRC7: what a downloader does, by the digests it knows."""
-    if have_file and cached and (remote is None or remote == cached):
-        return "use_cached"
-    return "download_and_verify" if remote else "download_unverified"
+def download_decision(remote: Column, cached: Column, have_file: Column) -> Column:
+    """SRC7: what a downloader does, by the digests it knows: the file's now, and the kept one's (null: not known)."""
+    same = cached.isNotNull() & F.coalesce(remote == cached, F.lit(True))
+    return F.when(F.coalesce(have_file, F.lit(False)) & same, "use_cached").when(remote.isNotNull(), "download_and_verify").otherwise("download_unverified")
 
 
 def routes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
