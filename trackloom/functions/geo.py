@@ -216,17 +216,24 @@ def in_segments(lon, lat, parts) -> Column:
     return (hits % 2 == 1) | on
 
 
-def line_meets_ring(coords, ring) -> Column:
-    """A line touches a polygon: one of its points is inside, or a segment crosses the ring."""
+def segments_meet(s: Column, r: Column) -> Column:
+    """Two segments cross or touch: each one's ends are not on one side of the other, and their boxes overlap."""
 
     def side(a: Column, b: Column, p: Column) -> Column:
         return F.signum((b["lon"] - a["lon"]) * (p["lat"] - a["lat"]) - (b["lat"] - a["lat"]) * (p["lon"] - a["lon"]))
 
-    def cross(s: Column, r: Column) -> Column:
-        return (side(r["a"], r["b"], s["a"]) * side(r["a"], r["b"], s["b"]) <= 0) & (side(s["a"], s["b"], r["a"]) * side(s["a"], s["b"], r["b"]) <= 0)
+    def overlap(axis: str) -> Column:
+        low, high = (lambda x: F.least(x["a"][axis], x["b"][axis])), (lambda x: F.greatest(x["a"][axis], x["b"][axis]))
+        return (low(s) <= high(r)) & (low(r) <= high(s))
+
+    apart = (side(r["a"], r["b"], s["a"]) * side(r["a"], r["b"], s["b"]) > 0) | (side(s["a"], s["b"], r["a"]) * side(s["a"], s["b"], r["b"]) > 0)
+    return overlap("lon") & overlap("lat") & ~apart
 
-    inside = F.exists(_c(coords), lambda p: in_ring(p["lon"], p["lat"], ring))
-    return inside | F.exists(segments(coords), lambda s: F.exists(segments(ring), lambda r: cross(s, r)))
+
+def line_meets_ring(coords, ring) -> Column:
+    """A line touches a polygon: its first point is inside, or a segment meets the ring."""
+    first = F.try_element_at(_c(coords), F.lit(1))
+    return F.coalesce(in_ring(first["lon"], first["lat"], ring), F.lit(False)) | F.exists(segments(coords), lambda s: F.exists(segments(ring), lambda r: segments_meet(s, r)))
 
 
 def share_inside(coords, box: tuple[Column, Column, Column, Column]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo, scoring
+from trackloom.operators.lineage import cut
 from trackloom.operators.spatial_join import explode_segments, segment_range_join
 
 
@@ -18,12 +19,6 @@ def box_of(rings: Column) -> Column:
     return F.struct(F.array_min(xs).alias("w"), F.array_min(ys).alias("s"), F.array_max(xs).alias("e"), F.array_max(ys).alias("n"))
 
 
-def _polygon_cells(polygons: DataFrame, cell: float) -> DataFrame:
-    b = polygons.select(F.col("region_code").alias("hit"), "rings", box_of(F.col("rings")).alias("box"))
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("int"), F.floor(F.col(hi) / cell).cast("int"))
-    return b.withColumn("cx", F.explode(span("box.w", "box.e"))).withColumn("cy", F.explode(span("box.s", "box.n"))).drop("box")
-
-
 def _ring_cells(polygons: DataFrame, cell: float) -> DataFrame:
     """hit, cx, cy of each cell that a ring covers or passes: ``whole`` where it covers all of it, else the
     ring's segments in the cell's band of latitude, which decide for every point of the cell."""
@@ -49,13 +44,21 @@ def point_hits(points: DataFrame, polygons: DataFrame, cell: float = 1.0) -> Dat
 
 
 def line_hits(lines: DataFrame, polygons: DataFrame, cell: float = 1.0) -> DataFrame:
-    """Lines with each region they touch, null without any."""
-    xs, ys = F.transform("coords", lambda p: p["lon"]), F.transform("coords", lambda p: p["lat"])
-    span = lambda c: F.sequence(F.floor(F.array_min(c) / cell).cast("int"), F.floor(F.array_max(c) / cell).cast("int"))
-    keyed = lines.withColumn("cx", F.explode(span(xs))).withColumn("cy", F.explode(span(ys)))
-    touches = F.exists("rings", lambda r: geo.line_meets_ring("coords", r))
-    hits = keyed.join(_polygon_cells(polygons, cell), ["cx", "cy"]).where(touches).select("id", "hit").distinct()
-    return lines.join(hits, "id", "left")
+    """Lines with each region they touch, null without any.
+
+    A line touches a region if it begins in it or meets its ring. Its segments meet the ring's by
+    the cells that both pass, so neither a whole line nor a whole ring is sent anywhere.
+    """
+    c = F.col
+    reaches = lambda r: (F.greatest(r["a"]["lon"], r["b"]["lon"]) >= c("cx") * cell) & (F.least(r["a"]["lon"], r["b"]["lon"]) <= (c("cx") + 1) * cell)
+    cells = cut(_ring_cells(polygons, cell).withColumn("near", F.filter("parts", reaches)))
+    start = lines.where(F.size("coords") > 0).select("id", F.get("coords", F.lit(0))["lon"].alias("lon"), F.get("coords", F.lit(0))["lat"].alias("lat"))
+    keyed = start.withColumn("cx", F.floor(c("lon") / cell).cast("int")).withColumn("cy", F.floor(c("lat") / cell).cast("int"))
+    begins = keyed.join(cells, ["cx", "cy"]).where(c("whole") | geo.in_segments("lon", "lat", c("parts"))).select("id", "hit")
+    span = lambda axis: F.sequence(F.floor(F.least(c("s.a")[axis], c("s.b")[axis]) / cell).cast("int"), F.floor(F.greatest(c("s.a")[axis], c("s.b")[axis]) / cell).cast("int"))
+    segments = lines.select("id", F.explode(geo.segments("coords")).alias("s")).withColumn("cx", F.explode(span("lon"))).withColumn("cy", F.explode(span("lat")))
+    crosses = segments.join(cells.where(~c("whole")), ["cx", "cy"]).where(F.exists("near", lambda r: geo.segments_meet(c("s"), r))).select("id", "hit")
+    return lines.join(begins.unionByName(crosses).distinct(), "id", "left")
 
 
 def classify_hits(hits: DataFrame) -> DataFrame:
