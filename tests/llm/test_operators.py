@@ -6,6 +6,7 @@ import json
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -416,6 +417,29 @@ def test_jaccard_hot_groups_in_blocks(spark, tmp_path, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want and len({c for _, c in want.values()}) > 3
 
 
+def test_jaccard_hot_shingle_of_many_sizes(spark):
+    """A hot shingle's unlike rows meet those of their size band and the next, and every pair that may link is found."""
+    rng = np.random.default_rng(8)
+    n = np.concatenate([np.exp(rng.uniform(np.log(4), np.log(2000), 3000)).astype(int), [4, 5, 5, 8, 10, 16, 20, 125, 156, 157]])
+    pos = (rng.random(len(n)) * (n - jaccard_join.need(n, n, 80) + 1)).astype(int)
+    comp = np.where(rng.random(len(n)) < 0.4, 0, np.arange(len(n)))
+    pdf = pd.DataFrame({"token": 7, "rep": np.arange(len(n)), "n": n, "pos": pos, "comp": comp, "big": True})
+    rows = spark.createDataFrame(pdf, "token long, rep long, n int, pos int, comp long, big boolean")
+
+    def met(rows):
+        blocks = jaccard_join._in_blocks(jaccard_join._zones(rows, 80))
+        keys = jaccard_join.MEETING
+        pairs = blocks.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(jaccard_join._across(80), "a long, b long")
+        return blocks.count(), {(r.a, r.b) for r in pairs.collect()}
+
+    i, j = np.triu_indices(len(n), 1)
+    may = jaccard_join._may_link(n[i], pos[i], n[j], pos[j], 80) & (comp[i] != comp[j])
+    want = set(zip(i[may].tolist(), j[may].tolist(), strict=True))
+    parted, whole = met(rows), met(rows.withColumn("big", F.lit(False)))
+    assert parted[1] == want == whole[1]
+    assert parted[0] < 4 * len(n) and whole[0] > 8 * len(n)
+
+
 def test_jaccard_repeated_ids_with_other_texts(spark, tmp_path):
     """The smallest text of an id stands for it; every row keeps its own size."""
     rows = [(1, text(0, 40, "")), (1, "zz " + text(100, 150, "")), (2, "zz " + text(100, 150, "")), (3, text(0, 40, "")), (None, text(0, 40, "")), (1, None), (4, text(0, 40, ""))]

@@ -17,10 +17,11 @@ whole sequence as one). Two documents link when their sets' Jaccard similarity i
 
 Hot shingles: one whose frequency in the sketch is over ``HOT_ROWS`` has its rows dealt by salts of
 row and shingle in step 3, so its groups stay below that, and near copies, which share many
-shingles, meet under others where one shingle's salt parts them. Step 4 gives a group's
-largest component and its other rows blocks of ``BLOCK_ROWS`` each, and lets each block of the
-one meet each of the others: every pair is looked at in one task, and no task has more than
-two blocks of a group.
+shingles, meet under others where one shingle's salt parts them. Step 4 parts a group of more
+than ``BLOCK_ROWS`` rows by size: a band's sets can link with those of its own and the next one
+only, and meet no others. What two neighbouring bands hold, or a smaller group, gives its largest
+component and its other rows blocks of ``BLOCK_ROWS`` each, and lets each block of the one meet
+each of the others: every pair is looked at in one task, and no task has more than two blocks.
 
 Components are whole: no group, pair or document is dropped. Texts are needed thrice: for
 sketch and sizes, for prefixes, and for the candidates' sets, which a Bloom filter of fixed
@@ -34,6 +35,7 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,17 +223,34 @@ def _may_link(na, pa_, nb, pb, percent: int):
     return (percent * na <= 100 * nb) & (percent * nb <= 100 * na) & (1 + np.minimum(na - pa_ - 1, nb - pb - 1) >= need(na, nb, percent))
 
 
+#: The zone of a group that is not parted by size.
+WHOLE = -2
+
+
+def _zones(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows (…, n, big) of big groups once for each pair of neighbouring size bands (zone and zone + 1) they are in.
+
+    Bands are as wide as the largest ratio of two sizes that can link, so linked sets are in one band
+    or in neighbours. ``low`` is 1 for rows of the zone's lower band; two upper rows meet in the next zone.
+    """
+    band = F.floor(F.log("n") / math.log(100 / percent * 1.001)).cast("int")
+    zone = lambda z, low: F.struct(z.cast("int").alias("zone"), F.lit(low).alias("low"))
+    zones = F.when(F.col("big"), F.array(zone(band, 1), zone(band - 1, 0))).otherwise(F.array(zone(F.lit(WHOLE), 1)))
+    return rows.select("token", "rep", "n", "pos", "comp", F.explode(zones).alias("z")).select("token", "z.*", "rep", "n", "pos", "comp")
+
+
 def _in_blocks(rows: DataFrame) -> DataFrame:
-    """Rows (token, rep, n, pos, comp) of tokens of several components, under each key (token, kind, i, j) where they meet others.
+    """Rows (token, zone, low, rep, n, pos, comp) of zones with several components, under each key (token, zone, kind, i, j) where they meet others.
 
-    Kind 0 is a block of the token's largest component (side 0) and one of the other rows (side 1);
+    Kind 0 is a block of the zone's largest component (side 0) and one of the other rows (side 1);
     kind 1 is two blocks of the other rows, or one that meets itself (side 2).
     """
-    sizes = rows.groupBy("token", "comp").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("main"), F.sum("c").alias("all"))
+    sizes = rows.groupBy("token", "zone", "comp").agg(F.count("*").alias("c"), F.sum("low").alias("low"))
+    sizes = sizes.groupBy("token", "zone").agg(F.max_by("comp", F.struct("c", "comp")).alias("top"), F.max("c").alias("main"), F.sum("c").alias("all"), F.sum("low").alias("low")).where("low > 0 and all > main")
     blocks = lambda c: F.ceil(c / BLOCK_ROWS).cast("int")
     # Written first, so that the join is no stage of the aggregation's and Spark may broadcast it or split a hot token's rows.
-    sizes = settle(sizes.select("token", "top", blocks(F.col("main")).alias("m"), blocks(F.col("all") - F.col("main")).alias("o")), "mixed-sizes")
-    r = rows.join(sizes, "token")
+    sizes = settle(sizes.select("token", "zone", "top", blocks(F.col("main")).alias("m"), blocks(F.col("all") - F.col("main")).alias("o")), "mixed-sizes")
+    r = rows.join(sizes, ["token", "zone"])
     at = lambda c: F.pmod(F.xxhash64("rep", "token"), F.col(c)).cast("int")
     each = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     key = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
@@ -241,17 +260,22 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
         F.transform(each("m"), lambda x: key(0, x, own, F.lit(1))),
         F.transform(each("o"), lambda x: key(1, F.least(own, x), F.greatest(own, x), F.when(own == x, 2).when(own < x, 0).otherwise(1))),
     )
-    return r.select("token", "rep", "n", "pos", "comp", F.explode(F.when(F.col("comp") == F.col("top"), main).otherwise(others)).alias("k")).select("token", "k.*", "rep", "n", "pos", "comp")
+    keyed = r.select("token", "zone", "low", "rep", "n", "pos", "comp", F.explode(F.when(F.col("comp") == F.col("top"), main).otherwise(others)).alias("k"))
+    return keyed.select("token", "zone", "k.*", "low", "rep", "n", "pos", "comp")
+
+
+MEETING = ["token", "zone", "kind", "i", "j"]
 
 
 def _across(percent: int):
-    """Rows sorted by token, kind, i and j to pairs of different components that pass the filters."""
-    names = ["token", "kind", "i", "j", "side", "rep", "n", "pos", "comp"]
+    """Rows sorted by MEETING to pairs of different components that pass the filters."""
+    names = [*MEETING, "side", "low", "rep", "n", "pos", "comp"]
 
     def met(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        side, rep, n, pos, comp = group[4:]
+        side, low, rep, n, pos, comp = group[len(MEETING) :]
         a, b = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        x, y = np.nonzero((comp[a][:, None] != comp[b][None, :]) & _may_link(n[a][:, None], pos[a][:, None], n[b][None, :], pos[b][None, :], percent))
+        here = (comp[a][:, None] != comp[b][None, :]) & ((low[a][:, None] | low[b][None, :]) > 0)
+        x, y = np.nonzero(here & _may_link(n[a][:, None], pos[a][:, None], n[b][None, :], pos[b][None, :], percent))
         x, y = rep[a[x]], rep[b[y]]
         return np.minimum(x, y), np.maximum(x, y)
 
@@ -271,7 +295,7 @@ def _across(percent: int):
             rows = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])], axis=1)
             if not rows.shape[1]:
                 continue
-            cuts = np.append(0, np.flatnonzero(np.any(rows[:4, 1:] != rows[:4, :-1], axis=0)) + 1)
+            cuts = np.append(0, np.flatnonzero(np.any(rows[: len(MEETING), 1:] != rows[: len(MEETING), :-1], axis=0)) + 1)
             held = rows[:, cuts[-1] :]
             if len(cuts) > 1:
                 yield pairs(rows, cuts)
@@ -422,12 +446,12 @@ def _classes(named: DataFrame, measured: DataFrame, n: int, percent: int) -> Dat
     discard(reps)
     discard(found)
     # In a smaller group without salts all pairs have been looked at.
-    mixed = settle(known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.max("salts").alias("salts")).where(f"lo < hi and (c > {len(DENSE) + 1} or salts > 1)").select("token"), "mixed")
-    rest = settle(known.join(mixed, "token").drop("salts"), "mixed-rows")
+    mixed = settle(known.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c"), F.max("salts").alias("salts")).where(f"lo < hi and (c > {len(DENSE) + 1} or salts > 1)").select("token", F.expr(f"c > {BLOCK_ROWS}").alias("big")), "mixed")
+    rest = settle(_zones(known.join(mixed, "token"), percent), "mixed-rows")
     more = settle(
         _in_blocks(rest)
-        .repartition("token", "kind", "i", "j")
-        .sortWithinPartitions("token", "kind", "i", "j")
+        .repartition(*MEETING)
+        .sortWithinPartitions(*MEETING)
         .mapInArrow(_across(percent), "a long, b long")
         .distinct()
         .join(first, ["a", "b"], "left_anti"),
