@@ -10,13 +10,14 @@ sequences are counted, each place once however many diagonals met it, and the sm
 held against the longer of template and span. So words put in, left out or changed lower the
 share, a span's words that the template lacks do too, and ``LEAST_SHARE`` decides.
 
-Only hits, phrase places and one row a text are shuffled, once, by a row number that each
-text gets where it is read. The templates' places are broadcast if they are at most
+Only hits, phrase places and one row a text are shuffled, once, by the id and a digest of the
+text, so a task that runs again sends them alike. The templates' places are broadcast if they are at most
 ``BROADCAST_PLACES``; if a caller brings more, the join is left to Spark.
 
 Defined results: a null or empty text has no words, nulls for the places, empty labels and
-score 0; every row has its own result, whatever its id (null or repeated); an empty table
-gives an empty result; other columns are ignored.
+score 0; every row has its own result, whatever its id (null or repeated), and rows of one id and text
+have equal ones; a very long text is read as a stream of words, and one task holds its hits; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,7 +131,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
     parts = [(p.split(" "), label) for p, label in phrases]
     ahead = max(K, *(len(p) for p, _ in parts)) if parts else K
     spark, c = docs.sparkSession, F.col
-    words = docs.select(c(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.array_remove(F.split(lower_az(F.coalesce(c(text_col), F.lit(""))), GAP), "").alias("w"))
+    text = F.coalesce(c(text_col), F.lit(""))
+    words = docs.select(c(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("row"), F.array_remove(F.split(lower_az(text), GAP), "").alias("w"))
     n = F.size("w")
     rolled = F.arrays_zip(c("w").alias("w0"), *[F.slice("w", F.lit(j + 1), n).alias(f"w{j}") for j in range(1, ahead)])
     rows = words.select("row", "doc_id", n.alias("n_words"), F.posexplode_outer(rolled).alias("pos", "g")).select(
@@ -142,9 +144,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
     # Equal hashes are held against the words themselves.
     equal = _all([c(f"w{j}") == c(f"t{j}") for j in range(K)])
     hits = hits.select("row", "doc_id", "n_words", "pos", "phrase", *[F.when(equal, c(x)).alias(x) for x in ("template", "label", "size", "t")])
-    hits = hits.where(c("template").isNotNull() | c("phrase").isNotNull() | c("pos").isNull() | (c("pos") == 0)).repartition("row")
-    votes = hits.groupBy("row", "template", (c("pos") - c("t")).alias("diagonal")).agg(
-        F.first("doc_id").alias("doc_id"),
+    hits = hits.where(c("template").isNotNull() | c("phrase").isNotNull() | c("pos").isNull() | (c("pos") == 0)).repartition("doc_id", "row")
+    # Rows of one id and text are scanned as one; a diagonal that passes the first word has it once for each.
+    votes = hits.groupBy("doc_id", "row", "template", (c("pos") - c("t")).alias("diagonal")).agg(
+        F.count(F.when(c("pos").isNull() | (c("pos") == 0), 1)).alias("copies"),
         F.max("label").alias("label"),
         F.max("size").alias("size"),
         F.max("n_words").alias("n_words"),
@@ -154,10 +157,10 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
         F.max("pos").alias("hi"),
         F.collect_set(F.when(c("phrase").isNotNull(), F.struct("pos", "phrase"))).alias("found"),
     )
-    along = W.partitionBy("row", "template").orderBy("diagonal")
+    along = W.partitionBy("doc_id", "row", "template").orderBy("diagonal")
     votes = votes.withColumn("new", F.when(c("diagonal") - F.lag("diagonal").over(along) <= NEAR, 0).otherwise(1)).withColumn("span", F.sum("new").over(along))
-    spans = votes.groupBy("row", "template", "span").agg(
-        F.first("doc_id").alias("doc_id"),
+    spans = votes.groupBy("doc_id", "row", "template", "span").agg(
+        F.max("copies").alias("copies"),
         F.max("label").alias("label"),
         F.max("size").alias("size"),
         F.max("n_words").alias("n_words"),
@@ -170,14 +173,15 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
     share = F.least(_covered("ts"), _covered("ps")) / F.greatest("size", c("hi") - c("lo") + 1)
     spans = spans.withColumn("share", F.when(c("template").isNotNull(), share)).withColumn("good", F.coalesce(100 * c("share") >= LEAST_SHARE, F.lit(False)))
     good = c("good")
-    out = spans.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"),
+    out = spans.groupBy("doc_id", "row").agg(
+        F.max("copies").alias("copies"),
         F.max("n_words").cast("long").alias("n_words"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("found"),
         F.collect_set(F.when(good, c("label"))).alias("own"),
         F.coalesce(F.max(F.when(good, c("share"))), F.lit(0.0)).alias("score"),
         F.array_sort(F.collect_list(F.when(good, F.struct("label", "lo", "hi", "share")))).alias("spans"),
     )
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), c("copies").cast("int"))))
     base = F.transform("found", lambda x: x["phrase"])
     return out.select(
         "doc_id",
