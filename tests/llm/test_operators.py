@@ -581,6 +581,29 @@ def test_vector_lists_hold_enough(spark, tmp_path):
     assert got.groupby("query_id").size().to_dict() == {0: 20, 1000: 20}
 
 
+def _recall(spark, tmp_path, x, name):
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(x)), pa.int64()), "embedding": pa.array(x.tolist(), pa.list_(pa.float64()))}), tmp_path / f"{name}.parquet")
+    got = vector_search.search(spark.read.parquet(str(tmp_path / f"{name}.parquet")), F.col("vec_id") % 20 == 0, k=20).toPandas()
+    hits = 0
+    for k, part in got.groupby("query_id"):
+        s = x @ x[k]
+        s[k] = -np.inf
+        hits += (part.score >= np.sort(s)[-20] - 1e-9).sum()
+    return hits / (20 * len(x[::20]))
+
+
+def test_vector_search_of_other_rows(spark, tmp_path):
+    """Queries that are not like the rows, and rows so near each other that codes do not tell them apart."""
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(unit(rng.normal(size=(100, 32)))[rng.integers(0, 100, 4000)] + 0.02 * rng.normal(size=(4000, 32)))
+    x[::20] = unit(rng.normal(size=(200, 32)))
+    assert _recall(spark, tmp_path, x, "shifted") >= 0.93
+    x = unit(rng.normal(size=(12000, 32)))
+    x[:4000] = x[0] + 1e-4 * rng.normal(size=(4000, 32))
+    assert _recall(spark, tmp_path, x[rng.permutation(12000)], "close") >= 0.93
+
+
 def test_quantiser():
     x = np.random.default_rng(3).normal(size=(300, 6))
     index = vector_search.fit(x, 300)

@@ -4,8 +4,12 @@ residuals, asymmetric distance tables, and exact reranking.
 Centroids and codebooks are fitted on a bounded sample (``SAMPLE`` rows at most, those with the
 smallest id hashes); every row is then assigned and coded. A query looks into the lists whose
 centroids have the largest inner product with it, and into further ones until these hold
-``k`` other rows, ranks their rows by table look-ups, and reranks the best ``RERANK`` of each
-block by the exact inner product in double precision.
+``k`` other rows, ranks their rows by table look-ups, and reranks by the exact inner product in
+double precision the best ``RERANK`` of each block and all others that may be among the ``k``
+best: an estimate is wrong by no more than the query's length times what the codes leave of a
+row. So nothing in a probed list is missed. How many lists are probed is measured: the true
+neighbours of ``ASKED`` of the queries are found among all rows, in one pass over them, and
+``TARGET`` of these must lie in probed lists.
 
 Lists are binned to about ``BLOCK_ROWS`` rows a task; one that is larger is cut in blocks of
 rows, and a bin's queries in blocks of ``BLOCK_QUERIES``, so a list that holds a third of all
@@ -39,6 +43,7 @@ SAMPLE = 65536
 ROWS_A_LIST = 16  # of the sample, at least
 LISTS_AT_MOST = SAMPLE // ROWS_A_LIST
 TARGET = 0.97  # of true neighbours, in probed lists
+ASKED = 256  # queries whose true neighbours are found to choose the number of probed lists
 SUBSPACE = 4
 CODES = 256
 RERANK = 100
@@ -64,6 +69,11 @@ class Index:
         parts = r.reshape(len(x), m, -1)
         return at, np.stack([nearest(parts[:, j], self.codebooks[j]) for j in range(m)], axis=1).astype(np.uint8)
 
+    def lost(self, x: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The length of what a row's list and codes leave of it."""
+        r = self.pad(x - self.centroids[at]).reshape(len(x), len(self.codebooks), -1)
+        return np.sqrt(sum(((r[:, j] - self.codebooks[j][codes[:, j]]) ** 2).sum(axis=1) for j in range(len(self.codebooks))))
+
     def ranked(self, q: np.ndarray) -> np.ndarray:
         """All lists by their inner product with each query's vector, the largest first."""
         return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")
@@ -173,16 +183,21 @@ def _search(shared, k: int, rerank: int):
             q = np.vstack(queries["vector"].to_numpy()).astype(np.float64)
             own, lists = queries["query_id"].to_numpy(), queries["lists"].to_numpy()
             tables, coarse, cells = index.tables(q), q @ index.centroids.T, np.arange(codes.shape[1])[None, :]
+            # What rounding may add to an estimate's error goes by the lengths of both vectors.
+            long = np.sqrt((q**2).sum(axis=1))
+            slack = index.lost(x, home, codes) + 1e-9 * (np.sqrt((x**2).sum(axis=1)) + np.sqrt((index.centroids**2).sum(axis=1))[home])
             member = np.zeros(len(index.centroids), dtype=bool)
             for j in range(len(q)):
                 probed = np.frombuffer(lists[j], dtype="<i4")
                 member[probed] = True
                 near = np.flatnonzero(member[home] & (ids != own[j]))
                 member[probed] = False
-                if len(near) > rerank:
+                if len(near) > max(rerank, k):
                     estimate = coarse[j][home[near]] + tables[j][cells, codes[near]].sum(axis=1)
+                    error = long[j] * slack[near]
                     # All rows that tie with the last one are reranked too, so ties are decided by ids alone.
-                    near = near[estimate >= np.partition(estimate, len(near) - rerank)[len(near) - rerank]]
+                    bar = min(np.partition(estimate, len(near) - rerank)[len(near) - rerank], np.partition(estimate - error, len(near) - k)[len(near) - k])
+                    near = near[(estimate >= bar) | (estimate + error >= bar)]
                 exact = (x[near] * q[j]).sum(axis=1)
                 best = np.lexsort((ids[near], -exact))[:k]
                 out["query_id"].append(np.full(len(best), own[j]))
@@ -193,18 +208,41 @@ def _search(shared, k: int, rerank: int):
     return run
 
 
-def calibrate(index: Index, sample: np.ndarray, k: int, target: float) -> int:
-    """Lists to probe so that, within the sample, so large a share of true neighbours is in probed lists."""
-    x = np.unique(sample, axis=0).astype(np.float64)
-    own = np.arange(0, len(x), max(1, len(x) // 256))
-    q = x[own]
-    at = nearest(x, index.centroids)
-    scores = q @ x.T
-    scores[np.arange(len(own)), own] = -np.inf
-    near = np.argsort(-scores, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+def _true_neighbours(asked, k: int):
+    """Each asked query's k nearest of a task's rows, with their lists: exact, and as many at any number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, q = asked.value
+        scores, lists = np.full((len(q), 0), 0.0), np.full((len(q), 0), 0)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, at = batch.column("vec_id").to_numpy(), batch.column("list").to_numpy().astype(np.int64)
+            now = q @ _vectors(batch.column("vector")).astype(np.float64).T
+            now[own[:, None] == ids[None, :]] = -np.inf
+            scores, lists = np.concatenate([scores, now], axis=1), np.concatenate([lists, np.broadcast_to(at, now.shape)], axis=1)
+            if scores.shape[1] > k:
+                keep = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                scores, lists = np.take_along_axis(scores, keep, axis=1), np.take_along_axis(lists, keep, axis=1)
+        who = np.repeat(np.arange(len(q)), scores.shape[1])
+        found = scores.reshape(-1) > -np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(who[found].astype(np.int32)), pa.array(lists.reshape(-1)[found].astype(np.int32)), pa.array(scores.reshape(-1)[found])], names=["query", "list", "score"])
+
+    return run
+
+
+def calibrate(index: Index, coded: DataFrame, own: DataFrame, k: int, target: float) -> int:
+    """Lists to probe so that, for the queries, so large a share of their true neighbours among all rows is in probed lists."""
+    picked = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).select("vec_id", "vector").collect()
+    if not picked:
+        return 1
+    ids, q = np.array([r.vec_id for r in picked]), np.array([r.vector for r in picked], dtype=np.float64)
+    asked = coded.sparkSession.sparkContext.broadcast((ids, q))
+    near = coded.select("list", "vec_id", "vector").mapInArrow(_true_neighbours(asked, k), "query int, list int, score double")
+    best = near.withColumn("n", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "list"))).where(F.col("n") <= k).select("query", "list").collect()
     place = np.argsort(index.ranked(q), axis=1)
-    need = np.sort(np.take_along_axis(place, at[near], axis=1).reshape(-1)) + 1
-    return int(need[min(len(need) - 1, int(np.ceil(target * len(need))))]) if len(need) else len(index.centroids)
+    need = np.sort([place[r.query, r.list] for r in best]) + 1
+    return int(need[min(len(need) - 1, int(np.ceil(target * len(need))))]) if len(need) else 1
 
 
 def bins_of(sizes: dict[int, int], lists: int) -> tuple[np.ndarray, list[int]]:
@@ -223,7 +261,7 @@ def search(table: DataFrame, is_query: Column, k: int = 20, probes: int | None =
     """query_id, rank, vec_id, score: the k rows found nearest to each query row, not itself.
 
     ``is_query`` is a condition on ``vec_id``. Without ``probes`` their number is calibrated on
-    the fitting sample.
+    queries and all rows.
     """
     spark = table.sparkSession
     rows = only(table, vec_id=id_col, vector=vector_col).where(F.col("vec_id").isNotNull() & valid(F.col("vector"))).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("vector").cast("array<double>").alias("vector"))
@@ -240,14 +278,13 @@ def search(table: DataFrame, is_query: Column, k: int = 20, probes: int | None =
     index = fit(sampled, n)
     shared = spark.sparkContext.broadcast(index)
 
-    probes = probes or calibrate(index, sampled, k, TARGET)
-
     rows = rows.where(F.size("vector") == dim)
     coded = settle(rows.mapInArrow(_code(shared), "list int, vec_id long, vector array<double>, codes binary"), "coded")
     # One number for each list: LISTS_AT_MOST rows, and no more in what is broadcast below.
     sizes = {r.list: r["count"] for r in coded.groupBy("list").count().collect()}
     bin_of, bin_rows = bins_of(sizes, len(index.centroids))
     own = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"), F.count("*").alias("c"))
+    probes = probes or calibrate(index, coded, own, k, TARGET)
     held = np.array([sizes.get(i, 0) for i in range(len(index.centroids))])
     least = k + int(own.agg(F.max("c")).first()[0] or 0)
     asked = settle(own.mapInArrow(_probe(shared, probes, bin_of, held, least), "bin int, query_id long, vector array<double>, lists binary"), "probes")
