@@ -208,6 +208,14 @@ def test_noding_cuts_crossings(spark):
     assert graph.components(edges).select("component").distinct().count() == 2
 
 
+def test_noding_of_lines_over_each_other(spark):
+    """Where two lines run along the same track, its pieces are there once, from whichever line's ends they were cut."""
+    rows = [("s", k, [(30.0 + k / 10, 50.0), (31.73 + k / 10, 50.0)]) for k in range(12)]
+    lines = spark.createDataFrame(rows, "scope_key string, id int, coords array<struct<lon:double,lat:double>>")
+    nodes, edges = graph.split_edges(graph.node_lines(lines))
+    assert edges.count() == nodes.count() - 1 == 23
+
+
 def test_components_of_a_chain(spark):
     e = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert [r.component for r in graph.components(e).select("component").distinct().collect()] == [0]
