@@ -297,6 +297,15 @@ def test_merged_lines(spark):
     assert [len(r.coords) for r in graph.merge_lines(spark.createDataFrame(ring, "scope_key string, id int, coords array<struct<lon:double,lat:double>>")).collect()] == [4]
 
 
+def test_merged_lines_of_named_nodes(spark):
+    """A chain through nodes that share a place, two of them next to each other, is one line; it is walked in time that grows with it."""
+    spots = [(float(k % 40), float(k % 40 // 2)) for k in range(3000)]
+    spots[7] = spots[6]
+    rows = [("s", k, k, k + 1, [spots[k], spots[k + 1]]) for k in range(2999)]
+    got = graph.merge_lines(spark.createDataFrame(rows, "scope_key string, id int, src int, dst int, coords array<struct<lon:double,lat:double>>")).collect()
+    assert len(got) == 1 and [(p.lon, p.lat) for p in got[0].coords] == spots
+
+
 def test_network_cache(spark):
     built = []
     cache = graph.NetworkCache(most=1)
