@@ -441,3 +441,17 @@ def test_noding_where_all_meet_in_a_point(spark):
     assert graph.segment_cells(seg, most=16, depth=3).agg(F.max("blocks")).first()[0] > 1
     ends = graph.split_edges(graph.node_lines(lines, most=16))
     assert ends[1].count() == 2 * n and ends[0].count() == 2 * n + 1
+
+
+def test_nearest_on_lines_in_rings(spark, monkeypatch):
+    """Rings find what a look at all segments within the radius finds."""
+    rng = random.Random(4)
+    points = spark.createDataFrame([(k, rng.uniform(30, 34), rng.uniform(50, 53)) for k in range(400)], "id int, lon double, lat double").unionByName(spark.createDataFrame([(400, 45.0, 50.0)], "id int, lon double, lat double"))
+    ends = [("a" if k % 3 else None, 30 + k / 100, 50.0, 30 + k / 100, 53.0 if k < 200 else 50.01) for k in range(300)]
+    segments = spark.createDataFrame(ends, "g string, ax double, ay double, bx double, by double")
+    got = {(r.g, r.id): r.distance_km for r in spatial_join.nearest_on_lines(points, segments, "g", 25.0).collect()}
+    every = spatial_join.segment_range_join(points, segments, 25.0).groupBy("g", "id").agg(F.min("distance_km").alias("d")).collect()
+    assert len(every) > 300 and got == {(r.g, r.id): r.d for r in every}
+    monkeypatch.setattr(spatial_join, "CROWD", 1e9)
+    alone = {(r.g, r.id): r.distance_km for r in spatial_join.nearest_on_lines(points, segments, "g", 25.0).collect()}
+    assert alone == got

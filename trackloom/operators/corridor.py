@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo, scoring
-from trackloom.operators.spatial_join import explode_segments, nearest_in_group, segment_range_join
+from trackloom.operators.spatial_join import explode_segments, nearest_in_group, nearest_on_lines
 
 #: Names of what is no single settlement.
 AGGREGATE_NAMES = [
@@ -61,8 +61,7 @@ def eligible(settlements: DataFrame, p: CorridorParams) -> DataFrame:
 
 def in_corridor(settlements: DataFrame, routes: DataFrame, corridor_km: float) -> DataFrame:
     """JON1, GEO3: settlements of each route's corridor with distance_to_route_km; routes(route_id, coords)."""
-    pairs = segment_range_join(settlements.select("id", "lon", "lat"), explode_segments(routes), corridor_km)
-    near = pairs.groupBy("route_id", "id").agg(F.min("distance_km").alias("distance_to_route_km"))
+    near = nearest_on_lines(settlements, explode_segments(routes), "route_id", corridor_km).withColumnRenamed("distance_km", "distance_to_route_km")
     return near.join(settlements, "id").select("route_id", *settlements.columns, "distance_to_route_km")
 
 
