@@ -137,3 +137,41 @@ def test_a_missing_stop_parts_a_route(spark):
     assert taken == [(1, 2, "graph_locked_station_path"), (2, None, "component_bridge_gap"), (3, 4, "graph_locked_station_path")]
     shape = groups.collect()
     assert len(shape) == 1 and [round(p.lon, 4) for p in shape[0].coords] == [0, 0.1, 0.2, 0.3, 0.4, 0.5]
+
+
+def test_small_networks_are_searched_whole(spark, monkeypatch):
+    """With labels, a network of few edges is one search in one task; a larger one goes over its parts."""
+    rng = np.random.default_rng(7)
+    edges, parts = network(rng, n=60, per_part=9)
+    edges += [("c", 8000 + k, 10 * k, 10 * k + 1, 1.0) for k in range(30)]
+    e = spark.createDataFrame(edges, "scope_key string, edge_id long, src long, dst long, length_km double")
+    pairs = [(s, int(a), int(b)) for s in ("a", "b") for a, b in rng.integers(0, 60, (15, 2))] + [("c", 10, 11), ("c", 10, 21), ("c", 20, 20)]
+    p = spark.createDataFrame(pairs, "scope_key string, source long, target long")
+    of = spark.createDataFrame([*parts, *[("c", v, f"p{v % 2}") for _, _, u, w, _ in edges[-30:] for v in (u, w)]], "scope_key string, node long, part string")
+    km = lambda df: {(r.scope_key, r.source, r.target): round(r.length_km, 9) for r in df.collect()}
+    want, labels = km(overlay.paths(e, p, of)), graph.components_by_scope(e)
+    assert km(overlay.paths(e, p, of, labels=labels, whole_edges=20)) == want
+    calls, run = [], overlay._in_parts
+    monkeypatch.setattr(overlay, "_in_parts", lambda inner, asked, ways: (calls.append(ways), run(inner, asked, ways))[1])
+    assert km(overlay.paths(e, p, of, labels=labels)) == want and calls == [True]
+
+
+def test_gates_meet_those_of_their_own_piece(monkeypatch):
+    """A part of many pieces: what a gate looks for grows with its piece, not with the part's gates."""
+    edges = pd.DataFrame([(k, 2 * k, 2 * k + 1, 1.0) for k in range(300)], columns=["edge_id", "src", "dst", "length_km"])
+    asked = pd.DataFrame([(v, v, True) for v in range(600)], columns=["source", "target", "gate"])
+    sizes, run = [], overlay.search
+    monkeypatch.setattr(overlay, "search", lambda near, s, t: (sizes.append(len(t)), run(near, s, t))[1])
+    assert len(overlay.solve(("a", "x"), edges, asked, False)) == 600 and max(sizes) == 1
+
+
+def test_bridges_of_wanted_components(spark):
+    """Bridges of the pairs asked for are those that all pairs have, whichever side is the smaller one."""
+    rng = np.random.default_rng(8)
+    at = [("a", k, int(k**0.5) if k < 64 else 9, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(0, 1, (90, 2)))]
+    nodes = spark.createDataFrame(at, "scope_key string, node long, component long, lon double, lat double")
+    pairs = spark.createDataFrame([("a", 0, 9), ("a", 2, 9), ("a", 3, 4), ("a", 9, 9), ("a", 7, 8)], "scope_key string, component long, r_component long")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    for most_small in (500, 14):
+        every = graph.bridge_candidates(nodes, 60.0, 3, most_small)
+        assert rows(graph.bridge_candidates(nodes, 60.0, 3, most_small, pairs).select(*every.columns)) == rows(every.join(pairs, ["scope_key", "component", "r_component"], "left_semi").select(*every.columns))
