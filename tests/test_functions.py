@@ -466,3 +466,21 @@ def test_stations_at_one_place_are_counted_for_once(spark, monkeypatch):
     monkeypatch.setattr(audit, "segment_range_join", lambda points, *rest: met.append(points.count()) or join(points, *rest))
     got = {r.id: (r.nearby_lines, r.service_lines, r.open_lines) for r in audit.nearby_line_counts(stations, lines, 20_000).collect()}
     assert got == {k: (5, 3, 2) if k < 40 and k % 2 == 0 else (0, 0, 0) for k in range(41)} and met == [3]
+
+
+def test_points_at_one_place_are_looked_at_once(spark, monkeypatch):
+    """Forty points at two places: joins see two, and each point has what its place has."""
+    from trackloom.operators import routing
+
+    points = spark.createDataFrame([(k, 30.0 + k % 2, 50.0) for k in range(40)], "id long, lon double, lat double")
+    nodes = spark.createDataFrame([("s", 100 + k, 30.0 + k / 10, 50.0, 1 + k % 2) for k in range(12)], "scope_key string, node long, lon double, lat double, degree long")
+    edges = spark.createDataFrame([("s", k, 100, 101, [(30.0 + k / 10, 49.9), (30.0 + k / 10, 50.1)]) for k in range(12)], "scope_key string, edge_id long, src long, dst long, coords array<struct<lon:double,lat:double>>")
+    seen = []
+    for name in ("range_join", "segment_range_join"):
+        run = getattr(routing, name)
+        monkeypatch.setattr(routing, name, lambda left, *a, run=run, **k: (seen.append(left.count()), run(left, *a, **k))[1])
+    near = routing.nearest_nodes(points, nodes, 100.0, 3).collect()
+    assert {(r.id, r["rank"], r.node) for r in near} == {(k, n + 1, v) for k in range(40) for n, v in enumerate([110, 109, 111] if k % 2 else [100, 101, 102])}
+    snaps = routing.edge_snaps(points, edges, 30_000.0, 1).collect()
+    assert {(r.id, r.edge_id) for r in snaps} == {(k, 10 * (k % 2)) for k in range(40)}
+    assert seen and max(seen) == 2
