@@ -105,6 +105,20 @@ def test_alternatives_refuse_what_no_task_holds(spark, monkeypatch):
         graph.path_alternatives(e, spark.createDataFrame([("a", 0, 3)], "scope_key string, source long, target long"))
 
 
+def test_alternatives_of_a_network_of_any_size(spark):
+    """A network of too many edges for one task: a pair's task holds the edges within its reach, and finds what a search of the whole does."""
+    rng = np.random.default_rng(9)
+    edges = [("a", 3 * k, u, v, float(rng.integers(1, 9))) for k, (u, v) in enumerate((u, v) for u in range(16) for v in (u + 1, u + 2, u + 7) if v < 16)]
+    # A second edge beside another, and networks of one edge, which are searched whole.
+    edges += [("a", 1, 0, 1, 1.0), ("a", 4003, 700, 701, 1.0)]
+    pairs = [("a", 3, 12), ("a", 9, 4), ("a", 5, 5), ("a", 700, 3), ("a", 700, 701), ("b", 1, 2)]
+    e = spark.createDataFrame(edges, "scope_key string, edge_id long, src long, dst long, length_km double")
+    got = graph.near_alternatives(e, spark.createDataFrame(pairs, "scope_key string, source long, target long"), 1, 20, attempts=4)
+    near = overlay.neighbours(pd.DataFrame([x[1:] for x in edges], columns=["edge_id", "src", "dst", "length_km"]).sort_values("edge_id"))
+    want = {(s, t, k): (round(km, 9), ids) for scope, s, t in pairs if scope == "a" for k, (ids, _, km) in enumerate(graph.alternatives(near, s, t, 1, attempts=4))}
+    assert {(r.source, r.target, r["rank"]): (round(r.length_km, 9), r.edge_ids) for r in got.collect()} == want and {(5, 5, 0), (700, 701, 0)} <= set(want)
+
+
 def test_paths_of_named_nodes(spark):
     """Nodes and edges may have texts for ids, as a built topology has."""
     e = spark.createDataFrame([("a", "e1", "n1", "n2", 1.0), ("a", "e2", "n2", "n3", 2.0), ("a", "e3", "n1", "n3", 9.0)], "scope_key string, edge_id string, src string, dst string, length_km double")
