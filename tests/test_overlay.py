@@ -153,6 +153,29 @@ def test_a_missing_stop_parts_a_route(spark):
     assert len(shape) == 1 and [round(p.lon, 4) for p in shape[0].coords] == [0, 0.1, 0.2, 0.3, 0.4, 0.5]
 
 
+def test_station_links_of_crowded_places(spark, monkeypatch):
+    """Many stations and nodes at a few places: places meet, and ties of a rounded distance go to the smaller node."""
+    rng = np.random.default_rng(11)
+    at = [(float(x), float(y)) for x, y in rng.integers(0, 6, (200, 2)) / 100 + [37.5, 55.7]]
+    nodes = [(k, *at[k]) for k in range(120)] + [(900, None, 1.0), (901, -150.0, -60.0)]
+    stations = [(k, *at[k + 80]) for k in range(120)] + [(500, 179.9, 80.0), (501, None, None)]
+    pairs, real = [], graph.range_join
+    monkeypatch.setattr(graph, "range_join", lambda a, b, r: (pairs.append(a.count() * b.count()), real(a, b, r))[1])
+    got = graph.station_links(spark.createDataFrame(stations, "station_id long, lon double, lat double"), spark.createDataFrame(nodes, "node long, lon double, lat double"), 4, 1_500.0)
+    assert max(pairs) <= 38 * 38
+
+    def metres(a, b, x, y):
+        p, q = np.radians(b), np.radians(y)
+        h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(x - a) / 2) ** 2
+        return round(float(2 * 6371.0088 * np.arctan2(np.sqrt(h), np.sqrt(max(1e-12, 1 - h)))) * 1000, 3)
+
+    want = set()
+    for s, a, b in stations[:-1]:
+        ranked = sorted((metres(a, b, x, y), n) for n, x, y in nodes if x is not None)[:4]
+        want |= {(s, n, round(m, 1), j == 0) for j, (m, n) in enumerate(ranked) if j == 0 or m <= 1500}
+    assert {(r.station_id, r.node, round(r.link_distance_m, 1), r.is_primary) for r in got.collect()} == want
+
+
 def test_small_networks_are_searched_whole(spark, monkeypatch):
     """With labels, a network of few edges is one search in one task; a larger one goes over its parts."""
     rng = np.random.default_rng(7)
