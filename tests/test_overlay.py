@@ -176,6 +176,23 @@ def test_station_links_of_crowded_places(spark, monkeypatch):
     assert {(r.station_id, r.node, round(r.link_distance_m, 1), r.is_primary) for r in got.collect()} == want
 
 
+def test_equal_lines_are_noded_once(spark, monkeypatch):
+    """Copies of lines add nothing to a topology, and no pairs to its noding."""
+    flags = "false as is_service_line, true as is_visible_default, true as is_main_passenger_line, 'x' as region_code"
+    line = [[(37.0, 55.0), (37.4, 55.4)], [(37.0, 55.4), (37.4, 55.0)], [(37.2, 55.0), (37.2, 55.4), (37.3, 55.4)]]
+    schema = "id long, coords array<struct<lon:double,lat:double>>"
+    stations = spark.createDataFrame([(1, "x", 37.21, 55.21)], "id long, region_code string, lon double, lat double")
+    seen, real = [], graph.node_lines
+    monkeypatch.setattr(graph, "node_lines", lambda x: (seen.append(x.count()), real(x))[1])
+
+    def built(times):
+        lines = spark.createDataFrame([(k, line[k % 3]) for k in range(3 * times)], schema).selectExpr("*", *flags.split(", "))
+        nodes, edges, links = graph.build_topology(lines, stations, "s", k=1)
+        return [sorted(map(str, df.drop("segment").collect())) for df in (nodes, edges, links)]
+
+    assert built(5) == built(1) and seen == [3, 3]
+
+
 def test_small_networks_are_searched_whole(spark, monkeypatch):
     """With labels, a network of few edges is one search in one task; a larger one goes over its parts."""
     rng = np.random.default_rng(7)
