@@ -76,3 +76,49 @@ def test_best_names_over_blocks(spark, monkeypatch):
 def test_fitting_words(word):
     others = ["к", "ка", "кам", "камо", "каморро", "мо", "камень"]
     assert names.Block(others).fitting(word) == sorted(o for o in others if text.fits(word, o))
+
+
+def test_bounds_of_beginnings_are_above():
+    rng = np.random.default_rng(4)
+    groups: dict[str, list[str]] = {}
+    for o in [*made(rng, 300), *(f"ПОСТ {k:06d}" for k in rng.integers(0, 5000, 100)), "а" * 70]:
+        groups.setdefault(o[: rng.integers(0, 8)], []).append(o)
+    span = lambda f: np.array([f(map(len, g)) for g in groups.values()])
+    words = np.array([max(len(o.split(" ")) for o in g) for g in groups.values()])
+    block = names.Block([names.os.path.commonprefix(g) for g in groups.values()], (span(min), span(max)), words)
+    for name in [*made(rng, 60), "ПОСТ 000123", "а" * 65]:
+        real = np.array([max(text.similarity(name, o) for o in g) for g in groups.values()])
+        assert (block.bounds(name) >= real).all()
+
+
+def test_numbered_names_need_few_calls(monkeypatch):
+    """Names that differ in few digits share nearly all letters, in whatever order."""
+    others, calls, real = [f"ПОСТ {k:09d}" for k in range(1500)], [0], text.similarity
+    ids, main, wanted = np.arange(1500), np.arange(1500) % 5 == 0, [f"ПОСТ {k:09d}" for k in (123, 1357, 1290)]
+    want = brute(wanted, ids.tolist(), others, main.tolist(), 8)
+
+    def counted(a, b):
+        calls[0] += 1
+        return real(a, b)
+
+    monkeypatch.setattr(text, "similarity", counted)
+    assert names.best_of_block(wanted, ids, others, main, 8, matching.LEAST, 0.03) == want
+    assert calls[0] < 40 * len(wanted)
+
+
+def test_best_names_in_small_blocks(spark, monkeypatch):
+    """Every round is used; of equal names only the first ids count."""
+    monkeypatch.setattr(names, "BEGIN_ALIKE", 6)
+    monkeypatch.setattr(names, "ROUNDS", [(0, 1), (1, 3), (3, None)])
+    monkeypatch.setattr(names, "NAMES_A_BLOCK", 20)
+    monkeypatch.setattr(names, "STATIONS_A_BLOCK", 30)
+    monkeypatch.setattr(names, "NAMES_A_VISIT", 30)
+    rng = np.random.default_rng(5)
+    others = [*made(rng, 60), *(f"ПОСТ {k:05d}" for k in range(80)), *["ПОСТ 00007"] * 30, "ПОСТ"]
+    wanted = list(dict.fromkeys([*others[::4], *made(rng, 20), "ПОСТ 00019", "ПОСТ 1"]))
+    main = (rng.random(len(others)) < 0.3).tolist()
+    right = spark.createDataFrame(list(zip(range(len(others)), others, main, strict=True)), "sid long, name string, main boolean")
+    sizes = names.in_blocks(right.withColumnRenamed("name", "other")).groupBy("main", "block").agg({"other": "count"}).collect()
+    assert len(sizes) > 10 and sum(r[2] for r in sizes) == len(others)
+    got = names.best_names(spark.createDataFrame([(w,) for w in wanted], "name string"), right, 8, matching.LEAST)
+    assert sorted((r.name, r.sid, r.score, r.spare) for r in got.collect()) == sorted(brute(wanted, range(len(others)), others, main, 8))
