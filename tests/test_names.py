@@ -122,3 +122,11 @@ def test_best_names_in_small_blocks(spark, monkeypatch):
     assert len(sizes) > 10 and sum(r[2] for r in sizes) == len(others)
     got = names.best_names(spark.createDataFrame([(w,) for w in wanted], "name string"), right, 8, matching.LEAST)
     assert sorted((r.name, r.sid, r.score, r.spare) for r in got.collect()) == sorted(brute(wanted, range(len(others)), others, main, 8))
+
+
+def test_regions_by_first_places_from_names_looked_up_once(spark):
+    stations = spark.sql("select id, concat('ПОСТ ', id) as name, concat('r', id % 3) as region_code, 30.0 as lon, 50.0 as lat, false as is_main_rail_station, true as is_visible_default, string(null) as esr_user, string(null) as uic_ref from range(9)")
+    stops = spark.sql("select 1L as route_id, int(10 - id) as stop_sequence, concat('ПОСТ ', id) as station_name_raw, string(null) as station_code, if(id = 4, id, null) as stored_station_id from range(9)")
+    out = matching.route_regions(matching.candidates(stops, stations))
+    assert "CoGroups" not in out._jdf.queryExecution().toString()
+    assert [(r.route_id, list(r.strict), set(r.regions)) for r in out.collect()] == [(1, ["r1", "r2", "r0"], {"r0", "r1", "r2"})]
