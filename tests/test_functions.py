@@ -457,6 +457,23 @@ def test_nearest_on_lines_in_rings(spark, monkeypatch):
     assert alone == got
 
 
+def test_feet_are_rounded_as_in_sql(spark):
+    """Feet on collinear segments are one point but for rounding, which decides who is nearer: factors multiply in the order that SQL has."""
+    rng, at = random.Random(6), lambda low, n: low + rng.randrange(n) / 100
+    rows = [(k, at(30, 4000), at(50, 1500), at(30, 4000), at(50, 1500), at(30, 4000), at(50, 1500)) for k in range(2000)]
+    kind = "id long, lon double, lat double, ax double, ay double, bx double, by_ double"
+    cos = {r.id: r.k for r in spark.createDataFrame(rows, kind).select("id", F.cos(F.radians("lat")).alias("k")).collect()}
+
+    def foot(i, x, y, ax, ay, bx, by):
+        k = cos[i]
+        n = (bx - ax) * k * (bx - ax) * k + (by - ay) * (by - ay)
+        t = max(0.0, min(1.0, ((x - ax) * k * (bx - ax) * k + (y - ay) * (by - ay)) / n)) if n else 0.0
+        return ax + t * (bx - ax), ay + t * (by - ay)
+
+    df = spark.createDataFrame([(*r, *foot(*r)) for r in rows], kind + ", x double, y double")
+    assert df.where(geo.segment_distance_km("lon", "lat", "ax", "ay", "bx", "by_") != geo.haversine_km("lon", "lat", "x", "y")).count() == 0
+
+
 def test_stations_at_one_place_are_counted_for_once(spark, monkeypatch):
     """Many stations at one place and one without a place: the join with lines meets each place once."""
     stations = spark.createDataFrame([(k, 30.0 + 3 * (k % 2), 85.0) for k in range(40)] + [(40, None, None)], "id int, lon double, lat double")
