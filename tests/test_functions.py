@@ -457,6 +457,30 @@ def test_nearest_on_lines_in_rings(spark, monkeypatch):
     assert alone == got
 
 
+def test_nearest_on_lines_from_small_rings(spark, monkeypatch):
+    """Places that many points share are looked at once, from the smallest rings on, and find what a look at all segments finds."""
+    rng = random.Random(5)
+    spots = [(round(rng.uniform(30, 31), 2), round(rng.uniform(50, 51), 2)) for _ in range(60)] + [(30.5, 58.0)]
+    points = spark.createDataFrame([(k, *spots[k % 61]) for k in range(300)] + [(300, None, 50.0)], "id int, lon double, lat double")
+    ends = [("a" if k % 3 else None, 30 + k / 200, 50.0, 30 + k / 200, 51.0) for k in range(200)]
+    segments = spark.createDataFrame(ends, "g string, ax double, ay double, bx double, by double")
+    monkeypatch.setattr(spatial_join, "SPREAD", 0)
+    rings, least = [], spatial_join._least
+    monkeypatch.setattr(spatial_join, "_least", lambda met, by, r: rings.append((r, met.select("lon", "lat").distinct().count())) or least(met, by, r))
+    got = {(r.g, r.id): r.distance_km for r in spatial_join.nearest_on_lines(points, segments, "g", 25.0).collect()}
+    every = spatial_join.segment_range_join(points, segments, 25.0).groupBy("g", "id").agg(F.min("distance_km").alias("d")).collect()
+    assert len(every) > 500 and got == {(r.g, r.id): r.d for r in every}
+    assert rings[0][0] < 2 and max(n for _, n in rings) <= 61
+
+
+def test_spread_segments_are_not_broadcast(spark):
+    """A long segment becomes a row for each cell, which no estimate sees: few segments are not sent to all."""
+    points = spark.range(1_000_000).selectExpr("id", "30.0e0 + id / 1e6 as lon", "50.0e0 as lat")
+    segments = spark.range(20).selectExpr("'a' as g", "30.0e0 + id as ax", "50.0e0 as ay", "35.0e0 + id as bx", "60.0e0 as by")
+    plan = spatial_join.segment_range_join(points, segments, 5.0, 60.0)._jdf.queryExecution().executedPlan().toString()
+    assert "explode" in plan and "Broadcast" not in plan
+
+
 def test_feet_are_rounded_as_in_sql(spark):
     """Feet on collinear segments are one point but for rounding, which decides who is nearer: factors multiply in the order that SQL has."""
     rng, at = random.Random(6), lambda low, n: low + rng.randrange(n) / 100

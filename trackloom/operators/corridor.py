@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from trackloom.functions import geo, scoring
+from trackloom.operators.lineage import cut
 from trackloom.operators.spatial_join import explode_segments, nearest_in_group, nearest_on_lines
 
 #: Names of what is no single settlement.
@@ -83,7 +84,7 @@ def analyse(settlements: DataFrame, routes: DataFrame, stops: DataFrame | None,
     """
     hits = in_corridor(eligible(settlements, p), routes.select("route_id", "coords"), p.corridor_km)
     top = W.partitionBy("route_id").orderBy(F.desc("population"), "id")
-    hits = hits.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= p.max_results).drop("_n")
+    hits = cut(hits.withColumn("_n", F.row_number().over(top)).where(F.col("_n") <= p.max_results).drop("_n"))
     if stops is None:
         hits = hits.withColumn("distance_to_station_km", F.lit(None).cast("double"))
     else:
