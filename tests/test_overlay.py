@@ -229,3 +229,19 @@ def test_bridges_of_wanted_components(spark):
     for most_small in (500, 14):
         every = graph.bridge_candidates(nodes, 60.0, 3, most_small)
         assert rows(graph.bridge_candidates(nodes, 60.0, 3, most_small, pairs).select(*every.columns)) == rows(every.join(pairs, ["scope_key", "component", "r_component"], "left_semi").select(*every.columns))
+
+
+def test_a_connected_pair_reaches_little_further(spark, monkeypatch):
+    """Once a pair is connected its reach grows slowly: four times the length would be nearly the whole grid."""
+    n, rows = 12, []
+    for x in range(n):
+        for y in range(n):
+            rows += [("s", 2 * (n * x + y) + d, n * x + y, n * (x + dx) + y + dy, 1.0) for d, (dx, dy) in enumerate([(1, 0), (0, 1)]) if x + dx < n and y + dy < n]
+    e = spark.createDataFrame(rows, "scope_key string, edge_id long, src long, dst long, length_km double")
+    pairs = spark.createDataFrame([("s", 5 * n + 4, 5 * n + 7)], "scope_key string, source long, target long")
+    lengths, search = [], graph._reached
+    monkeypatch.setattr(graph, "_reached", lambda near, ends, km: lengths.append(km) or search(near, ends, km))
+    rows = lambda df: sorted(tuple(r) for r in df.select("source", "target", "rank", "length_km", "edge_ids").collect())
+    got = rows(graph.near_alternatives(e, pairs, 1, 20))
+    assert got == rows(graph.path_alternatives(e, pairs, 1)) and got
+    assert len(lengths) > 1 and all(b <= 1.51 * a for a, b in zip(lengths, lengths[1:], strict=False))
